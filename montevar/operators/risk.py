@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from montevar.functions.exprs import SPARK
-from montevar.functions.numeric import keyed_uniform, poisson1_from_uniform
+from montevar.functions.numeric import TWO_POW_32, poisson1_from_uniform, poisson1_thresholds
 from montevar.session import bounded_broadcast
 
 
@@ -42,15 +42,19 @@ def resample_weights(df: DataFrame, num: int = 100, seed: int = 1, id_col: str =
     """Bootstrap resampling as Poisson(1) multiplicities: ``replicate, <keep>, w`` (w >= 1).
 
     Replicate ``r`` holds row ``i`` ``w`` times, ``w ~ Poisson(1)`` drawn from the key
-    ``(seed, r, id)`` - sampling with replacement at fraction 1.0, deterministic and
+    ``seed:r:id`` - sampling with replacement at fraction 1.0, deterministic and
     independent of partitioning.  Rows with weight 0 are not emitted.
     """
-    tagged = [F.struct(F.lit(r).alias("replicate"),
-                       poisson1_from_uniform(keyed_uniform(f"{seed}:{r}:", id_col, SPARK)).alias("w"))
-              for r in range(num)]
-    exploded = df.select(*keep, F.explode(F.array(*tagged)).alias("_rw"))
-    out = exploded.select(F.col("_rw.replicate").alias("replicate"), *keep, F.col("_rw.w").alias("w"))
-    return out.where(F.col("w") > 0)
+    reps = df.select(*keep, id_col, F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("replicate"))
+    key = F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"),
+                   F.col(id_col).cast("string"))
+    u = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") + 0.5) / TWO_POW_32
+    with_u = reps.select("replicate", *keep, u.alias("_u"))
+    # w > 0 exactly when u exceeds P(w = 0); filtering on u keeps the pushed-down
+    # predicate to one comparison instead of the whole inverse-CDF sum.
+    with_u = with_u.where(F.col("_u") > F.lit(poisson1_thresholds()[0]))
+    w = poisson1_from_uniform(F.col("_u"), SPARK)
+    return with_u.select("replicate", *keep, w.alias("w"))
 
 
 def replicate_risk(df: DataFrame, num: int = 100, p: float = 0.05, seed: int = 1,

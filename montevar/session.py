@@ -32,6 +32,10 @@ def build_session(master: str | None = None, app: str = "montevar",
         "spark.sql.execution.reuseSubquery": "true",
         "spark.sql.parquet.filterPushdown": "true",
     }
+    if master and master.startswith("local"):
+        # Local mode runs everything in the driver JVM; size its heap (no effect
+        # once a JVM is running, and never applied to cluster sessions).
+        conf["spark.driver.memory"] = os.environ.get("MONTEVAR_DRIVER_MEMORY", "12g")
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     conf.update(extra or {})
