@@ -42,9 +42,28 @@ def scenario_params(moments: DataFrame, factors) -> DataFrame:
     return p.select(*keep)
 
 
-def as_scalar(one_row: DataFrame) -> Column:
-    """A one-row DataFrame as a struct-valued scalar subquery (evaluated once per query)."""
-    return one_row.select(F.struct(*one_row.columns).alias("s")).scalar()
+def as_scalar(one_row: DataFrame) -> "ScalarRow":
+    """A one-row DataFrame of numeric columns as one scalar subquery."""
+    return ScalarRow(one_row)
+
+
+class ScalarRow:
+    """Fields of a one-row DataFrame, read from a single array-valued scalar subquery.
+
+    The values travel as one ``array<double>`` so the optimizer keeps exactly one
+    subquery (a struct would be split into one subquery per field, each
+    re-running the producing plan); every reference reuses its result.
+    """
+
+    def __init__(self, one_row: DataFrame):
+        self.names = list(one_row.columns)
+        arr = F.array(*[F.col(c).cast("double") for c in self.names])
+        self._value = one_row.select(arr.alias("v")).scalar()
+
+    def getField(self, name: str) -> Column:
+        return self._value[self.names.index(name)]
+
+    __getitem__ = getField
 
 
 def sample_scenarios(spark: SparkSession, moments: DataFrame, factors, n: int,

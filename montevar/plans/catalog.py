@@ -77,138 +77,136 @@ def q_symbol_semi_scan(spark, sf):
 
 
 def q_fill_recent(spark, sf):
-    return report(pl.filled_prices(spark, sf))
+    return report(pl.study(spark, sf).filled_prices)
 
 
 def q_stock_returns(spark, sf):
-    return report(pl.stock_returns(spark, sf))
+    return report(pl.study(spark, sf).stock_returns)
 
 
 def q_factor_returns(spark, sf):
-    return report(pl.factor_returns(spark, sf))
+    return report(pl.study(spark, sf).factor_returns)
 
 
 def q_portfolio_daily_return(spark, sf):
-    return report(series.daily_mean_return(pl.stock_returns(spark, sf)))
+    return report(series.daily_mean_return(pl.study(spark, sf).stock_returns))
 
 
 def q_returns_summary(spark, sf):
-    return report(series.summarize(series.daily_mean_return(pl.stock_returns(spark, sf)), "avg_return"))
+    return report(series.summarize(series.daily_mean_return(pl.study(spark, sf).stock_returns), "avg_return"))
 
 
 def q_factor_summary(spark, sf):
-    return report(series.summarize(pl.factor_returns(spark, sf), "fluct", by="factor"))
+    return report(series.summarize(pl.study(spark, sf).factor_returns, "fluct", by="factor"))
 
 
 def q_factor_features(spark, sf):
-    return report(pl.feature_rows(spark, sf))
+    return report(pl.study(spark, sf).feature_rows)
 
 
 def q_feature_table(spark, sf):
-    return report(pl.feature_table(spark, sf))
+    return report(pl.study(spark, sf).feature_table)
 
 
 def q_min_factor_rows(spark, sf):
-    return feat_ops.min_factor_rows(pl.factor_returns(spark, sf))
+    return feat_ops.min_factor_rows(pl.study(spark, sf).factor_returns)
 
 
 def q_design_rows(spark, sf):
-    return report(pl.design_rows(spark, sf))
+    return report(pl.study(spark, sf).design_rows)
 
 
 def q_split_train(spark, sf):
-    return feat_ops.split_train(pl.design_rows(spark, sf), pl.TRAIN_RATIO).select("symbol", "k", "label")
+    return feat_ops.split_train(pl.study(spark, sf).design_rows, pl.TRAIN_RATIO).select("symbol", "k", "label")
 
 
 def q_split_test(spark, sf):
-    return feat_ops.split_test(pl.design_rows(spark, sf), pl.TRAIN_RATIO).select("symbol", "k", "label")
+    return feat_ops.split_test(pl.study(spark, sf).design_rows, pl.TRAIN_RATIO).select("symbol", "k", "label")
 
 
 def q_factor_aligned(spark, sf):
-    return report(pl.aligned_factors(spark, sf))
+    return report(pl.study(spark, sf).aligned_factors)
 
 
 def q_factor_moments(spark, sf):
-    return report(pl.factor_moments(spark, sf))
+    return report(pl.study(spark, sf).factor_moments)
 
 
 def q_factor_corr(spark, sf):
-    return report(mom_ops.factor_corr(pl.aligned_factors(spark, sf), pl.FACTORS))
+    return report(mom_ops.factor_corr(pl.study(spark, sf).aligned_factors, pl.FACTORS))
 
 
 def q_model_moments(spark, sf):
-    m = regression.model_moments(pl.design_rows(spark, sf), pl.FEATS)
+    m = regression.model_moments(pl.study(spark, sf).design_rows, pl.FEATS)
     return report(m.select("symbol", "n", "my", *[f"cxy_{i}" for i in range(len(pl.FEATS))]))
 
 
 def q_fit_linear(spark, sf):
-    return report(pl.models(spark, sf))
+    return report(pl.study(spark, sf).models)
 
 
 def q_predict_test(spark, sf):
-    return report(pl.predictions_test(spark, sf).select("symbol", "k", "label", "prediction"))
+    return report(pl.study(spark, sf).predictions_test.select("symbol", "k", "label", "prediction"))
 
 
 def q_r2_scores(spark, sf):
-    return report(pl.r2_scores(spark, sf))
+    return report(pl.study(spark, sf).r2_scores)
 
 
 def q_r2_summary(spark, sf):
-    return report(regression.r2_summary(pl.r2_scores(spark, sf)))
+    return report(regression.r2_summary(pl.study(spark, sf).r2_scores))
 
 
 def q_scenarios(spark, sf):
-    return report(pl.scenario_draws(spark, sf))
+    return report(pl.study(spark, sf).scenario_draws)
 
 
 def q_trial_returns(spark, sf):
-    return report(pl.trials(spark, sf))
+    return report(pl.study(spark, sf).trials)
 
 
 def q_value_at_risk(spark, sf):
-    return report(risk.value_at_risk(pl.trials(spark, sf), pl.VAR_P))
+    return report(risk.value_at_risk(pl.study(spark, sf).trials, pl.VAR_P))
 
 
 def q_conditional_var(spark, sf):
-    return report(risk.conditional_var(pl.trials(spark, sf), pl.VAR_P))
+    return report(risk.conditional_var(pl.study(spark, sf).trials, pl.VAR_P))
 
 
 def q_trial_stats(spark, sf):
-    return report(risk.trial_stats(pl.trials(spark, sf)))
+    return report(risk.trial_stats(pl.study(spark, sf).trials))
 
 
 def q_bootstrap_var(spark, sf):
-    return report(risk.bootstrap_ci(pl.trials(spark, sf), "var", pl.BOOT_NUM, pl.VAR_P,
-                                    pl.BOOT_PROBABILITY, pl.BOOT_SEED))
+    return report(pl.study(spark, sf).bootstrap("var"))
 
 
 def q_bootstrap_cvar(spark, sf):
-    return report(risk.bootstrap_ci(pl.trials(spark, sf), "cvar", pl.BOOT_NUM, pl.VAR_P,
-                                    pl.BOOT_PROBABILITY, pl.BOOT_SEED))
+    return report(pl.study(spark, sf).bootstrap("cvar"))
 
 
 def q_failures(spark, sf):
-    return pl.failures(spark, sf)
+    return pl.study(spark, sf).failures()
 
 
 def q_kupiec(spark, sf):
-    return report(backtest.kupiec(pl.failures(spark, sf), pl.VAR_P))
+    return report(backtest.kupiec(pl.study(spark, sf).failures(), pl.VAR_P))
 
 
 def q_chi2_density(spark, sf):
-    return report(backtest.chi2_density(pl.failures(spark, sf), pl.VAR_P))
+    return report(backtest.chi2_density(pl.study(spark, sf).failures(), pl.VAR_P))
 
 
 def q_binomial_z(spark, sf):
-    return report(backtest.binomial_z(pl.failures(spark, sf), pl.VAR_P))
+    return report(backtest.binomial_z(pl.study(spark, sf).failures(), pl.VAR_P))
 
 
 def q_factor_density(spark, sf):
-    return report(density.kde(pl.factor_returns(spark, sf), "fluct", by="factor", sd="samp", log=True))
+    return report(pl.study(spark, sf).factor_density())
 
 
 def q_trial_density(spark, sf):
-    return report(density.kde(pl.trials(spark, sf), "average_return", sd="pop", log=False))
+    return report(pl.study(spark, sf).trial_density())
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

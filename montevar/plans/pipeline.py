@@ -1,22 +1,27 @@
 """The end-to-end risk study as composed DataFrame plans over the fixture tables.
 
-    prices (gapped) -> fill -> horizon returns ----------------+--> design -> models
-    factors         -> fill -> horizon returns -> features ----+        |
-                                           \\-> aligned -> moments -> scenarios -> trials
+    prices (gapped) -> fill -> horizon returns ----------------+--> design -> models*
+    factors         -> fill -> horizon returns -> features ----+          |
+                                           \\-> aligned -> moments* -> scenarios -> trials*
     trials -> VaR / CVaR / bootstrap intervals;  returns x VaR -> back-tests
 
-Each function returns a lazy DataFrame; nothing is collected.  A caller that
-evaluates several outputs of one run should ``persist``/``checkpoint`` the
-shared stages (``trials``, ``models``) - see ``materialize``.
+``RiskStudy`` builds each stage at most once.  The stages marked * are consumed
+several times (models by R2 and by the trials; the one-row moments by every
+scenario column; trials by VaR, CVaR, bootstraps, back-tests and the density),
+so they are checkpointed into the cluster's checkpoint folder: their lineage is
+cut, a lost executor never forces a recomputation of the fit, and downstream
+plans stay small for the optimizer.  Everything else stays lazy.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from functools import cached_property
+
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from montevar.operators import (backtest, density, features as feat_ops, moments as mom_ops,
                                 regression, risk, scenarios, series)
-from montevar.session import period_days
+from montevar.session import checkpoint_dir, period_days
 from montevar.sources import fixtures as fx
 
 FACTORS = list(fx.FACTORS)
@@ -32,104 +37,127 @@ RIDGE_ALPHA = 1e-4
 TRAIN_RATIO = 0.8
 
 
-def filled_prices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.fill_recent(fx.prices_gaps(spark, sf_dir), "symbol")
-
-
-def stock_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.horizon_returns(filled_prices(spark, sf_dir), "symbol")
-
-
-def filled_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.fill_recent(fx.factors(spark, sf_dir), "factor")
-
-
-def factor_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return series.horizon_returns(filled_factors(spark, sf_dir), "factor")
+def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
+    """Cut lineage of a multi-consumer stage into the session's checkpoint folder."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=eager)
 
 
-def feature_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat_ops.factor_features(factor_returns(spark, sf_dir))
+class RiskStudy:
+    """One run of the study over the tables in ``sf_dir``."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, n_trials: int = NUM_TRIALS,
+                 seed: int = TRIAL_SEED, cut_lineage: bool = True):
+        self.spark, self.sf_dir = spark, sf_dir
+        self.n_trials, self.seed = n_trials, seed
+        self.cut_lineage = cut_lineage
 
+    def _cut(self, df: DataFrame) -> DataFrame:
+        return materialize(df) if self.cut_lineage else df
 
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return feat_ops.feature_table(feature_rows(spark, sf_dir), FACTORS)
+    # --- instruments -----------------------------------------------------------
+    @cached_property
+    def filled_prices(self) -> DataFrame:
+        return series.fill_recent(fx.prices_gaps(self.spark, self.sf_dir), "symbol")
 
+    @cached_property
+    def stock_returns(self) -> DataFrame:
+        return series.horizon_returns(self.filled_prices, "symbol")
 
-def design_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # The feature table has at most one row per day of the study period.
-    bound = period_days(fx.START, fx.END)
-    return feat_ops.design(stock_returns(spark, sf_dir), feature_table(spark, sf_dir),
-                           max_feature_rows=bound)
+    # --- factors ---------------------------------------------------------------
+    @cached_property
+    def filled_factors(self) -> DataFrame:
+        return series.fill_recent(fx.factors(self.spark, self.sf_dir), "factor")
 
+    @cached_property
+    def factor_returns(self) -> DataFrame:
+        return series.horizon_returns(self.filled_factors, "factor")
 
-def models(spark: SparkSession, sf_dir: str, alpha: float = RIDGE_ALPHA) -> DataFrame:
-    return regression.fit_linear(design_rows(spark, sf_dir), FEATS, alpha)
+    @cached_property
+    def feature_rows(self) -> DataFrame:
+        return feat_ops.factor_features(self.factor_returns)
 
+    @cached_property
+    def feature_table(self) -> DataFrame:
+        return feat_ops.feature_table(self.feature_rows, FACTORS)
 
-def predictions_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = design_rows(spark, sf_dir)
-    m = regression.fit_linear(d, FEATS, RIDGE_ALPHA)
-    test = feat_ops.split_test(d, TRAIN_RATIO)
-    return regression.predict(test, m, FEATS)
+    # --- models ----------------------------------------------------------------
+    @cached_property
+    def design_rows(self) -> DataFrame:
+        # The feature table has at most one row per day of the study period.
+        bound = period_days(fx.START, fx.END)
+        return feat_ops.design(self.stock_returns, self.feature_table, max_feature_rows=bound)
 
+    @cached_property
+    def models(self) -> DataFrame:
+        return self._cut(regression.fit_linear(self.design_rows, FEATS, RIDGE_ALPHA))
 
-def r2_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return regression.r2_by_symbol(predictions_test(spark, sf_dir))
+    @cached_property
+    def predictions_test(self) -> DataFrame:
+        test = feat_ops.split_test(self.design_rows, TRAIN_RATIO)
+        return regression.predict(test, self.models, FEATS)
 
+    @cached_property
+    def r2_scores(self) -> DataFrame:
+        return regression.r2_by_symbol(self.predictions_test)
 
-def aligned_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mom_ops.factor_aligned(factor_returns(spark, sf_dir), FACTORS)
+    # --- scenarios -------------------------------------------------------------
+    @cached_property
+    def aligned_factors(self) -> DataFrame:
+        return mom_ops.factor_aligned(self.factor_returns, FACTORS)
 
+    @cached_property
+    def factor_moments(self) -> DataFrame:
+        return self._cut(mom_ops.factor_moments(self.aligned_factors, FACTORS))
 
-def factor_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mom_ops.factor_moments(aligned_factors(spark, sf_dir), FACTORS)
+    @cached_property
+    def scenario_draws(self) -> DataFrame:
+        return scenarios.sample_scenarios(self.spark, self.factor_moments, FACTORS, self.n_trials, self.seed)
 
+    @cached_property
+    def trials(self) -> DataFrame:
+        return self._cut(scenarios.score_scenarios(self.scenario_draws, self.models, FACTORS, FEATS))
 
-def scenario_draws(spark: SparkSession, sf_dir: str, n: int = NUM_TRIALS, seed: int = TRIAL_SEED) -> DataFrame:
-    return scenarios.sample_scenarios(spark, factor_moments(spark, sf_dir), FACTORS, n, seed)
+    # --- risk figures ----------------------------------------------------------
+    def var_figure(self, p: float = VAR_P) -> Column:
+        """VaR of the trial returns as a scalar Column (one scalar subquery)."""
+        return risk.value_at_risk(self.trials, p).select("value_at_risk").scalar()
 
+    def cvar_figure(self, p: float = VAR_P) -> Column:
+        return risk.conditional_var(self.trials, p).select("conditional_var").scalar()
 
-def trials(spark: SparkSession, sf_dir: str, n: int = NUM_TRIALS, seed: int = TRIAL_SEED) -> DataFrame:
-    return scenarios.score_scenarios(scenario_draws(spark, sf_dir, n, seed), models(spark, sf_dir), FACTORS, FEATS)
+    def failures(self, p: float = VAR_P) -> DataFrame:
+        """Back-test counts against both VaR and CVaR: ``risk_measure, failures, size``."""
+        sr = self.stock_returns
+        a = backtest.count_failures(sr, self.var_figure(p)).select(F.lit("var").alias("risk_measure"), "*")
+        b = backtest.count_failures(sr, self.cvar_figure(p)).select(F.lit("cvar").alias("risk_measure"), "*")
+        return a.unionByName(b)
 
+    def bootstrap(self, stat: str) -> DataFrame:
+        return risk.bootstrap_ci(self.trials, stat, BOOT_NUM, VAR_P, BOOT_PROBABILITY, BOOT_SEED)
 
-def var_figure(spark: SparkSession, sf_dir: str, p: float = VAR_P):
-    """VaR of the trial returns as a scalar Column (one scalar subquery)."""
-    return risk.value_at_risk(trials(spark, sf_dir), p).select("value_at_risk").scalar()
+    def factor_density(self) -> DataFrame:
+        return density.kde(self.factor_returns, "fluct", by="factor", sd="samp", log=True)
 
+    def trial_density(self) -> DataFrame:
+        return density.kde(self.trials, "average_return", sd="pop", log=False)
 
-def cvar_figure(spark: SparkSession, sf_dir: str, p: float = VAR_P):
-    return risk.conditional_var(trials(spark, sf_dir), p).select("conditional_var").scalar()
+    def risk_report(self) -> DataFrame:
+        """Flagship: one row with VaR, CVaR and the trial statistics of the simulation."""
+        t = self.trials
+        var = risk.value_at_risk(t, VAR_P).select("value_at_risk").scalar()
+        tail = F.when(F.col("average_return") <= var, F.col("average_return"))
+        return t.agg(F.first(var).alias("value_at_risk"), F.avg(tail).alias("conditional_var"),
+                     F.count(F.lit(1)).alias("trials"), F.min("average_return").alias("min_return"),
+                     F.max("average_return").alias("max_return"))
 
 
-def failures(spark: SparkSession, sf_dir: str, p: float = VAR_P) -> DataFrame:
-    """Back-test counts against both VaR and CVaR: ``risk_measure, failures, size``."""
-    sr = stock_returns(spark, sf_dir)
-    from pyspark.sql import functions as F
-    a = backtest.count_failures(sr, var_figure(spark, sf_dir, p)).select(F.lit("var").alias("risk_measure"), "*")
-    b = backtest.count_failures(sr, cvar_figure(spark, sf_dir, p)).select(F.lit("cvar").alias("risk_measure"), "*")
-    return a.unionByName(b)
+def study(spark: SparkSession, sf_dir: str, **kw) -> RiskStudy:
+    return RiskStudy(spark, sf_dir, **kw)
 
 
 def risk_report(spark: SparkSession, sf_dir: str, n: int = NUM_TRIALS) -> DataFrame:
-    """Flagship: one row with VaR, CVaR and the trial statistics of the simulation."""
-    from pyspark.sql import functions as F
-    t = trials(spark, sf_dir, n)
-    var = risk.value_at_risk(t, VAR_P).select("value_at_risk").scalar()
-    tail = F.when(F.col("average_return") <= var, F.col("average_return"))
-    return t.agg(F.first(var).alias("value_at_risk"), F.avg(tail).alias("conditional_var"),
-                 F.count(F.lit(1)).alias("trials"), F.min("average_return").alias("min_return"),
-                 F.max("average_return").alias("max_return"))
-
-
-def materialize(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage of a multi-consumer stage into the cluster's checkpoint folder."""
-    from montevar.session import checkpoint_dir
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=eager)
+    return RiskStudy(spark, sf_dir, n_trials=n).risk_report()
 
 
-__all__ = ["FACTORS", "FEATS", "stock_returns", "factor_returns", "feature_table", "design_rows",
-           "models", "predictions_test", "r2_scores", "aligned_factors", "factor_moments",
-           "scenario_draws", "trials", "failures", "risk_report", "materialize", "density"]
+__all__ = ["FACTORS", "FEATS", "RiskStudy", "study", "risk_report", "materialize"]
