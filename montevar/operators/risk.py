@@ -22,8 +22,8 @@ def value_at_risk(df: DataFrame, p: float = 0.05, col: str = "average_return") -
 def conditional_var(df: DataFrame, p: float = 0.05, col: str = "average_return") -> DataFrame:
     """One row ``value_at_risk, conditional_var``: mean of the returns at or below VaR."""
     var = value_at_risk(df, p, col).select(F.col("value_at_risk")).scalar()
-    tail = df.where(F.col(col) <= var)
-    return tail.agg(F.first(var).alias("value_at_risk"), F.avg(col).alias("conditional_var"))
+    tail = df.where(F.col(col) <= var).agg(F.avg(col).alias("conditional_var"))
+    return tail.select(var.alias("value_at_risk"), "conditional_var")
 
 
 def trial_stats(df: DataFrame, col: str = "average_return") -> DataFrame:

@@ -147,9 +147,9 @@ class RiskStudy:
         t = self.trials
         var = risk.value_at_risk(t, VAR_P).select("value_at_risk").scalar()
         tail = F.when(F.col("average_return") <= var, F.col("average_return"))
-        return t.agg(F.first(var).alias("value_at_risk"), F.avg(tail).alias("conditional_var"),
-                     F.count(F.lit(1)).alias("trials"), F.min("average_return").alias("min_return"),
-                     F.max("average_return").alias("max_return"))
+        agg = t.agg(F.avg(tail).alias("conditional_var"), F.count(F.lit(1)).alias("trials"),
+                    F.min("average_return").alias("min_return"), F.max("average_return").alias("max_return"))
+        return agg.select(var.alias("value_at_risk"), "*")
 
 
 def study(spark: SparkSession, sf_dir: str, **kw) -> RiskStudy:

@@ -1,0 +1,47 @@
+"""File readers on small CSV/TSV files written to a scratch folder."""
+import datetime as dt
+import os
+import tempfile
+
+from montevar.sources import files
+
+
+def _write(path, text):
+    with open(path, "w") as fh:
+        fh.write(text)
+
+
+def test_price_folder_scan_symbols_and_parsing(spark):
+    d = tempfile.mkdtemp(prefix="montevar-src-")
+    stocks = os.path.join(d, "stocks")
+    os.makedirs(stocks)
+    _write(os.path.join(stocks, "AAA.csv"),
+           "Date,Open,High,Low,Close,Volume\n31-Dec-13,\"1,200.50\",1210,1190,1205,1000\n"
+           "30-Dec-13,-5,1,1,1,1\nbad-date,1,1,1,1,1\n")
+    _write(os.path.join(stocks, "BBB.csv"), "Date,Open,High,Low,Close,Volume\n02-Jan-98,10.5,11,10,10.7,5\n")
+    _write(os.path.join(stocks, "EMPTY.csv"), "")
+    _write(os.path.join(stocks, "HEADER.csv"), "Date,Open,High,Low,Close,Volume\n")
+    _write(os.path.join(d, "symbols.txt"), "AAA\n  BBB \n\nZZZ\nHEADER\n")
+    syms = files.load_symbols(spark, os.path.join(d, "symbols.txt"))
+    assert sorted(r.symbol for r in syms.collect()) == ["AAA", "BBB", "HEADER", "ZZZ"]
+    got = sorted(files.load_prices(spark, stocks, syms).collect(), key=lambda r: (r.symbol, r.date))
+    assert [(r.symbol, r.date, r.open) for r in got] == [
+        ("AAA", dt.date(2013, 12, 30), None), ("AAA", dt.date(2013, 12, 31), 1200.5),
+        ("BBB", dt.date(1998, 1, 2), 10.5)]
+    only_b = files.load_prices(spark, stocks, syms.where("symbol = 'BBB'")).collect()
+    assert [r.symbol for r in only_b] == ["BBB"]
+
+
+def test_factor_files_union(spark):
+    d = tempfile.mkdtemp(prefix="montevar-fac-")
+    _write(os.path.join(d, "GSPC.txt"),
+           "Date\tOpen\tHigh\tLow\tClose\tAdj Close\tVolume\nDec 31, 2013\t1,842.61\t1,849.44\t1,842.41\t1,848.36\t1,848.36\t2,312,840,000\n")
+    _write(os.path.join(d, "IXIC.csv"), "Date,Open,High,Low,Close,Adj Close,Volume\n2013-12-31,4161.5,4177,4160,4176.6,4176.6,1\n")
+    _write(os.path.join(d, "FVX.csv"), "Date,Open,High,Low,Close,Adj Close,Volume\n2013-12-31,null,1,1,1,1,0\n2013-12-30,1.7,1,1,1,1,0\n")
+    _write(os.path.join(d, "TYX.csv"), "Date,Open,High,Low,Close,Adj Close,Volume\n2013-12-31,3.9,1,1,1,1,0\n")
+    df = files.load_factors(spark, files.default_factor_specs(d))
+    got = {(r.factor, r.date): r.open for r in df.collect()}
+    assert got[("GSPC", dt.date(2013, 12, 31))] == 1842.61
+    assert got[("IXIC", dt.date(2013, 12, 31))] == 4161.5
+    assert got[("FVX", dt.date(2013, 12, 31))] is None and got[("FVX", dt.date(2013, 12, 30))] == 1.7
+    assert set(df.columns) >= {"factor", "date", "open", "high", "low", "close", "adj_close", "volume"}
