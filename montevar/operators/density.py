@@ -1,11 +1,11 @@
-"""Gaussian kernel density estimate on an even grid, as one aggregation pass.
+"""Gaussian kernel density estimate on an even grid.
 
 The grid has ``points`` values per group: ``min + j (max - min) / points``.
-Instead of pairing every sample with every grid point (a product of two
-tables), each sample row contributes to ``points`` running sums inside a
-single hash aggregate; partial sums are combined map-side, so the cost is one
-scan with ``points`` kernel terms per row and a shuffle of one small row per
-group and task.
+Every sample row evaluates its ``points`` kernel terms as one array expression,
+``posexplode`` hands them to a hash aggregate keyed by (group, j), and the
+partial aggregate combines them map-side inside the same pipelined stage.  The
+shuffle therefore carries ``groups x points`` partial sums per task whatever the
+sample size; no table of sample x grid pairs is ever joined or shuffled.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from montevar.operators.scenarios import as_scalar
 BANDWIDTH_FACTOR = 1.06
 
 
-def _stats(df: DataFrame, col: str, by, sd: str) -> list:
+def _stats(col: str, sd: str) -> list:
     sdf = F.stddev_samp(col) if sd == "samp" else F.stddev_pop(col)
     return [F.min(col).alias("_min"), F.max(col).alias("_max"),
             sdf.alias("_sd"), F.count(col).alias("_n")]
@@ -28,28 +28,29 @@ def _stats(df: DataFrame, col: str, by, sd: str) -> list:
 
 def kde(df: DataFrame, col: str, by: str | None = None, points: int = 100, sd: str = "samp",
         log: bool = False) -> DataFrame:
-    """``[by,] j, x, density`` (``log_density`` when ``log``) on each group's grid."""
-    data = df.select(*([by] if by else []), col).where(F.col(col).isNotNull())
+    """``[by,] j, x, density`` (``log_density`` when ``log``) on each group's grid.
+
+    Bandwidth ``1.06 * sd * n^(-1/5)`` with the sample (``sd='samp'``) or
+    population (``'pop'``) standard deviation of the group.
+    """
+    keys = [by] if by else []
+    data = df.select(*keys, col).where(F.col(col).isNotNull())
     if by is None:
-        s = as_scalar(data.agg(*_stats(data, col, by, sd)))
-        rows = data.select(col, *[s.getField(f).alias(f) for f in ("_min", "_max", "_sd", "_n")])
-        keys = []
+        s = as_scalar(data.agg(*_stats(col, sd)))
+        rows = data.select(col, *[s[f].alias(f) for f in ("_min", "_max", "_sd", "_n")])
     else:
-        st = data.groupBy(by).agg(*_stats(data, col, by, sd))
-        rows = data.join(st, by)
-        keys = [by]
+        # One row per group; an equi-join on the group key (never a product).
+        rows = data.join(data.groupBy(by).agg(*_stats(col, sd)), by)
     h = F.lit(BANDWIDTH_FACTOR) * F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)
     step = (F.col("_max") - F.col("_min")) / points
     rows = rows.select(*keys, col, "_min", "_n", step.alias("_step"), h.alias("_h"))
-    sums = []
-    for j in range(points):
-        u = (F.col("_min") + F.col("_step") * j - F.col(col)) / F.col("_h")
-        sums.append(F.sum(F.exp(-0.5 * u * u)).alias(f"_s{j}"))
-    agg = rows.groupBy(*keys, "_min", "_step", "_h", "_n").agg(*sums)
-    norm = F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi)
-    cells = [F.struct(F.lit(j).alias("j"), (F.col("_min") + F.col("_step") * j).alias("x"),
-                      (F.col(f"_s{j}") / norm).alias("density")) for j in range(points)]
-    out = agg.select(*keys, F.inline(F.array(*cells)))
+    kernel = F.transform(
+        F.sequence(F.lit(0), F.lit(points - 1)),
+        lambda j: F.exp(-0.5 * F.pow((F.col("_min") + F.col("_step") * j - F.col(col)) / F.col("_h"), 2)))
+    terms = rows.select(*keys, "_min", "_step", "_h", "_n", F.posexplode(kernel).alias("j", "_kv"))
+    sums = terms.groupBy(*keys, "_min", "_step", "_h", "_n", "j").agg(F.sum("_kv").alias("_s"))
+    dens = F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
+    x = F.col("_min") + F.col("_step") * F.col("j")
     if log:
-        out = out.select(*keys, "j", "x", F.log("density").alias("log_density"))
-    return out
+        return sums.select(*keys, "j", x.alias("x"), F.log(dens).alias("log_density"))
+    return sums.select(*keys, "j", x.alias("x"), dens.alias("density"))

@@ -133,7 +133,7 @@ class RiskStudy:
         b = backtest.count_failures(sr, self.cvar_figure(p)).select(F.lit("cvar").alias("risk_measure"), "*")
         return a.unionByName(b)
 
-    def bootstrap(self, stat: str) -> DataFrame:
+    def bootstrap(self, stat: str = "both") -> DataFrame:
         return risk.bootstrap_ci(self.trials, stat, BOOT_NUM, VAR_P, BOOT_PROBABILITY, BOOT_SEED)
 
     def factor_density(self) -> DataFrame:
