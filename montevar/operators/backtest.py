@@ -23,14 +23,26 @@ def count_failures(returns: DataFrame, risk, unit: str = "reference", key: str =
     ``unit='observation'``: every return below ``risk`` is a failure out of all returns.
     ``risk`` is a number or a scalar Column (e.g. a VaR scalar subquery).
     """
-    r = _risk(risk)
+    out = count_failures_many(returns, {"_": risk}, unit, key, value, date_col)
+    return out.drop("risk_measure")
+
+
+def count_failures_many(returns: DataFrame, risks: dict, unit: str = "reference", key: str = "symbol",
+                        value: str = "fluct", date_col: str = "date") -> DataFrame:
+    """``risk_measure, failures, size`` for several risk figures in one pass over the returns."""
+    names = list(risks)
     if unit == "observation":
-        return returns.agg(F.count(F.when(F.col(value) < r, 1)).alias("failures"),
-                           F.count(F.lit(1)).alias("size"))
-    per = returns.groupBy(key).agg(F.sum(value).alias("total"), F.count(date_col).alias("cnt"))
-    mean = F.col("total") / F.col("cnt")
-    fail = F.when((mean < 0) & (mean < r), 1).otherwise(0)
-    return per.agg(F.sum(fail).cast("bigint").alias("failures"), F.sum("cnt").cast("bigint").alias("size"))
+        aggs = [F.count(F.when(F.col(value) < _risk(risks[n]), 1)).alias(f"_f{i}") for i, n in enumerate(names)]
+        one = returns.agg(*aggs, F.count(F.lit(1)).alias("size"))
+    else:
+        per = returns.groupBy(key).agg(F.sum(value).alias("total"), F.count(date_col).alias("cnt"))
+        mean = F.col("total") / F.col("cnt")
+        aggs = [F.sum(F.when((mean < 0) & (mean < _risk(risks[n])), 1).otherwise(0)).alias(f"_f{i}")
+                for i, n in enumerate(names)]
+        one = per.agg(*aggs, F.sum("cnt").alias("size"))
+    cells = F.array(*[F.struct(F.lit(n).alias("risk_measure"), F.col(f"_f{i}").cast("bigint").alias("failures"))
+                      for i, n in enumerate(names)])
+    return one.select(F.inline(cells), F.col("size").cast("bigint").alias("size"))
 
 
 def _xlogy(x: Column, y: Column) -> Column:

@@ -128,10 +128,10 @@ class RiskStudy:
 
     def failures(self, p: float = VAR_P) -> DataFrame:
         """Back-test counts against both VaR and CVaR: ``risk_measure, failures, size``."""
-        sr = self.stock_returns
-        a = backtest.count_failures(sr, self.var_figure(p)).select(F.lit("var").alias("risk_measure"), "*")
-        b = backtest.count_failures(sr, self.cvar_figure(p)).select(F.lit("cvar").alias("risk_measure"), "*")
-        return a.unionByName(b)
+        figures = risk.conditional_var(self.trials, p)
+        var = figures.select("value_at_risk").scalar()
+        cvar = figures.select("conditional_var").scalar()
+        return backtest.count_failures_many(self.stock_returns, {"var": var, "cvar": cvar})
 
     def bootstrap(self, stat: str = "both") -> DataFrame:
         return risk.bootstrap_ci(self.trials, stat, BOOT_NUM, VAR_P, BOOT_PROBABILITY, BOOT_SEED)
