@@ -19,9 +19,21 @@ def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
 
 
-def recency_rank(df: DataFrame, key, date_col: str = "date", name: str = "k") -> DataFrame:
-    """``k`` = 0 for the newest row of each key, 1 for the next older, ..."""
-    w = Window.partitionBy(*_keys(key)).orderBy(F.desc(date_col))
+def recency_rank(df: DataFrame, key, date_col: str = "date", name: str = "k",
+                 ascending_order: str | None = None) -> DataFrame:
+    """``k`` = 0 for the newest row of each key, 1 for the next older, ...
+
+    With ``ascending_order`` (a column that increases with the date, unique per
+    key) the rank is ``count - row_number`` over that ascending order, so it
+    reuses the sort of the fill and horizon windows instead of adding a
+    descending one.
+    """
+    keys = _keys(key)
+    if ascending_order:
+        n = F.count(F.lit(1)).over(Window.partitionBy(*keys))
+        rn = F.row_number().over(Window.partitionBy(*keys).orderBy(ascending_order))
+        return df.withColumn(name, (n - rn).cast("int"))
+    w = Window.partitionBy(*keys).orderBy(F.desc(date_col))
     return df.withColumn(name, (F.row_number().over(w) - 1).cast("int"))
 
 
@@ -31,10 +43,11 @@ def feature_of(f: Column) -> Column:
     return f + s * f * f + s * F.sqrt(F.abs(f))
 
 
-def factor_features(factor_returns: DataFrame, key: str = "factor") -> DataFrame:
+def factor_features(factor_returns: DataFrame, key: str = "factor", order_col: str | None = None) -> DataFrame:
     """Per factor row: ``factor, date, k, fluct, feat``."""
-    ranked = recency_rank(factor_returns.select(key, "date", "fluct"), key)
-    return ranked.withColumn("feat", feature_of(F.col("fluct")))
+    extra = [order_col] if order_col else []
+    ranked = recency_rank(factor_returns.select(key, "date", "fluct", *extra), key, ascending_order=order_col)
+    return ranked.select(key, "date", "k", "fluct", feature_of(F.col("fluct")).alias("feat"))
 
 
 def feature_name(factor: str) -> str:
@@ -64,13 +77,14 @@ def min_factor_rows(factor_returns: DataFrame, key: str = "factor") -> DataFrame
 
 
 def design(returns: DataFrame, features: DataFrame, key: str = "symbol",
-           max_feature_rows: int | None = None) -> DataFrame:
+           max_feature_rows: int | None = None, order_col: str | None = None) -> DataFrame:
     """Per instrument row with recency rank ``k``: ``symbol, k, label, <features>``.
 
     ``max_feature_rows`` is the proven bound on the feature table (days in the
     period); with it the feature side is broadcast, otherwise the planner decides.
     """
-    ranked = recency_rank(returns.select(key, "date", "fluct"), key)
+    extra = [order_col] if order_col else []
+    ranked = recency_rank(returns.select(key, "date", "fluct", *extra), key, ascending_order=order_col)
     feats = bounded_broadcast(features, max_feature_rows)
     j = ranked.join(feats, "k")
     fcols = [c for c in features.columns if c != "k"]

@@ -10,10 +10,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def factor_aligned(factor_returns: DataFrame, factors, key: str = "factor",
-                   value: str = "fluct") -> DataFrame:
+                   value: str = "fluct", order_col: str | None = None) -> DataFrame:
     """``k, <factor> ...``: the k-th newest return of each factor, ranks common to all."""
     from montevar.operators.features import recency_rank
-    ranked = recency_rank(factor_returns.select(key, "date", value), key)
+    extra = [order_col] if order_col else []
+    ranked = recency_rank(factor_returns.select(key, "date", value, *extra), key, ascending_order=order_col)
     cols = [F.max(F.when(F.col(key) == f, F.col(value))).alias(f) for f in factors]
     return ranked.groupBy("k").agg(*cols).na.drop()
 

@@ -67,22 +67,28 @@ def horizon_return(open_now: Column, open_then: Column, gap_days: Column, min_ga
 
 
 def horizon_returns(df: DataFrame, key, value: str = "open", date_col: str = "date",
-                    horizon_days: int = 14, min_gap_days: int = 10) -> DataFrame:
+                    horizon_days: int = 14, min_gap_days: int = 10, day_col: str | None = None,
+                    keep_day: bool = False) -> DataFrame:
     """One return per row: current value against the oldest value within
     ``horizon_days`` calendar days before it (inclusive).  Rows whose oldest
     in-frame day is not more than ``min_gap_days`` back are dropped.
 
-    Output: key columns, ``date``, ``open``, ``fluct``.
+    ``day_col`` names an existing integer day number (``unix_date``) to order by;
+    reusing the ordering column of ``fill_recent`` lets both windows share one
+    sort.  Output: key columns, ``date``, ``open``, ``fluct`` (and the day column
+    when ``keep_day``).
     """
     keys = _keys(key)
-    day = F.unix_date(F.col(date_col))
-    framed = df.select(*keys, date_col, value, day.alias("_day"))
-    w = Window.partitionBy(*keys).orderBy("_day").rangeBetween(-horizon_days, 0)
-    framed = framed.select(*keys, date_col, value,
-                           (F.col("_day") - F.first("_day").over(w)).alias("_gap"),
+    day = day_col or "_day"
+    framed = df if day_col else df.withColumn(day, F.unix_date(F.col(date_col)))
+    framed = framed.select(*keys, date_col, value, day)
+    w = Window.partitionBy(*keys).orderBy(day).rangeBetween(-horizon_days, 0)
+    framed = framed.select(*keys, date_col, value, day,
+                           (F.col(day) - F.first(day).over(w)).alias("_gap"),
                            F.first(value).over(w).alias("_open0"))
     fluct = horizon_return(F.col(value), F.col("_open0"), F.col("_gap"), min_gap_days)
-    out = framed.select(*keys, date_col, value, fluct.alias("fluct"))
+    extra = [day] if keep_day else []
+    out = framed.select(*keys, date_col, value, fluct.alias("fluct"), *extra)
     return out.where(F.col("fluct").isNotNull())
 
 

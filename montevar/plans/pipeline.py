@@ -56,26 +56,46 @@ class RiskStudy:
         return materialize(df) if self.cut_lineage else df
 
     # --- instruments -----------------------------------------------------------
+    # ``_day`` (integer day number) orders every per-instrument window, so the
+    # fill, the horizon frame and the recency rank share one sort per partition.
+    @cached_property
+    def _filled_prices(self) -> DataFrame:
+        p = fx.prices_gaps(self.spark, self.sf_dir).withColumn("_day", F.unix_date("date"))
+        return series.fill_recent(p, "symbol", order="_day")
+
     @cached_property
     def filled_prices(self) -> DataFrame:
-        return series.fill_recent(fx.prices_gaps(self.spark, self.sf_dir), "symbol")
+        return self._filled_prices.drop("_day")
+
+    @cached_property
+    def _stock_returns(self) -> DataFrame:
+        return series.horizon_returns(self._filled_prices, "symbol", day_col="_day", keep_day=True)
 
     @cached_property
     def stock_returns(self) -> DataFrame:
-        return series.horizon_returns(self.filled_prices, "symbol")
+        return self._stock_returns.drop("_day")
 
     # --- factors ---------------------------------------------------------------
+    @cached_property
+    def _filled_factors(self) -> DataFrame:
+        f = fx.factors(self.spark, self.sf_dir).withColumn("_day", F.unix_date("date"))
+        return series.fill_recent(f, "factor", order="_day")
+
     @cached_property
     def filled_factors(self) -> DataFrame:
-        return series.fill_recent(fx.factors(self.spark, self.sf_dir), "factor")
+        return self._filled_factors.drop("_day")
+
+    @cached_property
+    def _factor_returns(self) -> DataFrame:
+        return series.horizon_returns(self._filled_factors, "factor", day_col="_day", keep_day=True)
 
     @cached_property
     def factor_returns(self) -> DataFrame:
-        return series.horizon_returns(self.filled_factors, "factor")
+        return self._factor_returns.drop("_day")
 
     @cached_property
     def feature_rows(self) -> DataFrame:
-        return feat_ops.factor_features(self.factor_returns)
+        return feat_ops.factor_features(self._factor_returns, order_col="_day")
 
     @cached_property
     def feature_table(self) -> DataFrame:
@@ -86,7 +106,7 @@ class RiskStudy:
     def design_rows(self) -> DataFrame:
         # The feature table has at most one row per day of the study period.
         bound = period_days(fx.START, fx.END)
-        return feat_ops.design(self.stock_returns, self.feature_table, max_feature_rows=bound)
+        return feat_ops.design(self._stock_returns, self.feature_table, max_feature_rows=bound, order_col="_day")
 
     @cached_property
     def models(self) -> DataFrame:
@@ -104,7 +124,7 @@ class RiskStudy:
     # --- scenarios -------------------------------------------------------------
     @cached_property
     def aligned_factors(self) -> DataFrame:
-        return mom_ops.factor_aligned(self.factor_returns, FACTORS)
+        return mom_ops.factor_aligned(self._factor_returns, FACTORS, order_col="_day")
 
     @cached_property
     def factor_moments(self) -> DataFrame:
