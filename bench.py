@@ -47,7 +47,7 @@ def main() -> None:
     warmup = timed(lambda: [run(warm.risk_report()), run(warm.bootstrap()), run(warm.failures()),
                             run(warm.r2_scores), run(warm.trial_density())])
 
-    st = pl.RiskStudy(spark, sf_dir)
+    st = pl.RiskStudy(spark, sf_dir, persist_shared=os.environ.get("BENCH_PERSIST", "0") == "1")
     stages = {
         # scan + join + dedup + fill + 14-day horizon frame, per instrument
         "returns": lambda: run(st.stock_returns),

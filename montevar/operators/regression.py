@@ -59,6 +59,53 @@ def fit_linear(design_rows: DataFrame, feats, alpha: float = 1e-4, key: str = "s
     return solved.select(key, "n", "intercept", *[weight_name(f) for f in feats])
 
 
+def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: float = 0.8,
+                  key: str = "symbol", label: str = "label") -> DataFrame:
+    """Fit on all rows and score R2 on the oldest rows, in one grouped aggregation.
+
+    Besides the fit moments, the same ``groupBy(symbol)`` collects centred moments
+    of the test rows (``k > ratio * max k``).  With residual ``e = y - b - w.x``:
+    ``SS_res = n_t (Var(e) + mean(e)^2)``, ``Var(e) = Var(y) - 2 w.Cov(x, y) +
+    w' Cov(x, x) w`` and ``SS_tot = n_t Var(y)``.  So no second pass over the rows
+    and no join of rows with models is needed.  Output: the models columns plus
+    ``n_test`` and ``score`` (NULL below two test rows).
+    """
+    from montevar.operators.features import split_by_rank
+    d = len(feats)
+    rows = split_by_rank(design_rows, ratio, key)
+    t = ~F.col("is_train")
+
+    def tc(c):
+        return F.when(t, F.col(c))
+
+    aggs = [F.count(F.lit(1)).alias("n"), F.avg(label).alias("my")]
+    aggs += [F.avg(f).alias(f"mx_{i}") for i, f in enumerate(feats)]
+    aggs += [F.covar_pop(feats[i], feats[j]).alias(_cxx(i, j)) for i in range(d) for j in range(i, d)]
+    aggs += [F.covar_pop(f, label).alias(f"cxy_{i}") for i, f in enumerate(feats)]
+    aggs += [F.count(tc(label)).alias("n_test"), F.avg(tc(label)).alias("t_my"),
+             F.var_pop(tc(label)).alias("t_vy")]
+    aggs += [F.avg(tc(f)).alias(f"t_mx_{i}") for i, f in enumerate(feats)]
+    aggs += [F.covar_pop(tc(feats[i]), tc(feats[j])).alias(f"t_{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
+    aggs += [F.covar_pop(tc(f), tc(label)).alias(f"t_cxy_{i}") for i, f in enumerate(feats)]
+    mom = rows.groupBy(key).agg(*aggs)
+    solved = apply_stages(mom, ridge_stages(feats, alpha))
+    w = [F.col(weight_name(f)) for f in feats]
+    var_e = F.col("t_vy")
+    for i in range(d):
+        var_e = var_e - 2 * w[i] * F.col(f"t_cxy_{i}")
+        for j in range(d):
+            var_e = var_e + w[i] * w[j] * F.col(f"t_{_cxx(i, j)}")
+    mean_e = F.col("t_my") - F.col("intercept")
+    for i in range(d):
+        mean_e = mean_e - w[i] * F.col(f"t_mx_{i}")
+    scored = solved.select("*", (F.col("n_test") * (F.greatest(var_e, F.lit(0.0)) + mean_e * mean_e)).alias("ss_res"),
+                           (F.col("n_test") * F.col("t_vy")).alias("ss_tot"))
+    score = (F.when(F.col("n_test") < 2, F.lit(None).cast("double"))
+             .when(F.col("ss_tot") == 0, F.when(F.col("ss_res") == 0, 1.0).otherwise(0.0))
+             .otherwise(1 - F.try_divide(F.col("ss_res"), F.col("ss_tot"))))
+    return scored.select(key, "n", "intercept", *[weight_name(f) for f in feats], "n_test", score.alias("score"))
+
+
 def prediction_of(feats) -> "F.Column":
     pred = F.col("intercept")
     for f in feats:

@@ -92,6 +92,17 @@ def horizon_returns(df: DataFrame, key, value: str = "open", date_col: str = "da
     return out.where(F.col("fluct").isNotNull())
 
 
+def cluster_by_key(df: DataFrame, key, date_col: str = "date") -> DataFrame:
+    """Layout helper: hash-partition by key, newest first within each partition.
+
+    Only worth it when the layout is written out (e.g. before ``write.parquet``);
+    within one plan the per-key windows already request this partitioning and
+    Catalyst plans a single exchange for all of them.
+    """
+    keys = _keys(key)
+    return df.repartition(*keys).sortWithinPartitions(*keys, F.desc(date_col))
+
+
 def daily_mean_return(returns: DataFrame, date_col: str = "date", value: str = "fluct") -> DataFrame:
     """Equal-weight portfolio return per day: ``date, avg_return``."""
     return returns.groupBy(date_col).agg(F.avg(value).alias("avg_return"))

@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from montevar.operators import (backtest, density, features as feat_ops, moments as mom_ops,
@@ -47,14 +48,21 @@ class RiskStudy:
     """One run of the study over the tables in ``sf_dir``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, n_trials: int = NUM_TRIALS,
-                 seed: int = TRIAL_SEED, cut_lineage: bool = True):
+                 seed: int = TRIAL_SEED, cut_lineage: bool = True, persist_shared: bool = False):
         self.spark, self.sf_dir = spark, sf_dir
         self.n_trials, self.seed = n_trials, seed
         self.cut_lineage = cut_lineage
+        self.persist_shared = persist_shared
 
     def _cut(self, df: DataFrame) -> DataFrame:
         return materialize(df) if self.cut_lineage else df
 
+    def _shared(self, df: DataFrame) -> DataFrame:
+        """Keep a large table that several outputs of this study read (memory, spilling
+        to disk).  Its hash partitioning by instrument is kept, and a lost block is
+        recomputed from lineage.  Off by default: a single output gains nothing."""
+        return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist_shared else df
+
     # --- instruments -----------------------------------------------------------
     # ``_day`` (integer day number) orders every per-instrument window, so the
     # fill, the horizon frame and the recency rank share one sort per partition.
@@ -69,7 +77,7 @@ class RiskStudy:
 
     @cached_property
     def _stock_returns(self) -> DataFrame:
-        return series.horizon_returns(self._filled_prices, "symbol", day_col="_day", keep_day=True)
+        return self._shared(series.horizon_returns(self._filled_prices, "symbol", day_col="_day", keep_day=True))
 
     @cached_property
     def stock_returns(self) -> DataFrame:
@@ -106,11 +114,17 @@ class RiskStudy:
     def design_rows(self) -> DataFrame:
         # The feature table has at most one row per day of the study period.
         bound = period_days(fx.START, fx.END)
-        return feat_ops.design(self._stock_returns, self.feature_table, max_feature_rows=bound, order_col="_day")
+        return self._shared(feat_ops.design(self._stock_returns, self.feature_table, max_feature_rows=bound,
+                                            order_col="_day"))
+
+    @cached_property
+    def fitted(self) -> DataFrame:
+        """Models and their test-row R2 from one grouped pass over the design rows."""
+        return self._cut(regression.fit_and_score(self.design_rows, FEATS, RIDGE_ALPHA, TRAIN_RATIO))
 
     @cached_property
     def models(self) -> DataFrame:
-        return self._cut(regression.fit_linear(self.design_rows, FEATS, RIDGE_ALPHA))
+        return self.fitted.select("symbol", "n", "intercept", *[regression.weight_name(f) for f in FEATS])
 
     @cached_property
     def predictions_test(self) -> DataFrame:
@@ -119,7 +133,8 @@ class RiskStudy:
 
     @cached_property
     def r2_scores(self) -> DataFrame:
-        return regression.r2_by_symbol(self.predictions_test)
+        s = self.fitted.select("symbol", F.col("n_test").alias("n"), "score")
+        return s.where(F.col("score").isNotNull() & ~F.isnan("score"))
 
     # --- scenarios -------------------------------------------------------------
     @cached_property

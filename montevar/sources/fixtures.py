@@ -21,8 +21,16 @@ END = "1998-12-31"
 FACTORS = ["AF", "AO", "NF", "NO"]
 
 
+_TABLES: dict = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """The driver's table ``name``; one reader (one footer/schema read) per session and path."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    if key not in _TABLES:
+        _TABLES[key] = spark.read.parquet(path)
+    return _TABLES[key]
 
 
 def _ship_window(li: DataFrame, start: str | None, end: str | None) -> DataFrame:

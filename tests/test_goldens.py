@@ -123,3 +123,17 @@ def test_split_by_rank_is_exact(spark):
     train = sorted(r.k for r in features.split_train(df).collect())
     test = sorted(r.k for r in features.split_test(df).collect())
     assert train == list(range(9)) and test == [9, 10]
+
+
+def test_cluster_by_key_layout(spark):
+    df = spark.createDataFrame([("A", D(2013, 1, d)) for d in (1, 5, 3)] + [("B", D(2013, 1, 2))],
+                               "symbol string, date date")
+    out = series.cluster_by_key(df, "symbol")
+    parts = out.rdd.glom().collect()
+    for part in parts:
+        syms = [r.symbol for r in part]
+        assert syms == sorted(syms)
+        for s in set(syms):
+            ds = [r.date for r in part if r.symbol == s]
+            assert ds == sorted(ds, reverse=True)
+    assert out.count() == 4

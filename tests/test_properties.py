@@ -141,3 +141,15 @@ def test_study_results_do_not_depend_on_shuffle_partitions(spark):
     assert a[0].trials == b[0].trials == 500
     assert a[0].value_at_risk == pytest.approx(b[0].value_at_risk, abs=1e-12)
     assert a[0].conditional_var == pytest.approx(b[0].conditional_var, abs=1e-12)
+
+
+def test_one_pass_r2_equals_explicit_predictions(design):
+    from montevar.operators import features
+    fused = {r.symbol: r for r in regression.fit_and_score(design, FEATS, 1e-4, 0.8).collect()}
+    models = regression.fit_linear(design, FEATS, 1e-4)
+    explicit = regression.r2_by_symbol(regression.predict(features.split_test(design, 0.8), models, FEATS))
+    rows = explicit.collect()
+    assert len(rows) == len(fused)
+    for r in rows:
+        assert fused[r.symbol].n_test == r.n
+        assert fused[r.symbol].score == pytest.approx(r.score, abs=1e-10)
