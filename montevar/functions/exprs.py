@@ -155,7 +155,7 @@ SPARK = SparkOps()
 SQL = SqlOps()
 
 
-def apply_stages(df: DataFrame, stages, keep_all: bool = True) -> DataFrame:
+def apply_stages(df: DataFrame, stages) -> DataFrame:
     """Append each stage's ``(name, Column)`` list as new columns, one projection per stage."""
     for stage in stages:
         df = df.select("*", *[expr.alias(name) for name, expr in stage])

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from montevar.functions.exprs import SPARK
 from montevar.functions.numeric import TWO_POW_32, poisson1_from_uniform, poisson1_thresholds
-from montevar.session import bounded_broadcast
 
 
 def _disc_quantile(col: str, p: float):
@@ -108,4 +107,4 @@ def bootstrap_sample(df: DataFrame, seed: int, fraction: float = 1.0) -> DataFra
 
 
 __all__ = ["value_at_risk", "conditional_var", "trial_stats", "bootstrap_ci", "replicate_risk",
-           "resample_weights", "bootstrap_sample", "ci_indices", "bounded_broadcast"]
+           "resample_weights", "bootstrap_sample", "ci_indices"]

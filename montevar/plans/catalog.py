@@ -15,7 +15,7 @@ from pyspark.sql.types import DoubleType
 
 from montevar.functions.numeric import round_half_away
 from montevar.functions.parsing import INDEX_CSV_DATE, STOCK_DATE, parse_date_text, parse_number_text
-from montevar.operators import backtest, density, features as feat_ops, moments as mom_ops, regression, risk, series
+from montevar.operators import backtest, features as feat_ops, moments as mom_ops, regression, risk, series
 from montevar.plans import pipeline as pl
 from montevar.sources import fixtures as fx
 

@@ -36,3 +36,22 @@ def test_instrument_windows_share_one_exchange(spark):
     plan = _plan(study.models)
     assert len(re.findall(r"Exchange hashpartitioning\(symbol#\d+, \d+\)", plan)) == 1
     assert len(re.findall(r"Exchange hashpartitioning\(symbol#\d+, sym_no#\d+L, date#\d+, \d+\)", plan)) == 1
+
+
+def test_dedup_pre_aggregates_before_its_shuffle(spark):
+    """A symbol holding a large share of the raw rows is collapsed map-side first."""
+    study = pl.RiskStudy(spark, SF_SMALL, cut_lineage=False)
+    plan = _plan(study.stock_returns)
+    lines = plan.splitlines()
+    ex = next(i for i, l in enumerate(lines) if re.search(r"Exchange hashpartitioning\(symbol#\d+, sym_no#", l))
+    assert any("partial_max(open" in l for l in lines[ex + 1:ex + 4])
+
+
+def test_scenarios_have_no_shuffle(spark):
+    """Trials are a narrow projection over spark.range: no exchange, no join."""
+    study = pl.RiskStudy(spark, SF_SMALL, n_trials=100)
+    df = study.scenario_draws
+    text = spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    main = text.split("===== Subqueries =====")[0]
+    assert "Range" in main
+    assert "Exchange" not in main and "Join" not in main
