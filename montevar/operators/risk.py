@@ -9,13 +9,50 @@ from montevar.functions.numeric import TWO_POW_32, poisson1_from_uniform, poisso
 
 
 def _disc_quantile(col: str, p: float):
-    """Exact lower quantile: the smallest value whose cumulative share reaches ``p``."""
+    """Exact lower quantile as one aggregate (all distinct values meet in one task)."""
     return F.expr(f"percentile_disc({float(p)!r}) WITHIN GROUP (ORDER BY `{col}`)")
 
 
+# Rank accuracy of the approximate bracket: its ends are within n / accuracy ranks
+# of the requested quantile, so about 8 n / accuracy values fall inside it.
+BRACKET_ACCURACY = 100_000
+
+
+def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value",
+                   accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+    """One row: the element at rank ``max(ceil(p n), 1)`` of the sorted non-NULL values.
+
+    Exact and distributed.  An approximate quantile pass brackets the answer
+    (its rank error is at most ``n / accuracy``); a second pass counts the rows
+    below the bracket and merges equal values inside it, so only the bracket's
+    distinct values - not the data, not a hot value's copies - meet in one task,
+    where a running count picks the element.  A bracket that misses raises an
+    error instead of returning a wrong value.  Equals ``percentile_disc(p)``.
+    """
+    from montevar.operators.scenarios import as_scalar
+    x = df.select(F.col(col).alias("_x")).where(F.col("_x").isNotNull())
+    margin = 4.0 / accuracy
+    qs = [max(p - margin, 0.0), min(p + margin, 1.0)]
+    st = x.agg(F.count(F.lit(1)).cast("double").alias("n"),
+               F.percentile_approx("_x", qs, accuracy).alias("_b"))
+    s = as_scalar(st.select("n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi")))
+    rank = F.greatest(F.ceil(F.lit(float(p)) * s["n"]).cast("double"), F.lit(1.0))
+    below = as_scalar(x.where(F.col("_x") < s["lo"]).agg(F.count(F.lit(1)).cast("double").alias("c")))["c"]
+    inside = x.where((F.col("_x") >= s["lo"]) & (F.col("_x") <= s["hi"])).groupBy("_x").agg(
+        F.count(F.lit(1)).alias("_w"))
+    run = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = inside.select("_x", (F.sum("_w").over(run) + below).alias("_cw"))
+    hit = cum.where(F.col("_cw") >= rank).agg(F.min("_x").alias("_v"))
+    ok = F.col("_v").isNotNull() & (below < rank)
+    val = (F.when(s["n"] == 0, F.lit(None).cast("double"))
+           .when(ok, F.col("_v"))
+           .otherwise(F.raise_error(F.lit("quantile bracket missed the requested rank")).cast("double")))
+    return hit.select(val.alias(name))
+
+
 def value_at_risk(df: DataFrame, p: float = 0.05, col: str = "average_return") -> DataFrame:
     """One row ``value_at_risk``: the element at rank ceil(p n) of the sorted returns."""
-    return df.agg(_disc_quantile(col, p).alias("value_at_risk"))
+    return lower_quantile(df, col, p, "value_at_risk")
 
 
 def conditional_var(df: DataFrame, p: float = 0.05, col: str = "average_return") -> DataFrame:

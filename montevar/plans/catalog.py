@@ -166,11 +166,11 @@ def q_trial_returns(spark, sf):
 
 
 def q_value_at_risk(spark, sf):
-    return report(risk.value_at_risk(pl.study(spark, sf).trials, pl.VAR_P))
+    return report(pl.study(spark, sf).risk_figures.select("value_at_risk"))
 
 
 def q_conditional_var(spark, sf):
-    return report(risk.conditional_var(pl.study(spark, sf).trials, pl.VAR_P))
+    return report(pl.study(spark, sf).risk_figures)
 
 
 def q_trial_stats(spark, sf):

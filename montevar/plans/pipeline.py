@@ -154,19 +154,28 @@ class RiskStudy:
         return self._cut(scenarios.score_scenarios(self.scenario_draws, self.models, FACTORS, FEATS))
 
     # --- risk figures ----------------------------------------------------------
+    @cached_property
+    def risk_figures(self) -> DataFrame:
+        """One row ``value_at_risk, conditional_var``, computed once per study."""
+        return self._cut(risk.conditional_var(self.trials, VAR_P))
+
+    def _figures(self, p: float):
+        if p == VAR_P:
+            return scenarios.as_scalar(self.risk_figures)
+        return scenarios.as_scalar(risk.conditional_var(self.trials, p))
+
     def var_figure(self, p: float = VAR_P) -> Column:
         """VaR of the trial returns as a scalar Column (one scalar subquery)."""
-        return risk.value_at_risk(self.trials, p).select("value_at_risk").scalar()
+        return self._figures(p)["value_at_risk"]
 
     def cvar_figure(self, p: float = VAR_P) -> Column:
-        return risk.conditional_var(self.trials, p).select("conditional_var").scalar()
+        return self._figures(p)["conditional_var"]
 
     def failures(self, p: float = VAR_P) -> DataFrame:
         """Back-test counts against both VaR and CVaR: ``risk_measure, failures, size``."""
-        figures = risk.conditional_var(self.trials, p)
-        var = figures.select("value_at_risk").scalar()
-        cvar = figures.select("conditional_var").scalar()
-        return backtest.count_failures_many(self.stock_returns, {"var": var, "cvar": cvar})
+        fig = self._figures(p)
+        return backtest.count_failures_many(self.stock_returns, {"var": fig["value_at_risk"],
+                                                                 "cvar": fig["conditional_var"]})
 
     def bootstrap(self, stat: str = "both") -> DataFrame:
         return risk.bootstrap_ci(self.trials, stat, BOOT_NUM, VAR_P, BOOT_PROBABILITY, BOOT_SEED)
@@ -179,12 +188,11 @@ class RiskStudy:
 
     def risk_report(self) -> DataFrame:
         """Flagship: one row with VaR, CVaR and the trial statistics of the simulation."""
-        t = self.trials
-        var = risk.value_at_risk(t, VAR_P).select("value_at_risk").scalar()
-        tail = F.when(F.col("average_return") <= var, F.col("average_return"))
-        agg = t.agg(F.avg(tail).alias("conditional_var"), F.count(F.lit(1)).alias("trials"),
-                    F.min("average_return").alias("min_return"), F.max("average_return").alias("max_return"))
-        return agg.select(var.alias("value_at_risk"), "*")
+        fig = scenarios.as_scalar(self.risk_figures)
+        agg = self.trials.agg(F.count(F.lit(1)).alias("trials"), F.min("average_return").alias("min_return"),
+                              F.max("average_return").alias("max_return"))
+        return agg.select(fig["value_at_risk"].alias("value_at_risk"),
+                          fig["conditional_var"].alias("conditional_var"), "*")
 
 
 def study(spark: SparkSession, sf_dir: str, **kw) -> RiskStudy:

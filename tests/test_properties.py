@@ -153,3 +153,29 @@ def test_one_pass_r2_equals_explicit_predictions(design):
     for r in rows:
         assert fused[r.symbol].n_test == r.n
         assert fused[r.symbol].score == pytest.approx(r.score, abs=1e-10)
+
+
+@pytest.mark.parametrize("n,p", [(1, 0.05), (19, 0.05), (20, 0.05), (21, 0.05), (1000, 0.05), (20000, 0.01),
+                                 (777, 0.5), (50, 0.0), (50, 1.0)])
+def test_distributed_quantile_equals_percentile_disc(spark, n, p):
+    rng = np.random.default_rng(n)
+    vals = np.round(rng.normal(size=n), 1)          # many ties
+    df = spark.createDataFrame([(float(v),) for v in vals], "x double")
+    got = risk.lower_quantile(df, "x", p).collect()[0].value
+    want = df.agg(risk._disc_quantile("x", p).alias("v")).collect()[0].v
+    assert got == want
+
+
+def test_distributed_quantile_with_a_hot_value(spark):
+    # a third of all rows share one value
+    df = spark.range(30000).select(F.when(F.col("id") % 3 == 0, F.lit(0.25))
+                                   .otherwise(F.sin(F.col("id").cast("double"))).alias("x"))
+    for p in (0.05, 0.5, 0.7):
+        got = risk.lower_quantile(df, "x", p).collect()[0].value
+        want = df.agg(risk._disc_quantile("x", p).alias("v")).collect()[0].v
+        assert got == want
+
+
+def test_distributed_quantile_empty_input(spark):
+    df = spark.createDataFrame([], "x double")
+    assert risk.lower_quantile(df, "x", 0.05).collect()[0].value is None
