@@ -18,8 +18,13 @@ def _disc_quantile(col: str, p: float):
 BRACKET_ACCURACY = 100_000
 
 
+# Up to this many rows (a proven bound, e.g. the trial count) the quantile is one
+# aggregate whose final merge holds the distinct values in one task.
+SINGLE_TASK_QUANTILE_ROWS = 1_000_000
+
+
 def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value",
-                   accuracy: int = BRACKET_ACCURACY) -> DataFrame:
+                   accuracy: int = BRACKET_ACCURACY, max_rows: int | None = None) -> DataFrame:
     """One row: the element at rank ``max(ceil(p n), 1)`` of the sorted non-NULL values.
 
     Exact and distributed.  An approximate quantile pass brackets the answer
@@ -28,7 +33,12 @@ def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value",
     distinct values - not the data, not a hot value's copies - meet in one task,
     where a running count picks the element.  A bracket that misses raises an
     error instead of returning a wrong value.  Equals ``percentile_disc(p)``.
+
+    With a proven ``max_rows`` bound up to ``SINGLE_TASK_QUANTILE_ROWS`` the
+    single ``percentile_disc`` aggregate is used instead (fewer jobs).
     """
+    if max_rows is not None and max_rows <= SINGLE_TASK_QUANTILE_ROWS:
+        return df.agg(_disc_quantile(col, p).alias(name))
     from montevar.operators.scenarios import as_scalar
     x = df.select(F.col(col).alias("_x")).where(F.col("_x").isNotNull())
     margin = 4.0 / accuracy
@@ -50,14 +60,19 @@ def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value",
     return hit.select(val.alias(name))
 
 
-def value_at_risk(df: DataFrame, p: float = 0.05, col: str = "average_return") -> DataFrame:
-    """One row ``value_at_risk``: the element at rank ceil(p n) of the sorted returns."""
-    return lower_quantile(df, col, p, "value_at_risk")
+def value_at_risk(df: DataFrame, p: float = 0.05, col: str = "average_return",
+                  max_rows: int | None = None) -> DataFrame:
+    """One row ``value_at_risk``: the element at rank ceil(p n) of the sorted returns.
+
+    ``max_rows``: proven upper bound on the row count (e.g. the number of trials).
+    """
+    return lower_quantile(df, col, p, "value_at_risk", max_rows=max_rows)
 
 
-def conditional_var(df: DataFrame, p: float = 0.05, col: str = "average_return") -> DataFrame:
+def conditional_var(df: DataFrame, p: float = 0.05, col: str = "average_return",
+                    max_rows: int | None = None) -> DataFrame:
     """One row ``value_at_risk, conditional_var``: mean of the returns at or below VaR."""
-    var = value_at_risk(df, p, col).select(F.col("value_at_risk")).scalar()
+    var = value_at_risk(df, p, col, max_rows).select(F.col("value_at_risk")).scalar()
     tail = df.where(F.col(col) <= var).agg(F.avg(col).alias("conditional_var"))
     return tail.select(var.alias("value_at_risk"), "conditional_var")
 

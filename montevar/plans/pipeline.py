@@ -157,12 +157,13 @@ class RiskStudy:
     @cached_property
     def risk_figures(self) -> DataFrame:
         """One row ``value_at_risk, conditional_var``, computed once per study."""
-        return self._cut(risk.conditional_var(self.trials, VAR_P))
+        # The trials table has exactly n_trials rows: a proven bound for the quantile.
+        return self._cut(risk.conditional_var(self.trials, VAR_P, max_rows=self.n_trials))
 
     def _figures(self, p: float):
         if p == VAR_P:
             return scenarios.as_scalar(self.risk_figures)
-        return scenarios.as_scalar(risk.conditional_var(self.trials, p))
+        return scenarios.as_scalar(risk.conditional_var(self.trials, p, max_rows=self.n_trials))
 
     def var_figure(self, p: float = VAR_P) -> Column:
         """VaR of the trial returns as a scalar Column (one scalar subquery)."""

@@ -179,3 +179,10 @@ def test_distributed_quantile_with_a_hot_value(spark):
 def test_distributed_quantile_empty_input(spark):
     df = spark.createDataFrame([], "x double")
     assert risk.lower_quantile(df, "x", 0.05).collect()[0].value is None
+
+
+def test_bounded_quantile_path_agrees(spark):
+    df = spark.range(5000).select(F.sin(F.col("id") * 0.37).alias("x"))
+    a = risk.lower_quantile(df, "x", 0.05, max_rows=5000).collect()[0].value
+    b = risk.lower_quantile(df, "x", 0.05).collect()[0].value
+    assert a == b
