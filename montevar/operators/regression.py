@@ -60,7 +60,7 @@ def fit_linear(design_rows: DataFrame, feats, alpha: float = 1e-4, key: str = "s
 
 
 def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: float = 0.8,
-                  key: str = "symbol", label: str = "label") -> DataFrame:
+                  key: str = "symbol", label: str = "label", fit_on: str = "all") -> DataFrame:
     """Fit on all rows and score R2 on the oldest rows, in one grouped aggregation.
 
     Besides the fit moments, the same ``groupBy(symbol)`` collects centred moments
@@ -69,7 +69,12 @@ def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: flo
     w' Cov(x, x) w`` and ``SS_tot = n_t Var(y)``.  So no second pass over the rows
     and no join of rows with models is needed.  Output: the models columns plus
     ``n_test`` and ``score`` (NULL below two test rows).
+
+    ``fit_on='all'`` fits on every row (the held-out rows are also fitted, as in
+    the study being reproduced); ``'train'`` fits on the newest ``ratio`` share only.
     """
+    if fit_on not in ("all", "train"):
+        raise ValueError("fit_on must be 'all' or 'train'")
     from montevar.operators.features import split_by_rank
     d = len(feats)
     rows = split_by_rank(design_rows, ratio, key)
@@ -78,10 +83,13 @@ def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: flo
     def tc(c):
         return F.when(t, F.col(c))
 
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(label).alias("my")]
-    aggs += [F.avg(f).alias(f"mx_{i}") for i, f in enumerate(feats)]
-    aggs += [F.covar_pop(feats[i], feats[j]).alias(_cxx(i, j)) for i in range(d) for j in range(i, d)]
-    aggs += [F.covar_pop(f, label).alias(f"cxy_{i}") for i, f in enumerate(feats)]
+    def fc(c):
+        return F.col(c) if fit_on == "all" else F.when(F.col("is_train"), F.col(c))
+
+    aggs = [F.count(fc(label)).alias("n"), F.avg(fc(label)).alias("my")]
+    aggs += [F.avg(fc(f)).alias(f"mx_{i}") for i, f in enumerate(feats)]
+    aggs += [F.covar_pop(fc(feats[i]), fc(feats[j])).alias(_cxx(i, j)) for i in range(d) for j in range(i, d)]
+    aggs += [F.covar_pop(fc(f), fc(label)).alias(f"cxy_{i}") for i, f in enumerate(feats)]
     aggs += [F.count(tc(label)).alias("n_test"), F.avg(tc(label)).alias("t_my"),
              F.var_pop(tc(label)).alias("t_vy")]
     aggs += [F.avg(tc(f)).alias(f"t_mx_{i}") for i, f in enumerate(feats)]

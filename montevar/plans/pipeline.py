@@ -48,8 +48,10 @@ class RiskStudy:
     """One run of the study over the tables in ``sf_dir``."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, n_trials: int = NUM_TRIALS,
-                 seed: int = TRIAL_SEED, cut_lineage: bool = True, persist_shared: bool = False):
+                 seed: int = TRIAL_SEED, cut_lineage: bool = True, persist_shared: bool = False,
+                 fit_on: str = "all"):
         self.spark, self.sf_dir = spark, sf_dir
+        self.fit_on = fit_on
         self.n_trials, self.seed = n_trials, seed
         self.cut_lineage = cut_lineage
         self.persist_shared = persist_shared
@@ -120,7 +122,8 @@ class RiskStudy:
     @cached_property
     def fitted(self) -> DataFrame:
         """Models and their test-row R2 from one grouped pass over the design rows."""
-        return self._cut(regression.fit_and_score(self.design_rows, FEATS, RIDGE_ALPHA, TRAIN_RATIO))
+        return self._cut(regression.fit_and_score(self.design_rows, FEATS, RIDGE_ALPHA, TRAIN_RATIO,
+                                                  fit_on=self.fit_on))
 
     @cached_property
     def models(self) -> DataFrame:

@@ -186,3 +186,29 @@ def test_bounded_quantile_path_agrees(spark):
     a = risk.lower_quantile(df, "x", 0.05, max_rows=5000).collect()[0].value
     b = risk.lower_quantile(df, "x", 0.05).collect()[0].value
     assert a == b
+
+
+def test_fit_on_train_uses_only_newest_rows(design):
+    from montevar.operators import features
+    fused = {r.symbol: r for r in regression.fit_and_score(design, FEATS, 1e-4, 0.8, fit_on="train").collect()}
+    train_models = regression.fit_linear(features.split_train(design, 0.8), FEATS, 1e-4)
+    for m in train_models.collect():
+        assert fused[m.symbol].w_a == pytest.approx(m.w_a, abs=1e-10)
+        assert fused[m.symbol].intercept == pytest.approx(m.intercept, abs=1e-10)
+        assert fused[m.symbol].n == m.n
+    explicit = regression.r2_by_symbol(regression.predict(features.split_test(design, 0.8), train_models, FEATS))
+    for r in explicit.collect():
+        assert fused[r.symbol].score == pytest.approx(r.score, abs=1e-10)
+
+
+def test_feature_alignment_by_date(spark):
+    import datetime as dt
+    from montevar.operators import features
+    rows = [("A", dt.date(2013, 1, d), 0.01 * d) for d in (1, 2, 3, 4)] + \
+           [("B", dt.date(2013, 1, d), -0.01 * d) for d in (2, 3, 4, 5)]
+    ff = features.factor_features(spark.createDataFrame(rows, "factor string, date date, fluct double"))
+    by_rank = features.feature_table(ff, ["A", "B"]).count()
+    by_date = {r.k: r for r in features.feature_table(ff, ["A", "B"], align="date").collect()}
+    assert by_rank == 4 and len(by_date) == 3          # common dates 2, 3, 4
+    fa = lambda f: f + np.sign(f) * f * f + np.sign(f) * np.sqrt(abs(f))
+    assert by_date[0].A_feat == pytest.approx(fa(0.04)) and by_date[0].B_feat == pytest.approx(fa(-0.04))
