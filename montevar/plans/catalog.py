@@ -209,5 +209,28 @@ def q_trial_density(spark, sf):
     return report(pl.study(spark, sf).trial_density())
 
 
+def q_factor_fill(spark, sf):
+    return report(pl.study(spark, sf).filled_factors)
+
+
+def q_failures_observation(spark, sf):
+    st = pl.study(spark, sf)
+    fig = st._figures(pl.VAR_P)
+    return backtest.count_failures_many(st.stock_returns, {"var": fig["value_at_risk"],
+                                                          "cvar": fig["conditional_var"]}, unit="observation")
+
+
+def q_feature_table_by_date(spark, sf):
+    return report(feat_ops.feature_table(pl.study(spark, sf).feature_rows, pl.FACTORS, align="date"))
+
+
+def q_fit_linear_train(spark, sf):
+    return report(pl.study(spark, sf, fit_on="train").models)
+
+
+def q_r2_scores_train(spark, sf):
+    return report(pl.study(spark, sf, fit_on="train").r2_scores)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

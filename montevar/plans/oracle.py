@@ -64,13 +64,13 @@ def _wide(src: str, value: str, names, suffix: str) -> str:
     return f"SELECT * FROM (SELECT k, {cols} FROM {src} GROUP BY k) WHERE {nn}"
 
 
-def _model_moments() -> str:
+def _model_moments(src: str = "design") -> str:
     d = len(FEATS)
     cols = ["count(*) AS n", "avg(label) AS my"]
     cols += [f"avg({q(f)}) AS mx_{i}" for i, f in enumerate(FEATS)]
     cols += [f"covar_pop({q(FEATS[i])}, {q(FEATS[j])}) AS cxx_{i}_{j}" for i in range(d) for j in range(i, d)]
     cols += [f"covar_pop({q(f)}, label) AS cxy_{i}" for i, f in enumerate(FEATS)]
-    return f"SELECT symbol, {', '.join(cols)} FROM design GROUP BY symbol"
+    return f"SELECT symbol, {', '.join(cols)} FROM {src} GROUP BY symbol"
 
 
 def _factor_moments() -> str:
@@ -81,10 +81,10 @@ def _factor_moments() -> str:
     return f"SELECT {', '.join(cols)} FROM aligned"
 
 
-def _ridge_ctes():
-    ctes, last = sql_stages("model_moments", ridge_stages(FEATS, pl.RIDGE_ALPHA, SQL), "ridge_")
+def _ridge_ctes(source: str = "model_moments", prefix: str = "ridge_", out: str = "models"):
+    ctes, last = sql_stages(source, ridge_stages(FEATS, pl.RIDGE_ALPHA, SQL), prefix)
     w = ", ".join(q(weight_name(f)) for f in FEATS)
-    return ctes + [f"models AS (SELECT symbol, n, intercept, {w} FROM {last})"]
+    return ctes + [f"{out} AS (SELECT symbol, n, intercept, {w} FROM {last})"]
 
 
 def _chol_ctes():
@@ -205,6 +205,8 @@ def _add_chain(ctes, deps_first: list[str], tail_name: str):
 
 _ridge = _ridge_ctes()
 _add_chain(_ridge, ["model_moments"], "models")
+CTES["model_moments_train"] = (["split"], _model_moments("(SELECT * FROM split WHERE is_train)"))
+_add_chain(_ridge_ctes("model_moments_train", "ridget_", "models_train"), ["model_moments_train"], "models_train")
 _chol = _chol_ctes()
 _add_chain(_chol, ["moments"], "params")
 CTES["scenarios"] = (["params"], _scenarios())
@@ -218,6 +220,11 @@ CTES["predict_test"] = (["split", "models"],
                         "SELECT s.symbol, s.k, s.label, (m.intercept + " +
                         " + ".join(f"m.{q(weight_name(f))} * s.{q(f)}" for f in FEATS) +
                         ") AS prediction FROM split s JOIN models m ON s.symbol = m.symbol WHERE NOT s.is_train")
+CTES["predict_test_train"] = (["split", "models_train"],
+                              "SELECT s.symbol, s.k, s.label, (m.intercept + " +
+                              " + ".join(f"m.{q(weight_name(f))} * s.{q(f)}" for f in FEATS) +
+                              ") AS prediction FROM split s JOIN models_train m ON s.symbol = m.symbol "
+                              "WHERE NOT s.is_train")
 CTES["r2"] = (["predict_test"],
               "SELECT symbol, n, score FROM (SELECT symbol, n, CASE WHEN n < 2 THEN NULL WHEN ss_tot = 0 THEN "
               "(CASE WHEN ss_res = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) "
@@ -232,6 +239,14 @@ CTES["failures"] = (["stock_returns", "var", "cvar"],
                     "SELECT 'cvar', conditional_var FROM cvar) m GROUP BY m.risk_measure")
 
 
+def _r2_from(pred: str) -> str:
+    return ("SELECT symbol, n, score FROM (SELECT symbol, n, CASE WHEN n < 2 THEN NULL WHEN ss_tot = 0 THEN "
+            "(CASE WHEN ss_res = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) "
+            "ELSE 1 - ss_res / ss_tot END AS score FROM (SELECT symbol, count(*) AS n, "
+            "sum((label - prediction) * (label - prediction)) AS ss_res, var_pop(label) * count(label) AS ss_tot "
+            f"FROM {pred} GROUP BY symbol)) WHERE score IS NOT NULL AND NOT isnan(score)")
+
+
 def with_ctes(needed: list[str], select: str) -> str:
     order: list[str] = []
 
@@ -361,6 +376,22 @@ def oracle_sql() -> dict[str, str]:
         "binomial_z": with_ctes(["failures"], f"SELECT risk_measure, failures, size, "
                                               f"{r(f'(failures - size * {p!r}) / sqrt(size * {p!r} * {1 - p!r})')} "
                                               "AS binomial_z FROM failures"),
+        "factor_fill": with_ctes(["factors_filled"], f"SELECT factor, date, {r('open')} AS open FROM factors_filled"),
+        "failures_observation": with_ctes(["stock_returns", "var", "cvar"], (
+            "SELECT m.risk_measure, CAST(count(CASE WHEN s.fluct < m.v THEN 1 END) AS BIGINT) AS failures, "
+            "CAST(count(*) AS BIGINT) AS size FROM stock_returns s CROSS JOIN (SELECT 'var' AS risk_measure, "
+            "value_at_risk AS v FROM var UNION ALL SELECT 'cvar', conditional_var FROM cvar) m "
+            "GROUP BY m.risk_measure")),
+        "feature_table_by_date": with_ctes(["ff"], (
+            "SELECT CAST(row_number() OVER (ORDER BY date DESC) - 1 AS INTEGER) AS k, " +
+            ", ".join(f"{r(q(f + '_feat'))} AS {q(f + '_feat')}" for f in F4) + " FROM (" +
+            "SELECT date, " + ", ".join(f"max(CASE WHEN factor = '{f}' THEN feat END) AS {q(f + '_feat')}"
+                                       for f in F4) + " FROM ff GROUP BY date) WHERE " +
+            " AND ".join(f"{q(f + '_feat')} IS NOT NULL" for f in F4))),
+        "fit_linear_train": with_ctes(["models_train"], f"SELECT symbol, n, {r('intercept')} AS intercept, {w_sel} "
+                                                         "FROM models_train"),
+        "r2_scores_train": with_ctes(["predict_test_train"], f"SELECT symbol, n, {r('score')} AS score FROM "
+                                                              f"({_r2_from('predict_test_train')})"),
         "factor_density": with_ctes(["factor_returns"], _kde("factor_returns", "fluct", "factor", "samp", True)),
         "trial_density": with_ctes(["trials"], _kde("trials", "average_return", None, "pop", False)),
     }
