@@ -14,11 +14,16 @@ BROADCAST_MAX_ROWS = 2_000_000
 def build_session(master: str | None = None, app: str = "montevar",
                   shuffle_partitions: int | None = None,
                   extra: dict | None = None) -> SparkSession:
-    """Create (or reuse) a session with the settings the operators assume.
+    """Create a session with the settings the operators assume, or reuse the active one.
 
-    On a cluster the caller's own configuration wins: ``getOrCreate`` keeps an
-    existing session and only the keys below that are unset get a value.
+    An already running session (a cluster job, a notebook) is returned as is:
+    its owner's configuration wins and nothing here overrides it.  Only the
+    checkpoint folder is ensured (from ``spark.checkpoint.dir`` when set).
     """
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        checkpoint_dir(active)
+        return active
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
@@ -28,6 +33,8 @@ def build_session(master: str | None = None, app: str = "montevar",
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        # Small shuffles of CPU-heavy stages (windows, many aggregates) keep enough tasks.
+        "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.reuseSubquery": "true",
         "spark.sql.parquet.filterPushdown": "true",
