@@ -117,15 +117,15 @@ def replicate_risk(df: DataFrame, num: int = 100, p: float = 0.05, seed: int = 1
     replicate is one window partition holding at most the trial count.
     """
     rw = resample_weights(df, num, seed, id_col, keep=(col,))
-    # Equal values are merged first, so the frame below never has ties.
-    rw = rw.groupBy("replicate", col).agg(F.sum("w").alias("w"))
     whole = Window.partitionBy("replicate")
-    run = whole.orderBy(col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # RANGE frame: equal values share one cumulative count, so ties need no merge.
+    run = whole.orderBy(col).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     x = rw.select("replicate", col,
                   F.sum("w").over(run).alias("cw"),
                   F.sum(F.col("w") * F.col(col)).over(run).alias("cwx"),
                   F.sum("w").over(whole).alias("nw"))
     hit = x.where(F.col("cw") >= F.lit(float(p)) * F.col("nw"))
+    # Already partitioned by replicate: this aggregate adds no shuffle.
     return hit.groupBy("replicate").agg(
         F.min(col).alias("value_at_risk"),
         F.min_by(F.col("cwx") / F.col("cw"), F.col(col)).alias("conditional_var"))
