@@ -71,6 +71,10 @@ def sample_scenarios(spark: SparkSession, moments: DataFrame, factors, n: int,
     """``trial_id, x_<f> ...``: n draws from N(mu, Sigma) (multivariate normal)."""
     d = len(factors)
     params = as_scalar(scenario_params(moments, factors))
+    if partitions is None:
+        # About a thousand trials per task (the bootstrap multiplies each row by its
+        # replicate count downstream), never more tasks than the cluster's slots.
+        partitions = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 1000)))
     base = spark.range(0, n, 1, partitions).withColumnRenamed("id", "trial_id")
     z = [keyed_normal(f"{seed}:{j}", "trial_id", SPARK).alias(f"_z{j}") for j in range(d)]
     base = base.select("trial_id", *z)
