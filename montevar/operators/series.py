@@ -13,7 +13,11 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from montevar.functions.numeric import round3
 
+# Floor of an old price in the return's denominator, the horizon
+# of a return in calendar days, and the minimum span a return must cover.
 EPS_PRICE = 1e-8
+HORIZON_DAYS = 14
+MIN_GAP_DAYS = 10
 
 
 def _keys(key) -> list[str]:
@@ -67,7 +71,7 @@ def horizon_return(open_now: Column, open_then: Column, gap_days: Column, min_ga
 
 
 def horizon_returns(df: DataFrame, key, value: str = "open", date_col: str = "date",
-                    horizon_days: int = 14, min_gap_days: int = 10, day_col: str | None = None,
+                    horizon_days: int = HORIZON_DAYS, min_gap_days: int = MIN_GAP_DAYS, day_col: str | None = None,
                     keep_day: bool = False) -> DataFrame:
     """One return per row: current value against the oldest value within
     ``horizon_days`` calendar days before it (inclusive).  Rows whose oldest

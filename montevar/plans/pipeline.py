@@ -65,6 +65,12 @@ class RiskStudy:
         recomputed from lineage.  Off by default: a single output gains nothing."""
         return df.persist(StorageLevel.MEMORY_AND_DISK) if self.persist_shared else df
 
+    def release(self) -> None:
+        """Drop the persisted shared tables of this study (if any)."""
+        for name in ("_stock_returns", "design_rows"):
+            if name in self.__dict__ and self.persist_shared:
+                self.__dict__[name].unpersist()
+
     # --- instruments -----------------------------------------------------------
     # ``_day`` (integer day number) orders every per-instrument window, so the
     # fill, the horizon frame and the recency rank share one sort per partition.

@@ -50,7 +50,11 @@ def main(argv: list[str]) -> None:
     tables_dir, out_dir = argv[0], argv[1]
     n = int(argv[2]) if len(argv) > 2 else 10_000
     spark = build_session()
-    names = write_study(RiskStudy(spark, tables_dir, n_trials=n, persist_shared=True), out_dir)
+    study = RiskStudy(spark, tables_dir, n_trials=n, persist_shared=True)
+    try:
+        names = write_study(study, out_dir)
+    finally:
+        study.release()
     print("written:", ", ".join(names))
 
 
