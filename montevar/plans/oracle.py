@@ -16,6 +16,7 @@ from montevar.functions.numeric import keyed_normal, keyed_uniform, poisson1_thr
 from montevar.functions.linalg import cholesky_stages
 from montevar.operators.regression import ridge_stages, weight_name
 from montevar.operators.risk import ci_indices
+from montevar.operators.series import EPS_PRICE, HORIZON_DAYS, MIN_GAP_DAYS
 from montevar.plans import pipeline as pl
 from montevar.sources import fixtures as fx
 
@@ -45,13 +46,13 @@ def _fill(src: str, key: str) -> str:
 
 
 def _returns(src: str, key: str) -> str:
-    base = "greatest(open0, CAST(1e-8 AS DOUBLE))"
+    base = f"greatest(open0, CAST({EPS_PRICE!r} AS DOUBLE))"
     fl = round_half_away(f"((open - {base}) / {base})", 3, SQL)
     return (f"SELECT {key}, date, open, {fl} AS fluct FROM ("
             f"SELECT {key}, date, open, d - first_value(d) OVER w AS gap, first_value(open) OVER w AS open0 "
             f"FROM (SELECT *, {DAYNO.format('date')} AS d FROM {src}) "
-            f"WINDOW w AS (PARTITION BY {key} ORDER BY d RANGE BETWEEN 14 PRECEDING AND CURRENT ROW)) "
-            f"WHERE gap > 10 AND open IS NOT NULL AND open0 IS NOT NULL")
+            f"WINDOW w AS (PARTITION BY {key} ORDER BY d RANGE BETWEEN {HORIZON_DAYS} PRECEDING AND CURRENT ROW)) "
+            f"WHERE gap > {MIN_GAP_DAYS} AND open IS NOT NULL AND open0 IS NOT NULL")
 
 
 def _feat(f: str) -> str:
@@ -183,8 +184,8 @@ CTES: dict[str, tuple[list[str], str]] = {
     "design": (["sr_ranked", "features"],
                "SELECT s.symbol, s.k, s.fluct AS label, " + ", ".join(f"f.{q(c)}" for c in FEATS) +
                " FROM sr_ranked s JOIN features f ON s.k = f.k"),
-    "split": (["design"], "SELECT *, k <= CAST(0.8 AS DECIMAL(10,6)) * max(k) OVER (PARTITION BY symbol) "
-                          "AS is_train FROM design"),
+    "split": (["design"], f"SELECT *, k <= CAST({pl.TRAIN_RATIO!r} AS DECIMAL(10,6)) * max(k) OVER "
+                          "(PARTITION BY symbol) AS is_train FROM design"),
     "model_moments": (["design"], _model_moments()),
     "aligned": (["factor_returns"], _wide(
         "(SELECT factor, fluct, CAST(row_number() OVER (PARTITION BY factor ORDER BY date DESC) - 1 AS INTEGER) "
