@@ -11,7 +11,7 @@ is a few projections over the one-row-per-instrument result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from montevar.functions.exprs import SPARK, apply_stages
 from montevar.functions.linalg import spd_solve_stages
@@ -70,6 +70,13 @@ def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: flo
     and no join of rows with models is needed.  Output: the models columns plus
     ``n_test`` and ``score`` (NULL below two test rows).
 
+    Moments are two-pass: per-instrument means come from a window over the
+    instrument partitioning the rows already have (no shuffle; one partition holds
+    at most one row per day), and covariances are plain sums of centred
+    products.  Plain sums keep the generated aggregation code small enough for
+    whole-stage code generation, which a few dozen online covariance aggregates
+    would exceed.
+
     ``fit_on='all'`` fits on every row (the held-out rows are also fitted, as in
     the study being reproduced); ``'train'`` fits on the newest ``ratio`` share only.
     """
@@ -77,25 +84,38 @@ def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: flo
         raise ValueError("fit_on must be 'all' or 'train'")
     from montevar.operators.features import split_by_rank
     d = len(feats)
+    cols = list(feats) + [label]
     rows = split_by_rank(design_rows, ratio, key)
-    t = ~F.col("is_train")
-
-    def tc(c):
-        return F.when(t, F.col(c))
-
-    def fc(c):
-        return F.col(c) if fit_on == "all" else F.when(F.col("is_train"), F.col(c))
-
-    aggs = [F.count(fc(label)).alias("n"), F.avg(fc(label)).alias("my")]
-    aggs += [F.avg(fc(f)).alias(f"mx_{i}") for i, f in enumerate(feats)]
-    aggs += [F.covar_pop(fc(feats[i]), fc(feats[j])).alias(_cxx(i, j)) for i in range(d) for j in range(i, d)]
-    aggs += [F.covar_pop(fc(f), fc(label)).alias(f"cxy_{i}") for i, f in enumerate(feats)]
-    aggs += [F.count(tc(label)).alias("n_test"), F.avg(tc(label)).alias("t_my"),
-             F.var_pop(tc(label)).alias("t_vy")]
-    aggs += [F.avg(tc(f)).alias(f"t_mx_{i}") for i, f in enumerate(feats)]
-    aggs += [F.covar_pop(tc(feats[i]), tc(feats[j])).alias(f"t_{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
-    aggs += [F.covar_pop(tc(f), tc(label)).alias(f"t_cxy_{i}") for i, f in enumerate(feats)]
+    fit_mask = F.lit(True) if fit_on == "all" else F.col("is_train")
+    test_mask = ~F.col("is_train")
+    whole = Window.partitionBy(key)
+    means = [F.avg(F.when(fit_mask, F.col(c))).over(whole).alias(f"_fm{i}") for i, c in enumerate(cols)]
+    means += [F.avg(F.when(test_mask, F.col(c))).over(whole).alias(f"_tm{i}") for i, c in enumerate(cols)]
+    rows = rows.select(key, "is_train", *cols, *means)
+    fc = [F.when(fit_mask, F.col(c) - F.col(f"_fm{i}")) for i, c in enumerate(cols)]
+    tc = [F.when(test_mask, F.col(c) - F.col(f"_tm{i}")) for i, c in enumerate(cols)]
+    rows = rows.select(key, *[e.alias(f"_fc{i}") for i, e in enumerate(fc)],
+                       *[e.alias(f"_tc{i}") for i, e in enumerate(tc)],
+                       *[f"_fm{i}" for i in range(d + 1)], *[f"_tm{i}" for i in range(d + 1)])
+    y = d  # index of the label among cols
+    aggs = [F.count("_fc0").alias("n"), F.max(f"_fm{y}").alias("my")]
+    aggs += [F.max(f"_fm{i}").alias(f"mx_{i}") for i in range(d)]
+    aggs += [F.sum(F.col(f"_fc{i}") * F.col(f"_fc{j}")).alias(f"_s{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
+    aggs += [F.sum(F.col(f"_fc{i}") * F.col(f"_fc{y}")).alias(f"_scxy_{i}") for i in range(d)]
+    aggs += [F.count("_tc0").alias("n_test"), F.max(f"_tm{y}").alias("t_my"),
+             F.sum(F.col(f"_tc{y}") * F.col(f"_tc{y}")).alias("_st_vy")]
+    aggs += [F.max(f"_tm{i}").alias(f"t_mx_{i}") for i in range(d)]
+    aggs += [F.sum(F.col(f"_tc{i}") * F.col(f"_tc{j}")).alias(f"_st_{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
+    aggs += [F.sum(F.col(f"_tc{i}") * F.col(f"_tc{y}")).alias(f"_st_cxy_{i}") for i in range(d)]
     mom = rows.groupBy(key).agg(*aggs)
+    n, nt = F.col("n"), F.col("n_test")
+    scaled = [(F.col(f"_s{_cxx(i, j)}") / n).alias(_cxx(i, j)) for i in range(d) for j in range(i, d)]
+    scaled += [(F.col(f"_scxy_{i}") / n).alias(f"cxy_{i}") for i in range(d)]
+    scaled += [F.try_divide(F.col(f"_st_{_cxx(i, j)}"), nt).alias(f"t_{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
+    scaled += [F.try_divide(F.col(f"_st_cxy_{i}"), nt).alias(f"t_cxy_{i}") for i in range(d)]
+    scaled += [F.try_divide(F.col("_st_vy"), nt).alias("t_vy")]
+    mom = mom.select(key, "n", "my", *[f"mx_{i}" for i in range(d)], "n_test", "t_my",
+                     *[f"t_mx_{i}" for i in range(d)], *scaled)
     solved = apply_stages(mom, ridge_stages(feats, alpha))
     w = [F.col(weight_name(f)) for f in feats]
     var_e = F.col("t_vy")
@@ -106,9 +126,9 @@ def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: flo
     mean_e = F.col("t_my") - F.col("intercept")
     for i in range(d):
         mean_e = mean_e - w[i] * F.col(f"t_mx_{i}")
-    scored = solved.select("*", (F.col("n_test") * (F.greatest(var_e, F.lit(0.0)) + mean_e * mean_e)).alias("ss_res"),
-                           (F.col("n_test") * F.col("t_vy")).alias("ss_tot"))
-    score = (F.when(F.col("n_test") < 2, F.lit(None).cast("double"))
+    scored = solved.select("*", (nt * (F.greatest(var_e, F.lit(0.0)) + mean_e * mean_e)).alias("ss_res"),
+                           (nt * F.col("t_vy")).alias("ss_tot"))
+    score = (F.when(nt < 2, F.lit(None).cast("double"))
              .when(F.col("ss_tot") == 0, F.when(F.col("ss_res") == 0, 1.0).otherwise(0.0))
              .otherwise(1 - F.try_divide(F.col("ss_res"), F.col("ss_tot"))))
     return scored.select(key, "n", "intercept", *[weight_name(f) for f in feats], "n_test", score.alias("score"))
