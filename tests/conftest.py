@@ -16,3 +16,17 @@ def spark():
     s = build_session("local[*]", shuffle_partitions=8)
     yield s
     s.stop()
+
+
+@pytest.fixture(scope="session")
+def built_queries(spark):
+    """Each registered query built once on sf0.001 and shared by the plan and oracle tests."""
+    from __spark_entry__ import queries
+    cache = {}
+
+    def get(name):
+        if name not in cache:
+            cache[name] = queries()[name](spark, SF_SMALL)
+        return cache[name]
+
+    return get

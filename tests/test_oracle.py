@@ -35,8 +35,8 @@ def test_every_query_has_an_oracle():
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
-def test_query_matches_oracle(spark, duck, name):
-    df = queries()[name](spark, SF_SMALL)
+def test_query_matches_oracle(built_queries, duck, name):
+    df = built_queries(name)
     cols = sorted(df.columns)
     got = _rows([r.asDict() for r in df.collect()], cols)
     res = duck.execute(oracle_sql()[name])

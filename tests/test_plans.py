@@ -15,8 +15,8 @@ def _plan(df):
 
 
 @pytest.mark.parametrize("name", sorted(queries()))
-def test_no_python_in_plans(spark, name):
-    plan = _plan(queries()[name](spark, SF_SMALL))
+def test_no_python_in_plans(built_queries, name):
+    plan = _plan(built_queries(name))
     assert not any(n in plan for n in PYTHON_NODES)
 
 
