@@ -1,11 +1,13 @@
 """Gaussian kernel density estimate on an even grid.
 
 The grid has ``points`` values per group: ``min + j (max - min) / points``.
-Every sample row evaluates its ``points`` kernel terms as one array expression,
-``posexplode`` hands them to a hash aggregate keyed by (group, j), and the
-partial aggregate combines them map-side inside the same pipelined stage.  The
-shuffle therefore carries ``groups x points`` partial sums per task whatever the
-sample size; no table of sample x grid pairs is ever joined or shuffled.
+Every sample row is expanded to its ``points`` grid indices by a generator, the
+kernel term is an ordinary (code-generated) projection, and a hash aggregate
+keyed by (group, j) combines the terms map-side inside the same pipelined
+stage.  The shuffle therefore carries ``groups x points`` partial sums per task
+whatever the sample size; no table of sample x grid pairs is joined, shuffled
+or stored.  (An array ``transform`` lambda computes the same terms but is
+evaluated outside whole-stage code generation, about four times slower.)
 """
 
 from __future__ import annotations
@@ -44,10 +46,10 @@ def kde(df: DataFrame, col: str, by: str | None = None, points: int = 100, sd: s
     h = F.lit(BANDWIDTH_FACTOR) * F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)
     step = (F.col("_max") - F.col("_min")) / points
     rows = rows.select(*keys, col, "_min", "_n", step.alias("_step"), h.alias("_h"))
-    kernel = F.transform(
-        F.sequence(F.lit(0), F.lit(points - 1)),
-        lambda j: F.exp(-0.5 * F.pow((F.col("_min") + F.col("_step") * j - F.col(col)) / F.col("_h"), 2)))
-    terms = rows.select(*keys, "_min", "_step", "_h", "_n", F.posexplode(kernel).alias("j", "_kv"))
+    grid = rows.select(*keys, col, "_min", "_n", "_step", "_h",
+                       F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
+    u = (F.col("_min") + F.col("_step") * F.col("j") - F.col(col)) / F.col("_h")
+    terms = grid.select(*keys, "_min", "_step", "_h", "_n", "j", F.exp(-0.5 * u * u).alias("_kv"))
     sums = terms.groupBy(*keys, "_min", "_step", "_h", "_n", "j").agg(F.sum("_kv").alias("_s"))
     dens = F.col("_s") / (F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
     x = F.col("_min") + F.col("_step") * F.col("j")
