@@ -215,7 +215,7 @@ def q_factor_fill(spark, sf):
 
 def q_failures_observation(spark, sf):
     st = pl.study(spark, sf)
-    fig = st._figures(pl.VAR_P)
+    fig = st.figures(pl.VAR_P)
     return backtest.count_failures_many(st.stock_returns, {"var": fig["value_at_risk"],
                                                           "cvar": fig["conditional_var"]}, unit="observation")
 

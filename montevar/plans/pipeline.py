@@ -169,21 +169,22 @@ class RiskStudy:
         # The trials table has exactly n_trials rows: a proven bound for the quantile.
         return self._cut(risk.conditional_var(self.trials, VAR_P, max_rows=self.n_trials))
 
-    def _figures(self, p: float):
+    def figures(self, p: float = VAR_P):
+        """VaR and CVaR at level ``p`` as fields of one scalar row (``fig["value_at_risk"]``)."""
         if p == VAR_P:
             return scenarios.as_scalar(self.risk_figures)
         return scenarios.as_scalar(risk.conditional_var(self.trials, p, max_rows=self.n_trials))
 
     def var_figure(self, p: float = VAR_P) -> Column:
         """VaR of the trial returns as a scalar Column (one scalar subquery)."""
-        return self._figures(p)["value_at_risk"]
+        return self.figures(p)["value_at_risk"]
 
     def cvar_figure(self, p: float = VAR_P) -> Column:
-        return self._figures(p)["conditional_var"]
+        return self.figures(p)["conditional_var"]
 
     def failures(self, p: float = VAR_P) -> DataFrame:
         """Back-test counts against both VaR and CVaR: ``risk_measure, failures, size``."""
-        fig = self._figures(p)
+        fig = self.figures(p)
         return backtest.count_failures_many(self.stock_returns, {"var": fig["value_at_risk"],
                                                                  "cvar": fig["conditional_var"]})
 
