@@ -15,11 +15,20 @@ TWO_PI = 2.0 * math.pi
 TWO_POW_32 = 4294967296.0
 
 
+# Beyond 2^52 a double has no fractional digits left to round.
+ROUND_LIMIT = 2.0 ** 52
+
+
 def round_half_away(x, places: int, ops=SPARK):
-    """``sign(x) * floor(|x| * 10^p + 0.5) / 10^p`` (+0.0 folds a signed zero)."""
+    """``sign(x) * floor(|x| * 10^p + 0.5) / 10^p`` (+0.0 folds a signed zero).
+
+    Values whose scaled magnitude reaches 2^52 are already coarser than 10^-p
+    and pass through unchanged (this also keeps the floor inside 64 bits).
+    """
     scale = ops.lit(10.0 ** places)
-    r = ops.div(ops.mul(ops.sign(x), ops.floor(ops.add(ops.mul(ops.abs(x), scale), ops.lit(0.5)))), scale)
-    return ops.add(r, ops.lit(0.0))
+    scaled = ops.mul(ops.abs(x), scale)
+    r = ops.div(ops.mul(ops.sign(x), ops.floor(ops.add(scaled, ops.lit(0.5)))), scale)
+    return ops.add(ops.if_pos(ops.sub(ops.lit(ROUND_LIMIT), scaled), r, x), ops.lit(0.0))
 
 
 def round3(x, ops=SPARK):

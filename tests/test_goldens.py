@@ -137,3 +137,10 @@ def test_cluster_by_key_layout(spark):
             ds = [r.date for r in part if r.symbol == s]
             assert ds == sorted(ds, reverse=True)
     assert out.count() == 4
+
+
+def test_rounding_leaves_huge_values_alone(spark):
+    from montevar.functions.numeric import round_half_away
+    df = spark.createDataFrame([(1.23456789012e12,), (-3.5e300,), (2.0000000004,), (None,)], "x double")
+    got = [r.y for r in df.select(round_half_away(F.col("x"), 9).alias("y")).collect()]
+    assert got == [1.23456789012e12, -3.5e300, 2.0, None]
