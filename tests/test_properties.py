@@ -212,3 +212,29 @@ def test_feature_alignment_by_date(spark):
     assert by_rank == 4 and len(by_date) == 3          # common dates 2, 3, 4
     fa = lambda f: f + np.sign(f) * f * f + np.sign(f) * np.sqrt(abs(f))
     assert by_date[0].A_feat == pytest.approx(fa(0.04)) and by_date[0].B_feat == pytest.approx(fa(-0.04))
+
+
+def test_one_pass_fit_edge_cases(spark):
+    """Tiny groups, a constant label and a constant feature agree with the explicit path."""
+    from montevar.operators import features
+    rows = [("ONE", 0, 0.1, 0.2, 0.3, 0.4)]
+    rows += [("TWO", k, 0.1 * k, 0.2, -0.3 * k, 0.4 + k) for k in range(2)]
+    rows += [("THREE", k, 0.05, 0.1 * k, 0.2, -0.1 * k) for k in range(3)]           # constant label
+    rows += [("FLAT", k, 0.01 * k, 0.5, 0.5, 0.5) for k in range(12)]                  # constant features
+    rows += [("MIX", k, float(np.sin(k)), float(np.cos(k)), 0.0, float(k % 3)) for k in range(15)]
+    d = spark.createDataFrame(rows, "symbol string, k int, label double, a_feat double, b_feat double, c_feat double")
+    fused = {r.symbol: r for r in regression.fit_and_score(d, FEATS, 1e-4, 0.8).collect()}
+    explicit_models = {r.symbol: r for r in regression.fit_linear(d, FEATS, 1e-4).collect()}
+    assert set(fused) == set(explicit_models) == {"ONE", "TWO", "THREE", "FLAT", "MIX"}
+    for s, m in explicit_models.items():
+        for c in ("intercept", "w_a", "w_b", "w_c"):
+            assert fused[s][c] == pytest.approx(m[c], abs=1e-9), (s, c)
+    test_rows = features.split_test(d, 0.8)
+    explicit = {r.symbol: r.score for r in regression.r2_by_symbol(
+        regression.predict(test_rows, regression.fit_linear(d, FEATS, 1e-4), FEATS)).collect()}
+    for s, r in fused.items():
+        if r.score is None:
+            assert s not in explicit
+        else:
+            assert r.score == pytest.approx(explicit[s], abs=1e-9), s
+    assert fused["ONE"].score is None and fused["TWO"].score is None
