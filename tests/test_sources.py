@@ -45,3 +45,13 @@ def test_factor_files_union(spark):
     assert got[("IXIC", dt.date(2013, 12, 31))] == 4161.5
     assert got[("FVX", dt.date(2013, 12, 31))] is None and got[("FVX", dt.date(2013, 12, 30))] == 1.7
     assert set(df.columns) >= {"factor", "date", "open", "high", "low", "close", "adj_close", "volume"}
+
+
+def test_factor_columns_are_taken_by_position(spark):
+    d = tempfile.mkdtemp(prefix="montevar-pos-")
+    path = os.path.join(d, "ODD.csv")
+    _write(path, "day,o,h,l,c,adj.close,vol\n2013-12-31,\"1,001.5\",2,3,4,5,6\nnot-a-date,1,1,1,1,1,1\n")
+    rows = files.load_factor_file(spark, path, "ODD").collect()
+    assert len(rows) == 1
+    r = rows[0]
+    assert (r.factor, r.date, r.open, r.high, r.adj_close, r.volume) == ("ODD", dt.date(2013, 12, 31), 1001.5, 2.0, 5.0, 6.0)
