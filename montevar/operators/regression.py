@@ -27,14 +27,48 @@ def _cxx(i: int, j: int) -> str:
     return f"cxx_{i}_{j}"
 
 
+def _centred_moments(rows: DataFrame, feats, key: str, label: str, fit_mask, test_mask=None) -> DataFrame:
+    """Per instrument: count, means and population (co)variances, two-pass.
+
+    Means come from a window over the instrument partitioning the rows already
+    have (no shuffle; a partition holds at most one row per day); the
+    covariances are plain sums of centred products, which keeps the aggregation
+    small enough for whole-stage code generation.  With ``test_mask`` the same
+    pass also returns the ``t_``-prefixed moments of the masked rows.
+    """
+    d = len(feats)
+    cols = list(feats) + [label]
+    y = d
+    whole = Window.partitionBy(key)
+    masks = [("f", fit_mask)] + ([("t", test_mask)] if test_mask is not None else [])
+    means = [F.avg(F.when(m, F.col(c))).over(whole).alias(f"_{tag}m{i}")
+             for tag, m in masks for i, c in enumerate(cols)]
+    rows = rows.select(key, *cols, *[m.alias(f"_{tag}mask") for tag, m in masks], *means)
+    cent = [F.when(F.col(f"_{tag}mask"), F.col(c) - F.col(f"_{tag}m{i}")).alias(f"_{tag}c{i}")
+            for tag, _ in masks for i, c in enumerate(cols)]
+    rows = rows.select(key, *cent, *[f"_{tag}m{i}" for tag, _ in masks for i in range(d + 1)])
+    aggs, out = [], []
+    for tag, _ in masks:
+        pre = "" if tag == "f" else "t_"
+        c = lambda i: F.col(f"_{tag}c{i}")
+        nname = "n" if tag == "f" else "n_test"
+        aggs += [F.count(f"_{tag}c0").alias(nname), F.max(f"_{tag}m{y}").alias(f"{pre}my")]
+        aggs += [F.max(f"_{tag}m{i}").alias(f"{pre}mx_{i}") for i in range(d)]
+        aggs += [F.sum(c(i) * c(j)).alias(f"_s{pre}{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
+        aggs += [F.sum(c(i) * c(y)).alias(f"_s{pre}cxy_{i}") for i in range(d)]
+        aggs += [F.sum(c(y) * c(y)).alias(f"_s{pre}vy")]
+        n = F.col(nname)
+        out += [nname, f"{pre}my", *[f"{pre}mx_{i}" for i in range(d)]]
+        out += [F.try_divide(F.col(f"_s{pre}{_cxx(i, j)}"), n).alias(f"{pre}{_cxx(i, j)}")
+                for i in range(d) for j in range(i, d)]
+        out += [F.try_divide(F.col(f"_s{pre}cxy_{i}"), n).alias(f"{pre}cxy_{i}") for i in range(d)]
+        out += [F.try_divide(F.col(f"_s{pre}vy"), n).alias(f"{pre}vy")]
+    return rows.groupBy(key).agg(*aggs).select(key, *out)
+
+
 def model_moments(design_rows: DataFrame, feats, key: str = "symbol", label: str = "label") -> DataFrame:
     """Per instrument: ``n``, means, and population covariances of features and label."""
-    d = len(feats)
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg(label).alias("my")]
-    aggs += [F.avg(f).alias(f"mx_{i}") for i, f in enumerate(feats)]
-    aggs += [F.covar_pop(feats[i], feats[j]).alias(_cxx(i, j)) for i in range(d) for j in range(i, d)]
-    aggs += [F.covar_pop(f, label).alias(f"cxy_{i}") for i, f in enumerate(feats)]
-    return design_rows.groupBy(key).agg(*aggs)
+    return _centred_moments(design_rows, feats, key, label, F.lit(True))
 
 
 def ridge_stages(feats, alpha: float, ops=SPARK):
@@ -84,38 +118,10 @@ def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: flo
         raise ValueError("fit_on must be 'all' or 'train'")
     from montevar.operators.features import split_by_rank
     d = len(feats)
-    cols = list(feats) + [label]
     rows = split_by_rank(design_rows, ratio, key)
     fit_mask = F.lit(True) if fit_on == "all" else F.col("is_train")
-    test_mask = ~F.col("is_train")
-    whole = Window.partitionBy(key)
-    means = [F.avg(F.when(fit_mask, F.col(c))).over(whole).alias(f"_fm{i}") for i, c in enumerate(cols)]
-    means += [F.avg(F.when(test_mask, F.col(c))).over(whole).alias(f"_tm{i}") for i, c in enumerate(cols)]
-    rows = rows.select(key, "is_train", *cols, *means)
-    fc = [F.when(fit_mask, F.col(c) - F.col(f"_fm{i}")) for i, c in enumerate(cols)]
-    tc = [F.when(test_mask, F.col(c) - F.col(f"_tm{i}")) for i, c in enumerate(cols)]
-    rows = rows.select(key, *[e.alias(f"_fc{i}") for i, e in enumerate(fc)],
-                       *[e.alias(f"_tc{i}") for i, e in enumerate(tc)],
-                       *[f"_fm{i}" for i in range(d + 1)], *[f"_tm{i}" for i in range(d + 1)])
-    y = d  # index of the label among cols
-    aggs = [F.count("_fc0").alias("n"), F.max(f"_fm{y}").alias("my")]
-    aggs += [F.max(f"_fm{i}").alias(f"mx_{i}") for i in range(d)]
-    aggs += [F.sum(F.col(f"_fc{i}") * F.col(f"_fc{j}")).alias(f"_s{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
-    aggs += [F.sum(F.col(f"_fc{i}") * F.col(f"_fc{y}")).alias(f"_scxy_{i}") for i in range(d)]
-    aggs += [F.count("_tc0").alias("n_test"), F.max(f"_tm{y}").alias("t_my"),
-             F.sum(F.col(f"_tc{y}") * F.col(f"_tc{y}")).alias("_st_vy")]
-    aggs += [F.max(f"_tm{i}").alias(f"t_mx_{i}") for i in range(d)]
-    aggs += [F.sum(F.col(f"_tc{i}") * F.col(f"_tc{j}")).alias(f"_st_{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
-    aggs += [F.sum(F.col(f"_tc{i}") * F.col(f"_tc{y}")).alias(f"_st_cxy_{i}") for i in range(d)]
-    mom = rows.groupBy(key).agg(*aggs)
-    n, nt = F.col("n"), F.col("n_test")
-    scaled = [(F.col(f"_s{_cxx(i, j)}") / n).alias(_cxx(i, j)) for i in range(d) for j in range(i, d)]
-    scaled += [(F.col(f"_scxy_{i}") / n).alias(f"cxy_{i}") for i in range(d)]
-    scaled += [F.try_divide(F.col(f"_st_{_cxx(i, j)}"), nt).alias(f"t_{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
-    scaled += [F.try_divide(F.col(f"_st_cxy_{i}"), nt).alias(f"t_cxy_{i}") for i in range(d)]
-    scaled += [F.try_divide(F.col("_st_vy"), nt).alias("t_vy")]
-    mom = mom.select(key, "n", "my", *[f"mx_{i}" for i in range(d)], "n_test", "t_my",
-                     *[f"t_mx_{i}" for i in range(d)], *scaled)
+    mom = _centred_moments(rows, feats, key, label, fit_mask, ~F.col("is_train"))
+    nt = F.col("n_test")
     solved = apply_stages(mom, ridge_stages(feats, alpha))
     w = [F.col(weight_name(f)) for f in feats]
     var_e = F.col("t_vy")
