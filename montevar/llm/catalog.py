@@ -6,15 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from montevar.llm import packing, simhash
+from montevar.llm import bitslice, chat, html_text, packing, pq, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_pq_near_dedup": pq.op1,
+        "op4_chat_format": chat.op4,
+        "op7_bit_sliced_top_k": bitslice.op7,
+        "op8_html_main_text": html_text.op8,
         "op9_simhash_near_dedup": simhash.op9,
         "op10_best_fit_packing": packing.op10,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_bit_sliced_top_k": bitslice.OP7_SQL}

@@ -6,10 +6,15 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+import montevar
 from montevar.session import checkpoint_dir
 
+# Functions travel with their code, so executors need not have the package installed.
+cloudpickle.register_pickle_by_value(montevar)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
