@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from montevar.llm import common
+from montevar.llm.common import sequences  # a function: modules do not travel to executors
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
@@ -85,7 +86,7 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, end_id: int = END_ID, tokeni
         part, seen = TaskContext.get().partitionId(), np.zeros(max_len + 1, dtype=np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in common.sequences([batch], "doc_id", "text"):
+            for doc_id, text in sequences([batch], "doc_id", "text"):
                 ids = encode(text) + end
                 for piece, at in enumerate(range(0, len(ids), 4 * max_len)):
                     own = ids[at:at + 4 * max_len]
