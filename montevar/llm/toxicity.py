@@ -1,6 +1,6 @@
 """Toxicity scores from a counterfactually regularised classifier.
 
-A logistic model over the presence of words is fitted on a bounded sample of labelled texts.  Sentences of the sample
+A logistic model over the presence of words and of word beginnings (inflected and compound forms) is fitted on a bounded sample of labelled texts.  Sentences of the sample
 that name a group are copied with the name swapped for another of its kind, and the squared change of the
 logit between the two is part of the loss: naming a group as such moves the score little.
 """
@@ -17,10 +17,11 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from montevar.llm import common
 
 #: The classifier is fitted on at most so many labelled texts, words and counterfactual pairs.
-SAMPLE_TEXTS, FEATURES, MAX_PAIRS = 20_000, 2_048, 50_000
+SAMPLE_TEXTS, FEATURES, MAX_PAIRS = 20_000, 4_096, 50_000
 MIN_TEXTS = 3
-RIDGE, FAIRNESS = 1e-3, 5.0
-STEPS, RATE = 400, 0.1
+RIDGE, FAIRNESS = 1e-5, 5.0
+BEGINNINGS = (3, 4, 5)
+STEPS, RATE = 200, 0.1
 # Names of groups of people, by kind; a name is swapped for the others of its kind.
 IDENTITIES = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
@@ -36,6 +37,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
 
 
+def features_of(words: set[str]) -> set[str]:
+    """The words and their beginnings, which a star marks."""
+    return words.union(*({w[:n] + "*" for w in words if len(w) > n} for n in BEGINNINGS))
+
+
 def words_of(text: str | None) -> set[str]:
     return set(_WORD.findall(text.lower())) if text else set()
 
@@ -103,7 +109,7 @@ def fit(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, fairness: flo
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text").to_pylist()
-            own = [sorted(words_of(t)) for t in texts]
+            own = [sorted(features_of(words_of(t))) for t in texts]
             swaps = [sorted({(" ".join(sorted(a)), " ".join(sorted(b))) for a, b in counterfactuals(t or "", identities)})
                      for t in texts]
             yield pa.RecordBatch.from_arrays(
@@ -138,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, fairness: flo
     rows = [np.array(x, dtype=np.int64) for x in table["x"].to_pylist()]
     swapped = (seen.select(F.explode("swaps").alias("s")).select("s.a", "s.b").distinct()
                .orderBy(F.xxhash64("a", "b"), "a", "b").limit(MAX_PAIRS).toArrow())
-    sides = [[np.array([at[w] for w in s.split() if w in at], dtype=np.int64) for s in swapped[c].to_pylist()]
-             for c in ("a", "b")]
+    sides = [[np.array([at[w] for w in sorted(features_of(set(s.split()))) if w in at], dtype=np.int64)
+              for s in swapped[c].to_pylist()] for c in ("a", "b")]
     w, bias = train(rows, np.array(table["y"].to_pylist(), dtype=np.float64), (sides[0], sides[1]), len(vocabulary), fairness)
     return dict(zip(vocabulary, w.tolist())), bias
 
@@ -158,7 +164,7 @@ def score(docs: DataFrame, model: tuple[dict, float], text_col: str = "text", sc
         keys = weights.keys()
         for batch in batches:
             texts = batch.column(at)
-            logit = np.array([bias + sum(weights[w] for w in sorted(words_of(texts[i].as_py()) & keys))
+            logit = np.array([bias + sum(weights[w] for w in sorted(features_of(words_of(texts[i].as_py())) & keys))
                               for i in range(batch.num_rows)], dtype=np.float64)
             found = 1 / (1 + np.exp(-np.clip(logit, -500, 500)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found)], [*batch.schema.names, score_col])
