@@ -6,15 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from montevar.llm import bitslice, chat, html_text, langid, packing, pq, simhash, toxicity
+from montevar.llm import bitslice, chat, html_text, langid, packing, paragraphs, pq, simhash, spiece, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_pq_near_dedup": pq.op1,
         "op2_language_id": langid.op2,
+        "op3_paragraph_dedup": paragraphs.op3,
         "op4_chat_format": chat.op4,
         "op5_toxicity": toxicity.op5,
+        "op6_sentencepiece": spiece.op6,
         "op7_bit_sliced_top_k": bitslice.op7,
         "op8_html_main_text": html_text.op8,
         "op9_simhash_near_dedup": simhash.op9,
