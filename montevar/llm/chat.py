@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from montevar.llm import common
+from montevar.llm.common import per_process
 
 TOKENIZER = "byte_bpe_50k.json"
 # Reserved ids behind the 50,257 of the vocabulary, and the strings that render them.
@@ -46,9 +47,14 @@ def unescape(text: str) -> str:
 def _tokenizer(name: str | None):
     import public_tokenizers
     from tokenizers import Tokenizer
-    tok = Tokenizer.from_file(name or public_tokenizers.path(TOKENIZER))
-    tok.encode_special_tokens = True                                # their strings in a text are ordinary text
-    return tok
+    path = name or public_tokenizers.path(TOKENIZER)
+
+    def load():
+        tok = Tokenizer.from_file(path)
+        tok.encode_special_tokens = True                            # their strings in a text are ordinary text
+        return tok
+
+    return per_process("chat", path, load)
 
 
 def format_chat(turns: DataFrame, trained_role: str = TRAINED_ROLE, tokenizer: str | None = None) -> DataFrame:

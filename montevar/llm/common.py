@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import sys
+import types
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -40,17 +44,47 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def per_process(name: str, key, make):
+    """``make()`` once in each Python worker and ``key``: one value per name is held from task to task.
+
+    The holder is a module of the process, because functions that travel by value bring new globals along.
+    """
+    held = sys.modules.setdefault("montevar_llm_held", types.ModuleType("montevar_llm_held")).__dict__
+    if name not in held or held[name][0] != key:
+        held[name] = (key, make())
+    return held[name][1]
+
+
 def crc32_of(col: Column) -> Column:
     """CRC-32 of a value's text form, the key of the fixed train/held-out splits."""
     return F.crc32(F.encode(col.cast("string"), "utf-8"))
 
 
-def sequences(batches: Iterator[pa.RecordBatch], key: str, text: str) -> Iterator[tuple]:
-    """(key, text) of each row, one at a time; a null text is empty."""
-    for batch in batches:
-        keys, texts = batch.column(key), batch.column(text)
-        for i in range(batch.num_rows):
-            yield keys[i].as_py(), texts[i].as_py() or ""
+def portions(batch: pa.RecordBatch, text: str, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch with about ``most`` bytes of text each, one row at least."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64)
+    ends, cut = np.cumsum(sizes), 0
+    while cut < batch.num_rows:
+        done = ends[cut - 1] if cut else 0
+        n = max(1, int(np.searchsorted(ends[cut:], done + most, side="right")))
+        yield batch.slice(cut, n)
+        cut += n
+
+
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the pairs and the smallest node that each reaches."""
+    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inverse[:len(a)], inverse[len(a):]
+    label = np.arange(len(nodes))
+    while True:
+        low = np.minimum(label[x], label[y])
+        new = label.copy()
+        np.minimum.at(new, label[x], low)
+        np.minimum.at(new, label[y], low)
+        new = new[new]
+        if (new == label).all():
+            return nodes, nodes[label]
+        label = new
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

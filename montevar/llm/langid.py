@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -18,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from montevar.llm import common
+from montevar.llm.common import per_process
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 4
@@ -196,12 +198,15 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model.__dict__.copy())
     src = docs.drop(pred_col, score_col)
-    at = src.columns.index(text_col)
+    at, name = src.columns.index(text_col), uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Model.__new__(Model)
-        own.__dict__.update(shared.value)
-        own.ready()
+        def load() -> Model:
+            own = Model.__new__(Model)
+            own.__dict__.update(shared.value)
+            return own.ready()
+
+        own = per_process("langid", name, load)
         for batch in batches:
             texts = batch.column(at)
             found = [own.predict(texts[i].as_py()) for i in range(batch.num_rows)]

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from montevar.llm import common
+from montevar.llm.common import smallest_reachable
 
 THRESHOLD = 0.9
 #: The index is fitted on at most so many vectors, or so many components in all.
@@ -108,22 +109,6 @@ def _unit(x: np.ndarray, width: int) -> np.ndarray:
     return np.pad(unit, ((0, 0), (0, width - unit.shape[1])))
 
 
-def _components(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Nodes of the pairs and the smallest node that each reaches."""
-    nodes, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inverse[:len(a)], inverse[len(a):]
-    label = np.arange(len(nodes))
-    while True:
-        low = np.minimum(label[x], label[y])
-        new = label.copy()
-        np.minimum.at(new, label[x], low)
-        np.minimum.at(new, label[y], low)
-        new = new[new]
-        if (new == label).all():
-            return nodes, nodes[label]
-        label = new
-
-
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: int = PROBES, id_col: str = "vec_id",
                     vector_col: str = "embedding") -> DataFrame:
     """``vec_id, n_links, component_id, kept``: one row per row of ``vectors``.
@@ -231,7 +216,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
             return found
         # The member counts the link itself where it asks the list of the other.
         silent = ~(m_asked[m] == q_own[q][:, None]).any(axis=1)
-        nodes, roots = _components(q_id[q], m_id[m])
+        nodes, roots = smallest_reachable(q_id[q], m_id[m])
         links = np.zeros(len(nodes), dtype=np.int64)
         np.add.at(links, np.searchsorted(nodes, q_id[q]), left["n"].to_numpy()[m])
         np.add.at(links, np.searchsorted(nodes, m_id[m][silent]), right["q_n"].to_numpy()[q[silent]])
