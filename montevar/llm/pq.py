@@ -211,7 +211,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
                 q, m = qs[at:at + 16_384], ms[at:at + 16_384]
                 near = (np.einsum("ij,ij->i", q_unit[q], m_unit[m]) >= threshold) & (q_id[q] != m_id[m])
                 pairs.append(np.stack([q[near], m[near]]))
-        q, m = np.concatenate(pairs, axis=1)
+        q, m = np.concatenate([np.zeros((2, 0), dtype=np.int64), *pairs], axis=1)
         if not len(q):
             return found
         # The member counts the link itself where it asks the list of the other.
