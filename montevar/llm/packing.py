@@ -8,6 +8,8 @@ pieces take their slots by their rank within the length.
 
 from __future__ import annotations
 
+import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -18,60 +20,69 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.taskcontext import TaskContext
 
 from montevar.llm import common
-from montevar.llm.common import sequences  # a function: modules do not travel to executors
+from montevar.llm.common import per_process, portions  # functions: modules do not travel to executors
 
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 MAX_LEN = 2048
 #: Words whose ids a task remembers; further words are encoded each time they occur.
-WORDS_KEPT = 250_000
+WORDS_KEPT = 300_000
 
 
 class WordEncoder:
     """Ids of whole texts from a tokenizer that never joins tokens across white space.
 
-    A text's ids are then those of its words, one after another, so the ids of frequent words
-    are remembered (as little-endian 32-bit bytes) and the others go to the library in batches.
-    A word of plain letters before one full stop or comma is looked up without the mark: the
-    pre-tokenizer separates letters from other signs.
+    A text's ids are then those of its words, one after another, so the ids of words met before are
+    remembered (as little-endian 32-bit bytes) and the others go to the library in batches.  Two more facts about
+    the tokenizer keep the words few: it lower-cases anyway, and it separates letters from other signs,
+    so that a word before a full stop or comma is the word and the mark.  Both are used
+    for Latin-1 texts only, where lower-casing does not depend on the context.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"              # words are too short to share out: a task is one thread
         self.encode = Tokenizer.from_file(path).encode_batch_fast
-        self.ids: dict[str, bytes] = {}
+        self.known: dict[str, bytes] = {}
 
     def _batch(self, words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.encode(words, add_special_tokens=False)]
-
-    def __call__(self, text: str) -> bytes:
-        known, parts, missing, where = self.ids, [], {}, []
-        for word in text.replace("\n", " ").split(" "):
-            found = known.get(word)
-            if found is None:
-                stem = word[:-1]
-                if word[-1:] in (".", ",") and stem.isalpha() and stem[-1] < "İ":
-                    mark = known.get(word[-1])
-                    if mark is None:
-                        mark = known[word[-1]] = self._batch([word[-1]])[0]
-                    found = known.get(stem)
-                    if found is None:
-                        where.append((len(parts), missing.setdefault(stem, len(missing))))
-                        found = b""
-                    parts += (found, mark)
-                    continue
-                where.append((len(parts), missing.setdefault(word, len(missing))))
-                found = b""
-            parts.append(found)
+        return [struct.pack(f"<{len(ids)}I", *ids)
+                for ids in (e.ids for e in self.encode(words, add_special_tokens=False))]
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        known, split, missing, new = self.known, [], {}, {}
+        for text in texts:
+            try:
+                text.encode("latin-1")
+                latin, text = True, text.lower()
+            except UnicodeEncodeError:
+                latin = False
+            words = text.replace("\n", " ").split(" ")
+            parts = list(map(known.get, words))
+            if None in parts:
+                at = [k for k, found in enumerate(parts) if found is None]
+                for word in {words[k] for k in at}:
+                    if word not in new:
+                        stem = word[:-1] if latin and word[-1:] in (".", ",") and word[:-1].isalpha() else None
+                        new[word] = stem
+                        for part in (word,) if stem is None else (stem, word[-1]):
+                            if part not in known:
+                                missing[part] = b""
+                split.append((parts, [(k, words[k]) for k in at]))
+            else:
+                split.append((parts, ()))
         if missing:
-            new = self._batch(list(missing))
-            for at, k in where:
-                parts[at] = new[k]
-            for word, k in missing.items():
-                if len(known) >= WORDS_KEPT:
-                    break
-                known[word] = new[k]
-        return b"".join(parts)
+            missing = dict(zip(missing, self._batch(list(missing))))
+        if new:
+            ids = lambda w: known[w] if w in known else missing[w]
+            new = {w: ids(w) if stem is None else ids(stem) + ids(w[-1]) for w, stem in new.items()}
+            for parts, at in split:
+                for k, word in at:
+                    parts[k] = new[word]
+            for more in (missing, new):
+                if len(known) < WORDS_KEPT:
+                    known.update(more)
+        return [b"".join(parts) for parts, _ in split]
 
 
 def pieces(docs: DataFrame, max_len: int = MAX_LEN, end_id: int = END_ID, tokenizer: str | None = None,
@@ -81,13 +92,15 @@ def pieces(docs: DataFrame, max_len: int = MAX_LEN, end_id: int = END_ID, tokeni
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
-        encode = WordEncoder(tokenizer or public_tokenizers.path(TOKENIZER))
+        path = tokenizer or public_tokenizers.path(TOKENIZER)
+        encode = per_process("packing", path, lambda: WordEncoder(path))
         end = int(end_id).to_bytes(4, "little")
         part, seen = TaskContext.get().partitionId(), np.zeros(max_len + 1, dtype=np.int64)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in sequences([batch], "doc_id", "text"):
-                ids = encode(text) + end
+            coded = ((part.column("doc_id")[i].as_py(), ids + end) for part in portions(batch, "text", 1 << 21)
+                     for i, ids in enumerate(encode([t or "" for t in part.column("text").to_pylist()])))
+            for doc_id, ids in coded:
                 for piece, at in enumerate(range(0, len(ids), 4 * max_len)):
                     own = ids[at:at + 4 * max_len]
                     n = len(own) // 4
