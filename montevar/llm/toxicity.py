@@ -19,7 +19,8 @@ from montevar.llm import common
 #: The classifier is fitted on at most so many labelled texts, words and counterfactual pairs.
 SAMPLE_TEXTS, FEATURES, MAX_PAIRS = 20_000, 4_096, 50_000
 MIN_TEXTS = 3
-RIDGE, FAIRNESS = 1e-5, 5.0
+#: The ridge is a prior: its weight against the mean loss falls with the number of texts.
+RIDGE, FAIRNESS = 0.2, 5.0
 BEGINNINGS = (3, 4, 5)
 STEPS, RATE = 200, 0.1
 # Names of groups of people, by kind; a name is swapped for the others of its kind.
@@ -74,13 +75,13 @@ class Sparse:
 
 def train(rows: list[np.ndarray], labels: np.ndarray, pairs: tuple[list[np.ndarray], list[np.ndarray]], width: int,
           fairness: float = FAIRNESS, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
-    """Weights and bias: mean log loss + ridge + ``fairness`` times the mean squared change of the logit on a swap."""
+    """Weights and bias: mean log loss + ridge / number of texts + ``fairness`` times the mean squared change of the logit on a swap."""
     x, one, two = Sparse(rows, width), Sparse(pairs[0], width), Sparse(pairs[1], width)
     w, bias = np.zeros(width), 0.0
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for step in range(1, STEPS + 1):
         error = 1 / (1 + np.exp(-np.clip(x.dot(w) + bias, -30, 30))) - labels
-        grad = x.back(error) / x.n + 2 * ridge * w
+        grad = x.back(error) / x.n + 2 * ridge / x.n * w
         if one.n and fairness:
             change = one.dot(w) - two.dot(w)
             grad += 2 * fairness * (one.back(change) - two.back(change)) / one.n
