@@ -30,7 +30,7 @@ SHINGLE_WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 #: Paragraphs of a band that meet in one task at a time.
-BLOCK = 4_096
+BLOCK = 2_048
 WORDS_KEPT = 200_000
 _MASK = (1 << 64) - 1
 
@@ -169,34 +169,41 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def _incidence(own: list[set], at: dict) -> tuple[np.ndarray, np.ndarray]:
-    rows = [np.full(len(k), i) for i, s in enumerate(own) if (k := [at[x] for x in s if x in at])]
-    return (np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64),
-            np.array([at[x] for s in own for x in s if x in at], dtype=np.int64))
+def numbered(texts: list[str], at: dict) -> list[np.ndarray]:
+    """The shingles of each text as numbers, each once; ``at`` numbers different shingles."""
+    return [np.unique(np.array([at.setdefault(s, len(at)) for s in shingle_set(t)], dtype=np.int32)) for t in texts]
 
 
-def similar_pairs(left: list[set], right: list[set], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs at the threshold: intersections as products of incidence matrices, in portions."""
-    shared = sorted(set().union(*left) & set().union(*right))
-    at = {x: k for k, x in enumerate(shared)}
-    sides = [_incidence(own, at) for own in (left, right)]
-    n_left, n_right = (np.array([len(s) for s in own], dtype=np.float64) for own in (left, right))
-    found = []
-    for lo in range(0, len(left), 1024):
-        both = np.zeros((min(1024, len(left) - lo), len(right)), dtype=np.float32)
-        for v in range(0, len(shared), 2048):
-            width = min(2048, len(shared) - v)
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of all pairs at the threshold, of rows of numbers below ``n``.
+
+    The sizes of the intersections are products of incidence matrices, made and multiplied in portions.
+    """
+    sizes = [np.array([len(s) for s in own]) for own in (left, right)]
+    rows = [np.repeat(np.arange(len(own)), size) for own, size in zip((left, right), sizes)]
+    values = [np.concatenate(own) if own else np.zeros(0, dtype=np.int32) for own in (left, right)]
+    shared = np.flatnonzero(np.bincount(values[0], minlength=n) * np.bincount(values[1], minlength=n))
+    place = np.full(n, -1, dtype=np.int32)
+    place[shared] = np.arange(len(shared), dtype=np.int32)
+    for k in (0, 1):
+        col = place[values[k]]
+        rows[k], values[k] = rows[k][col >= 0], col[col >= 0]
+    found = [np.zeros((2, 0), dtype=np.int64)]
+    for lo in range(0, len(left), 512):
+        both = np.zeros((min(512, len(left) - lo), len(right)), dtype=np.float32)
+        for v in range(0, len(shared), 1024):
             parts = []
-            for (row, col), start, size in ((sides[0], lo, len(both)), (sides[1], 0, len(right))):
-                own = (row >= start) & (row < start + size) & (col >= v) & (col < v + width)
-                dense = np.zeros((size, width), dtype=np.float32)
-                dense[row[own] - start, col[own] - v] = 1
+            for k, start, size in ((0, lo, len(both)), (1, 0, len(right))):
+                own = (rows[k] >= start) & (rows[k] < start + size) & (values[k] >= v) & (values[k] < v + 1024)
+                dense = np.zeros((size, 1024), dtype=np.float32)
+                dense[rows[k][own] - start, values[k][own] - v] = 1
                 parts.append(dense)
             both += parts[0] @ parts[1].T
-        both = both.astype(np.float64)                              # whole numbers: exact in either
-        x, y = np.nonzero(both >= least * (n_left[lo:lo + len(both), None] + n_right - both))
-        found.append((x + lo, y))
-    return tuple(np.concatenate(f) for f in zip(*found)) if found else (np.zeros(0, int), np.zeros(0, int))
+        # Whole numbers up to 2^24 are exact in single precision; the comparison is in double.
+        need = least * (sizes[0][lo:lo + len(both), None] + sizes[1] - both.astype(np.float64))
+        x, y = np.nonzero(both >= need)
+        found.append(np.stack([x + lo, y]))
+    return tuple(np.concatenate(found, axis=1))
 
 
 def _meet(least: float):
@@ -205,9 +212,14 @@ def _meet(least: float):
         sides = [pdf[pdf["side"] == s].drop_duplicates("p") for s in (0, 1)]
         if int(pdf["i"].iloc[0]) == int(pdf["j"].iloc[0]):
             sides[1] = sides[0]
-        sets = [[shingle_set(t) for t in side["paragraph"]] for side in sides]
+        if sides[0].empty or sides[1].empty:
+            return pd.DataFrame({"a": pdf["p"].iloc[:0], "b": pdf["p"].iloc[:0]})
+        at: dict = {}
+        sets = [numbered(side["paragraph"], at) for side in sides]
+        n = len(at)
+        at.clear()
         ids = [side["p"].to_numpy() for side in sides]
-        x, y = similar_pairs(*sets, least)
+        x, y = similar_pairs(*sets, n, least)
         apart = ids[0][x] != ids[1][y]
         x, y = x[apart], y[apart]
         if not len(x):

@@ -68,9 +68,12 @@ def test_a_large_family_of_near_copies(spark, monkeypatch):
 def test_similar_pairs_are_exact():
     r = rng(4)
     base = prose(r, 60)
-    sets = [paragraphs.shingle_set(edited(r, base, int(k % 5))) for k in range(60)]
-    x, y = paragraphs.similar_pairs(sets, sets[:30], 0.8)
-    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:30]) if paragraphs.similar(a, b)}
+    texts = [edited(r, base, int(k % 5)) for k in range(1200)]
+    at = {}
+    left, right = paragraphs.numbered(texts, at), paragraphs.numbered(texts[:40], at)
+    x, y = paragraphs.similar_pairs(left, right, len(at), 0.8)
+    sets = [paragraphs.shingle_set(t) for t in texts]
+    want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:40]) if paragraphs.similar(a, b)}
     assert set(zip(x.tolist(), y.tolist())) == want
 
 
