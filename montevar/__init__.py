@@ -5,6 +5,6 @@ expressed with built-in Spark SQL expressions, windows, aggregates and joins so
 that Catalyst can prune, push down and code-generate the whole plan.
 """
 
-from montevar.session import build_session, checkpoint_dir, bounded_broadcast
+from montevar.session import build_session, checkpoint_dir
 
-__all__ = ["build_session", "checkpoint_dir", "bounded_broadcast"]
+__all__ = ["build_session", "checkpoint_dir"]

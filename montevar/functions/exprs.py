@@ -37,18 +37,12 @@ class SparkOps:
         # ANSI mode raises on x / 0; a NULL coefficient is the wanted outcome.
         return F.try_divide(a, b)
 
-    def neg(self, a):
-        return -a
-
     def sqrt(self, a):
         return F.sqrt(a)
 
     def ln(self, a):
         return F.log(a)
 
-    def exp(self, a):
-        return F.exp(a)
-
     def cos(self, a):
         return F.cos(a)
 
@@ -71,9 +65,9 @@ class SparkOps:
     def gt(self, a, b):
         return F.when(a > b, F.lit(1.0)).otherwise(F.lit(0.0))
 
-    def md5_u32(self, key):
-        """First 32 bits of md5(key) as a non-negative double."""
-        return F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double")
+    def md5_u52(self, key):
+        """First 52 bits of md5(key) as a non-negative double (exact)."""
+        return F.conv(F.substring(F.md5(key), 1, 13), 16, 10).cast("double")
 
     def concat_key(self, prefix: str, id_col: str):
         return F.concat(F.lit(prefix), F.col(id_col).cast("string"))
@@ -107,18 +101,12 @@ class SqlOps:
     def div(self, a, b):
         return f"({a} / NULLIF({b}, CAST(0 AS DOUBLE)))"
 
-    def neg(self, a):
-        return f"(-{a})"
-
     def sqrt(self, a):
         return f"sqrt({a})"
 
     def ln(self, a):
         return f"ln({a})"
 
-    def exp(self, a):
-        return f"exp({a})"
-
     def cos(self, a):
         return f"cos({a})"
 
@@ -140,8 +128,8 @@ class SqlOps:
     def gt(self, a, b):
         return f"(CASE WHEN {a} > {b} THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END)"
 
-    def md5_u32(self, key):
-        return f"CAST(CAST(('0x' || substr(md5({key}), 1, 8)) AS BIGINT) AS DOUBLE)"
+    def md5_u52(self, key):
+        return f"CAST(CAST(('0x' || substr(md5({key}), 1, 13)) AS BIGINT) AS DOUBLE)"
 
     def concat_key(self, prefix: str, id_col: str):
         return f"('{prefix}' || CAST({id_col} AS VARCHAR))"

@@ -12,7 +12,7 @@ import math
 from montevar.functions.exprs import SPARK, SQL
 
 TWO_PI = 2.0 * math.pi
-TWO_POW_32 = 4294967296.0
+TWO_POW_52 = 4503599627370496.0
 
 
 # Beyond 2^52 a double has no fractional digits left to round.
@@ -35,13 +35,14 @@ def round3(x, ops=SPARK):
     return round_half_away(x, 3, ops)
 
 
-def round6(x, ops=SPARK):
-    return round_half_away(x, 6, ops)
+def uniform_of(key, ops=SPARK):
+    """Uniform on (0, 1) of a text key: ``(first 52 bits of md5(key) + 0.5) / 2^52``."""
+    return ops.div(ops.add(ops.md5_u52(key), ops.lit(0.5)), ops.lit(TWO_POW_52))
 
 
 def keyed_uniform(tag: str, id_col: str, ops=SPARK):
-    """Uniform on (0, 1): ``(first 32 bits of md5(tag || id) + 0.5) / 2^32``."""
-    return ops.div(ops.add(ops.md5_u32(ops.concat_key(tag, id_col)), ops.lit(0.5)), ops.lit(TWO_POW_32))
+    """Uniform on (0, 1), a pure function of the tag and the row id."""
+    return uniform_of(ops.concat_key(tag, id_col), ops)
 
 
 def keyed_normal(tag: str, id_col: str, ops=SPARK):

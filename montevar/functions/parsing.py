@@ -35,11 +35,13 @@ def parse_number_text(c, allow_negative: bool = False) -> Column:
     """Numbers such as ``1,200.00``: commas removed; other text gives NULL.
 
     By default only digits and dots are accepted, so a minus sign or an exponent
-    yields NULL (the loaders' rule); malformed numbers such as ``1.2.3`` are NULL.
+    yields NULL (the stock loader's rule); with ``allow_negative`` signs and exponents are
+    numbers too (the rule of the factor files, which are read as numbers).
+    Malformed numbers such as ``1.2.3`` are NULL.
     """
     c = _as_col(c)
-    s = F.regexp_replace(c.cast("string"), ",", "")
-    pattern = r"^-?[0-9.]+$" if allow_negative else r"^[0-9.]+$"
+    s = F.regexp_replace(F.trim(c.cast("string")) if allow_negative else c.cast("string"), ",", "")
+    pattern = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$" if allow_negative else r"^[0-9.]+$"
     return F.when(s.rlike(pattern), s.try_cast("double"))
 
 

@@ -29,17 +29,18 @@ def count_failures(returns: DataFrame, risk, unit: str = "reference", key: str =
 
 def count_failures_many(returns: DataFrame, risks: dict, unit: str = "reference", key: str = "symbol",
                         value: str = "fluct", date_col: str = "date") -> DataFrame:
-    """``risk_measure, failures, size`` for several risk figures in one pass over the returns."""
+    """``risk_measure, failures, size`` for several risk figures in one pass over the returns; zeros without returns."""
+    if unit not in ("reference", "observation"):
+        raise ValueError("unit must be 'reference' or 'observation'")
     names = list(risks)
     if unit == "observation":
         aggs = [F.count(F.when(F.col(value) < _risk(risks[n]), 1)).alias(f"_f{i}") for i, n in enumerate(names)]
         one = returns.agg(*aggs, F.count(F.lit(1)).alias("size"))
     else:
         per = returns.groupBy(key).agg(F.sum(value).alias("total"), F.count(date_col).alias("cnt"))
-        mean = F.col("total") / F.col("cnt")
-        aggs = [F.sum(F.when((mean < 0) & (mean < _risk(risks[n])), 1).otherwise(0)).alias(f"_f{i}")
-                for i, n in enumerate(names)]
-        one = per.agg(*aggs, F.sum("cnt").alias("size"))
+        mean = F.try_divide(F.col("total"), F.col("cnt"))
+        aggs = [F.count(F.when((mean < 0) & (mean < _risk(risks[n])), 1)).alias(f"_f{i}") for i, n in enumerate(names)]
+        one = per.agg(*aggs, F.coalesce(F.sum("cnt"), F.lit(0)).alias("size"))
     cells = F.array(*[F.struct(F.lit(n).alias("risk_measure"), F.col(f"_f{i}").cast("bigint").alias("failures"))
                       for i, n in enumerate(names)])
     return one.select(F.inline(cells), F.col("size").cast("bigint").alias("size"))

@@ -12,8 +12,6 @@ from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from montevar.session import bounded_broadcast
-
 
 def _keys(key) -> list[str]:
     return [key] if isinstance(key, str) else list(key)
@@ -61,6 +59,8 @@ def feature_table(ff: DataFrame, factors, value: str = "feat", align: str = "ran
     Only ranks present in *every* factor are kept (the shortest series decides).
     ``align='date'`` aligns equal dates instead and re-ranks the common dates.
     """
+    if align not in ("rank", "date"):
+        raise ValueError("align must be 'rank' or 'date'")
     on = "k" if align == "rank" else "date"
     cols = [F.max(F.when(F.col(key) == f, F.col(value))).alias(feature_name(f)) for f in factors]
     wide = ff.groupBy(on).agg(*cols).na.drop()
@@ -77,16 +77,16 @@ def min_factor_rows(factor_returns: DataFrame, key: str = "factor") -> DataFrame
 
 
 def design(returns: DataFrame, features: DataFrame, key: str = "symbol",
-           max_feature_rows: int | None = None, order_col: str | None = None) -> DataFrame:
+           order_col: str | None = None) -> DataFrame:
     """Per instrument row with recency rank ``k``: ``symbol, k, label, <features>``.
 
-    ``max_feature_rows`` is the proven bound on the feature table (days in the
-    period); with it the feature side is broadcast, otherwise the planner decides.
+    The feature table has one row per rank, at most as many as there are calendar days in the
+    study (a century has 36 525), whatever the data volume; it is broadcast, so the returns keep their
+    partitioning by instrument.
     """
     extra = [order_col] if order_col else []
     ranked = recency_rank(returns.select(key, "date", "fluct", *extra), key, ascending_order=order_col)
-    feats = bounded_broadcast(features, max_feature_rows)
-    j = ranked.join(feats, "k")
+    j = ranked.join(F.broadcast(features), "k")
     fcols = [c for c in features.columns if c != "k"]
     return j.select(key, "k", F.col("fluct").alias("label"), *fcols)
 

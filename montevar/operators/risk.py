@@ -5,78 +5,75 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from montevar.functions.exprs import SPARK
-from montevar.functions.numeric import TWO_POW_32, poisson1_from_uniform, poisson1_thresholds
+from montevar.functions.numeric import poisson1_from_uniform, poisson1_thresholds, uniform_of
 
 
-def _disc_quantile(col: str, p: float):
-    """Exact lower quantile as one aggregate (all distinct values meet in one task)."""
-    return F.expr(f"percentile_disc({float(p)!r}) WITHIN GROUP (ORDER BY `{col}`)")
-
-
-# Rank accuracy of the approximate bracket: its ends are within n / accuracy ranks
-# of the requested quantile, so about 8 n / accuracy values fall inside it.
+# Rank accuracy of the approximate bracket (its ends are within n / accuracy ranks of the quantile)
+# and the number of value ranges the bracket is cut into.
 BRACKET_ACCURACY = 100_000
+RANGES = 4096
 
 
-# Up to this many rows (a proven bound, e.g. the trial count) the quantile is one
-# aggregate whose final merge holds the distinct values in one task.
-SINGLE_TASK_QUANTILE_ROWS = 1_000_000
-
-
-def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value",
-                   accuracy: int = BRACKET_ACCURACY, max_rows: int | None = None) -> DataFrame:
+def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value") -> DataFrame:
     """One row: the element at rank ``max(ceil(p n), 1)`` of the sorted non-NULL values.
 
-    Exact and distributed.  An approximate quantile pass brackets the answer
-    (its rank error is at most ``n / accuracy``); a second pass counts the rows
-    below the bracket and merges equal values inside it, so only the bracket's
-    distinct values - not the data, not a hot value's copies - meet in one task,
-    where a running count picks the element.  A bracket that misses raises an
-    error instead of returning a wrong value.  Equals ``percentile_disc(p)``.
-
-    With a proven ``max_rows`` bound up to ``SINGLE_TASK_QUANTILE_ROWS`` the
-    single ``percentile_disc`` aggregate is used instead (fewer jobs).
+    Exact and distributed, one way at every size.  An approximate quantile pass brackets the answer; a second pass
+    counts the rows of ``RANGES`` value ranges inside the bracket and of the two ranges outside it, so that
+    a running count over that many rows names the range that holds the rank, wherever the
+    bracket lies.  Only that range's different values meet in one task: about ``8 n / accuracy / RANGES``
+    of them, with equal values merged first.  Equals ``percentile_disc(p)``.
     """
-    if max_rows is not None and max_rows <= SINGLE_TASK_QUANTILE_ROWS:
-        return df.agg(_disc_quantile(col, p).alias(name))
     from montevar.operators.scenarios import as_scalar
-    x = df.select(F.col(col).alias("_x")).where(F.col("_x").isNotNull())
-    margin = 4.0 / accuracy
-    qs = [max(p - margin, 0.0), min(p + margin, 1.0)]
-    st = x.agg(F.count(F.lit(1)).cast("double").alias("n"),
-               F.percentile_approx("_x", qs, accuracy).alias("_b"))
-    s = as_scalar(st.select("n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi")))
-    rank = F.greatest(F.ceil(F.lit(float(p)) * s["n"]).cast("double"), F.lit(1.0))
-    below = as_scalar(x.where(F.col("_x") < s["lo"]).agg(F.count(F.lit(1)).cast("double").alias("c")))["c"]
-    inside = x.where((F.col("_x") >= s["lo"]) & (F.col("_x") <= s["hi"])).groupBy("_x").agg(
-        F.count(F.lit(1)).alias("_w"))
-    run = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = inside.select("_x", (F.sum("_w").over(run) + below).alias("_cw"))
-    hit = cum.where(F.col("_cw") >= rank).agg(F.min("_x").alias("_v"))
-    ok = F.col("_v").isNotNull() & (below < rank)
-    val = (F.when(s["n"] == 0, F.lit(None).cast("double"))
-           .when(ok, F.col("_v"))
-           .otherwise(F.raise_error(F.lit("quantile bracket missed the requested rank")).cast("double")))
-    return hit.select(val.alias(name))
-
-
-def value_at_risk(df: DataFrame, p: float = 0.05, col: str = "average_return",
-                  max_rows: int | None = None) -> DataFrame:
-    """One row ``value_at_risk``: the element at rank ceil(p n) of the sorted returns.
-
-    ``max_rows``: proven upper bound on the row count (e.g. the number of trials).
-    """
-    return lower_quantile(df, col, p, "value_at_risk", max_rows=max_rows)
-
-
-def conditional_var(df: DataFrame, p: float = 0.05, col: str = "average_return",
-                    max_rows: int | None = None) -> DataFrame:
+    if not 0 <= p <= 1:
+        raise ValueError("p must be between 0 and 1")
+    x = df.select(F.col(col).cast("double").alias("_x")).where(F.col("_x").isNotNull())
+    margin = 4.0 / BRACKET_ACCURACY
+    ends = [max(p - margin, 0.0), min(p + margin, 1.0)]
+    st = as_scalar(x.agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_x", ends, BRACKET_ACCURACY).alias("_b"))
+                   .select("n", F.col("_b")[0].alias("lo"), F.col("_b")[1].alias("hi")))
+    rank = F.greatest(F.ceil(F.lit(float(p)) * st["n"]).cast("double"), F.lit(1.0))
+    # Non-decreasing in x: -1 below the bracket, RANGES + 1 above it.
+    part = F.coalesce(F.try_divide(F.col("_x") - st["lo"], st["hi"] - st["lo"]), F.lit(0.0)) * RANGES
+    part = (F.when(F.col("_x") < st["lo"], -1).when(F.col("_x") > st["hi"], RANGES + 1)
+            .otherwise(F.floor(part).cast("int")))
+    ranged = x.select("_x", part.alias("_r"))
+    run = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_w"))
+    cum = counts.select("_r", "_w", F.sum("_w").over(run("_r")).alias("_cw"))          # at most RANGES + 3 rows
+    hit = as_scalar(cum.where(F.col("_cw") >= rank).agg(F.min(F.struct("_r", (F.col("_cw") - F.col("_w")).alias("before")))
+                                                        .alias("h")).select("h._r", "h.before"))
+    inside = ranged.where(F.col("_r") == hit["_r"]).groupBy("_x").agg(F.count(F.lit(1)).alias("_w"))
+    cum = inside.select("_x", (F.sum("_w").over(run("_x")) + hit["before"]).alias("_cw"))
+    return cum.where(F.col("_cw") >= rank).agg(F.min("_x").alias(name))
+
+
+def value_at_risk(df: DataFrame, p: float = 0.05, col: str = "average_return") -> DataFrame:
+    """One row ``value_at_risk``: the element at rank ceil(p n) of the sorted returns."""
+    return lower_quantile(df, col, p, "value_at_risk")
+
+
+def conditional_var(df: DataFrame, p: float = 0.05, col: str = "average_return") -> DataFrame:
     """One row ``value_at_risk, conditional_var``: mean of the returns at or below VaR."""
-    var = value_at_risk(df, p, col, max_rows).select(F.col("value_at_risk")).scalar()
+    var = value_at_risk(df, p, col).select(F.col("value_at_risk")).scalar()
     tail = df.where(F.col(col) <= var).agg(F.avg(col).alias("conditional_var"))
     return tail.select(var.alias("value_at_risk"), "conditional_var")
 
 
+def historical_var(returns: DataFrame, p: float = 0.05, col: str = "avg_return") -> DataFrame:
+    """One row ``value_at_risk, conditional_var`` of the realised returns themselves."""
+    return conditional_var(returns, p, col)
+
+
+def variance_covariance_var(returns: DataFrame, p: float = 0.05, col: str = "avg_return") -> DataFrame:
+    """One row ``value_at_risk, conditional_var`` of a normal with the returns' mean and sample deviation."""
+    from statistics import NormalDist
+    z = NormalDist().inv_cdf(p)
+    tail = NormalDist().pdf(z) / p
+    one = returns.agg(F.avg(col).alias("m"), F.stddev_samp(col).alias("s"))
+    return one.select((F.col("m") + z * F.col("s")).alias("value_at_risk"),
+                      (F.col("m") - tail * F.col("s")).alias("conditional_var"))
+
+
 def trial_stats(df: DataFrame, col: str = "average_return") -> DataFrame:
     """min, max, count and population stddev in one pass."""
     return df.agg(F.min(col).alias("min"), F.max(col).alias("max"),
@@ -88,6 +85,24 @@ def ci_indices(num: int, probability: float) -> tuple[int, int]:
     return int(num * probability / 2 - 1), int(num * (1 - probability / 2))
 
 
+#: Value ranges into which the trials are cut for the replicates' quantiles.
+BOOT_RANGES = 1024
+
+
+def _weight(seed: int, id_col: str):
+    """Poisson(1) multiplicity of a row in a replicate, a pure function of ``seed:replicate:id``."""
+    key = F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), F.col(id_col).cast("string"))
+    return uniform_of(key)
+
+
+def _weighted(pairs: DataFrame, seed: int, id_col: str, keep) -> DataFrame:
+    u = pairs.select(*keep, _weight(seed, id_col).alias("_u"))
+    # w > 0 exactly when u exceeds P(w = 0); filtering on u keeps the pushed-down
+    # predicate to one comparison instead of the whole inverse-CDF sum.
+    u = u.where(F.col("_u") > F.lit(poisson1_thresholds()[0]))
+    return u.select(*keep, poisson1_from_uniform(F.col("_u"), SPARK).alias("w"))
+
+
 def resample_weights(df: DataFrame, num: int = 100, seed: int = 1, id_col: str = "trial_id",
                      keep=("average_return",)) -> DataFrame:
     """Bootstrap resampling as Poisson(1) multiplicities: ``replicate, <keep>, w`` (w >= 1).
@@ -96,55 +111,77 @@ def resample_weights(df: DataFrame, num: int = 100, seed: int = 1, id_col: str =
     ``seed:r:id`` - sampling with replacement at fraction 1.0, deterministic and
     independent of partitioning.  Rows with weight 0 are not emitted.
     """
-    reps = df.select(*keep, id_col, F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("replicate"))
-    key = F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"),
-                   F.col(id_col).cast("string"))
-    u = (F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("double") + 0.5) / TWO_POW_32
-    with_u = reps.select("replicate", *keep, u.alias("_u"))
-    # w > 0 exactly when u exceeds P(w = 0); filtering on u keeps the pushed-down
-    # predicate to one comparison instead of the whole inverse-CDF sum.
-    with_u = with_u.where(F.col("_u") > F.lit(poisson1_thresholds()[0]))
-    w = poisson1_from_uniform(F.col("_u"), SPARK)
-    return with_u.select("replicate", *keep, w.alias("w"))
+    pairs = df.select(*keep, id_col, F.explode(F.sequence(F.lit(0), F.lit(num - 1))).alias("replicate"))
+    return _weighted(pairs, seed, id_col, ["replicate", *keep])
 
 
-def replicate_risk(df: DataFrame, num: int = 100, p: float = 0.05, seed: int = 1,
-                   col: str = "average_return", id_col: str = "trial_id") -> DataFrame:
-    """Per replicate: ``replicate, value_at_risk, conditional_var`` of the resample.
+def replicate_stats(df: DataFrame, num: int = 100, p: float = 0.05, seed: int = 1, col: str = "average_return",
+                    id_col: str = "trial_id") -> DataFrame:
+    """Per replicate: ``replicate, var, cvar, mean, stddev`` (population) of the resample.
 
-    Weighted exact quantile: the smallest value whose cumulative multiplicity
-    reaches ``p * N_r``; the tail mean covers every value at or below it.  Each
-    replicate is one window partition holding at most the trial count.
+    Every row meets every replicate inside its task, where a partial sum per (replicate, value range) is
+    kept: the shuffle holds ``num x BOOT_RANGES`` sums of each task whatever the number of trials, and any number
+    of tasks adds them up.  A running sum over a replicate's ranges names the one range in which its
+    quantile lies; only the trials of that range are weighted once more and ranked.
     """
-    rw = resample_weights(df, num, seed, id_col, keep=(col,))
-    whole = Window.partitionBy("replicate")
+    from montevar.operators.scenarios import as_scalar
+    rows = df.select(F.col(col).cast("double").alias("_x"), id_col).where(F.col("_x").isNotNull())
+    ends = as_scalar(rows.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")))
+    share = F.coalesce(F.try_divide(F.col("_x") - ends["lo"], ends["hi"] - ends["lo"]), F.lit(0.0))
+    # Deviations from the smallest value: sums of squares then lose no digits.
+    ranged = rows.select("_x", id_col, F.floor(share * (BOOT_RANGES - 1)).cast("int").alias("_r"),
+                         (F.col("_x") - ends["lo"]).alias("_d"), ends["lo"].alias("_lo"))
+    rw = resample_weights(ranged, num, seed, id_col, keep=("_r", "_x", "_d", "_lo"))
+    sums = rw.groupBy("replicate", "_r").agg(
+        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("_x")).alias("wx"), F.sum(F.col("w") * F.col("_d")).alias("wd"),
+        F.sum(F.col("w") * F.col("_d") * F.col("_d")).alias("wdd"), F.max("_lo").alias("_lo"))
+    whole = Window.partitionBy("replicate")                         # at most BOOT_RANGES rows each
+    run = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    cum = sums.select("replicate", "_r", "w", "wx", F.sum("w").over(run).alias("cw"), F.sum("wx").over(run).alias("cwx"),
+                      F.sum("w").over(whole).alias("nw"), F.sum("wd").over(whole).alias("sd1"),
+                      F.sum("wdd").over(whole).alias("sd2"), "_lo")
+    at = cum.where(F.col("cw") >= F.lit(float(p)) * F.col("nw")).groupBy("replicate").agg(
+        F.min(F.struct("_r", (F.col("cw") - F.col("w")).alias("cw"), (F.col("cwx") - F.col("wx")).alias("cwx"))).alias("h"),
+        F.max("nw").alias("nw"), F.max("sd1").alias("sd1"), F.max("sd2").alias("sd2"), F.max("_lo").alias("_lo"))
+    mean = F.col("sd1") / F.col("nw")
+    at = at.select("replicate", F.col("h._r").alias("_hr"), F.col("h.cw").alias("_hcw"), F.col("h.cwx").alias("_hcwx"), "nw",
+                   (F.col("_lo") + mean).alias("mean"),
+                   F.sqrt(F.greatest(F.col("sd2") / F.col("nw") - mean * mean, F.lit(0.0))).alias("stddev"))
+    # One row per replicate, a parameter: the side may be broadcast.
+    near = ranged.join(F.broadcast(at), F.col("_r") == F.col("_hr"))
+    near = _weighted(near, seed, id_col, ["replicate", "_x", "_hcw", "_hcwx", "nw", "mean", "stddev"])
     # RANGE frame: equal values share one cumulative count, so ties need no merge.
-    run = whole.orderBy(col).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    x = rw.select("replicate", col,
-                  F.sum("w").over(run).alias("cw"),
-                  F.sum(F.col("w") * F.col(col)).over(run).alias("cwx"),
-                  F.sum("w").over(whole).alias("nw"))
+    run = Window.partitionBy("replicate").orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    x = near.select("replicate", "_x", "nw", "mean", "stddev", (F.sum("w").over(run) + F.col("_hcw")).alias("cw"),
+                    (F.sum(F.col("w") * F.col("_x")).over(run) + F.col("_hcwx")).alias("cwx"))
     hit = x.where(F.col("cw") >= F.lit(float(p)) * F.col("nw"))
     # Already partitioned by replicate: this aggregate adds no shuffle.
     return hit.groupBy("replicate").agg(
-        F.min(col).alias("value_at_risk"),
-        F.min_by(F.col("cwx") / F.col("cw"), F.col(col)).alias("conditional_var"))
+        F.min("_x").alias("var"), F.min_by(F.col("cwx") / F.col("cw"), F.col("_x")).alias("cvar"),
+        F.max("mean").alias("mean"), F.max("stddev").alias("stddev"))
+
 
+#: Statistics that an interval can be made of.
+STATISTICS = ("var", "cvar", "mean", "stddev")
 
-def bootstrap_ci(df: DataFrame, stat: str = "var", num: int = 100, p: float = 0.05,
+
+def bootstrap_ci(df: DataFrame, stat="var", num: int = 100, p: float = 0.05,
                  probability: float = 0.05, seed: int = 1, col: str = "average_return",
                  id_col: str = "trial_id") -> DataFrame:
-    """Bootstrap confidence interval of VaR (``stat='var'``), CVaR (``'cvar'``) or both.
+    """Bootstrap confidence intervals of one or several of ``STATISTICS`` (``'both'``: VaR and CVaR).
 
-    One resampling pass serves both statistics; ends are the sorted replicate
+    One resampling pass serves all statistics; ends are the sorted replicate
     values at ``int(num p/2 - 1)`` and ``int(num (1 - p/2))`` (0-based).  Output
     one row per statistic: ``statistic, lower, upper``.
     """
-    fields = {"var": "value_at_risk", "cvar": "conditional_var"}
-    wanted = ["var", "cvar"] if stat == "both" else [stat]
+    wanted = ["var", "cvar"] if stat == "both" else [stat] if isinstance(stat, str) else list(stat)
+    if not wanted or set(wanted) - set(STATISTICS):
+        raise ValueError(f"stat must be 'both' or of {STATISTICS}")
     lo, hi = ci_indices(num, probability)
-    reps = replicate_risk(df, num, p, seed, col, id_col)
-    cells = F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(fields[s]).alias("v")) for s in wanted])
+    if not 0 <= lo <= hi < num:
+        raise ValueError("too few replicates for an interval of this probability")
+    reps = replicate_stats(df, num, p, seed, col, id_col)
+    cells = F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in wanted])
     long = reps.select(F.inline(cells))
     # ``num`` rows per statistic (a parameter): ranking them is bounded work.
     ranked = long.withColumn("pos", F.row_number().over(Window.partitionBy("statistic").orderBy("v")) - 1)
@@ -153,10 +190,5 @@ def bootstrap_ci(df: DataFrame, stat: str = "var", num: int = 100, p: float = 0.
         F.max(F.when(F.col("pos") == hi, F.col("v"))).alias("upper"))
 
 
-def bootstrap_sample(df: DataFrame, seed: int, fraction: float = 1.0) -> DataFrame:
-    """Stand-alone resample with replacement (Spark's Poisson sampler)."""
-    return df.sample(withReplacement=True, fraction=fraction, seed=seed)
-
-
-__all__ = ["value_at_risk", "conditional_var", "trial_stats", "bootstrap_ci", "replicate_risk",
-           "resample_weights", "bootstrap_sample", "ci_indices"]
+__all__ = ["value_at_risk", "conditional_var", "historical_var", "variance_covariance_var", "trial_stats", "bootstrap_ci",
+           "replicate_stats", "resample_weights", "ci_indices", "lower_quantile"]

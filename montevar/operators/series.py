@@ -18,6 +18,8 @@ from montevar.functions.numeric import round3
 EPS_PRICE = 1e-8
 HORIZON_DAYS = 14
 MIN_GAP_DAYS = 10
+# Fixed value: the same horizon in trading days (two weeks).
+HORIZON_ROWS = 10
 
 
 def _keys(key) -> list[str]:
@@ -96,6 +98,23 @@ def horizon_returns(df: DataFrame, key, value: str = "open", date_col: str = "da
     return out.where(F.col("fluct").isNotNull())
 
 
+def horizon_rows_returns(df: DataFrame, key, value: str = "open", date_col: str = "date", horizon_rows: int = HORIZON_ROWS,
+                         day_col: str | None = None) -> DataFrame:
+    """One return per row over ``horizon_rows`` trading days: current value against that many rows before.
+
+    Rows without so long a history are dropped.  Output: key columns, ``date``, ``open``, ``fluct`` (and the day
+    column when one is given).
+    """
+    keys = _keys(key)
+    order = day_col or date_col
+    w = Window.partitionBy(*keys).orderBy(order)
+    extra = [day_col] if day_col else []
+    framed = df.select(*keys, date_col, value, *extra, F.lag(value, horizon_rows).over(w).alias("_open0"),
+                       F.row_number().over(w).alias("_rn"))
+    fluct = horizon_return(F.col(value), F.col("_open0"), F.col("_rn") - 1, horizon_rows - 1)
+    return framed.select(*keys, date_col, value, fluct.alias("fluct"), *extra).where(F.col("fluct").isNotNull())
+
+
 def cluster_by_key(df: DataFrame, key, date_col: str = "date") -> DataFrame:
     """Layout helper: hash-partition by key, newest first within each partition.
 
@@ -119,3 +138,10 @@ def summarize(df: DataFrame, col: str, by=None) -> DataFrame:
     if by is None:
         return df.agg(*aggs)
     return df.groupBy(*_keys(by)).agg(*aggs)
+
+
+def summarize_columns(df: DataFrame, cols, by=None) -> DataFrame:
+    """``summarize`` of several columns in one pass: a row per column (and group), named in ``column``."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("_v")) for c in cols])
+    keys = _keys(by) if by else []
+    return summarize(df.select(*keys, F.inline(cells)), "_v", by=[*keys, "column"])

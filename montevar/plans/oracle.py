@@ -1,10 +1,12 @@
-"""Independent SQL (DuckDB dialect) for every registered query.
+"""SQL (DuckDB dialect) for every registered query.
 
 Each named query is ``WITH <needed CTEs> SELECT ...`` over the driver's tables.
 The CTEs restate the definitions of ``sources.fixtures`` and the operators in
-plain SQL (windows, joins, aggregates); only the numeric helper expressions
+plain SQL (windows, joins, aggregates).  The numeric helper expressions
 (rounding, keyed random numbers, the elimination steps) are rendered from the
-same builders as the engine, through ``functions.exprs.SQL``.
+same builders as the engine, through ``functions.exprs.SQL``; so they are checked by queries of their
+own whose SQL does not use them: ``fit_residual`` (normal equations), ``cholesky_product`` (covariances)
+and ``rounding``.
 """
 
 from __future__ import annotations
@@ -16,11 +18,12 @@ from montevar.functions.numeric import keyed_normal, keyed_uniform, poisson1_thr
 from montevar.functions.linalg import cholesky_stages
 from montevar.operators.regression import ridge_stages, weight_name
 from montevar.operators.risk import ci_indices
-from montevar.operators.series import EPS_PRICE, HORIZON_DAYS, MIN_GAP_DAYS
+from montevar.operators.series import EPS_PRICE, HORIZON_DAYS, HORIZON_ROWS, MIN_GAP_DAYS
 from montevar.plans import pipeline as pl
 from montevar.sources import fixtures as fx
 
 F4 = pl.FACTORS
+_LINE_KEY = "l_returnflag || l_linestatus || '/' || l_orderkey || '/' || l_linenumber"
 FEATS = pl.FEATS
 DIGITS = 9
 
@@ -33,16 +36,16 @@ def q(name: str) -> str:
     return f'"{name}"'
 
 
-PERIOD = (f"l_shipdate >= TIMESTAMP '{fx.START} 00:00:00' "
-          f"AND l_shipdate < TIMESTAMP '{fx.END} 00:00:00' + INTERVAL 1 DAY")
+PERIOD = (f"l_shipdate >= TIMESTAMP '{fx.PERIOD[0]} 00:00:00' "
+          f"AND l_shipdate < TIMESTAMP '{fx.PERIOD[1]} 00:00:00' + INTERVAL 1 DAY")
 DAYNO = "date_diff('day', DATE '1970-01-01', {})"
-FACTOR_LIST = ", ".join(f"'{f}'" for f in F4)
 
 
-def _fill(src: str, key: str) -> str:
-    return (f"SELECT {key}, date, coalesce(open, avg(open) OVER (PARTITION BY {key})) AS open FROM ("
-            f"SELECT {key}, date, last_value(open IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY date "
-            f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS open FROM {src})")
+def _fill(src: str, key: str, cols=("open",)) -> str:
+    mean = ", ".join(f"coalesce({c}, avg({c}) OVER (PARTITION BY {key})) AS {c}" for c in cols)
+    last = ", ".join(f"last_value({c} IGNORE NULLS) OVER (PARTITION BY {key} ORDER BY date "
+                     f"ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS {c}" for c in cols)
+    return f"SELECT {key}, date, {mean} FROM (SELECT {key}, date, {last} FROM {src})"
 
 
 def _returns(src: str, key: str) -> str:
@@ -55,6 +58,13 @@ def _returns(src: str, key: str) -> str:
             f"WHERE gap > {MIN_GAP_DAYS} AND open IS NOT NULL AND open0 IS NOT NULL")
 
 
+def _rows_returns(src: str, key: str, rows: int = HORIZON_ROWS) -> str:
+    base = f"greatest(open0, CAST({EPS_PRICE!r} AS DOUBLE))"
+    return (f"SELECT {key}, date, open, {round_half_away(f'((open - {base}) / {base})', 3, SQL)} AS fluct FROM ("
+            f"SELECT {key}, date, open, lag(open, {rows}) OVER (PARTITION BY {key} ORDER BY date) AS open0 FROM {src}) "
+            f"WHERE open0 IS NOT NULL AND open IS NOT NULL")
+
+
 def _feat(f: str) -> str:
     return f"({f} + sign({f}) * {f} * {f} + sign({f}) * sqrt(abs({f})))"
 
@@ -70,7 +80,7 @@ def _model_moments(src: str = "design") -> str:
     cols = ["count(*) AS n", "avg(label) AS my"]
     cols += [f"avg({q(f)}) AS mx_{i}" for i, f in enumerate(FEATS)]
     cols += [f"covar_pop({q(FEATS[i])}, {q(FEATS[j])}) AS cxx_{i}_{j}" for i in range(d) for j in range(i, d)]
-    cols += [f"covar_pop({q(f)}, label) AS cxy_{i}" for i, f in enumerate(FEATS)]
+    cols += [f"covar_pop({q(f)}, label) AS cxy_{i}" for i, f in enumerate(FEATS)] + ["var_pop(label) AS vy"]
     return f"SELECT symbol, {', '.join(cols)} FROM {src} GROUP BY symbol"
 
 
@@ -131,9 +141,10 @@ def _boot() -> str:
 def _boot_rep() -> str:
     rep = ("SELECT replicate, average_return FROM boot, LATERAL (SELECT unnest(range(CAST(w AS BIGINT)))) "
            "WHERE w > 0")
-    return (f"SELECT replicate, v AS value_at_risk, (SELECT avg(average_return) FROM ({rep}) x "
+    return (f"SELECT replicate, v AS value_at_risk, m AS mean, s AS stddev, (SELECT avg(average_return) FROM ({rep}) x "
             f"WHERE x.replicate = qq.replicate AND x.average_return <= qq.v) AS conditional_var FROM "
-            f"(SELECT replicate, quantile_disc(average_return, {pl.VAR_P!r}) AS v FROM ({rep}) GROUP BY replicate) qq")
+            f"(SELECT replicate, quantile_disc(average_return, {pl.VAR_P!r}) AS v, avg(average_return) AS m, "
+            f"stddev_pop(average_return) AS s FROM ({rep}) GROUP BY replicate) qq")
 
 
 def _kde(src: str, col: str, by: str | None, sd: str, log: bool, points: int = 100) -> str:
@@ -159,18 +170,26 @@ def _kde(src: str, col: str, by: str | None, sd: str, log: bool, points: int = 1
 # name -> (dependencies, body)
 CTES: dict[str, tuple[list[str], str]] = {
     "raw_prices": ([], "SELECT CAST(l.l_suppkey AS VARCHAR) AS symbol, l.l_suppkey AS sym_no, "
-                       "CAST(l.l_shipdate AS DATE) AS date, p.p_retailprice * (1 - l.l_discount) AS open "
-                       f"FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey WHERE {PERIOD}"),
+                       "CAST(l.l_shipdate AS DATE) AS date, p.p_retailprice * (1 - l.l_discount) AS open, l.l_shipdate "
+                       "FROM lineitem l JOIN part p ON p.p_partkey = l.l_partkey"),
     "prices": (["raw_prices"], "SELECT symbol, date, max(open) AS open FROM raw_prices GROUP BY symbol, date"),
+    "prices_period": (["raw_prices"], "SELECT symbol, date, max(open) AS open FROM raw_prices "
+                                      f"WHERE {PERIOD} GROUP BY symbol, date"),
     "prices_gaps": (["raw_prices"],
                     "SELECT symbol, date, CASE WHEN (sym_no + " + DAYNO.format("date") + ") % 7 = 0 "
                     "THEN NULL ELSE open END AS open FROM (SELECT symbol, sym_no, date, max(open) AS open "
                     "FROM raw_prices GROUP BY symbol, sym_no, date)"),
     "factors": ([], "SELECT l_returnflag || l_linestatus AS factor, CAST(l_shipdate AS DATE) AS date, "
                     "CAST(sum(CAST(l_extendedprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) AS open "
-                    f"FROM lineitem WHERE {PERIOD} AND l_returnflag || l_linestatus IN ({FACTOR_LIST}) "
-                    "GROUP BY 1, 2"),
-    "filled": (["prices_gaps"], _fill("prices_gaps", "symbol")),
+                    "FROM lineitem GROUP BY 1, 2"),
+    "factor_levels": (["factors"], f"SELECT factor, date, CASE WHEN {DAYNO.format('date')} % 5 <> 0 THEN open END AS open, "
+                                   f"CASE WHEN {DAYNO.format('date')} % 3 <> 0 THEN open / 2 END AS close FROM factors"),
+    "filled_gaps": (["prices_gaps"], _fill("prices_gaps", "symbol")),
+    "filled_period": (["prices_period"], _fill("prices_period", "symbol")),
+    "returns_period": (["filled_period"], _returns("filled_period", "symbol")),
+    "portfolio": (["stock_returns"], "SELECT date, avg(fluct) AS avg_return FROM stock_returns GROUP BY date"),
+    "filled": (["prices"], _fill("prices", "symbol")),
+    "returns_rows": (["filled"], _rows_returns("filled", "symbol")),
     "stock_returns": (["filled"], _returns("filled", "symbol")),
     "factors_filled": (["factors"], _fill("factors", "factor")),
     "factor_returns": (["factors_filled"], _returns("factors_filled", "factor")),
@@ -226,12 +245,18 @@ CTES["predict_test_train"] = (["split", "models_train"],
                               " + ".join(f"m.{q(weight_name(f))} * s.{q(f)}" for f in FEATS) +
                               ") AS prediction FROM split s JOIN models_train m ON s.symbol = m.symbol "
                               "WHERE NOT s.is_train")
-CTES["r2"] = (["predict_test"],
-              "SELECT symbol, n, score FROM (SELECT symbol, n, CASE WHEN n < 2 THEN NULL WHEN ss_tot = 0 THEN "
-              "(CASE WHEN ss_res = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) "
-              "ELSE 1 - ss_res / ss_tot END AS score FROM (SELECT symbol, count(*) AS n, "
-              "sum((label - prediction) * (label - prediction)) AS ss_res, var_pop(label) * count(label) AS ss_tot "
-              "FROM predict_test GROUP BY symbol)) WHERE score IS NOT NULL AND NOT isnan(score)")
+
+
+def _r2_from(pred: str) -> str:
+    return ("SELECT symbol, n, score FROM (SELECT symbol, n, CASE WHEN n < 2 THEN NULL WHEN lo = hi THEN "
+            "(CASE WHEN ss_res <= n * 1e-24 * greatest(hi * hi, 1e-24) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) "
+            "ELSE 1 - ss_res / ss_tot END AS score FROM (SELECT symbol, count(*) AS n, "
+            "sum((label - prediction) * (label - prediction)) AS ss_res, min(label) AS lo, max(label) AS hi, "
+            "var_pop(label) * count(label) AS ss_tot "
+            f"FROM {pred} GROUP BY symbol)) WHERE score IS NOT NULL AND NOT isnan(score)")
+
+
+CTES["r2"] = (["predict_test"], _r2_from("predict_test"))
 CTES["failures"] = (["stock_returns", "var", "cvar"],
                     "SELECT m.risk_measure, CAST(sum(CASE WHEN s.total / s.cnt < 0 AND s.total / s.cnt < m.v THEN 1 "
                     "ELSE 0 END) AS BIGINT) AS failures, CAST(sum(s.cnt) AS BIGINT) AS size FROM "
@@ -240,14 +265,6 @@ CTES["failures"] = (["stock_returns", "var", "cvar"],
                     "SELECT 'cvar', conditional_var FROM cvar) m GROUP BY m.risk_measure")
 
 
-def _r2_from(pred: str) -> str:
-    return ("SELECT symbol, n, score FROM (SELECT symbol, n, CASE WHEN n < 2 THEN NULL WHEN ss_tot = 0 THEN "
-            "(CASE WHEN ss_res = 0 THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END) "
-            "ELSE 1 - ss_res / ss_tot END AS score FROM (SELECT symbol, count(*) AS n, "
-            "sum((label - prediction) * (label - prediction)) AS ss_res, var_pop(label) * count(label) AS ss_tot "
-            f"FROM {pred} GROUP BY symbol)) WHERE score IS NOT NULL AND NOT isnan(score)")
-
-
 def with_ctes(needed: list[str], select: str) -> str:
     order: list[str] = []
 
@@ -313,22 +330,55 @@ def oracle_sql() -> dict[str, str]:
             "SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, "
             "TRY_CAST(replace(format('{:,.2f}', l_extendedprice), ',', '') AS DOUBLE) AS open "
             "FROM lineitem WHERE l_returnflag <> 'R'"),
-        "period_filter": with_ctes(["raw_prices"], "SELECT symbol, date, open FROM raw_prices"),
+        "price_lines_csv": (
+            "SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_orderkey AS VARCHAR) AS l_orderkey, "
+            "CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_shipdate AS DATE) AS date, "
+            "l_extendedprice AS open, l_extendedprice AS high, l_extendedprice AS low, "
+            "format('{:,.2f}', l_extendedprice) AS close, '100' AS volume FROM lineitem WHERE l_returnflag <> 'R'"),
+        "factor_lines_tsv": (
+            f"SELECT {_LINE_KEY} AS factor, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS open, l_extendedprice AS high, "
+            "l_extendedprice AS low, l_extendedprice AS close, l_extendedprice AS adj_close, "
+            "floor(l_extendedprice) AS volume FROM lineitem"),
+        "factor_lines_csv": (
+            f"SELECT {_LINE_KEY} AS factor, CAST(l_shipdate AS DATE) AS date, r AS open, CAST(l_linenumber AS DOUBLE) AS high, "
+            "CASE WHEN l_linenumber <> 1 THEN r END AS low, r AS close, CAST(NULL AS DOUBLE) AS adj_close, "
+            "CAST(l_quantity AS DOUBLE) * 1000 AS volume FROM (SELECT *, "
+            "CAST(CAST(l_discount AS DECIMAL(4,2)) - 0.05 AS DOUBLE) AS r FROM lineitem)"),
+        "rounding": (
+            "SELECT l_orderkey, l_linenumber, round(sqrt(l_extendedprice) * (CASE WHEN l_returnflag = 'R' THEN -1 ELSE 1 END), 3) "
+            "AS rounded FROM lineitem"),
+        "period_filter": with_ctes(["raw_prices"], f"SELECT symbol, date, open FROM raw_prices WHERE {PERIOD}"),
         "dedup_prices": with_ctes(["prices"], "SELECT symbol, date, open FROM prices"),
-        "factor_union": with_ctes(["factors"], "SELECT factor, date, open FROM factors"),
+        "factor_union": with_ctes(["factors"], (
+            "SELECT factor, date, open FROM factors UNION ALL SELECT 'order-' || o_orderstatus, CAST(o_orderdate AS DATE), "
+            "CAST(sum(CAST(o_totalprice AS DECIMAL(18,2))) AS DOUBLE) / count(*) FROM orders GROUP BY 1, 2")),
         "symbol_semi_scan": with_ctes(["prices"], (
             "SELECT symbol, date, open FROM prices WHERE symbol IN (SELECT CAST(s_suppkey AS VARCHAR) "
             "FROM supplier s JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region rg "
             "ON n.n_regionkey = rg.r_regionkey WHERE rg.r_name = 'EUROPE')")),
         # series
-        "fill_recent": with_ctes(["filled"], f"SELECT symbol, date, {r('open')} AS open FROM filled"),
+        "fill_recent": with_ctes(["filled_gaps"], f"SELECT symbol, date, {r('open')} AS open FROM filled_gaps"),
+        "fill_columns": with_ctes(["factor_levels"], f"SELECT factor, date, {r('open')} AS open, {r('close')} AS close FROM "
+                                                     f"({_fill('factor_levels', 'factor', ('open', 'close'))})"),
+        "stock_returns_period": with_ctes(["returns_period"],
+                                          f"SELECT symbol, date, {r('open')} AS open, fluct FROM returns_period"),
+        "stock_returns_rows": with_ctes(["returns_rows"], f"SELECT symbol, date, {r('open')} AS open, fluct FROM returns_rows"),
+        "historical_var": with_ctes(["portfolio"], (
+            f"SELECT {r('v')} AS value_at_risk, {r('(SELECT avg(avg_return) FROM portfolio WHERE avg_return <= v)')} "
+            f"AS conditional_var FROM (SELECT quantile_disc(avg_return, {pl.VAR_P!r}) AS v FROM portfolio)")),
+        # 5 % quantile of the standard normal and its density there over 5 %, from tables
+        "variance_covariance_var": with_ctes(["portfolio"], (
+            f"SELECT {r('avg(avg_return) - 1.6448536269514722 * stddev_samp(avg_return)')} AS value_at_risk, "
+            f"{r('avg(avg_return) - 2.0627128075074257 * stddev_samp(avg_return)')} AS conditional_var FROM portfolio")),
         "stock_returns": with_ctes(["stock_returns"], f"SELECT symbol, date, {r('open')} AS open, fluct FROM stock_returns"),
         "factor_returns": with_ctes(["factor_returns"], f"SELECT factor, date, {r('open')} AS open, fluct FROM factor_returns"),
         "portfolio_daily_return": with_ctes(["stock_returns"],
                                             f"SELECT date, {r('avg(fluct)')} AS avg_return FROM stock_returns GROUP BY date"),
         "returns_summary": with_ctes(["stock_returns"], _summary(
             "(SELECT date, avg(fluct) AS avg_return FROM stock_returns GROUP BY date)", "avg_return")),
-        "factor_summary": with_ctes(["factor_returns"], _summary("factor_returns", "fluct", "factor")),
+        "factor_summary": with_ctes(["factor_returns"], " UNION ALL ".join(
+            _summary("factor_returns", c, "factor").replace("SELECT factor,", f"SELECT factor, '{c}' AS \"column\",")
+            for c in ("open", "fluct"))),
         # features and design
         "factor_features": with_ctes(["ff"], f"SELECT factor, date, k, fluct, {r('feat')} AS feat FROM ff"),
         "feature_table": with_ctes(["features"], "SELECT k, " + ", ".join(f"{r(q(c))} AS {q(c)}" for c in FEATS)
@@ -350,8 +400,15 @@ def oracle_sql() -> dict[str, str]:
             "(SELECT k, f, v FROM aligned UNPIVOT (v FOR f IN (" + ", ".join(q(f) for f in F4) + "))) a JOIN " +
             "(SELECT k, f, v FROM aligned UNPIVOT (v FOR f IN (" + ", ".join(q(f) for f in F4) + "))) b " +
             "ON a.k = b.k GROUP BY a.f, b.f"),
-        "model_moments": with_ctes(["model_moments"], "SELECT symbol, n, " + r("my") + " AS my, " + ", ".join(
-            f"{r(f'cxy_{i}')} AS cxy_{i}" for i in range(d)) + " FROM model_moments"),
+        "model_moments": with_ctes(["model_moments"], "SELECT symbol, n, " + ", ".join(
+            f"{r(c, 6)} AS {c}" for c in ["my", "vy", *[f"mx_{i}" for i in range(d)], *[f"cxy_{i}" for i in range(d)],
+                                       *[f"cxx_{i}_{j}" for i in range(d) for j in range(i, d)]]) + " FROM model_moments"),
+        # At the minimum all gradients are zero, whatever solved the equations.
+        "fit_residual": with_ctes(["design"], "SELECT symbol, CAST(0 AS DOUBLE) AS g_intercept, " + ", ".join(
+            f"CAST(0 AS DOUBLE) AS {q('g_' + f)}" for f in FEATS) + " FROM design GROUP BY symbol"),
+        "cholesky_product": with_ctes(["aligned"], " UNION ALL ".join(
+            f"SELECT '{a}' AS factor_a, '{b}' AS factor_b, {r(f'covar_samp({q(a)}, {q(b)})')} AS cov FROM aligned"
+            for i, a in enumerate(F4) for b in F4[:i + 1])),
         "fit_linear": with_ctes(["models"], f"SELECT symbol, n, {r('intercept')} AS intercept, {w_sel} FROM models"),
         "predict_test": with_ctes(["predict_test"], f"SELECT symbol, k, label, {r('prediction')} AS prediction FROM predict_test"),
         "r2_scores": with_ctes(["r2"], f"SELECT symbol, n, {r('score')} AS score FROM r2"),
@@ -367,6 +424,7 @@ def oracle_sql() -> dict[str, str]:
                                              f"count(average_return) AS count, {r('stddev_pop(average_return)')} AS stddev FROM trials"),
         "bootstrap_var": with_ctes(["boot_rep"], _boot_ci("value_at_risk", "var")),
         "bootstrap_cvar": with_ctes(["boot_rep"], _boot_ci("conditional_var", "cvar")),
+        "bootstrap_mean": with_ctes(["boot_rep"], _boot_ci("mean", "mean") + " UNION ALL " + _boot_ci("stddev", "stddev")),
         "failures": with_ctes(["failures"], "SELECT risk_measure, failures, size FROM failures"),
         "kupiec": with_ctes(["failures"], f"SELECT risk_measure, failures, size, {r(_kupiec('failures', 'size', p))} "
                                           "AS kupiec_pof FROM failures"),

@@ -1,15 +1,11 @@
-"""Session helpers: configuration defaults, checkpoint folder, bounded broadcast."""
+"""Session helpers: configuration defaults and the checkpoint folder."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
-
-# Rows x bytes below which a side with a *proven* row bound is broadcast.
-BROADCAST_MAX_ROWS = 2_000_000
-
+from pyspark.sql import SparkSession
 
 def build_session(master: str | None = None, app: str = "montevar",
                   shuffle_partitions: int | None = None,
@@ -55,48 +51,19 @@ def build_session(master: str | None = None, app: str = "montevar",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
+    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    The cluster's setting is always used when present.  Only when it is unset
-    (local tests) a fresh scratch folder is created and registered.
+    Where it is unset, a local session (tests, a notebook) gets a fresh scratch folder; on a cluster
+    that is an error, because executors could not see a folder of the driver's machine.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
+    current = sc.getCheckpointDir()
     if current:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not (sc.master == "local" or sc.master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="montevar-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir() or configured
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int | None,
-                      limit: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only when ``max_rows`` is a proven upper bound on its size.
-
-    ``max_rows`` must come from the query's parameters (a period length, a
-    parameter such as the number of replicates), never from a guess.  Beyond the
-    limit, or without a bound, the side is left to the planner and AQE, which
-    choose a shuffle join or convert to a broadcast at run time from real sizes.
-    """
-    if max_rows is not None and 0 <= max_rows <= limit:
-        return F.broadcast(df)
-    return df
-
-
-def period_days(start: str | None, end: str | None) -> int | None:
-    """Number of calendar days in an inclusive period, or None when open."""
-    if not start or not end:
-        return None
-    from datetime import date
-    d0, d1 = date.fromisoformat(str(start)), date.fromisoformat(str(end))
-    return max((d1 - d0).days + 1, 0)
-
-
-def env_int(name: str, default: int) -> int:
-    try:
-        return int(os.environ.get(name, default))
-    except ValueError:
-        return default

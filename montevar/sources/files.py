@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from montevar.functions.parsing import (INDEX_CSV_DATE, INDEX_TSV_DATE, STOCK_DATE,
@@ -30,17 +30,30 @@ def load_symbols(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(sym.alias("symbol")).where(F.length("symbol") > 0)
 
 
+def symbol_of_file() -> Column:
+    """The scanned file's name without ``.csv``.  File metadata is URL-encoded; a plus sign stays one."""
+    name = F.try_url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_extract(name, r"^(.*)\.csv$", 1)
+
+
+def _holds_csv(spark: SparkSession, directory: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(directory.rstrip("/") + "/*.csv")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return found is not None and len(found) > 0
+
+
 def read_price_text(spark: SparkSession, directory: str) -> DataFrame:
     """All ``<symbol>.csv`` files of a folder as STRING columns plus ``symbol``.
 
-    Missing, zero-byte and header-only files contribute no rows.  The symbol is
-    the file name without ``.csv``, read from the scan's file metadata.
+    Missing, zero-byte and header-only files contribute no rows, nor does a folder
+    without files.  The symbol is the file name without ``.csv``, read from the scan's file metadata.
     """
+    if not _holds_csv(spark, directory):
+        return spark.createDataFrame([], _string_schema([*STOCK_COLUMNS, "symbol"]))
     raw = (spark.read.schema(_string_schema(STOCK_COLUMNS))
            .option("header", True).option("mode", "PERMISSIVE")
            .csv(directory.rstrip("/") + "/*.csv"))
-    return raw.select(*STOCK_COLUMNS,
-                      F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("symbol"))
+    return raw.select(*STOCK_COLUMNS, symbol_of_file().alias("symbol"))
 
 
 def parse_prices(raw: DataFrame, date_format: str = STOCK_DATE,
@@ -69,13 +82,20 @@ def load_prices(spark: SparkSession, directory: str, symbols: DataFrame | None =
 
 def load_factor_file(spark: SparkSession, path: str, factor: str, sep: str = ",",
                      date_format: str = INDEX_CSV_DATE) -> DataFrame:
-    """One factor file (header row; columns taken by position) as the long factor layout."""
+    """One factor file (header row; columns taken by position) as the long factor layout.
+
+    Values are numbers with optional thousands commas, sign and exponent: rates may be negative.
+    """
     raw = spark.read.option("header", True).option("sep", sep).schema(
         _string_schema(FACTOR_COLUMNS)).csv(path)
-    cols = [nan_to_null(parse_number_text(c)).alias(c.lower().replace(" ", "_"))
+    return parse_factor(raw.withColumn("factor", F.lit(factor)), date_format)
+
+
+def parse_factor(raw: DataFrame, date_format: str = INDEX_CSV_DATE) -> DataFrame:
+    """Typed factor rows ``factor, date, open, ...`` of landed text columns."""
+    cols = [nan_to_null(parse_number_text(c, allow_negative=True)).alias(c.lower().replace(" ", "_"))
             for c in FACTOR_COLUMNS[1:]]
-    df = raw.select(F.lit(factor).alias("factor"),
-                    parse_date_text("Date", date_format).alias("date"), *cols)
+    df = raw.select("factor", parse_date_text("Date", date_format).alias("date"), *cols)
     return df.where(F.col("date").isNotNull())
 
 
@@ -96,3 +116,10 @@ def default_factor_specs(directory: str):
             ("IXIC", f"{d}/IXIC.csv", ",", INDEX_CSV_DATE),
             ("FVX", f"{d}/FVX.csv", ",", INDEX_CSV_DATE),
             ("TYX", f"{d}/TYX.csv", ",", INDEX_CSV_DATE)]
+
+
+def columns_of_lines(lines: DataFrame, columns, sep: str = ",") -> DataFrame:
+    """Text columns of file lines that are rows of a table already (column ``line``)."""
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    others = [c for c in lines.columns if c != "line"]
+    return lines.select(*others, F.from_csv("line", schema, {"sep": sep}).alias("_c")).select(*others, "_c.*")

@@ -9,28 +9,19 @@ work grows with the tables.  The identical definitions in SQL live in
 from __future__ import annotations
 
 from datetime import date, timedelta
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from montevar.operators.series import dedup_series
 
-# The study period and the four factor series of the fixtures.
-START = "1997-01-01"
-END = "1998-12-31"
-FACTORS = ["AF", "AO", "NF", "NO"]
-
-
-_TABLES: dict = {}
+# The factor series of the fixtures, and the period of the queries that cut one.
+FACTORS = ["AF", "AO", "NF", "NO", "RF", "RO"]
+PERIOD = ("1997-01-01", "1998-12-31")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The driver's table ``name``; one reader (one footer/schema read) per session and path."""
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (id(spark), spark.sparkContext.applicationId, path)
-    if key not in _TABLES:
-        _TABLES[key] = spark.read.parquet(path)
-    return _TABLES[key]
+    """The driver's table ``name``."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _ship_window(li: DataFrame, start: str | None, end: str | None) -> DataFrame:
@@ -57,39 +48,51 @@ def raw_prices(spark: SparkSession, sf_dir: str, start: str | None = None,
                     (F.col("p_retailprice") * (1 - F.col("l_discount"))).alias("open"))
 
 
-def prices(spark: SparkSession, sf_dir: str, start: str = START, end: str = END) -> DataFrame:
+def prices(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """Daily price per symbol: ``symbol, date, open`` (max over the day's rows)."""
     return dedup_series(raw_prices(spark, sf_dir, start, end).drop("sym_no"), "symbol")
 
 
-def prices_gaps(spark: SparkSession, sf_dir: str, start: str = START, end: str = END) -> DataFrame:
+def prices_gaps(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
     """``prices`` with ``open`` NULL where ``(symbol + day number) % 7 = 0``."""
     p = dedup_series(raw_prices(spark, sf_dir, start, end), ["symbol", "sym_no"])
     gap = ((F.col("sym_no") + F.unix_date("date")) % 7) == 0
     return p.select("symbol", "date", F.when(~gap, F.col("open")).alias("open"))
 
 
-def factors(spark: SparkSession, sf_dir: str, start: str = START, end: str = END,
-            names=tuple(FACTORS)) -> DataFrame:
-    """Daily factor level: ``factor, date, open`` = exact mean extended price of the day."""
+def _daily_level(rows: DataFrame) -> DataFrame:
+    """Exact mean of the decimal ``px`` by ``factor`` and ``date``."""
+    return rows.groupBy("factor", "date").agg((F.sum("px").cast("double") / F.count(F.lit(1))).alias("open"))
+
+
+def factors(spark: SparkSession, sf_dir: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Daily factor level: ``factor, date, open`` = exact mean extended price of the day, one scan for all series."""
     li = _ship_window(table(spark, sf_dir, "lineitem")
                       .select("l_returnflag", "l_linestatus", "l_extendedprice", "l_shipdate"), start, end)
-    fac = F.concat("l_returnflag", "l_linestatus")
-    # Per-column superset of the factor list: pushable to the Parquet scan.
-    li = li.where(F.col("l_returnflag").isin(sorted({n[0] for n in names if len(n) == 2}))
-                  & F.col("l_linestatus").isin(sorted({n[1] for n in names if len(n) == 2})))
-    li = li.select(fac.alias("factor"), F.col("l_shipdate").cast("date").alias("date"),
-                   F.col("l_extendedprice").cast("decimal(18,2)").alias("px"))
-    li = li.where(F.col("factor").isin(list(names)))
-    return li.groupBy("factor", "date").agg(
-        (F.sum("px").cast("double") / F.count(F.lit(1))).alias("open"))
+    return _daily_level(li.select(F.concat("l_returnflag", "l_linestatus").alias("factor"),
+                                  F.col("l_shipdate").cast("date").alias("date"),
+                                  F.col("l_extendedprice").cast("decimal(18,2)").alias("px")))
+
+
+def order_factors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Daily order level by order status, in the layout of ``factors``: another source of series."""
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", "o_orderdate", "o_totalprice")
+    return _daily_level(o.select(F.concat(F.lit("order-"), "o_orderstatus").alias("factor"),
+                                 F.col("o_orderdate").cast("date").alias("date"),
+                                 F.col("o_totalprice").cast("decimal(18,2)").alias("px")))
+
 
+def factor_series_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The series of both sources in one long table; each source is scanned once."""
+    return factors(spark, sf_dir).unionByName(order_factors(spark, sf_dir))
 
-def factor_series_union(spark: SparkSession, sf_dir: str, start: str = START, end: str = END,
-                        names=tuple(FACTORS)) -> DataFrame:
-    """The factor table assembled as the union of one frame per factor."""
-    frames = [factors(spark, sf_dir, start, end, names=(n,)) for n in names]
-    return reduce(lambda a, b: a.unionByName(b), frames)
+
+def factor_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Factors with two value columns and gaps: ``factor, date, open, close`` (gaps fall on different days)."""
+    f = factors(spark, sf_dir)
+    day = F.unix_date("date")
+    return f.select("factor", "date", F.when(day % 5 != 0, F.col("open")).alias("open"),
+                    F.when(day % 3 != 0, F.col("open") / 2).alias("close"))
 
 
 def symbols(spark: SparkSession, sf_dir: str, region: str | None = None) -> DataFrame:
@@ -112,7 +115,7 @@ def prices_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     li = table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_linenumber", "l_suppkey", "l_extendedprice",
-        "l_returnflag", "l_linestatus", "l_shipdate")
+        "l_returnflag", "l_linestatus", "l_shipdate", "l_discount", "l_quantity")
     d = F.col("l_shipdate").cast("date")
     bad = F.col("l_returnflag") == "R"
     px = F.format_number("l_extendedprice", 2)
@@ -125,5 +128,32 @@ def prices_text(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.date_format(d, "yyyy-MM-dd").alias("csv_date_text"),
         px.alias("open_text"),
         F.when(bad, F.concat(F.lit("-"), px)).otherwise(px).alias("low_text"),
-        F.concat("l_returnflag", "l_linestatus").alias("junk_text"),
+        F.concat("l_returnflag", "l_linestatus").alias("junk_text"), "l_discount", "l_quantity",
     )
+
+
+def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the stock files, one per line item: ``l_orderkey, l_linenumber, symbol, line``."""
+    t = prices_text(spark, sf_dir)
+    quoted = lambda c: F.concat(F.lit('"'), F.col(c), F.lit('"'))
+    return t.select("l_orderkey", "l_linenumber", "symbol", F.concat_ws(
+        ",", "stock_date_text", quoted("open_text"), quoted("open_text"), quoted("low_text"), quoted("open_text"),
+        F.lit("100")).alias("line"))
+
+
+def factor_lines(spark: SparkSession, sf_dir: str, tsv: bool) -> DataFrame:
+    """Lines of the factor files, one per line item: ``l_orderkey, l_linenumber, factor, line``.
+
+    The TSV layout has thousands commas; the CSV layout negative rates, exponents and NaN.
+    """
+    t = prices_text(spark, sf_dir)
+    rate = F.format_number(F.col("l_discount") - 0.05, 2)
+    volume = F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit("e3"))
+    if tsv:
+        values = ["tsv_date_text", *["open_text"] * 5, F.substring_index("open_text", ".", 1)]
+    else:
+        missing = F.when(F.col("l_linenumber") == 1, F.lit("NaN")).otherwise(rate)
+        values = ["csv_date_text", rate, F.concat(F.lit("+"), F.col("l_linenumber").cast("string")), missing, rate, F.lit("null"),
+                  volume]
+    return t.select("l_orderkey", "l_linenumber", F.col("junk_text").alias("factor"),
+                    F.concat_ws("\t" if tsv else ",", *values).alias("line"))

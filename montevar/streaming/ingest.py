@@ -1,21 +1,24 @@
 """Incremental ingest of per-symbol price files with Structured Streaming.
 
 New ``<symbol>.csv`` files dropped into a folder are parsed with the same native
-expressions as the batch reader and appended to a Parquet price table.  The
-file source records which files it has processed in the checkpoint, so each
-file is ingested exactly once across restarts; ``availableNow`` processes what
-is there and stops, which suits a daily batch cadence.  Duplicate observations
-are left to ``operators.series.dedup_series`` at read time.
+expressions as the batch reader and appended to a Parquet price table.
+
+The stream's progress lies below the table it fills, one folder for each source, so it is found again by
+any later session and sources do not share it.  Every batch is written to a partition folder of its own
+(``source=<digest>/batch=<number>``) which a repeated batch overwrites: each file is in the table exactly once across
+restarts.  ``availableNow`` processes what is there and stops, which suits a daily batch cadence.
+Duplicate observations are left to ``operators.series.dedup_series`` at read time.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import hashlib
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from montevar.functions.parsing import STOCK_DATE
-from montevar.session import checkpoint_dir
-from montevar.sources.files import STOCK_COLUMNS, _string_schema, parse_prices
+from montevar.sources.files import STOCK_COLUMNS, _string_schema, parse_prices, symbol_of_file
 
 
 def price_file_stream(spark: SparkSession, directory: str, date_format: str = STOCK_DATE,
@@ -25,20 +28,29 @@ def price_file_stream(spark: SparkSession, directory: str, date_format: str = ST
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = reader.csv(directory.rstrip("/") + "/*.csv")
-    raw = raw.select(*STOCK_COLUMNS,
-                     F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.csv$", 1).alias("symbol"))
-    return parse_prices(raw, date_format)
+    return parse_prices(raw.select(*STOCK_COLUMNS, symbol_of_file().alias("symbol")), date_format)
 
 
 def ingest_prices(spark: SparkSession, source_dir: str, table_dir: str,
                   checkpoint_location: str | None = None, available_now: bool = True) -> StreamingQuery:
-    """Start (and with ``available_now`` run to completion) the ingest into ``table_dir``.
+    """Start (and with ``available_now`` run to completion) the ingest of one folder into ``table_dir``.
 
-    The stream's own progress lives under the cluster's checkpoint folder unless
-    a location is given.
+    Progress lies in ``<table_dir>/_progress/<source>`` (readers skip names with an underscore)
+    unless a location is given; a location must not be shared by two sources.
     """
-    ckpt = checkpoint_location or f"{checkpoint_dir(spark).rstrip('/')}/ingest-prices"
-    writer = (price_file_stream(spark, source_dir).writeStream.format("parquet")
-              .option("path", table_dir).option("checkpointLocation", ckpt).outputMode("append"))
+    source, table = source_dir.rstrip("/"), table_dir.rstrip("/")
+    digest = hashlib.sha256(source.encode()).hexdigest()[:16]
+    progress = checkpoint_location or f"{table}/_progress/{digest}"
+
+    def append(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{table}/source={digest}/batch={number}")
+
+    writer = (price_file_stream(spark, source).writeStream.foreachBatch(append)
+              .option("checkpointLocation", progress).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
+
+
+def read_prices(spark: SparkSession, table_dir: str) -> DataFrame:
+    """The ingested table without the partition columns."""
+    return spark.read.parquet(table_dir).drop("source", "batch")

@@ -21,7 +21,7 @@ def spark():
 @pytest.fixture(scope="session")
 def built_queries(spark):
     """Each registered query built once on sf0.001 and shared by the plan and oracle tests."""
-    from __spark_entry__ import queries
+    from montevar.plans.catalog import queries
     cache = {}
 
     def get(name):

@@ -91,13 +91,15 @@ def test_bootstrap_weighted_quantile_matches_expanded_sample(spark):
     rng = np.random.default_rng(5)
     t = spark.createDataFrame([(i, float(v)) for i, v in enumerate(np.round(rng.normal(size=300), 2))],
                               "trial_id bigint, average_return double")
-    got = {r.replicate: r for r in risk.replicate_risk(t, num=20, p=0.05, seed=9).collect()}
+    got = {r.replicate: r for r in risk.replicate_stats(t, num=20, p=0.05, seed=9).collect()}
     w = risk.resample_weights(t, num=20, seed=9).toPandas()
     for r, g in w.groupby("replicate"):
         vals = np.sort(np.repeat(g["average_return"].to_numpy(), g["w"].astype(int).to_numpy()))
         var = vals[int(np.ceil(0.05 * len(vals))) - 1]
-        assert got[r].value_at_risk == var
-        assert got[r].conditional_var == pytest.approx(vals[vals <= var].mean(), abs=1e-12)
+        assert got[r]["var"] == var
+        assert got[r].cvar == pytest.approx(vals[vals <= var].mean(), abs=1e-12)
+        assert got[r]["mean"] == pytest.approx(vals.mean(), abs=1e-12)
+        assert got[r].stddev == pytest.approx(vals.std(), abs=1e-12)
     # weights are Poisson(1): mean and variance near one
     allw = w.groupby("replicate")["w"].sum() / 300
     assert abs(allw.mean() - 1) < 0.05
@@ -133,9 +135,9 @@ def test_study_results_do_not_depend_on_shuffle_partitions(spark):
     prev = spark.conf.get("spark.sql.shuffle.partitions")
     try:
         spark.conf.set("spark.sql.shuffle.partitions", "3")
-        a = pl.RiskStudy(spark, SF_SMALL, n_trials=500).risk_report().collect()
+        a = pl.RiskStudy.from_tables(spark, SF_SMALL, n_trials=500).risk_report().collect()
         spark.conf.set("spark.sql.shuffle.partitions", "13")
-        b = pl.RiskStudy(spark, SF_SMALL, n_trials=500).risk_report().collect()
+        b = pl.RiskStudy.from_tables(spark, SF_SMALL, n_trials=500).risk_report().collect()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", prev)
     assert a[0].trials == b[0].trials == 500
@@ -162,7 +164,7 @@ def test_distributed_quantile_equals_percentile_disc(spark, n, p):
     vals = np.round(rng.normal(size=n), 1)          # many ties
     df = spark.createDataFrame([(float(v),) for v in vals], "x double")
     got = risk.lower_quantile(df, "x", p).collect()[0].value
-    want = df.agg(risk._disc_quantile("x", p).alias("v")).collect()[0].v
+    want = df.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)").alias("v")).collect()[0].v
     assert got == want
 
 
@@ -172,7 +174,7 @@ def test_distributed_quantile_with_a_hot_value(spark):
                                    .otherwise(F.sin(F.col("id").cast("double"))).alias("x"))
     for p in (0.05, 0.5, 0.7):
         got = risk.lower_quantile(df, "x", p).collect()[0].value
-        want = df.agg(risk._disc_quantile("x", p).alias("v")).collect()[0].v
+        want = df.agg(F.expr(f"percentile_disc({p}) WITHIN GROUP (ORDER BY x)").alias("v")).collect()[0].v
         assert got == want
 
 
@@ -181,11 +183,69 @@ def test_distributed_quantile_empty_input(spark):
     assert risk.lower_quantile(df, "x", 0.05).collect()[0].value is None
 
 
-def test_bounded_quantile_path_agrees(spark):
-    df = spark.range(5000).select(F.sin(F.col("id") * 0.37).alias("x"))
-    a = risk.lower_quantile(df, "x", 0.05, max_rows=5000).collect()[0].value
-    b = risk.lower_quantile(df, "x", 0.05).collect()[0].value
-    assert a == b
+def test_distributed_quantile_wherever_the_bracket_lies(spark, monkeypatch):
+    """A bracket that misses the rank, or is a single value, costs work but never the result."""
+    df = spark.range(5000).select((F.pmod(F.xxhash64("id"), F.lit(997)) * F.when(F.col("id") % 2 == 0, 1e-300).otherwise(1e300)).alias("x"))
+    vals = sorted(r.x for r in df.collect())
+    for accuracy in (2, 10, 10**6):
+        monkeypatch.setattr(risk, "BRACKET_ACCURACY", accuracy)
+        for p in (0.01, 0.37, 0.999):
+            assert risk.lower_quantile(df, "x", p).collect()[0].value == vals[max(int(np.ceil(p * 5000)) - 1, 0)]
+
+
+def test_a_null_anywhere_leaves_the_row_out(spark):
+    rng = np.random.default_rng(2)
+    rows = [("S", k, float(rng.normal()), *map(float, rng.normal(size=3))) for k in range(20)]
+    holes = [("S", 20, None, 1.0, 1.0, 1.0), ("S", 21, 1.0, None, 1.0, 1.0), ("S", 22, 1.0, 1.0, None, 1.0), ("S", 23, 1.0, 1.0, 1.0, None)]
+    schema = "symbol string, k int, label double, a_feat double, b_feat double, c_feat double"
+    clean, holed = (spark.createDataFrame(r, schema) for r in (rows, rows + holes))
+    for f in (lambda d: regression.fit_linear(d, FEATS), lambda d: regression.model_moments(d, FEATS)):
+        a, b = f(clean).collect()[0].asDict(), f(holed).collect()[0].asDict()
+        assert a["n"] == b["n"] == 20
+        assert all(a[c] == pytest.approx(b[c], abs=1e-12) for c in a if c != "symbol")
+
+
+def test_a_constant_label_is_told_by_its_range(spark):
+    rng = np.random.default_rng(3)
+    rows = [("S", k, 0.1, *map(float, rng.normal(size=3))) for k in range(37)]
+    d = spark.createDataFrame(rows, "symbol string, k int, label double, a_feat double, b_feat double, c_feat double")
+    from montevar.operators import features
+    assert regression.fit_and_score(d, FEATS).collect()[0].score == 1.0
+    pred = regression.predict(features.split_test(d), regression.fit_linear(d, FEATS), FEATS)
+    assert regression.r2_by_symbol(pred).collect()[0].score == 1.0
+    off = pred.withColumn("prediction", F.col("prediction") + 0.01)
+    assert regression.r2_by_symbol(off).collect()[0].score == 0.0
+
+
+def test_moments_need_no_window(spark, design):
+    for df in (regression.model_moments(design, FEATS), regression.fit_linear(design, FEATS)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Window" not in plan and "partial_covar_pop" in plan
+
+
+def test_density_of_a_group_without_spread_is_null(spark):
+    df = spark.createDataFrame([("flat", 1.0)] * 5 + [("one", 2.0)] + [("ok", float(k % 7)) for k in range(50)], "f string, v double")
+    d = density.kde(df, "v", by="f", points=10).toPandas()
+    assert d[d.f != "ok"].density.isna().all() and d[d.f == "ok"].density.notna().all()
+    assert density.kde(df.where("f = 'flat'"), "v", points=10, log=True).toPandas().log_density.isna().all()
+
+
+def test_options_are_checked(spark):
+    df = spark.createDataFrame([("S", 1.0)], "symbol string, fluct double").withColumn("date", F.current_date())
+    from montevar.operators import backtest, features
+    with pytest.raises(ValueError):
+        backtest.count_failures(df, 0.1, unit="observations")
+    with pytest.raises(ValueError):
+        features.feature_table(df, ["A"], align="dates")
+    with pytest.raises(ValueError):
+        density.kde(df, "fluct", sd="sample")
+    with pytest.raises(ValueError):
+        risk.bootstrap_ci(df, "median")
+    with pytest.raises(ValueError):
+        risk.bootstrap_ci(df, "var", probability=0.0)
+    for unit in ("reference", "observation"):
+        r = backtest.count_failures(df.limit(0), 0.1, unit=unit).collect()[0]
+        assert (r.failures, r["size"]) == (0, 0)
 
 
 def test_fit_on_train_uses_only_newest_rows(design):

@@ -1,22 +1,29 @@
-"""Session helpers: checkpoint folder from the session, bounded broadcast."""
-from montevar.session import bounded_broadcast, checkpoint_dir, period_days
+"""Session helpers: the checkpoint folder comes from the session."""
+import types
 
+import pytest
 
-def test_checkpoint_folder_comes_from_the_session(spark):
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+from montevar.session import checkpoint_dir
+
+
+def test_a_local_session_gets_one_scratch_folder(spark):
     got = checkpoint_dir(spark)
-    assert configured is not None
-    assert got.replace("file:", "").startswith(configured.replace("file:", ""))
+    assert got and checkpoint_dir(spark) == got
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    assert configured is None or got.replace("file:", "").startswith(configured.replace("file:", ""))
 
 
-def test_bounded_broadcast_needs_a_bound(spark):
-    df = spark.range(10)
-    plan = lambda d: d.join(spark.range(100), "id")._jdf.queryExecution().logical().toString()
-    assert "broadcast" in plan(bounded_broadcast(df, 10)).lower()
-    assert "broadcast" not in plan(bounded_broadcast(df, None)).lower()
-    assert "broadcast" not in plan(bounded_broadcast(df, 10**12)).lower()
+def _session(master, configured):
+    made = []
+    context = types.SimpleNamespace(master=master, getCheckpointDir=lambda: made[-1] if made else None,
+                                    setCheckpointDir=made.append)
+    conf = types.SimpleNamespace(get=lambda key, default=None: configured or default)
+    return types.SimpleNamespace(sparkContext=context, conf=conf)
 
 
-def test_period_days():
-    assert period_days("1997-01-01", "1998-12-31") == 730
-    assert period_days(None, "1998-12-31") is None
+def test_a_cluster_needs_a_shared_folder():
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        checkpoint_dir(_session("spark://host:7077", None))
+    with pytest.raises(ValueError):
+        checkpoint_dir(_session("local-cluster[3,2,1024]", None))
+    assert checkpoint_dir(_session("yarn", "hdfs://shared/ckpt")) == "hdfs://shared/ckpt"

@@ -55,3 +55,28 @@ def test_factor_columns_are_taken_by_position(spark):
     assert len(rows) == 1
     r = rows[0]
     assert (r.factor, r.date, r.open, r.high, r.adj_close, r.volume) == ("ODD", dt.date(2013, 12, 31), 1001.5, 2.0, 5.0, 6.0)
+
+
+def test_symbols_of_odd_file_names(spark):
+    d = tempfile.mkdtemp(prefix="montevar-odd-")
+    names = ["BRK^A", "BF B", "X%Y", "A+B", "P%20Q", "C.D", "É"]
+    for n in names:
+        _write(os.path.join(d, n + ".csv"), "Date,Open,High,Low,Close,Volume\n31-Dec-13,1,1,1,1,1\n")
+    syms = spark.createDataFrame([(n,) for n in names], "symbol string")
+    assert sorted(r.symbol for r in files.load_prices(spark, d, syms).collect()) == sorted(names)
+
+
+def test_a_folder_without_files_has_no_rows(spark):
+    d = tempfile.mkdtemp(prefix="montevar-none-")
+    assert files.load_prices(spark, d).count() == 0
+    assert files.load_prices(spark, os.path.join(d, "missing")).count() == 0
+
+
+def test_factor_values_with_sign_and_exponent(spark):
+    d = tempfile.mkdtemp(prefix="montevar-sign-")
+    path = os.path.join(d, "FVX.csv")
+    _write(path, "Date,Open,High,Low,Close,Adj Close,Volume\n2013-12-31,-0.25,+1.5,.5,1.,NaN,1.2e9\n"
+                 "2013-12-30,1-2,1e,e5,--1,1.2.3,null\n")
+    rows = sorted(files.load_factor_file(spark, path, "FVX").collect(), key=lambda r: r.date)
+    assert tuple(rows[1])[2:] == (-0.25, 1.5, 0.5, 1.0, None, 1.2e9)
+    assert tuple(rows[0])[2:] == (None,) * 6
