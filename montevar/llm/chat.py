@@ -205,3 +205,25 @@ def op4(spark, sf_dir: str) -> DataFrame:
                                   "conv_id bigint, turn bigint, role string, text string")
     turns = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
     return digests(read_back(format_chat(turns)))
+
+
+def op4_sql() -> str:
+    """The contract's digests from the turns themselves; lengths with every control string one sign longer."""
+    rest = {c: "|".join(re.escape(x[1:]) for x in sorted(CONTROLS, key=len, reverse=True) if x[0] == c) for c in "<["}
+    forms = "(<)(\\\\*(?:%s))|(\\[)(\\\\*(?:%s))" % (rest["<"], rest["["])
+    escaped = "regexp_replace({}, '" + forms.replace("'", "''") + "', '\\1\\3\\\\\\2\\4', 'g')"
+    return f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+  UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
+), conv AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS whole,
+    coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = '{TRAINED_ROLE}'), '') AS loss,
+    sum(length({escaped.format('role')}) + length({escaped.format('text')}) + {sum(map(len, MARKS.values()))}) AS chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(whole) AS turns_sha256, length(loss)::BIGINT AS loss_chars, sha256(loss) AS loss_sha256,
+  chars::BIGINT AS formatted_chars FROM conv
+"""

@@ -241,3 +241,23 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
 def op1(spark, sf_dir: str) -> DataFrame:
     """Contract query: links, component and keeping of every vector."""
     return near_duplicates(common.table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), link AS (
+  SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.9
+), reach AS (
+  SELECT vec_id, vec_id AS root FROM embeddings
+  UNION
+  SELECT link.y, reach.root FROM reach JOIN link ON reach.vec_id = link.x
+), low AS (SELECT vec_id, min(root) AS root FROM reach GROUP BY vec_id),
+n AS (SELECT x, count(*) AS k FROM link GROUP BY x)
+SELECT e.vec_id, coalesce(n.k, 0)::BIGINT AS n_links, low.root AS component_id, e.vec_id = low.root AS kept
+FROM embeddings e JOIN low USING (vec_id) LEFT JOIN n ON n.x = e.vec_id
+"""
