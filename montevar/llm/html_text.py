@@ -81,6 +81,22 @@ def parse(page: str) -> Node:
     """DOM of a page; unclosed, stray and implied tags are mended as browsers do in common cases."""
     root = here = Node("html")
     at, size = 0, len(page)
+    opened: dict[str, int] = {}                                     # open elements by name
+
+    def close(names, scope) -> None:
+        """Close the innermost open element of ``names``, unless one of ``scope`` is further in."""
+        nonlocal here
+        if not any(opened.get(n) for n in names):
+            return
+        node = here
+        while node is not root and node.tag not in names and node.tag not in scope:
+            node = node.parent
+        if node is root or node.tag not in names:
+            return
+        while here is not node.parent:
+            opened[here.tag] -= 1
+            here = here.parent
+
     while at < size:
         lt = page.find("<", at)
         if lt < 0:
@@ -113,50 +129,35 @@ def parse(page: str) -> Node:
         end = _tag_end(page, found.end())
         at = end + 1
         if found[1]:
-            if name == "p" or name in ("html", "body"):
-                scope = SCOPE if name == "p" else ()
-                if name != "p":
-                    continue                                        # what follows still belongs to the page
-            else:
-                scope = ()
-            node = here
-            while node is not root and node.tag != name and node.tag not in scope:
-                node = node.parent
-            if node is not root and node.tag == name:
-                here = node.parent
+            if name not in ("html", "body"):                        # what follows those still belongs to the page
+                close((name,), SCOPE if name == "p" else ())
             continue
         attrs = page[found.end():end]
         if name in ("html", "body"):
             if name == "body":                                      # a head left open ends here
+                opened.clear()
                 here = Node("body", attrs, root)
+                opened["body"] = 1
                 root.children.append(here)
             continue
         if name in CLOSES_P:
-            node = here
-            while node is not root and node.tag != "p" and node.tag not in SCOPE:
-                node = node.parent
-            if node is not root and node.tag == "p":
-                here = node.parent
+            close(("p",), SCOPE)
         if name in IMPLIED:
-            ended, within = IMPLIED[name]
-            node = here
-            while node is not root and node.tag not in ended and node.tag not in within:
-                node = node.parent
-            if node is not root and node.tag in ended:
-                here = node.parent
-        elif len(name) == 2 and name[0] == "h" and name[1] in "123456" and re.fullmatch("h[1-6]", here.tag):
-            here = here.parent
+            close(*IMPLIED[name])
+        elif re.fullmatch("h[1-6]", name) and re.fullmatch("h[1-6]", here.tag):
+            close((here.tag,), ())
         node = Node(name, attrs, here)
         here.children.append(node)
         if name in RAW:
-            close = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
-            if close is None:
+            finish = re.compile(f"</{name}(?=[\\s/>])", re.I).search(page, at)
+            if finish is None:
                 at = size
             else:
-                after = page.find(">", close.end())
+                after = page.find(">", finish.end())
                 at = size if after < 0 else after + 1
         elif name not in VOID and not (attrs.endswith("/") and name in ("path", "circle", "rect", "use")):
             here = node
+            opened[name] = opened.get(name, 0) + 1
     return root
 
 
@@ -246,22 +247,20 @@ def content_nodes(body: Node) -> list[Node]:
     while top.parent is not None and top is not body and top.parent is not body and any(
             not isinstance(c, str) and c is not top and c.density >= threshold for c in top.parent.children):
         top = top.parent                                            # an article whose parts lie side by side
+    above, node = set(), top                                        # what holds the article is gone through
+    while node is not None:
+        above.add(id(node))
+        node = node.parent
     chosen, stack = [], [body]
     while stack:
         node = stack.pop()
-        if node is top or node is not body and node.density >= threshold and not _holds(node, top):
+        if node is top or node is not body and node.density >= threshold and id(node) not in above:
             chosen.append(node)
             continue
         stack.extend(c for c in reversed(node.children) if not isinstance(c, str))
     return chosen
 
 
-def _holds(node: Node, inner: Node) -> bool:
-    while inner is not None and inner is not node:
-        inner = inner.parent
-    return inner is node
-
-
 def blocks(roots: list[Node]) -> list[str]:
     out: list[str] = []
     parts: list[str] = []

@@ -55,6 +55,13 @@ def test_pages_without_text(page):
     assert html_text.main_text(page) in ("", "<")
 
 
+def test_deep_and_long_pages_take_linear_time():
+    deep = "<div>" * 60_000 + "<p>" + P[1] + "</p>" + "</span>" * 60_000
+    assert html_text.main_text(f"<body>{deep}") == P[1]
+    many = "".join(f"<p>{P[2]}<b>" for _ in range(60_000))
+    assert html_text.main_text(f"<body><article>{many}").count("\n") == 59_999
+
+
 def test_rows(spark):
     schema = "page_id bigint, url string, html string, text string, n_chars int"
     rows = [(1, "u", ARTICLE, "old", 3), (1, "u", ARTICLE, "old", 3), (None, None, None, None, None), (2, "v", "<p>é</p>" * 20_000, "", 0)]
