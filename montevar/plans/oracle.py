@@ -324,8 +324,8 @@ def oracle_sql() -> dict[str, str]:
             "TRY_CAST(replace(format('{:,.2f}', l_extendedprice), ',', '') AS DOUBLE) AS open, "
             "CASE WHEN l_returnflag = 'R' THEN NULL ELSE "
             "TRY_CAST(replace(format('{:,.2f}', l_extendedprice), ',', '') AS DOUBLE) END AS low, "
-            "CAST(NULL AS DOUBLE) AS junk, "
-            "CAST(NULL AS DOUBLE) AS malformed FROM lineitem"),
+            "TRY_CAST(l_returnflag || l_linestatus AS DOUBLE) AS junk, "
+            "TRY_CAST(replace(format('{:,.2f}', l_extendedprice), ',', '') || '.5' AS DOUBLE) AS malformed FROM lineitem"),
         "drop_missing_dates": (
             "SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, "
             "TRY_CAST(replace(format('{:,.2f}', l_extendedprice), ',', '') AS DOUBLE) AS open "
