@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 import uuid
@@ -44,17 +45,27 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def per_process(name: str, key, make):
-    """``make()`` once in each Python worker and ``key``: one value per name is held from task to task.
+def _held() -> dict:
+    """The holder is a module of the process, because functions that travel by value bring new globals along."""
+    return sys.modules.setdefault("montevar_llm_held", types.SimpleNamespace(values={})).values
 
-    The holder is a module of the process, because functions that travel by value bring new globals along.
-    """
-    held = sys.modules.setdefault("montevar_llm_held", types.ModuleType("montevar_llm_held")).__dict__
-    if name not in held or held[name][0] != key:
+
+def per_process(name: str, key, make):
+    """``make()`` once in each Python worker and ``key``, held from task to task; one value in all is held."""
+    held = _held()
+    if held.get(name, (None, None))[0] != key or key is None:
+        forget()
         held[name] = (key, make())
     return held[name][1]
 
 
+def forget() -> None:
+    """Drop what earlier tasks of another operator left in this Python worker."""
+    if _held():
+        _held().clear()
+        gc.collect()
+
+
 def crc32_of(col: Column) -> Column:
     """CRC-32 of a value's text form, the key of the fixed train/held-out splits."""
     return F.crc32(F.encode(col.cast("string"), "utf-8"))
@@ -87,6 +98,23 @@ def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
         label = new
 
 
+class Links:
+    """Links met in a task, reduced to one edge from each node to its component as they come."""
+
+    def __init__(self, dtype):
+        self.parts = [(np.zeros(0, dtype=dtype), np.zeros(0, dtype=dtype))]
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> None:
+        if len(a):
+            self.parts.append(smallest_reachable(a, b))
+        if len(self.parts) > 16:
+            self.parts = [self.stars()]
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        a, b = (np.concatenate(p) for p in zip(*self.parts))
+        return smallest_reachable(a, b) if len(a) else (a, b)
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge: columns ``node, root``.
 

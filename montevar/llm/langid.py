@@ -16,20 +16,22 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from montevar.llm import common
-from montevar.llm.common import per_process
+from montevar.llm.common import forget, per_process
 
 UNDETERMINED = "und"
 LONGEST_GRAM = 4
 #: Entries that the model keeps over all languages; words beyond them count as unseen.
-MAX_WORDS, MAX_GRAMS = 240_000, 160_000
+MAX_WORDS, MAX_GRAMS = 160_000, 80_000
 #: Counts that a training task holds before it hands them on.
-HELD = 400_000
+HELD = 200_000
 SMOOTHING = 0.5
-#: Below this share of the evidence the pipeline takes a text to be in no learned language.
-MIN_SCORE = 0.5
+#: Below this share of the evidence the pipeline takes a text to be in no learned language: a text without any known
+#: word or n-gram has one share for each language alike.
+MIN_SCORE = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -44,6 +46,7 @@ def _grams(word: str, n: int) -> list[str]:
 
 def _sums(schema: pa.Schema, batches: Iterator[pa.RecordBatch], count) -> Iterator[pa.RecordBatch]:
     """Partial sums of what ``count(batch, held)`` adds to ``held[lang]``, handed on in bounded portions."""
+    forget()
     held: dict[str, Counter] = defaultdict(Counter)
 
     def hand_on():
@@ -96,7 +99,7 @@ class Model:
     def ready(self) -> "Model":
         self.word_at = {w: i for i, w in enumerate(self.words)}
         self.gram_at = {g: i for i, g in enumerate(self.grams)}
-        self.unseen = lru_cache(maxsize=100_000)(self._unseen)
+        self.unseen = lru_cache(maxsize=50_000)(self._unseen)
         return self
 
     def _unseen(self, word: str) -> np.ndarray | None:
@@ -131,15 +134,16 @@ class Model:
         return self.langs[best], float(spread[best] / spread.sum())
 
 
-def _log_frequencies(rows: list, langs: list[str], totals: dict[str, float]) -> tuple[list[str], np.ndarray]:
-    place = {lang: k for k, lang in enumerate(langs)}
-    names = sorted({r[1] for r in rows})
-    at = {w: i for i, w in enumerate(names)}
+def _log_frequencies(table: pa.Table, langs: list[str], totals: dict[str, float]) -> tuple[list[str], np.ndarray]:
+    place = pa.array(langs)
+    items = pc.dictionary_encode(table["item"]).combine_chunks()
+    names, row = items.dictionary, items.indices.to_numpy()
     counts = np.zeros((len(names), len(langs)))
-    for lang, w, n in rows:
-        counts[at[w], place[lang]] += n
+    np.add.at(counts, (row, pc.index_in(table["lang"], place).combine_chunks().to_numpy()), table["n"].to_numpy())
     all_n = np.array([totals.get(lang, 0) for lang in langs])
-    return names, np.log((counts + SMOOTHING) / (all_n + SMOOTHING * max(len(names), 1))).astype(np.float32)
+    order = pc.sort_indices(names).to_numpy()
+    scores = np.log((counts + SMOOTHING) / (all_n + SMOOTHING * max(len(names), 1))).astype(np.float32)
+    return names.take(pa.array(order)).to_pylist(), scores[order]
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS,
@@ -174,14 +178,15 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
     langs = sorted(sums)
     if not langs:
         return Model([UNDETERMINED], np.ones(1), [], np.zeros((0, 1), np.float32), [], np.zeros((0, 1), np.float32))
-    kept = [tuple(r) for r in _frequent(words, "item", max_words // len(langs)).collect()]
+    kept = _frequent(words, "item", max_words // len(langs)).toArrow()
     kept_words, word_scores = _log_frequencies(kept, langs, sums)
     names, scores = [], [np.zeros((0, len(langs)), np.float32)]
-    known = [tuple(r) for r in _frequent(grams, "item", max_grams // len(langs)).collect()]
+    known = _frequent(grams, "item", max_grams // len(langs)).toArrow()
+    sizes = pc.utf8_length(known["item"])
     by_size = {(r["lang"], r["size"]): r["n"] for r in grams.groupBy("lang", F.length("item").alias("size")).agg(
         F.sum("n").alias("n")).where(F.col("size") <= LONGEST_GRAM).collect()}
     for size in range(1, LONGEST_GRAM + 1):
-        own, frequency = _log_frequencies([r for r in known if len(r[1]) == size], langs,
+        own, frequency = _log_frequencies(known.filter(pc.equal(sizes, size)), langs,
                                           {lang: by_size.get((lang, size), 0) for lang in langs})
         names += own
         scores.append(frequency)
