@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from montevar.llm import common
+from montevar.llm.common import forget, portions
 
 #: The classifier is fitted on at most so many labelled texts, words and counterfactual pairs.
 SAMPLE_TEXTS, FEATURES, MAX_PAIRS = 20_000, 4_096, 50_000
@@ -102,13 +103,16 @@ def fit(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, fairness: flo
     marked = (labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id")
               .agg(F.avg("toxic").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_TEXTS))
     # At most SAMPLE_TEXTS ids, so the texts of the other documents are never moved.
-    sample = (docs.select(F.col("doc_id").alias("d"), F.col("text").alias("text"))
-              .join(F.broadcast(marked), F.col("d") == F.col("doc_id"))
-              .groupBy(F.xxhash64("text").alias("h")).agg(F.avg("y").alias("y"), F.first("text").alias("text"))
-              .orderBy("h").limit(SAMPLE_TEXTS).select(F.col("h"), F.col("text"), (F.col("y") >= 0.5).cast("int").alias("y")))
+    found = (docs.select(F.col("doc_id").alias("d"), F.col("text").alias("text"), F.xxhash64("text").alias("h"))
+             .join(F.broadcast(marked), F.col("d") == F.col("doc_id")))
+    # An id may stand for several texts: the bound holds for texts, too.
+    last = found.select("h").distinct().orderBy("h").limit(SAMPLE_TEXTS).agg(F.max("h")).scalar()
+    sample = (found.where(F.col("h") <= last).groupBy("h").agg(F.avg("y").alias("y"), F.first("text").alias("text"))
+              .select("h", "text", (F.col("y") >= 0.5).cast("int").alias("y")))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        forget()
+        for batch in (part for whole in batches for part in portions(whole, "text", 1 << 20)):
             texts = batch.column("text").to_pylist()
             own = [sorted(features_of(words_of(t))) for t in texts]
             swaps = [sorted({(" ".join(sorted(a)), " ".join(sorted(b))) for a, b in counterfactuals(t or "", identities)})
@@ -136,7 +140,7 @@ def fit(docs: DataFrame, labels: DataFrame, identities=IDENTITIES, fairness: flo
     # Both results are bounded by the sample: feature numbers of its texts and of its swapped sentences.
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, 256) for whole in batches for k in range(0, whole.num_rows, 256)):
             rows = [[at[w] for w in own if w in at] for own in batch.column("words").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("h"), batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["h", "y", "x"])
@@ -162,6 +166,7 @@ def score(docs: DataFrame, model: tuple[dict, float], text_col: str = "text", sc
     at = src.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         keys = weights.keys()
         for batch in batches:
             texts = batch.column(at)
