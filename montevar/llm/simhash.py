@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from montevar.llm import common
+from montevar.llm.common import forget
 
 SEED = 42
 SHINGLE_WORDS = 3
@@ -59,6 +60,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     src = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         for batch in batches:
             texts = batch.column("text")
             fps = [_signed(fingerprint(texts[i].as_py() or "", width)) for i in range(batch.num_rows)]
@@ -81,7 +83,8 @@ def links(distinct_fps: DataFrame) -> DataFrame:
                       (F.col("flip") == 0).alias("same")))
     found = segments.select(F.col("fp").alias("other"), "seg", "value")
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= MAX_BITS
-    return (probes.join(found, (F.col("p_seg") == F.col("seg")) & (F.col("probe") == F.col("value"))
+    # Size estimates do not see what explode adds, so the planner might broadcast either side: both are shuffled.
+    return (probes.join(found.hint("merge"), (F.col("p_seg") == F.col("seg")) & (F.col("probe") == F.col("value"))
                         & near & (~F.col("same") | (F.col("fp") < F.col("other"))))
             .select("fp", "other").distinct())
 
