@@ -26,7 +26,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 MAX_LEN = 2048
 #: Words whose ids a task remembers; further words are encoded each time they occur.
-WORDS_KEPT = 300_000
+WORDS_KEPT = 400_000
 
 
 class WordEncoder:
@@ -41,13 +41,19 @@ class WordEncoder:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers import normalizers, pre_tokenizers
         os.environ["TOKENIZERS_PARALLELISM"] = "false"              # words are too short to share out: a task is one thread
         self.encode = Tokenizer.from_file(path).encode_batch_fast
+        # Lower-case Latin-1 letters are one pre-token and already normal: the steps before the model pass them on.
+        letters = Tokenizer.from_file(path)
+        letters.normalizer = normalizers.Sequence([])
+        letters.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.encode_letters = letters.encode_batch_fast
         self.known: dict[str, bytes] = {}
 
-    def _batch(self, words: list[str]) -> list[bytes]:
-        return [struct.pack(f"<{len(ids)}I", *ids)
-                for ids in (e.ids for e in self.encode(words, add_special_tokens=False))]
+    def _batch(self, words: list[str], encode) -> dict[str, bytes]:
+        found = (e.ids for e in encode(words, add_special_tokens=False))
+        return {w: struct.pack(f"<{len(ids)}I", *ids) for w, ids in zip(words, found)}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         known, split, missing, new = self.known, [], {}, {}
@@ -67,12 +73,13 @@ class WordEncoder:
                         new[word] = stem
                         for part in (word,) if stem is None else (stem, word[-1]):
                             if part not in known:
-                                missing[part] = b""
+                                missing[part] = missing.get(part, True) and latin and part.isalpha()
                 split.append((parts, [(k, words[k]) for k in at]))
             else:
                 split.append((parts, ()))
         if missing:
-            missing = dict(zip(missing, self._batch(list(missing))))
+            letters, others = ([w for w, plain in missing.items() if plain == kind] for kind in (True, False))
+            missing = self._batch(letters, self.encode_letters) | self._batch(others, self.encode)
         if new:
             ids = lambda w: known[w] if w in known else missing[w]
             new = {w: ids(w) if stem is None else ids(stem) + ids(w[-1]) for w, stem in new.items()}
