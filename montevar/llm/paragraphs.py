@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from montevar.llm import common
-from montevar.llm.common import smallest_reachable
+from montevar.llm.common import Links, forget
 
 MIN_WORDS = 25
 SHINGLE_WORDS = 5
@@ -113,6 +113,7 @@ def _paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
               "bands array<bigint>, paragraph string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         sign = Signer()
         names = ["doc_id", "row_key", "line", "start", "n_chars", "p", "bands", "paragraph"]
         for batch in batches:
@@ -155,6 +156,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     two = texts.select(F.col("p").alias("b"), F.col("paragraph").alias("text_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         last, own = None, set()
         for batch in batches:
             a, b = batch.column("text_a"), batch.column("text_b")
@@ -174,8 +176,8 @@ def numbered(texts: list[str], at: dict) -> list[np.ndarray]:
     return [np.unique(np.array([at.setdefault(s, len(at)) for s in shingle_set(t)], dtype=np.int32)) for t in texts]
 
 
-def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Row numbers of all pairs at the threshold, of rows of numbers below ``n``.
+def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least: float) -> Iterator[tuple]:
+    """Row numbers of all pairs at the threshold, of rows of numbers below ``n``; some rows of ``left`` at a time.
 
     The sizes of the intersections are products of incidence matrices, made and multiplied in portions.
     """
@@ -188,9 +190,8 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least
     for k in (0, 1):
         col = place[values[k]]
         rows[k], values[k] = rows[k][col >= 0], col[col >= 0]
-    found = [np.zeros((2, 0), dtype=np.int64)]
-    for lo in range(0, len(left), 512):
-        both = np.zeros((min(512, len(left) - lo), len(right)), dtype=np.float32)
+    for lo in range(0, len(left), 128):
+        both = np.zeros((min(128, len(left) - lo), len(right)), dtype=np.float32)
         for v in range(0, len(shared), 1024):
             parts = []
             for k, start, size in ((0, lo, len(both)), (1, 0, len(right))):
@@ -202,8 +203,7 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least
         # Whole numbers up to 2^24 are exact in single precision; the comparison is in double.
         need = least * (sizes[0][lo:lo + len(both), None] + sizes[1] - both.astype(np.float64))
         x, y = np.nonzero(both >= need)
-        found.append(np.stack([x + lo, y]))
-    return tuple(np.concatenate(found, axis=1))
+        yield x + lo, y
 
 
 def _meet(least: float):
@@ -219,12 +219,11 @@ def _meet(least: float):
         n = len(at)
         at.clear()
         ids = [side["p"].to_numpy() for side in sides]
-        x, y = similar_pairs(*sets, n, least)
-        apart = ids[0][x] != ids[1][y]
-        x, y = x[apart], y[apart]
-        if not len(x):
-            return pd.DataFrame({"a": ids[0][:0], "b": ids[0][:0]})
-        nodes, roots = smallest_reachable(ids[0][x], ids[1][y])
+        found = Links(ids[0].dtype)
+        for x, y in similar_pairs(*sets, n, least):
+            apart = ids[0][x] != ids[1][y]
+            found.add(ids[0][x[apart]], ids[1][y[apart]])
+        nodes, roots = found.stars()
         return pd.DataFrame({"a": nodes, "b": roots})
 
     return run
@@ -249,7 +248,8 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
     keyed = found.groupBy("p").agg(F.first("bands").alias("bands")).select("p", F.explode("bands").alias("band"))
     first = (keyed.groupBy("band").agg(F.min("p").alias("lead"), F.count(F.lit(1)).alias("size"))
              .where("size > 1").withColumnRenamed("band", "of"))
-    members = common.materialize(keyed.join(first, F.col("band") == F.col("of")).select("band", "p", "lead", "size"), "bands")
+    # Size estimates do not see what explode adds, so the planner might broadcast either side: both are shuffled.
+    members = common.materialize(keyed.join(first.hint("merge"), F.col("band") == F.col("of")).select("band", "p", "lead", "size"), "bands")
     pairs = members.where("p <> lead").select(F.col("p").alias("a"), F.col("lead").alias("b")).distinct()
     wanted = members.select(F.col("p").alias("w")).distinct()
     near = common.materialize(
@@ -315,3 +315,31 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
+
+
+OP3_SQL = f"""
+WITH RECURSIVE lines AS (
+  SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
+  FROM documents WHERE text IS NOT NULL
+), placed AS (
+  SELECT doc_id, line, t, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(t) - 1)::BIGINT AS start,
+    list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS w FROM lines
+), p AS (
+  SELECT row_number() OVER (ORDER BY doc_id, line) AS id, * FROM placed WHERE len(w) >= {MIN_WORDS}
+), shingle AS (
+  SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - {SHINGLE_WORDS} + 2),
+    lambda i: array_to_string(w[i:i + {SHINGLE_WORDS} - 1], ' '))) AS s FROM p
+), n AS (SELECT id, count(*) AS k FROM shingle GROUP BY id),
+overlap AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
+link AS (
+  SELECT x, y FROM overlap JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE overlap.k >= {SIMILARITY} * (a.k + b.k - overlap.k)
+), reach AS (
+  SELECT id, id AS root FROM p
+  UNION
+  SELECT link.y, reach.root FROM reach JOIN link ON reach.id = link.x
+), low AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
+shared AS (SELECT root FROM low GROUP BY root HAVING count(*) > 1)
+SELECT p.doc_id, p.line::INTEGER AS line, p.start, length(p.t)::BIGINT AS n_chars, h.doc_id AS component_doc,
+  h.line::INTEGER AS component_line, p.id <> h.id AS removed
+FROM p JOIN low USING (id) JOIN shared USING (root) JOIN p h ON h.id = low.root
+"""

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from montevar.llm import common
-from montevar.llm.common import smallest_reachable
+from montevar.llm.common import Links
 
 THRESHOLD = 0.9
 #: The index is fitted on at most so many vectors, or so many components in all.
@@ -199,7 +199,9 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
             x = x / np.abs(x).max(axis=1, keepdims=True)
             return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
-        m_unit, q_unit, pairs = exact(m_vec), exact(q_vec), []
+        m_unit, q_unit, links = exact(m_vec), exact(q_vec), Links(m_id.dtype)
+        m_n, q_n = left["n"].to_numpy(), right["q_n"].to_numpy()
+        m_links, q_links = np.zeros(len(m_id), dtype=np.int64), np.zeros(len(q_id), dtype=np.int64)
         for lo in range(0, len(unit), 256):
             table = index.tables(unit[lo:lo + 256], number)
             far = np.zeros((len(table), len(code)), dtype=np.float32)
@@ -210,17 +212,18 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
             for at in range(0, len(qs), 16_384):
                 q, m = qs[at:at + 16_384], ms[at:at + 16_384]
                 near = (np.einsum("ij,ij->i", q_unit[q], m_unit[m]) >= threshold) & (q_id[q] != m_id[m])
-                pairs.append(np.stack([q[near], m[near]]))
-        q, m = np.concatenate([np.zeros((2, 0), dtype=np.int64), *pairs], axis=1)
-        if not len(q):
-            return found
-        # The member counts the link itself where it asks the list of the other.
-        silent = ~(m_asked[m] == q_own[q][:, None]).any(axis=1)
-        nodes, roots = smallest_reachable(q_id[q], m_id[m])
-        links = np.zeros(len(nodes), dtype=np.int64)
-        np.add.at(links, np.searchsorted(nodes, q_id[q]), left["n"].to_numpy()[m])
-        np.add.at(links, np.searchsorted(nodes, m_id[m][silent]), right["q_n"].to_numpy()[q[silent]])
-        return pd.DataFrame({"rep": nodes, "links": links, "root": roots})
+                q, m = q[near], m[near]
+                np.add.at(q_links, q, m_n[m])
+                # The member counts the link itself where it asks the list of the other.
+                silent = ~(m_asked[m] == q_own[q][:, None]).any(axis=1)
+                np.add.at(m_links, m[silent], q_n[q[silent]])
+                links.add(q_id[q], m_id[m])
+        nodes, roots = links.stars()
+        counts = np.zeros(len(nodes), dtype=np.int64)
+        for ids, own in ((q_id, q_links), (m_id, m_links)):
+            some = own > 0
+            np.add.at(counts, np.searchsorted(nodes, ids[some]), own[some])
+        return pd.DataFrame({"rep": nodes, "links": counts, "root": roots})
 
     met = (left.groupBy("list", "m", "q").cogroup(right.groupBy("q_list", "q_m", "q_q"))
            .applyInPandas(meet, f"rep {id_type}, links bigint, root {id_type}"))

@@ -1,4 +1,5 @@
 """Repeated passages against brute force over all pairs, edge rows."""
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,7 +72,7 @@ def test_similar_pairs_are_exact():
     texts = [edited(r, base, int(k % 5)) for k in range(1200)]
     at = {}
     left, right = paragraphs.numbered(texts, at), paragraphs.numbered(texts[:40], at)
-    x, y = paragraphs.similar_pairs(left, right, len(at), 0.8)
+    x, y = (np.concatenate(p) for p in zip(*paragraphs.similar_pairs(left, right, len(at), 0.8)))
     sets = [paragraphs.shingle_set(t) for t in texts]
     want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:40]) if paragraphs.similar(a, b)}
     assert set(zip(x.tolist(), y.tolist())) == want
