@@ -99,7 +99,7 @@ class Model:
     def ready(self) -> "Model":
         self.word_at = {w: i for i, w in enumerate(self.words)}
         self.gram_at = {g: i for i, g in enumerate(self.grams)}
-        self.unseen = lru_cache(maxsize=50_000)(self._unseen)
+        self.unseen = lru_cache(maxsize=150_000)(self._unseen)
         return self
 
     def _unseen(self, word: str) -> np.ndarray | None:
