@@ -9,6 +9,12 @@ Bands of one family of near copies hold thousands of paragraphs, so pairs within
 member is compared with the first of its band.  Only bands in which the links found so far leave members in
 different components are compared further, all with all, in blocks of bounded size inside tasks, which give back one
 edge per linked paragraph.
+
+A passage inside a longer line, wrapped over short lines or broken otherwise is found by ``passages``, which
+looks at the word stream of the whole text: windows of ``WINDOW`` words are picked by their content alone (the smallest hash
+among ``REACH`` neighbours), so any ``WINDOW + REACH - 1`` words that stand in two places share a picked window wherever
+their lines break.  Every picked window that stands earlier elsewhere goes, and less than ``REACH`` words of
+a passage stay at either of its ends.
 """
 
 from __future__ import annotations
@@ -32,6 +38,8 @@ BANDS, ROWS = 10, 3
 #: Paragraphs of a band that meet in one task at a time.
 BLOCK = 2_048
 WORDS_KEPT = 200_000
+#: Words of a window of the word stream, and neighbouring windows of which the one of smallest hash is picked.
+WINDOW, REACH = 25, 16
 _MASK = (1 << 64) - 1
 
 
@@ -286,21 +294,169 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
                       F.col("head.line").alias("component_line"), (F.col("place") != F.col("head")).alias("removed"))
 
 
+class Windows:
+    """Picked windows of a word stream: first word, 64-bit hash and a second one of 32 bits."""
+
+    def __init__(self):
+        self.known: dict[str, int] = {}
+        self.bases = [int(b) for b in _odd_numbers(2, 19)]
+        self.powers = np.ones((2, 2, 0), dtype=np.uint64)
+
+    def _rolled(self, h: np.ndarray, k: int) -> np.ndarray:
+        """Sum of h[i + j] * base^j over each window, from running sums and the powers of the inverse."""
+        up, down = self.powers[k][:, :len(h)]
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * up, dtype=np.uint64)])
+        n = len(h) - WINDOW + 1
+        return _mix((sums[WINDOW:] - sums[:n]) * down[:n])
+
+    def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        if len(words) > self.powers.shape[2]:
+            size = 2 * len(words)
+            self.powers = np.array([[np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, dtype=np.uint64)], dtype=np.uint64)
+                                     for b in (base, pow(base, -1, 1 << 64))] for base in self.bases])
+        known, digest = self.known, xxhash.xxh64_intdigest
+        if len(known) > WORDS_KEPT:
+            known.clear()
+        for w in set(words).difference(known):
+            known[w] = digest(w.encode("utf-8", "surrogatepass"))
+        h = np.array([known[w] for w in words], dtype=np.uint64)
+        all_of = self._rolled(h, 0)
+        low, reach = all_of, min(REACH, len(all_of))
+        size = 1
+        while size < reach:                                         # smallest of each run of ``reach`` windows
+            step = min(size, reach - size)
+            low = np.minimum(low[:-step], low[step:])
+            size += step
+        padded = np.concatenate([np.zeros(reach - 1, dtype=np.uint64), low, np.zeros(reach - 1, dtype=np.uint64)])
+        size = 1
+        while size < reach:                                         # largest of the runs that a window is in
+            step = min(size, reach - size)
+            padded = np.maximum(padded[:-step], padded[step:])
+            size += step
+        at = np.flatnonzero(all_of == padded)
+        return at, all_of[at].view(np.int64), (self._rolled(h, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def _windows(src: DataFrame) -> DataFrame:
+    """Picked windows of each text, and the lines that they begin and end in."""
+    kind = src.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "row_key", "word", "from_line", "to_line", "fp", "fp_more"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        pick = Windows()
+        for batch in batches:
+            ids, keys, texts = (batch.column(c) for c in ("doc_id", "row_key", "text"))
+            of, parts = [], []
+            for i in range(batch.num_rows):
+                lines = [line.lower().split() for line in texts[i].as_py().split("\n")]
+                words = [w for line in lines for w in line]
+                if len(words) < WINDOW:
+                    continue
+                at, fp, more = pick(words)
+                line = np.repeat(np.arange(len(lines), dtype=np.int32), [len(own) for own in lines])
+                parts.append((at.astype(np.int32), line[at], line[at + WINDOW - 1], fp, more))
+                of.append(np.full(len(at), i))
+            if parts:
+                rows = pa.array(np.concatenate(of))
+                yield pa.RecordBatch.from_arrays(
+                    [ids.take(rows), keys.take(rows), *(pa.array(np.concatenate(c)) for c in zip(*parts))], names)
+
+    return src.mapInArrow(run, f"doc_id {kind}, row_key bigint, word int, from_line int, to_line int, fp bigint, fp_more int")
+
+
+def passages(docs: DataFrame, gone: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``doc_id, row_key, word``: first words of the windows of ``WINDOW`` words that stand, word for word, earlier.
+
+    Earlier is by document id (rows without id last), text digest and position.  Of a document, windows that
+    overlap the first one do not count.  Windows that touch a line of ``gone`` (``doc_id, row_key, line``) are left out
+    on both sides, so what a window repeats is never itself one of those lines.
+    """
+    src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"),
+                      F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    found = common.materialize(_windows(src), "windows")
+    often = found.groupBy("fp", "fp_more").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
+        F.col("fp").alias("f"), F.col("fp_more").alias("g"))
+    same = (F.col("fp") == F.col("f")) & (F.col("fp_more") == F.col("g"))
+    met = found.join(often.hint("merge"), same, "left_semi")
+    if gone is not None:
+        lines = gone.groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key")).agg(
+            F.collect_set("line").alias("__gone"))
+        touched = F.exists("__gone", lambda line: line.between(F.col("from_line"), F.col("to_line")))
+        met = met.join(lines, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left").where(
+            F.col("__gone").isNull() | ~touched)
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))
+    met = common.materialize(met.select("doc_id", "row_key", "word", "fp", "fp_more"), "repeated-windows")
+    heads = (met.groupBy("fp", "fp_more").agg(F.min(F.struct(place.alias("place"), F.col("word"))).alias("head"))
+             .select(F.col("fp").alias("f"), F.col("fp_more").alias("g"), "head"))
+    return (met.join(heads.hint("merge"), same)
+            .where((place != F.col("head.place")) | (F.col("word") >= F.col("head.word") + WINDOW))
+            .select("doc_id", "row_key", "word").distinct())
+
+
+_SPACED = re.compile(r"\S+")
+
+
+def without(text: str, lines: list[int] | None, words: list[int] | None) -> str:
+    """``text`` without the given lines and without the windows that begin at the given words.
+
+    Of the white space around a removed window, the side with more line breaks stays.
+    """
+    cut = []
+    if words:
+        spans = [m.span() for m in _SPACED.finditer(text)]
+        runs: list[list[int]] = []
+        for w in sorted(words):
+            if runs and w <= runs[-1][1]:
+                runs[-1][1] = w + WINDOW
+            else:
+                runs.append([w, w + WINDOW])
+        for first, end in runs:
+            a, b = spans[first][0], spans[end - 1][1]
+            before = spans[first - 1][1] if first else 0
+            after = spans[end][0] if end < len(spans) else len(text)
+            if first and (end == len(spans) or text.count("\n", before, a) < text.count("\n", b, after)):
+                cut.append((before, b))
+            else:
+                cut.append((a, after))
+    if lines:
+        drop = set(lines)
+        kept = [n for n in range(text.count("\n") + 1) if n not in drop]
+        for n, (start, line) in enumerate(lines_of(text)):
+            if n in drop:                                           # after the last kept line, the break before goes
+                cut.append((start - 1 if kept and n > kept[-1] else start, start + len(line) + (not kept or n < kept[-1])))
+    out, at = [], 0
+    for a, b in sorted(cut):
+        if a > at:
+            out.append(text[at:a])
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
-    """``docs`` without the lines that repeat an earlier paragraph; other columns stay as they are.
+    """``docs`` without the lines that repeat an earlier paragraph and without repeated ``passages`` of what is left;
+    other columns stay as they are.
 
-    A document whose lines all repeat keeps its row with an empty text.
+    A document that repeats as a whole keeps its row with an empty text.
     """
-    spans = repeats(docs, min_words, similarity, id_col, text_col).where("removed").select(
-        F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"), "line").distinct()
-    gone = spans.groupBy("__id", "__key").agg(F.collect_set("line").alias("__gone"))
+    lines = common.materialize(repeats(docs, min_words, similarity, id_col, text_col).where("removed").select(
+        "doc_id", "row_key", "line").distinct(), "repeated-lines")
+    words = passages(docs, lines, id_col, text_col)
+    gone = (lines.select("doc_id", "row_key", "line", F.lit(None).cast("int").alias("word"))
+            .unionByName(words.select("doc_id", "row_key", F.lit(None).cast("int").alias("line"), "word"))
+            .groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"))
+            .agg(F.collect_set("line").alias("__lines"), F.collect_set("word").alias("__words")))
     joined = docs.join(gone, docs[id_col].eqNullSafe(F.col("__id")) & (
         F.xxhash64(docs[text_col]) == F.col("__key")), "left")
-    kept = F.concat_ws("\n", F.filter(F.transform(
-        F.split(F.col(text_col), "\n"), lambda line, i: F.when(~F.array_contains("__gone", i), line)),
-        lambda line: line.isNotNull()))
-    text = F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(kept)
+
+    @F.pandas_udf("string")
+    def rest(texts: pd.Series, lines: pd.Series, words: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else without(t, *([] if x is None else list(x) for x in (n, w)))
+                          for t, n, w in zip(texts, lines, words)], dtype=object)
+
+    text = F.when(F.col("__lines").isNull(), F.col(text_col)).otherwise(rest(
+        F.when(F.col("__lines").isNotNull(), F.col(text_col)), "__lines", "__words"))
     return joined.select(*[text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns])
 
 

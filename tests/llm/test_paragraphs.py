@@ -98,3 +98,52 @@ def test_removal_and_edge_rows(spark):
     assert len([1 for i, _, _ in got if i == "3"]) == 3
     assert paragraphs.repeats(docs.limit(0)).count() == 0
     assert paragraphs.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_picked_windows_depend_on_their_words_alone():
+    r = rng(11)
+    passage = prose(r, paragraphs.WINDOW + paragraphs.REACH - 1).split()
+    pick = paragraphs.Windows()
+    for n in (0, 1, 7, 500):
+        words = prose(r, n).split() + passage + prose(r, 40).split()
+        at, fp, more = pick(words)
+        inside = (at >= n) & (at + paragraphs.WINDOW <= n + len(passage))
+        assert inside.any() and np.diff(at).max() <= paragraphs.REACH
+        alone = {(f, m) for _, f, m in zip(*pick(passage))}
+        assert alone <= {(f, m) for f, m in zip(fp[inside], more[inside])}
+
+
+def test_a_passage_inside_a_line_wrapped_and_broken_otherwise(spark):
+    """Whatever the line breaks, no 50 words of the planted passage stand in a second document, and all else stays."""
+    r = rng(12)
+    passage = prose(r, 60).split()
+    wrapped = lambda n: "\n".join(" ".join(passage[i:i + n]) for i in range(0, 60, n))
+    own = [prose(r, 300) for _ in range(6)]
+    rows = [(1, f"{own[0]} {' '.join(passage)} {own[0][::-1]}"), (2, f"{own[1]} {' '.join(passage).upper()} end"),
+            (3, f"{own[2]}\n{wrapped(8)}\nend"), (4, f"{own[3]}\n{wrapped(24)}\nend"), (5, f"{own[4]}\n{wrapped(20)} end"),
+            (6, own[5]), (None, f"{wrapped(7)}\n"), (7, None), (8, ""), (9, "short")]
+    got = {x.doc_id: x.text for x in paragraphs.remove_repeats(documents(spark, rows).repartition(3)).collect()}
+    assert [got[i] for i in (1, 6, 7, 8, 9)] == [dict(rows)[i] for i in (1, 6, 7, 8, 9)]
+    for i in (2, 3, 4, 5, None):
+        left = got[i].lower().split()
+        kept = [w for w in left if w in set(passage)]
+        assert len(left) < len(dict(rows)[i].split()) - paragraphs.WINDOW
+        text, most = f" {' '.join(left)} ", paragraphs.REACH
+        assert not any(f" {' '.join(passage[k:k + most])} " in text for k in range(60 - most + 1)), (i, kept)
+    for i, start in ((2, own[1]), (3, f"{own[2]}\n"), (4, f"{own[3]}\n"), (5, f"{own[4]}\n")):
+        assert got[i].startswith(start) and got[i].endswith("end")
+
+
+def test_cut_text():
+    w = [f"w{k}" for k in range(25)]
+    p = " ".join(w)
+    assert paragraphs.without(f"a {p} b", [], [1]) == "a b"
+    assert paragraphs.without(f"a\n{p}\nb", [], [1]) == "a\nb"
+    assert paragraphs.without(f"a {p}\nb", [], [1]) == "a\nb"
+    assert paragraphs.without(f"a\n{p} {p}", [], [1, 26]) == "a"
+    assert paragraphs.without(f"{p}\n", [], [0]) == ""
+    for text in ("a\nb\nc", "a\n\nb\n", "\n"):
+        lines = text.split("\n")
+        for mask in range(1, 1 << len(lines)):
+            gone = [n for n in range(len(lines)) if mask >> n & 1]
+            assert paragraphs.without(text, gone, []) == "\n".join(x for n, x in enumerate(lines) if n not in gone)
