@@ -40,6 +40,26 @@ def test_a_full_vocabulary_keeps_the_frequent_words(spark):
     assert model.words == ["often"]
 
 
+def test_rare_words_and_grams_count_like_frequent_ones(spark):
+    """A model of which a task holds next to nothing predicts what the whole one does, words of one text only included."""
+    r = rng(6)
+    rows = [(k, " ".join([*(word(r, lang) for _ in range(25)), f"{lang}" * 3]), lang) for k, lang in enumerate(list(SYLLABLES) * 30)]
+    rows += [(200 + k, f"shared only{chr(97 + k)}", lang) for k, lang in enumerate(list(SYLLABLES) * 6)]
+    train = documents(spark, rows)
+    whole, split = langid.fit(train), langid.fit(train, max_words=4, max_grams=30)
+    assert whole.rare_words is None and split.rare_words is not None and split.rare_grams is not None
+    assert len(split.words) <= 4 and len(split.grams) <= 30
+    asked = [(k, t) for k, t, _ in rows] + [(300 + k, f"only{chr(97 + k)}") for k in range(18)]
+    asked += [(400 + k, " ".join(word(r, lang) for _ in range(3))) for k, lang in enumerate(list(SYLLABLES) * 20)]
+    asked += [(500, None), (501, ""), (502, "12 !?"), (503, "漢字"), (504, "onlya"), (504, "onlya"), (None, "漢 onlyb"), (505, "½ ²")]
+    docs = documents(spark, asked).repartition(4)
+    a, b = (sorted(((str(x.doc_id), x.text or "", x.lang_pred, round(x.score, 4)) for x in langid.identify(docs, m).collect()))
+            for m in (whole, split))
+    assert [x[:3] for x in a] == [x[:3] for x in b]
+    assert max(abs(x[3] - y[3]) for x, y in zip(a, b)) < 1e-3
+    assert {x[2] for x in b if x[1] == "onlya"} == {"aa"} and langid.identify(docs.limit(0), split).count() == 0
+
+
 def test_language_edge_rows(spark):
     rows = [(k, "the cat and the dog", "en") for k in range(8)] + [(8 + k, "le chat et le chien", "fr") for k in range(8)]
     model = langid.fit(documents(spark, rows + [(90, None, "en"), (91, "no language", None)]))
