@@ -89,6 +89,18 @@ def links(distinct_fps: DataFrame) -> DataFrame:
             .select("fp", "other").distinct())
 
 
+def _classes(fps: DataFrame) -> DataFrame:
+    """``node, root, component_id`` of every fingerprint of ``doc_id, fp``."""
+    nodes = common.checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    roots = common.connected_components(links(nodes.select("fp")))
+    named = (nodes.join(roots, nodes.fp == roots.node, "left")
+             .select("fp", "rep", F.coalesce("root", "fp").alias("root")))
+    named = common.checkpoint(named)
+    first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    return named.join(first.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(
+        F.col("fp").alias("node"), "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     width: int = SHINGLE_WORDS) -> DataFrame:
     """``doc_id, fp, component_id`` of every row of ``docs``.
@@ -100,14 +112,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned as often as they occur; an empty table gives an empty result.  Other columns are ignored.
     """
     fps = common.materialize(fingerprints(docs, id_col, text_col, width), "simhash")
-    nodes = common.checkpoint(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    roots = common.connected_components(links(nodes.select("fp")))
-    named = (nodes.join(roots, nodes.fp == roots.node, "left")
-             .select("fp", "rep", F.coalesce("root", "fp").alias("root")))
-    named = common.checkpoint(named)
-    first = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    classes = named.join(first.withColumnRenamed("root", "r"), F.col("root") == F.col("r")).select(
-        F.col("fp").alias("node"), "component_id")
+    classes = _classes(fps)
     return fps.join(classes, fps.fp == classes.node).select("doc_id", "fp", "component_id")
 
 
@@ -120,11 +125,16 @@ def op9(spark, sf_dir: str) -> DataFrame:
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: one document of each component, the one with the smallest id.
 
-    Of several rows with that id one stays, which is unspecified where they differ; of rows
-    without id one stays if nothing else is in their component.
+    Rows without id come last; of rows with one id and different texts in a component the one whose text digest
+    comes first stays.  Rows that repeat id and text are one document.
     """
-    keyed = near_duplicates(docs)
-    keep = (keyed.where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-            .select(F.col("doc_id").alias("__keep")).distinct())
-    kept = docs.join(keep, docs["doc_id"].eqNullSafe(F.col("__keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id"])
+    digest = F.coalesce(F.md5(F.encode("text", "utf-8")), F.lit("~"))
+    # The digest travels in the place of the id, so fingerprints are made once.
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", digest.alias("digest")).alias("doc_id"), "text")
+    fps = common.materialize(fingerprints(keyed), "simhash")
+    named = _classes(fps.select("doc_id.doc_id", "fp"))
+    keep = (fps.join(named, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("doc_id").alias("head"))
+            .select(F.col("head.doc_id").alias("__keep"), F.col("head.digest").alias("__digest")).distinct())
+    kept = docs.withColumn("__of", digest).join(
+        keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__of") == F.col("__digest")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__of"]).drop("__of")

@@ -69,3 +69,21 @@ def test_edge_rows(spark):
     kept = simhash.stage(spark, docs, "")
     assert kept.columns == docs.columns and sorted(x.doc_id for x in kept.collect()) == [5, 7]
     assert simhash.stage(spark, docs.limit(0), "").count() == 0
+
+
+def test_rows_that_share_an_id_or_have_none_stay_by_component(spark):
+    """Unrelated texts under one id or without id all stay; near copies of them go, whatever their id."""
+    r = rng(3)
+    texts = [prose(r, 200) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(1, t) for t in texts[5:9]] + [(2, texts[9]), (3, texts[10]), (None, texts[11])]
+    again = [(None, texts[0]), (1, texts[5]), (2, texts[5]), (None, texts[9]), (2, texts[11]), (None, texts[7]), (4, texts[1])]
+    docs = documents(spark, rows + again).repartition(3)
+    got = sorted((str(x.doc_id), x.text) for x in simhash.stage(spark, docs, "").collect())
+    want = [("None", texts[k]) for k in (0, 2, 3, 4)] + [("4", texts[1])] + [("1", t) for t in texts[5:9]]
+    assert got == sorted(want + [("2", texts[9]), ("3", texts[10]), ("2", texts[11])])
+
+
+def test_of_near_copies_under_one_id_one_stays(spark):
+    docs = documents(spark, [(5, "a b c d"), (5, "A b c d"), (None, "a B c d"), (None, "e f g h"), (None, "E f g h")])
+    got = sorted(str(x.doc_id) for x in simhash.stage(spark, docs, "").collect())
+    assert got == ["5", "None"]
