@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from montevar.llm import bitslice, chat, html_text, langid, packing, paragraphs, pq, simhash, spiece, toxicity
+from montevar.llm import (
+    bitslice, chat, html_text, langid, licenses, packing, paragraphs, pq, runs, simhash, spiece, toxicity, trie)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_html_main_text": html_text.op8,
         "op9_simhash_near_dedup": simhash.op9,
         "op10_best_fit_packing": packing.op10,
+        "op11_prefix_trie": trie.op11,
+        "op12_periodic_runs": runs.op12,
+        "op13_license_scan": licenses.op13,
     }
 
 
@@ -31,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_paragraph_dedup": paragraphs.OP3_SQL,
         "op4_chat_format": chat.op4_sql(),
         "op7_bit_sliced_top_k": bitslice.OP7_SQL,
+        "op11_prefix_trie": trie.op11_sql(),
     }
