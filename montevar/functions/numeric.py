@@ -47,8 +47,11 @@ def keyed_uniform(tag: str, id_col: str, ops=SPARK):
 
 def keyed_normal(tag: str, id_col: str, ops=SPARK):
     """Standard normal by Box-Muller from two keyed uniforms."""
-    u1 = keyed_uniform(f"{tag}:a:", id_col, ops)
-    u2 = keyed_uniform(f"{tag}:b:", id_col, ops)
+    return normal_of(keyed_uniform(f"{tag}:a:", id_col, ops), keyed_uniform(f"{tag}:b:", id_col, ops), ops)
+
+
+def normal_of(u1, u2, ops=SPARK):
+    """Standard normal of two uniforms by Box-Muller."""
     return ops.mul(ops.sqrt(ops.mul(ops.lit(-2.0), ops.ln(u1))), ops.cos(ops.mul(ops.lit(TWO_PI), u2)))
 
 

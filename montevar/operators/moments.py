@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from montevar.functions.matrix import pair_moments
+
 
 def factor_aligned(factor_returns: DataFrame, factors, key: str = "factor",
                    value: str = "fluct", order_col: str | None = None) -> DataFrame:
@@ -33,6 +35,17 @@ def factor_moments(wide: DataFrame, factors) -> DataFrame:
     return wide.agg(*aggs)
 
 
+def factor_moment_arrays(wide: DataFrame, factors) -> DataFrame:
+    """One row: ``n``, ``mean`` (array) and ``cov`` (packed sample covariances) of any number of factors.
+
+    The plan is the same for every number of factors; an empty table gives one row with ``n`` 0 and NULL moments.
+    """
+    d = len(factors)
+    values = F.array(*[F.col(f).cast("double") for f in factors])
+    one = pair_moments(wide.select(values.alias("_z")), [], "_z", d, {"": None}, sample=True)
+    return one.select(F.coalesce("n", F.lit(0)).alias("n"), "mean", "cov")
+
+
 def factor_corr(wide: DataFrame, factors) -> DataFrame:
     """Pearson correlation matrix in long form: ``factor_a, factor_b, corr``.
 

@@ -4,17 +4,18 @@ The model minimises ``1/n sum (y - b - w.x)^2 / 2 + alpha |w|^2 / 2`` (squared
 loss, L2 penalty, unpenalised intercept).  Its minimiser solves
 ``(C + alpha I) w = c`` with ``C`` the population covariance of the features and
 ``c`` their covariance with the label, and ``b = mean(y) - w.mean(x)``.  The
-moments are one hash aggregate keyed by instrument (partial aggregation before
-the shuffle, so a hot instrument never lands whole in one task); the d x d solve
-is a few projections over the one-row-per-instrument result.
+moments are one code-generated hash aggregate keyed by instrument and pair of variables (partial aggregation before
+the shuffle, so a hot instrument never lands whole in one task); the d x d solve works on array
+columns of the one-row-per-instrument result, with a plan of the same size for any d.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from montevar.functions.exprs import SPARK, apply_stages
+from montevar.functions.exprs import SPARK
 from montevar.functions.linalg import spd_solve_stages
+from montevar.functions.matrix import dot, let, packed_index, pair_moments, quadratic_form, solved
 
 
 #: Residuals this small against the label (squared) are rounding.
@@ -32,34 +33,37 @@ def _cxx(i: int, j: int) -> str:
 
 
 def _moments(rows: DataFrame, feats, key: str, label: str, masks: dict) -> DataFrame:
-    """Per instrument and mask: count, means, population (co)variances and the label's range of the complete rows.
+    """Per instrument and mask: moments of features and label (the last value) over the complete rows.
 
-    ``masks`` maps a prefix to a condition.  A row with a NULL feature or label counts nowhere.  The
-    covariances are Spark's online aggregates, which need no second pass and no window: every task
-    reduces its rows to one buffer per instrument before the shuffle, however many rows an instrument has.
+    ``masks`` maps a prefix to a condition.  A row with a NULL feature or label counts nowhere.
     """
-    d = len(feats)
     cols = [*feats, label]
     complete = F.lit(True)
     for c in cols:
         complete = complete & F.col(c).isNotNull()
-    aggs = []
-    for pre, mask in masks.items():
-        c = [F.when(complete & mask, F.col(x).cast("double")) for x in cols]
-        aggs += [F.count(c[d]).alias(f"{pre}n"), F.avg(c[d]).alias(f"{pre}my"), F.var_pop(c[d]).alias(f"{pre}vy"),
-                 F.min(c[d]).alias(f"{pre}lo"), F.max(c[d]).alias(f"{pre}hi")]
-        aggs += [F.avg(c[i]).alias(f"{pre}mx_{i}") for i in range(d)]
-        aggs += [F.covar_pop(c[i], c[j]).alias(f"{pre}{_cxx(i, j)}") for i in range(d) for j in range(i, d)]
-        aggs += [F.covar_pop(c[i], c[d]).alias(f"{pre}cxy_{i}") for i in range(d)]
-    return rows.groupBy(key).agg(*aggs)
+    values = F.when(complete, F.array(*[F.col(c).cast("double") for c in cols]))
+    return pair_moments(rows.withColumn("_z", values), key, "_z", len(cols), masks)
 
 
 def model_moments(design_rows: DataFrame, feats, key: str = "symbol", label: str = "label") -> DataFrame:
     """Per instrument: ``n``, means ``my, mx_i``, and population covariances ``vy, cxx_i_j, cxy_i``."""
     d = len(feats)
-    return _moments(design_rows, feats, key, label, {"": F.lit(True)}).select(
-        key, "n", "my", *[f"mx_{i}" for i in range(d)], *[_cxx(i, j) for i in range(d) for j in range(i, d)],
-        *[f"cxy_{i}" for i in range(d)], "vy")
+    cov = lambda i, j: F.col("cov")[packed_index(i, j, d + 1)]
+    return _moments(design_rows, feats, key, label, {"": None}).select(
+        key, "n", F.col("mean")[d].alias("my"), *[F.col("mean")[i].alias(f"mx_{i}") for i in range(d)],
+        *[cov(i, j).alias(_cxx(i, j)) for i in range(d) for j in range(i, d)], *[cov(i, d).alias(f"cxy_{i}") for i in range(d)],
+        cov(d, d).alias("vy"))
+
+
+def _solve(moments: DataFrame, d: int, alpha: float) -> DataFrame:
+    """Adds the model ``_w`` (array) and ``intercept`` to the moments."""
+    order = d + 1
+    entry = lambda i, j: F.col("cov")[packed_index(i, j, order)] + F.when(i == j, F.lit(alpha)).otherwise(F.lit(0.0))
+    right = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.col("cov")[packed_index(i, d, order)])
+    weights = let(right, lambda r: solved(entry, r, d))
+    out = moments.withColumn("_w", weights)
+    # The label's mean comes after those of the features: the pairing leaves it out.
+    return out.withColumn("intercept", F.col("mean")[d] - dot(F.col("_w"), F.slice("mean", 1, d)))
 
 
 def ridge_stages(feats, alpha: float, ops=SPARK):
@@ -79,9 +83,8 @@ def ridge_stages(feats, alpha: float, ops=SPARK):
 def fit_linear(design_rows: DataFrame, feats, alpha: float = 1e-4, key: str = "symbol",
                label: str = "label") -> DataFrame:
     """Models table ``symbol, n, intercept, w_<factor> ...``."""
-    mom = model_moments(design_rows, feats, key, label)
-    solved = apply_stages(mom, ridge_stages(feats, alpha))
-    return solved.select(key, "n", "intercept", *[weight_name(f) for f in feats])
+    out = _solve(_moments(design_rows, feats, key, label, {"": None}), len(feats), alpha)
+    return out.select(key, "n", "intercept", *[F.col("_w")[i].alias(weight_name(f)) for i, f in enumerate(feats)])
 
 
 def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: float = 0.8,
@@ -105,26 +108,23 @@ def fit_and_score(design_rows: DataFrame, feats, alpha: float = 1e-4, ratio: flo
     from montevar.operators.features import split_by_rank
     d = len(feats)
     rows = split_by_rank(design_rows, ratio, key)
-    fit_mask = F.lit(True) if fit_on == "all" else F.col("is_train")
+    fit_mask = None if fit_on == "all" else F.col("is_train")
     mom = _moments(rows, feats, key, label, {"": fit_mask, "t_": ~F.col("is_train")}).withColumnRenamed("t_n", "n_test")
     nt = F.col("n_test")
-    solved = apply_stages(mom, ridge_stages(feats, alpha))
-    w = [F.col(weight_name(f)) for f in feats]
-    var_e = F.col("t_vy")
-    for i in range(d):
-        var_e = var_e - 2 * w[i] * F.col(f"t_cxy_{i}")
-        for j in range(d):
-            var_e = var_e + w[i] * w[j] * F.col(f"t_{_cxx(i, j)}")
-    mean_e = F.col("t_my") - F.col("intercept")
-    for i in range(d):
-        mean_e = mean_e - w[i] * F.col(f"t_mx_{i}")
-    scored = solved.select("*", (nt * (F.greatest(var_e, F.lit(0.0)) + mean_e * mean_e)).alias("ss_res"),
-                           (nt * F.col("t_vy")).alias("ss_tot"))
+    # The residual is u . (x, y) - intercept.
+    u = F.concat(F.transform("_w", lambda w: -w), F.array(F.lit(1.0)))
+    fitted = _solve(mom, d, alpha).withColumn("_u", u)
+    fitted = fitted.select("*", quadratic_form(F.col("_u"), F.col("t_cov"), d + 1).alias("_ve"),
+                           (dot(F.col("_u"), F.col("t_mean")) - F.col("intercept")).alias("_me"),
+                           F.col("t_min")[d].alias("t_lo"), F.col("t_max")[d].alias("t_hi"),
+                           F.col("t_cov")[packed_index(d, d, d + 1)].alias("_vy"))
+    scored = fitted.select("*", (nt * (F.greatest(F.col("_ve"), F.lit(0.0)) + F.col("_me") * F.col("_me"))).alias("ss_res"),
+                           (nt * F.col("_vy")).alias("ss_tot"))
     # The moments leave rounding residue; a constant label is told by its range.
     score = (F.when(nt < 2, F.lit(None).cast("double"))
              .when(F.col("t_lo") == F.col("t_hi"), F.when(_exact("ss_res", "n_test", "t_hi"), 1.0).otherwise(0.0))
              .otherwise(1 - F.try_divide(F.col("ss_res"), F.col("ss_tot"))))
-    return scored.select(key, "n", "intercept", *[weight_name(f) for f in feats], "n_test", score.alias("score"))
+    return scored.select(key, "n", "intercept", *[F.col("_w")[i].alias(weight_name(f)) for i, f in enumerate(feats)], "n_test", score.alias("score"))
 
 
 def _exact(ss_res: str, n: str, label: str):

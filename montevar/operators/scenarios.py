@@ -1,8 +1,8 @@
 """Monte-Carlo market scenarios and the portfolio's trial returns.
 
 Scenario ``t`` draws d standard normals keyed by ``(seed, factor, t)`` and maps
-them through ``x = mu + L z`` (``L L^T = Sigma``).  The factor moments and the
-Cholesky factor are a single row, consumed as one scalar subquery, so the trial
+them through ``x = mu + L z`` (``L L^T = Sigma``), on arrays, so any number of factors has the same plan.
+The factor moments and the Cholesky factor are a single row, consumed as one scalar subquery, so the trial
 stage is a narrow projection over ``spark.range(n)``: no shuffle, no cross join,
 results independent of partitioning and of task retries.
 
@@ -16,9 +16,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from montevar.functions.exprs import SPARK, apply_stages
-from montevar.functions.linalg import cholesky_stages
-from montevar.functions.numeric import keyed_normal
+from montevar.functions.matrix import cholesky, let, packed_index
+from montevar.functions.numeric import normal_of, uniform_of
 from montevar.operators.features import feature_of
 from montevar.operators.moments import cov_name
 from montevar.operators.regression import weight_name
@@ -29,17 +28,29 @@ def chol_name(i: int, j: int) -> str:
 
 
 def scenario_params(moments: DataFrame, factors) -> DataFrame:
-    """One row: ``mean_<f>`` and the lower Cholesky factor ``l_i_j`` of the covariance."""
+    """One row: ``mean_<f>`` and the lower Cholesky factor ``l_i_j`` of the covariance of wide moments."""
     d = len(factors)
+    row = factor_arrays(draw_params(moment_arrays(moments, factors), d), d)
+    return row.select(*[F.col("mean")[i].alias(f"mean_{f}") for i, f in enumerate(factors)],
+                      *[F.col("chol")[j * d + i].alias(chol_name(i, j)) for i in range(d) for j in range(i + 1)])
 
-    def cov(i, j):
-        i, j = min(i, j), max(i, j)
-        return cov_name(factors[i], factors[j])
 
-    stages = cholesky_stages(cov, d, chol_name)
-    p = apply_stages(moments, stages)
-    keep = [f"mean_{f}" for f in factors] + [chol_name(i, j) for i in range(d) for j in range(i + 1)]
-    return p.select(*keep)
+def moment_arrays(moments: DataFrame, factors) -> DataFrame:
+    """``mean, cov`` (packed) of the wide moments row."""
+    d = len(factors)
+    return moments.select(F.array(*[F.col(f"mean_{f}") for f in factors]).alias("mean"),
+                          F.array(*[F.col(cov_name(factors[i], factors[j])) for i in range(d) for j in range(i, d)]).alias("cov"))
+
+
+def draw_params(arrays: DataFrame, d: int) -> DataFrame:
+    """One row ``v``: the means and, column by column, the Cholesky factor, in one array."""
+    factor = let(F.col("cov"), lambda c: cholesky(lambda i, j: c[packed_index(i, j, d)], d))
+    return arrays.select(F.concat("mean", factor).alias("v"))
+
+
+def factor_arrays(params: DataFrame, d: int) -> DataFrame:
+    """The same row as ``mean, chol``."""
+    return params.select(F.slice("v", 1, d).alias("mean"), F.slice("v", d + 1, d * d).alias("chol"))
 
 
 def as_scalar(one_row: DataFrame) -> "ScalarRow":
@@ -66,25 +77,34 @@ class ScalarRow:
     __getitem__ = getField
 
 
-def sample_scenarios(spark: SparkSession, moments: DataFrame, factors, n: int,
-                     seed: int = 1259, partitions: int | None = None) -> DataFrame:
-    """``trial_id, x_<f> ...``: n draws from N(mu, Sigma) (multivariate normal)."""
-    d = len(factors)
-    params = as_scalar(scenario_params(moments, factors))
+def draw(spark: SparkSession, arrays: DataFrame, d: int, n: int, seed: int = 1259, partitions: int | None = None) -> DataFrame:
+    """``trial_id, x`` (array of ``d``): n draws from the normal with the moments ``mean, cov`` of the one row ``arrays``.
+
+    For any number of factors the plan is the same; a combination of other factors has no noise of its own.
+    """
+    params = draw_params(arrays, d).select("v").scalar()
     if partitions is None:
         # About a thousand trials per task (the bootstrap multiplies each row by its
         # replicate count downstream), never more tasks than the cluster's slots.
         partitions = max(1, min(spark.sparkContext.defaultParallelism, -(-n // 1000)))
-    base = spark.range(0, n, 1, partitions).withColumnRenamed("id", "trial_id")
-    z = [keyed_normal(f"{seed}:{j}", "trial_id", SPARK).alias(f"_z{j}") for j in range(d)]
-    base = base.select("trial_id", *z)
-    xs = []
-    for i, f in enumerate(factors):
-        x = params.getField(f"mean_{f}")
-        for j in range(i + 1):
-            x = x + params.getField(chol_name(i, j)) * F.col(f"_z{j}")
-        xs.append(x.alias(f"x_{f}"))
-    return base.select("trial_id", *xs)
+    # A column first: subqueries may not be written inside a lambda.
+    base = spark.range(0, n, 1, partitions).select(F.col("id").alias("trial_id"), params.alias("_v"))
+
+    def uniform(j: Column, which: str) -> Column:
+        return uniform_of(F.concat(F.lit(f"{seed}:"), j.cast("string"), F.lit(f":{which}:"), F.col("trial_id").cast("string")))
+
+    index = F.sequence(F.lit(0), F.lit(d - 1))
+    z = F.transform(index, lambda j: normal_of(uniform(j, "a"), uniform(j, "b")))
+    x = let(F.struct(z.alias("z"), F.col("_v").alias("v")), lambda p: F.transform(index, lambda i: F.aggregate(
+        F.sequence(F.lit(0), i), p["v"][i], lambda total, j: total + p["v"][d + j * d + i] * p["z"][j])))
+    return base.select("trial_id", x.alias("x"))
+
+
+def sample_scenarios(spark: SparkSession, moments: DataFrame, factors, n: int,
+                     seed: int = 1259, partitions: int | None = None) -> DataFrame:
+    """``trial_id, x_<f> ...``: n draws from N(mu, Sigma) (multivariate normal) of the wide moments row."""
+    drawn = draw(spark, moment_arrays(moments, factors), len(factors), n, seed, partitions)
+    return drawn.select("trial_id", *[F.col("x")[i].alias(f"x_{f}") for i, f in enumerate(factors)])
 
 
 def mean_model(models: DataFrame, feats) -> DataFrame:

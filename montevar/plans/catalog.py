@@ -246,6 +246,18 @@ def q_trial_returns(spark, sf):
     return report(_study(spark, sf).trials)
 
 
+def q_trial_returns_cross(spark, sf):
+    return report(_study(spark, sf, keep=FITTED).scenario_means)
+
+
+def q_instrument_trials(spark, sf):
+    return report(_study(spark, sf, keep=FITTED).instrument_trials())
+
+
+def q_instrument_var(spark, sf):
+    return report(_study(spark, sf).instrument_var())
+
+
 def q_value_at_risk(spark, sf):
     return report(_study(spark, sf, keep=TRIALS).risk_figures.select("value_at_risk"))
 

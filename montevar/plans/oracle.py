@@ -231,6 +231,9 @@ _chol = _chol_ctes()
 _add_chain(_chol, ["moments"], "params")
 CTES["scenarios"] = (["params"], _scenarios())
 CTES["trials"] = (["scenarios", "models"], _trials())
+CTES["pairs"] = (["scenarios", "models"], "SELECT m.symbol, s.trial_id, m.intercept + " + " + ".join(
+    f"m.{q(weight_name(feat))} * {_feat('s.' + q('x_' + f))}" for f, feat in zip(F4, FEATS)) +
+    " AS r FROM scenarios s CROSS JOIN models m WHERE m.intercept IS NOT NULL")
 CTES["var"] = (["trials"], f"SELECT quantile_disc(average_return, {pl.VAR_P!r}) AS value_at_risk FROM trials")
 CTES["cvar"] = (["trials", "var"], "SELECT (SELECT value_at_risk FROM var) AS value_at_risk, avg(average_return) "
                                    "AS conditional_var FROM trials WHERE average_return <= (SELECT value_at_risk FROM var)")
@@ -417,6 +420,16 @@ def oracle_sql() -> dict[str, str]:
         "scenarios": with_ctes(["scenarios"], "SELECT trial_id, " + ", ".join(
             f"{r(q('x_' + f))} AS {q('x_' + f)}" for f in F4) + " FROM scenarios"),
         "trial_returns": with_ctes(["trials"], f"SELECT trial_id, {r('average_return')} AS average_return FROM trials"),
+        "trial_returns_cross": with_ctes(["pairs"], f"SELECT trial_id, {r('avg(r)')} AS average_return FROM pairs GROUP BY trial_id"),
+        "instrument_trials": with_ctes(["pairs"], (
+            f"SELECT symbol, count(*) AS trials, {r('avg(r)')} AS mean, {r('stddev_pop(r)')} AS stddev, {r('min(r)')} AS min, "
+            f"{r('max(r)')} AS max, {r('max(v)')} AS value_at_risk, {r('avg(r) FILTER (r <= v)')} AS conditional_var FROM "
+            f"(SELECT p.symbol, p.r, t.v FROM pairs p JOIN (SELECT symbol, quantile_disc(r, {p!r}) AS v FROM pairs GROUP BY symbol) t "
+            "ON p.symbol = t.symbol) GROUP BY symbol")),
+        "instrument_var": with_ctes(["stock_returns"], (
+            f"SELECT s.symbol, count(*) AS n, {r('max(v)')} AS value_at_risk, {r('avg(fluct) FILTER (fluct <= v)')} AS conditional_var "
+            f"FROM stock_returns s JOIN (SELECT symbol, quantile_disc(fluct, {p!r}) AS v FROM stock_returns GROUP BY symbol) t "
+            "ON s.symbol = t.symbol GROUP BY s.symbol")),
         "value_at_risk": with_ctes(["var"], f"SELECT {r('value_at_risk')} AS value_at_risk FROM var"),
         "conditional_var": with_ctes(["cvar"], f"SELECT {r('value_at_risk')} AS value_at_risk, "
                                                f"{r('conditional_var')} AS conditional_var FROM cvar"),

@@ -19,7 +19,7 @@ from functools import cached_property
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from montevar.operators import (backtest, density, features as feat_ops, moments as mom_ops,
+from montevar.operators import (backtest, density, features as feat_ops, instruments, moments as mom_ops,
                                 regression, risk, scenarios, series)
 from montevar.session import checkpoint_dir
 from montevar.sources import fixtures as fx
@@ -189,6 +189,19 @@ class RiskStudy:
     def trials(self) -> DataFrame:
         return self._kept("trials", scenarios.score_scenarios(self.scenario_draws, self.models, self.factor_names, self.feats))
 
+    @cached_property
+    def scenario_means(self) -> DataFrame:
+        """The trials again, from every instrument's return in every scenario."""
+        return instruments.scenario_means(self.models, self.scenario_draws, self.factor_names, self.n_trials, self.feats)
+
+    def instrument_trials(self, p: float = VAR_P) -> DataFrame:
+        """Simulated VaR, CVaR and spread of every instrument."""
+        return instruments.instrument_trials(self.models, self.scenario_draws, self.factor_names, self.n_trials, p, self.feats)
+
+    def instrument_var(self, p: float = VAR_P) -> DataFrame:
+        """Realised VaR and CVaR of every instrument."""
+        return risk.value_at_risk_by(self.stock_returns, "symbol", p)
+
     # --- risk figures ----------------------------------------------------------
     @cached_property
     def risk_figures(self) -> DataFrame:
