@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from montevar.functions.exprs import SPARK
+from montevar.functions.matrix import let
 from montevar.functions.numeric import poisson1_from_uniform, poisson1_thresholds, uniform_of
 
 
@@ -138,10 +142,50 @@ def ci_indices(num: int, probability: float) -> tuple[int, int]:
     return int(num * probability / 2 - 1), int(num * (1 - probability / 2))
 
 
-#: Value ranges into which the trials are cut for the replicates' quantiles.
+#: Ranges of about equally many trials into which the replicates' sums are cut (a power of two).
 BOOT_RANGES = 1024
 
 
+@dataclass(frozen=True)
+class Statistic:
+    """A statistic of a weighted sample: partial sums, at most one cut, and a finisher.
+
+    ``sums`` maps names to functions of a value's deviation d from a fixed origin near the data; their weighted sums are
+    taken over the whole sample and over the values at or below the cut, beside ``w``, the sum of weights.  The cut is
+    the value at rank ``max(ceil(rank * w), 1)``, or the deviation that ``at`` makes of the whole sample's sums.
+    ``finish(whole, below, cut, origin)`` makes the statistic; ``cut`` is the value itself.  Sums of different
+    tasks add up, so any such statistic takes one resampling pass.
+    """
+
+    name: str
+    finish: Callable[[dict, dict, Column, Column], Column]
+    sums: dict[str, Callable[[Column], Column]] = field(default_factory=dict)
+    rank: float | None = None
+    at: Callable[[dict], Column] | None = None
+
+
+def _d(d: Column) -> Column:
+    return d
+
+
+def _dd(d: Column) -> Column:
+    return d * d
+
+
+def _stddev(whole: dict, *_) -> Column:
+    mean = whole["d"] / whole["w"]
+    return F.sqrt(F.greatest(whole["dd"] / whole["w"] - mean * mean, F.lit(0.0)))
+
+
+def statistics(p: float = 0.05) -> dict[str, Statistic]:
+    """The statistics that go by name; VaR and CVaR at level ``p``."""
+    return {s.name: s for s in (
+        Statistic("var", lambda whole, below, cut, origin: cut, rank=p),
+        Statistic("cvar", lambda whole, below, cut, origin: origin + below["d"] / below["w"], {"d": _d}, rank=p),
+        Statistic("mean", lambda whole, below, cut, origin: origin + whole["d"] / whole["w"], {"d": _d}),
+        Statistic("stddev", _stddev, {"d": _d, "dd": _dd}))}
+
+
 def _weight(seed: int, id_col: str):
     """Poisson(1) multiplicity of a row in a replicate, a pure function of ``seed:replicate:id``."""
     key = F.concat(F.lit(f"{seed}:"), F.col("replicate").cast("string"), F.lit(":"), F.col(id_col).cast("string"))
@@ -168,74 +212,119 @@ def resample_weights(df: DataFrame, num: int = 100, seed: int = 1, id_col: str =
     return _weighted(pairs, seed, id_col, ["replicate", *keep])
 
 
-def replicate_stats(df: DataFrame, num: int = 100, p: float = 0.05, seed: int = 1, col: str = "average_return",
-                    id_col: str = "trial_id") -> DataFrame:
-    """Per replicate: ``replicate, var, cvar, mean, stddev`` (population) of the resample.
+def _range_of(x: Column, bounds: Column) -> Column:
+    """How many of the ``BOOT_RANGES - 1`` ascending bounds are below ``x``, by bisection; never falls as ``x`` grows."""
+    steps = F.array(*[F.lit(BOOT_RANGES >> k) for k in range(1, BOOT_RANGES.bit_length())])
+    both = F.struct(x.alias("x"), bounds.alias("b"))
+    return let(both, lambda p: F.aggregate(steps, F.lit(0), lambda at, step: F.when(
+        F.element_at(p["b"], at + step) < p["x"], at + step).otherwise(at)))
+
+
+def replicate_values(df: DataFrame, wanted: Sequence[Statistic], num: int = 100, seed: int = 1, col: str = "average_return",
+                     id_col: str = "trial_id") -> DataFrame:
+    """``statistic, replicate, v``: each statistic of each bootstrap replicate.
 
-    Every row meets every replicate inside its task, where a partial sum per (replicate, value range) is
-    kept: the shuffle holds ``num x BOOT_RANGES`` sums of each task whatever the number of trials, and any number
-    of tasks adds them up.  A running sum over a replicate's ranges names the one range in which its
-    quantile lies; only the trials of that range are weighted once more and ranked.
+    Every row meets every replicate inside its task, where partial sums per (replicate, range of values) are kept:
+    the shuffle holds ``num x BOOT_RANGES`` rows of sums of each task whatever the number of trials.  Ranges are cut
+    at approximate ranks, so each holds about equally many trials however heavy the tails are.  A running sum
+    over a replicate's ranges names the one in which a cut lies; only that range's trials are weighted
+    once more, merged by value and ranked.
     """
     from montevar.operators.scenarios import as_scalar
+    terms = list(dict.fromkeys(f for s in wanted for f in s.sums.values()))
+    sums_of = lambda s, prefix: {"w": F.col(f"{prefix}w")} | {n: F.col(f"{prefix}{terms.index(f)}") for n, f in s.sums.items()}
+    names = ["w", *map(str, range(len(terms)))]
     rows = df.select(F.col(col).cast("double").alias("_x"), id_col).where(F.col("_x").isNotNull())
-    ends = as_scalar(rows.agg(F.min("_x").alias("lo"), F.max("_x").alias("hi")))
-    share = F.coalesce(F.try_divide(F.col("_x") - ends["lo"], ends["hi"] - ends["lo"]), F.lit(0.0))
-    # Deviations from the smallest value: sums of squares then lose no digits.
-    ranged = rows.select("_x", id_col, F.floor(share * (BOOT_RANGES - 1)).cast("int").alias("_r"),
-                         (F.col("_x") - ends["lo"]).alias("_d"), ends["lo"].alias("_lo"))
-    rw = resample_weights(ranged, num, seed, id_col, keep=("_r", "_x", "_d", "_lo"))
-    sums = rw.groupBy("replicate", "_r").agg(
-        F.sum("w").alias("w"), F.sum(F.col("w") * F.col("_x")).alias("wx"), F.sum(F.col("w") * F.col("_d")).alias("wd"),
-        F.sum(F.col("w") * F.col("_d") * F.col("_d")).alias("wdd"), F.max("_lo").alias("_lo"))
+    shares = [k / BOOT_RANGES for k in range(1, BOOT_RANGES)]
+    bounds = rows.agg(F.percentile_approx("_x", shares, 16 * BOOT_RANGES).alias("b")).select("b").scalar()
+    origin = as_scalar(rows.agg(F.min("_x").alias("lo")))["lo"]
+    # Columns first: subqueries may not be written inside a lambda.
+    rows = rows.select("_x", id_col, bounds.alias("_b"), origin.alias("_o"))
+    ranged = rows.select("_x", id_col, _range_of(F.col("_x"), F.col("_b")).alias("_r"), (F.col("_x") - F.col("_o")).alias("_d"))
+    weighted = resample_weights(ranged, num, seed, id_col, keep=("_r", "_d"))
+    sums = weighted.groupBy("replicate", "_r").agg(
+        F.sum("w").alias("w"), *[F.sum(F.col("w") * f(F.col("_d"))).alias(str(k)) for k, f in enumerate(terms)])
     whole = Window.partitionBy("replicate")                         # at most BOOT_RANGES rows each
     run = whole.orderBy("_r").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = sums.select("replicate", "_r", "w", "wx", F.sum("w").over(run).alias("cw"), F.sum("wx").over(run).alias("cwx"),
-                      F.sum("w").over(whole).alias("nw"), F.sum("wd").over(whole).alias("sd1"),
-                      F.sum("wdd").over(whole).alias("sd2"), "_lo")
-    at = cum.where(F.col("cw") >= F.lit(float(p)) * F.col("nw")).groupBy("replicate").agg(
-        F.min(F.struct("_r", (F.col("cw") - F.col("w")).alias("cw"), (F.col("cwx") - F.col("wx")).alias("cwx"))).alias("h"),
-        F.max("nw").alias("nw"), F.max("sd1").alias("sd1"), F.max("sd2").alias("sd2"), F.max("_lo").alias("_lo"))
-    mean = F.col("sd1") / F.col("nw")
-    at = at.select("replicate", F.col("h._r").alias("_hr"), F.col("h.cw").alias("_hcw"), F.col("h.cwx").alias("_hcwx"), "nw",
-                   (F.col("_lo") + mean).alias("mean"),
-                   F.sqrt(F.greatest(F.col("sd2") / F.col("nw") - mean * mean, F.lit(0.0))).alias("stddev"))
-    # One row per replicate, a parameter: the side may be broadcast.
-    near = ranged.join(F.broadcast(at), F.col("_r") == F.col("_hr"))
-    near = _weighted(near, seed, id_col, ["replicate", "_x", "_hcw", "_hcwx", "nw", "mean", "stddev"])
-    # RANGE frame: equal values share one cumulative count, so ties need no merge.
-    run = Window.partitionBy("replicate").orderBy("_x").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    x = near.select("replicate", "_x", "nw", "mean", "stddev", (F.sum("w").over(run) + F.col("_hcw")).alias("cw"),
-                    (F.sum(F.col("w") * F.col("_x")).over(run) + F.col("_hcwx")).alias("cwx"))
-    hit = x.where(F.col("cw") >= F.lit(float(p)) * F.col("nw"))
-    # Already partitioned by replicate: this aggregate adds no shuffle.
-    return hit.groupBy("replicate").agg(
-        F.min("_x").alias("var"), F.min_by(F.col("cwx") / F.col("cw"), F.col("_x")).alias("cvar"),
-        F.max("mean").alias("mean"), F.max("stddev").alias("stddev"))
-
-
-#: Statistics that an interval can be made of.
+    cum = sums.select("replicate", "_r", *[(F.sum(n).over(run) - F.col(n)).alias(f"_b{n}") for n in names],
+                      *[F.sum(n).over(whole).alias(f"_a{n}") for n in names], F.col("w").alias("_own"))
+    # The range of each cut: a rank lies where the running sum reaches it, a value where bisection puts it.
+    spots = []
+    for k, s in enumerate(wanted):
+        if s.at is not None:
+            rank, value = F.lit(None).cast("double"), s.at(sums_of(s, "_a"))
+        else:
+            rank, value = F.greatest(F.ceil(F.lit(float(s.rank if s.rank is not None else 0.0)) * F.col("_aw")).cast("double"), F.lit(1.0)), F.lit(None).cast("double")
+        spots.append(F.struct(F.lit(k).alias("s"), rank.alias("rank"), value.alias("value")))
+    spread = (cum.withColumn("_spot", F.explode(F.array(*spots))).select("*", "_spot.*").drop("_spot")
+              .select("*", bounds.alias("_bounds"), origin.alias("_o")))
+    # A cut by value below (above) all trials of a replicate lies before its first (behind its last) range.
+    target = _range_of(F.col("value") + F.col("_o"), F.col("_bounds"))
+    spread = spread.withColumn("_t", target).drop("_bounds")
+    reached = F.when(F.col("rank").isNotNull(), F.col("_bw") + F.col("_own") >= F.col("rank")).otherwise(F.col("_r") >= F.col("_t"))
+    base = ["_r", "rank", "value", "_t", "_o", *[f"_b{n}" for n in names], *[f"_a{n}" for n in names]]
+    at = spread.where(reached).groupBy("replicate", "s").agg(F.min(F.struct(*base)).alias("h"))
+    last = spread.groupBy("replicate", "s").agg(F.max(F.struct("_r", *base[1:], "_own")).alias("l"))
+    # Nothing lies at or above the cut: everything is below it.
+    at = last.join(at, ["replicate", "s"], "left").select(
+        "replicate", "s", F.coalesce("h._r", F.lit(BOOT_RANGES)).alias("_hr"), *[F.coalesce(f"h.{c}", f"l.{c}").alias(c) for c in ("rank", "value", "_o")],
+        *[F.coalesce(f"h._b{n}", f"l._a{n}").alias(f"_b{n}") for n in names], *[F.col(f"l._a{n}").alias(f"_a{n}") for n in names])
+    at = at.withColumn("_cut", F.col("_o") + F.col("value"))
+    # A few rows per replicate, a parameter: the side may be broadcast.
+    near = ranged.join(F.broadcast(at.select("replicate", "s", "_hr", "_cut")), F.col("_r") == F.col("_hr"))
+    near = _weighted(near, seed, id_col, ["replicate", "s", "_x", "_d", "_cut"])
+    merged = near.groupBy("replicate", "s", "_x").agg(F.sum("w").alias("w"), F.first("_cut").alias("_cut"), F.first("_d").alias("_d"))
+    run = Window.partitionBy("replicate", "s").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = merged.select("replicate", "s", "_x", F.sum("w").over(run).alias("_iw"), *[
+        F.sum(F.col("w") * f(F.col("_d"))).over(run).alias(f"_i{k}") for k, f in enumerate(terms)])
+    inner = at.join(running, ["replicate", "s"], "left")
+    fits = F.when(F.col("rank").isNotNull(), F.col("_bw") + F.col("_iw") >= F.col("rank")).otherwise(F.col("_x") <= F.col("_cut"))
+    # The first value that reaches a rank; the last that is no greater than a cut.
+    inside = F.when(F.col("rank").isNotNull(), F.col("_x")).otherwise(-F.col("_x"))
+    picked = inner.groupBy("replicate", "s").agg(
+        F.min(F.when(fits, F.struct(inside.alias("k"), "_x", *[f"_i{n}" for n in names]))).alias("h"),
+        *[F.first(c).alias(c) for c in ("_cut", "_o", *[f"_b{n}" for n in names], *[f"_a{n}" for n in names])])
+    flat = picked.select("replicate", "s", F.coalesce("_cut", "h._x").alias("_cut"), "_o", *[f"_a{n}" for n in names],
+                         *[(F.col(f"_b{n}") + F.coalesce(f"h._i{n}", F.lit(0.0))).alias(f"_b{n}") for n in names])
+    value, name = F.lit(None).cast("double"), F.lit(None).cast("string")
+    for k, s in enumerate(wanted):
+        done = s.finish(sums_of(s, "_a"), sums_of(s, "_b"), F.col("_cut"), F.col("_o"))
+        value, name = F.when(F.col("s") == k, done).otherwise(value), F.when(F.col("s") == k, F.lit(s.name)).otherwise(name)
+    return flat.select(name.alias("statistic"), "replicate", value.alias("v"))
+
+
+def replicate_stats(df: DataFrame, num: int = 100, p: float = 0.05, seed: int = 1, col: str = "average_return",
+                    id_col: str = "trial_id") -> DataFrame:
+    """Per replicate: ``replicate, var, cvar, mean, stddev`` (population) of the resample."""
+    long = replicate_values(df, list(statistics(p).values()), num, seed, col, id_col)
+    return long.groupBy("replicate").agg(*[F.max(F.when(F.col("statistic") == s, F.col("v"))).alias(s) for s in STATISTICS])
+
+
+#: Statistics that go by name.
 STATISTICS = ("var", "cvar", "mean", "stddev")
 
 
 def bootstrap_ci(df: DataFrame, stat="var", num: int = 100, p: float = 0.05,
                  probability: float = 0.05, seed: int = 1, col: str = "average_return",
                  id_col: str = "trial_id") -> DataFrame:
-    """Bootstrap confidence intervals of one or several of ``STATISTICS`` (``'both'``: VaR and CVaR).
+    """Bootstrap confidence intervals of one or several statistics: ``STATISTICS`` by name (``'both'``: VaR and CVaR)
+    or any ``Statistic`` of the caller's.
 
     One resampling pass serves all statistics; ends are the sorted replicate
     values at ``int(num p/2 - 1)`` and ``int(num (1 - p/2))`` (0-based).  Output
     one row per statistic: ``statistic, lower, upper``.
     """
-    wanted = ["var", "cvar"] if stat == "both" else [stat] if isinstance(stat, str) else list(stat)
-    if not wanted or set(wanted) - set(STATISTICS):
-        raise ValueError(f"stat must be 'both' or of {STATISTICS}")
+    chosen = ["var", "cvar"] if stat == "both" else [stat] if isinstance(stat, (str, Statistic)) else list(stat)
+    known = statistics(p)
+    if not chosen or any(isinstance(s, str) and s not in known for s in chosen):
+        raise ValueError(f"stat must be 'both', of {STATISTICS}, or a Statistic")
+    wanted = [known[s] if isinstance(s, str) else s for s in chosen]
+    if len({s.name for s in wanted}) < len(wanted):
+        raise ValueError("statistics must have different names")
     lo, hi = ci_indices(num, probability)
     if not 0 <= lo <= hi < num:
         raise ValueError("too few replicates for an interval of this probability")
-    reps = replicate_stats(df, num, p, seed, col, id_col)
-    cells = F.array(*[F.struct(F.lit(s).alias("statistic"), F.col(s).alias("v")) for s in wanted])
-    long = reps.select(F.inline(cells))
+    long = replicate_values(df, wanted, num, seed, col, id_col)
     # ``num`` rows per statistic (a parameter): ranking them is bounded work.
     ranked = long.withColumn("pos", F.row_number().over(Window.partitionBy("statistic").orderBy("v")) - 1)
     return ranked.groupBy("statistic").agg(
@@ -244,4 +333,5 @@ def bootstrap_ci(df: DataFrame, stat="var", num: int = 100, p: float = 0.05,
 
 
 __all__ = ["value_at_risk", "conditional_var", "historical_var", "variance_covariance_var", "trial_stats", "bootstrap_ci",
-           "replicate_stats", "resample_weights", "ci_indices", "lower_quantile", "quantile_by", "value_at_risk_by"]
+           "replicate_stats", "replicate_values", "Statistic", "statistics",
+           "resample_weights", "ci_indices", "lower_quantile", "quantile_by", "value_at_risk_by"]

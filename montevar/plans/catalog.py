@@ -282,6 +282,27 @@ def q_bootstrap_mean(spark, sf):
     return report(_study(spark, sf, keep=TRIALS).bootstrap(("mean", "stddev")))
 
 
+#: Two statistics that the library doesn't know: the median, and the deviation below the mean.
+MEDIAN = risk.Statistic("median", lambda whole, below, cut, origin: cut, rank=0.5)
+
+
+def _below_mean(whole, below, cut, origin):
+    m = whole["d"] / whole["w"]
+    return F.sqrt(F.greatest((below["dd"] - 2 * m * below["d"] + m * m * below["w"]) / whole["w"], F.lit(0.0)))
+
+
+SEMI_DEVIATION = risk.Statistic("semi_deviation", _below_mean, {"d": lambda d: d, "dd": lambda d: d * d},
+                                at=lambda whole: whole["d"] / whole["w"])
+
+
+def q_bootstrap_median(spark, sf):
+    return report(_study(spark, sf, keep=TRIALS).bootstrap(MEDIAN))
+
+
+def q_bootstrap_semi_deviation(spark, sf):
+    return report(_study(spark, sf, keep=TRIALS).bootstrap((SEMI_DEVIATION, "mean")))
+
+
 def q_failures(spark, sf):
     return _study(spark, sf, keep=FIGURES).failures()
 

@@ -239,6 +239,12 @@ CTES["cvar"] = (["trials", "var"], "SELECT (SELECT value_at_risk FROM var) AS va
                                    "AS conditional_var FROM trials WHERE average_return <= (SELECT value_at_risk FROM var)")
 CTES["boot"] = (["trials"], _boot())
 CTES["boot_rep"] = (["boot"], _boot_rep())
+_expanded = ("SELECT replicate, average_return FROM boot, LATERAL (SELECT unnest(range(CAST(w AS BIGINT)))) WHERE w > 0")
+CTES["boot_median"] = (["boot"], f"SELECT quantile_disc(average_return, 0.5) AS median FROM ({_expanded}) GROUP BY replicate")
+CTES["boot_semi"] = (["boot"], (
+    f"SELECT x.replicate, any_value(m.m) AS mean, sqrt(sum(CASE WHEN average_return < m.m THEN (average_return - m.m) * (average_return - m.m) "
+    f"ELSE 0 END) / count(*)) AS below_mean FROM ({_expanded}) x JOIN (SELECT replicate, avg(average_return) AS m FROM ({_expanded}) "
+    "GROUP BY replicate) m ON x.replicate = m.replicate GROUP BY x.replicate"))
 CTES["predict_test"] = (["split", "models"],
                         "SELECT s.symbol, s.k, s.label, (m.intercept + " +
                         " + ".join(f"m.{q(weight_name(f))} * s.{q(f)}" for f in FEATS) +
@@ -301,11 +307,11 @@ def _kupiec(x: str, n: str, p: float) -> str:
             f"{xlogy(f'({n} - {x})', f'(1 - {qq})')} - {xlogy(x, qq)}))")
 
 
-def _boot_ci(field: str, stat: str) -> str:
+def _boot_ci(field: str, stat: str, source: str = "boot_rep") -> str:
     lo, hi = ci_indices(pl.BOOT_NUM, pl.BOOT_PROBABILITY)
     return (f"SELECT '{stat}' AS statistic, {r(f'max(CASE WHEN pos = {lo} THEN v END)')} AS lower, "
             f"{r(f'max(CASE WHEN pos = {hi} THEN v END)')} AS upper FROM (SELECT {field} AS v, "
-            f"row_number() OVER (ORDER BY {field}) - 1 AS pos FROM boot_rep)")
+            f"row_number() OVER (ORDER BY {field}) - 1 AS pos FROM {source})")
 
 
 def oracle_sql() -> dict[str, str]:
@@ -438,6 +444,9 @@ def oracle_sql() -> dict[str, str]:
         "bootstrap_var": with_ctes(["boot_rep"], _boot_ci("value_at_risk", "var")),
         "bootstrap_cvar": with_ctes(["boot_rep"], _boot_ci("conditional_var", "cvar")),
         "bootstrap_mean": with_ctes(["boot_rep"], _boot_ci("mean", "mean") + " UNION ALL " + _boot_ci("stddev", "stddev")),
+        "bootstrap_median": with_ctes(["boot_median"], _boot_ci("median", "median", "boot_median")),
+        "bootstrap_semi_deviation": with_ctes(["boot_semi"], _boot_ci("below_mean", "semi_deviation", "boot_semi") + " UNION ALL "
+                                              + _boot_ci("mean", "mean", "boot_semi")),
         "failures": with_ctes(["failures"], "SELECT risk_measure, failures, size FROM failures"),
         "kupiec": with_ctes(["failures"], f"SELECT risk_measure, failures, size, {r(_kupiec('failures', 'size', p))} "
                                           "AS kupiec_pof FROM failures"),
