@@ -55,6 +55,23 @@ def normal_of(u1, u2, ops=SPARK):
     return ops.mul(ops.sqrt(ops.mul(ops.lit(-2.0), ops.ln(u1))), ops.cos(ops.mul(ops.lit(TWO_PI), u2)))
 
 
+def poisson_thresholds(mean: float, tail: float = 1e-12) -> list[float]:
+    """Cumulative probabilities of a Poisson distribution at 0, 1, 2, ... up to 1 - tail."""
+    out, term, acc, k = [], math.exp(-mean), 0.0, 0
+    while True:
+        acc += term
+        out.append(acc)
+        k += 1
+        term *= mean / k
+        if 1.0 - acc < tail:
+            return out
+
+
+def poisson_from_uniform(u, mean: float, ops=SPARK):
+    """Inverse-CDF Poisson draw: the number of cumulative thresholds below ``u``."""
+    return ops.sum(ops.gt(u, ops.lit(c)) for c in poisson_thresholds(mean))
+
+
 def poisson1_thresholds(tail: float = 1e-12) -> list[float]:
     """Cumulative probabilities of Poisson(1) at 0, 1, 2, ... up to 1 - tail."""
     out, term, acc, k = [], math.exp(-1.0), 0.0, 0

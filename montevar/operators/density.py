@@ -1,12 +1,14 @@
-"""Gaussian kernel density estimate on an even grid.
-
-The grid has ``points`` values per group: ``min + j (max - min) / points``.  Equal values are
-merged first (returns have three decimals, so few different ones remain), then every
-different value is expanded to its ``points`` grid indices, the kernel term, times the
-value's count, is an ordinary (code-generated) projection, and a hash aggregate
-keyed by (group, j) combines the terms map-side inside the same pipelined
-stage.  The shuffles carry at most the different values and ``groups x points`` partial sums per task; no table of
-sample x grid pairs is joined, shuffled or stored.
+"""Gaussian kernel density estimate on an even grid, by cells of values.
+
+The grid has ``points`` values per group: ``min + j (max - min) / points``.  Values are gathered in cells that are a small
+part of the bandwidth wide.  Around a cell's centre the kernel of a value at distance t (in bandwidths) is, for a
+grid point at distance u, ``exp(-u^2/2) exp(-t^2/2) exp(u t)``; so the cell's sums of ``exp(-t^2/2) t^k``, k = 0 ... 11,
+make up its part of the density at every grid point as a power series in u.
+
+The values are read once into those sums, combined in each task before the shuffle.  What meets the grid is one row per
+occupied cell, whatever the number of values (the cells are as many as the group's range has parts of a bandwidth).  No
+value is left out: the series' relative error is at most ``(|u| / 64)^12 / 12!``, below 4e-12 wherever the kernel
+is a number at all (``|u| < 38.6``).
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ from montevar.operators.scenarios import as_scalar
 
 # Fixed value: the rule-of-thumb bandwidth factor, h = 1.06 * sd * n^(-1/5).
 BANDWIDTH_FACTOR = 1.06
+#: Cells in a bandwidth, and terms of the series.
+CELLS = 32
+TERMS = 12
 
 
 def _stats(col: str, sd: str) -> list:
@@ -41,20 +46,30 @@ def kde(df: DataFrame, col: str, by: str | None = None, points: int = 100, sd: s
     data = df.select(*keys, col).where(F.col(col).isNotNull())
     if by is None:
         s = as_scalar(data.agg(*_stats(col, sd)))
-        merged = data.groupBy(col).agg(F.count(F.lit(1)).alias("_w"))
-        rows = merged.select(col, "_w", *[s[f].alias(f) for f in ("_min", "_max", "_sd", "_n")])
+        rows = data.select(F.col(col).cast("double").alias("_x"), *[s[f].alias(f) for f in ("_min", "_max", "_sd", "_n")])
     else:
         # One row per group; an equi-join on the group key (never a product).
-        merged = data.groupBy(by, col).agg(F.count(F.lit(1)).alias("_w"))
-        rows = merged.join(data.groupBy(by).agg(*_stats(col, sd)), by)
+        rows = data.join(data.groupBy(by).agg(*_stats(col, sd)), by).withColumn("_x", F.col(col).cast("double"))
     h = F.lit(BANDWIDTH_FACTOR) * F.col("_sd") * F.pow(F.col("_n").cast("double"), -0.2)
     step = (F.col("_max") - F.col("_min")) / points
-    rows = rows.select(*keys, col, "_w", "_min", "_n", step.alias("_step"), h.alias("_h"))
-    grid = rows.select(*keys, col, "_w", "_min", "_n", "_step", "_h",
-                       F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
-    u = F.try_divide(F.col("_min") + F.col("_step") * F.col("j") - F.col(col), F.col("_h"))
-    terms = grid.select(*keys, "_min", "_step", "_h", "_n", "j", (F.col("_w") * F.exp(-0.5 * u * u)).alias("_kv"))
-    sums = terms.groupBy(*keys, "_min", "_step", "_h", "_n", "j").agg(F.sum("_kv").alias("_s"))
+    grid = [*keys, "_min", "_n", "_step", "_h"]
+    rows = rows.select(*keys, "_x", "_min", "_n", step.alias("_step"), h.alias("_h"))
+    rows = rows.select("_x", *grid, F.floor(F.try_divide((F.col("_x") - F.col("_min")) * CELLS, F.col("_h"))).alias("_cell"))
+    centre = F.col("_min") + (F.col("_cell") + 0.5) * F.col("_h") / CELLS
+    t = rows.select(*grid, "_cell", F.try_divide(F.col("_x") - centre, F.col("_h")).alias("_t"))
+    power, sums = F.exp(-0.5 * F.col("_t") * F.col("_t")), []
+    for k in range(TERMS):
+        sums.append((F.sum(power) / math.factorial(k)).alias(f"_s{k}"))
+        power = power * F.col("_t")
+    cells = t.groupBy(*grid, "_cell").agg(*sums).withColumn("_c", centre)
+    met = cells.select("*", F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("j"))
+    u = F.try_divide(F.col("_min") + F.col("_step") * F.col("j") - F.col("_c"), F.col("_h"))
+    met = met.withColumn("_u", u)
+    series = F.col(f"_s{TERMS - 1}")
+    for k in reversed(range(TERMS - 1)):
+        series = series * F.col("_u") + F.col(f"_s{k}")
+    terms = met.select(*grid, "j", (F.exp(-0.5 * F.col("_u") * F.col("_u")) * series).alias("_kv"))
+    sums = terms.groupBy(*grid, "j").agg(F.sum("_kv").alias("_s"))
     dens = F.try_divide(F.col("_s"), F.col("_n") * F.col("_h") * math.sqrt(2 * math.pi))
     x = F.col("_min") + F.col("_step") * F.col("j")
     if log:

@@ -70,7 +70,7 @@ def instrument_trials(models: DataFrame, scenarios: DataFrame, factors, n_trials
     feats = feats or [f"{f}_feat" for f in factors]
     rank = max(math.ceil(p * n_trials), 1)
     met = _met(models, scenarios, factors, n_trials, feats, key)
-    returns = F.array_sort(F.transform("cells", lambda c: _return_of(F.col("model"), c, len(factors))))
+    returns = F.sort_array(F.transform("cells", lambda c: _return_of(F.col("model"), c, len(factors))))
     # One row for each instrument and block; its array lives as long as the row.
     held = met.select(key, "block", returns.alias("r"))
     total = lambda a, of: F.aggregate(a, F.lit(0.0), lambda s, x: s + of(x))
@@ -85,7 +85,7 @@ def instrument_trials(models: DataFrame, scenarios: DataFrame, factors, n_trials
     whole = parts.groupBy(key).agg(
         F.sum("n").alias("trials"), F.sum("s").alias("s"), F.min("lo").alias("min"), F.max("hi").alias("max"),
         F.sum("q").alias("q"), F.collect_list(F.struct("n", "s")).alias("blocks"),
-        F.array_sort(F.flatten(F.collect_list("tail"))).alias("tail"))
+        F.sort_array(F.flatten(F.collect_list("tail"))).alias("tail"))
     mean = F.col("s") / F.col("trials")
     between = F.aggregate("blocks", F.lit(0.0), lambda t, b: t + b["n"] * (b["s"] / b["n"] - mean) * (b["s"] / b["n"] - mean))
     named = whole.select(key, "trials", "min", "max", mean.alias("mean"), F.sqrt((F.col("q") + between) / F.col("trials")).alias("stddev"),

@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from montevar.functions.exprs import SPARK
 from montevar.functions.matrix import let
-from montevar.functions.numeric import poisson1_from_uniform, poisson1_thresholds, uniform_of
+from montevar.functions.numeric import (poisson1_from_uniform, poisson1_thresholds, poisson_from_uniform, poisson_thresholds,
+                                        uniform_of)
 
 
 # Rank accuracy of the approximate bracket (its ends are within n / accuracy ranks of the quantile)
@@ -143,7 +144,7 @@ def ci_indices(num: int, probability: float) -> tuple[int, int]:
 
 
 #: Ranges of about equally many trials into which the replicates' sums are cut (a power of two).
-BOOT_RANGES = 1024
+BOOT_RANGES = 256
 
 
 @dataclass(frozen=True)
@@ -212,6 +213,44 @@ def resample_weights(df: DataFrame, num: int = 100, seed: int = 1, id_col: str =
     return _weighted(pairs, seed, id_col, ["replicate", *keep])
 
 
+#: Equal rows that one task draws for.
+RESAMPLE_CHUNK = 4096
+
+
+def row_key(cols) -> Column:
+    """Text of a row: each value with its length in front, so different rows never share it; NULL is ``-``."""
+    cells = []
+    for c in cols:
+        text = F.col(f"`{c}`").cast("string")
+        cells.append(F.coalesce(F.concat(F.length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.concat_ws(",", *cells)
+
+
+def resample_rows(df: DataFrame, fraction: float = 1.0, seed: int = 1) -> DataFrame:
+    """Sampling with replacement as rows: every row Poisson(``fraction``) times, for tables without an id.
+
+    The draw of a row is keyed by ``seed``, the row's text and its number among equal rows, so the result
+    depends on the rows alone, never on their order or partitioning.  Equal rows are counted first; a row with many
+    equals is dealt over tasks in chunks.  Columns and types stay; maps cannot be compared and are refused by Spark.
+    """
+    if not fraction > 0:
+        raise ValueError("fraction must be positive")
+    cols = df.columns
+    quoted = [F.col(f"`{c}`") for c in cols]
+    counted = df.groupBy(*quoted).agg(F.count(F.lit(1)).alias("__n"))
+    chunks = counted.select(*quoted, "__n", F.explode(F.sequence(F.lit(0), F.expr(f"(__n - 1) DIV {RESAMPLE_CHUNK}"))).alias("__c"))
+    # Chunks of one row go to different tasks; rows that hash alike stay spread by their own values.
+    dealt = chunks.repartition(*quoted, "__c") if len(cols) else chunks
+    first = F.col("__c") * RESAMPLE_CHUNK
+    last = F.least(first + RESAMPLE_CHUNK, F.col("__n")) - 1
+    drawn = dealt.select(*quoted, F.explode(F.sequence(first, last)).alias("__i"))
+    u = uniform_of(F.concat(F.lit(f"{seed}:"), row_key(cols), F.lit(":"), F.col("__i").cast("string")))
+    # More than none exactly when u exceeds the probability of none.
+    drawn = drawn.select(*quoted, u.alias("__u")).where(F.col("__u") > F.lit(poisson_thresholds(fraction)[0]))
+    times = poisson_from_uniform(F.col("__u"), fraction).cast("int")
+    return drawn.select(*quoted, F.explode(F.sequence(F.lit(1), times)).alias("__t")).drop("__t")
+
+
 def _range_of(x: Column, bounds: Column) -> Column:
     """How many of the ``BOOT_RANGES - 1`` ascending bounds are below ``x``, by bisection; never falls as ``x`` grows."""
     steps = F.array(*[F.lit(BOOT_RANGES >> k) for k in range(1, BOOT_RANGES.bit_length())])
@@ -258,32 +297,29 @@ def replicate_values(df: DataFrame, wanted: Sequence[Statistic], num: int = 100,
         spots.append(F.struct(F.lit(k).alias("s"), rank.alias("rank"), value.alias("value")))
     spread = (cum.withColumn("_spot", F.explode(F.array(*spots))).select("*", "_spot.*").drop("_spot")
               .select("*", bounds.alias("_bounds"), origin.alias("_o")))
-    # A cut by value below (above) all trials of a replicate lies before its first (behind its last) range.
     target = _range_of(F.col("value") + F.col("_o"), F.col("_bounds"))
     spread = spread.withColumn("_t", target).drop("_bounds")
     reached = F.when(F.col("rank").isNotNull(), F.col("_bw") + F.col("_own") >= F.col("rank")).otherwise(F.col("_r") >= F.col("_t"))
-    base = ["_r", "rank", "value", "_t", "_o", *[f"_b{n}" for n in names], *[f"_a{n}" for n in names]]
-    at = spread.where(reached).groupBy("replicate", "s").agg(F.min(F.struct(*base)).alias("h"))
-    last = spread.groupBy("replicate", "s").agg(F.max(F.struct("_r", *base[1:], "_own")).alias("l"))
-    # Nothing lies at or above the cut: everything is below it.
-    at = last.join(at, ["replicate", "s"], "left").select(
-        "replicate", "s", F.coalesce("h._r", F.lit(BOOT_RANGES)).alias("_hr"), *[F.coalesce(f"h.{c}", f"l.{c}").alias(c) for c in ("rank", "value", "_o")],
-        *[F.coalesce(f"h._b{n}", f"l._a{n}").alias(f"_b{n}") for n in names], *[F.col(f"l._a{n}").alias(f"_a{n}") for n in names])
-    at = at.withColumn("_cut", F.col("_o") + F.col("value"))
+    before = F.struct("_r", *[f"_b{n}" for n in names])
+    # A cut above all trials of a replicate lies in its last range.
+    at = spread.groupBy("replicate", "s").agg(
+        F.coalesce(F.min(F.when(reached, before)), F.max(before)).alias("h"),
+        *[F.first(c).alias(c) for c in ("rank", "value", "_o", *[f"_a{n}" for n in names])])
+    at = at.select("replicate", "s", F.col("h._r").alias("_hr"), "rank", (F.col("_o") + F.col("value")).alias("_cut"), "_o",
+                   *[F.col(f"h._b{n}").alias(f"_b{n}") for n in names], *[f"_a{n}" for n in names])
     # A few rows per replicate, a parameter: the side may be broadcast.
-    near = ranged.join(F.broadcast(at.select("replicate", "s", "_hr", "_cut")), F.col("_r") == F.col("_hr"))
-    near = _weighted(near, seed, id_col, ["replicate", "s", "_x", "_d", "_cut"])
-    merged = near.groupBy("replicate", "s", "_x").agg(F.sum("w").alias("w"), F.first("_cut").alias("_cut"), F.first("_d").alias("_d"))
+    near = ranged.join(F.broadcast(at), F.col("_r") == F.col("_hr"))
+    held = ["rank", "_cut", "_o", *[f"_b{n}" for n in names], *[f"_a{n}" for n in names]]
+    near = _weighted(near, seed, id_col, ["replicate", "s", "_x", "_d", *held])
+    merged = near.groupBy("replicate", "s", "_x").agg(F.sum("w").alias("w"), *[F.first(c).alias(c) for c in ("_d", *held)])
     run = Window.partitionBy("replicate", "s").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    running = merged.select("replicate", "s", "_x", F.sum("w").over(run).alias("_iw"), *[
+    running = merged.select("replicate", "s", "_x", *held, F.sum("w").over(run).alias("_iw"), *[
         F.sum(F.col("w") * f(F.col("_d"))).over(run).alias(f"_i{k}") for k, f in enumerate(terms)])
-    inner = at.join(running, ["replicate", "s"], "left")
     fits = F.when(F.col("rank").isNotNull(), F.col("_bw") + F.col("_iw") >= F.col("rank")).otherwise(F.col("_x") <= F.col("_cut"))
     # The first value that reaches a rank; the last that is no greater than a cut.
     inside = F.when(F.col("rank").isNotNull(), F.col("_x")).otherwise(-F.col("_x"))
-    picked = inner.groupBy("replicate", "s").agg(
-        F.min(F.when(fits, F.struct(inside.alias("k"), "_x", *[f"_i{n}" for n in names]))).alias("h"),
-        *[F.first(c).alias(c) for c in ("_cut", "_o", *[f"_b{n}" for n in names], *[f"_a{n}" for n in names])])
+    picked = running.groupBy("replicate", "s").agg(
+        F.min(F.when(fits, F.struct(inside.alias("k"), "_x", *[f"_i{n}" for n in names]))).alias("h"), *[F.first(c).alias(c) for c in held])
     flat = picked.select("replicate", "s", F.coalesce("_cut", "h._x").alias("_cut"), "_o", *[f"_a{n}" for n in names],
                          *[(F.col(f"_b{n}") + F.coalesce(f"h._i{n}", F.lit(0.0))).alias(f"_b{n}") for n in names])
     value, name = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -334,4 +370,4 @@ def bootstrap_ci(df: DataFrame, stat="var", num: int = 100, p: float = 0.05,
 
 __all__ = ["value_at_risk", "conditional_var", "historical_var", "variance_covariance_var", "trial_stats", "bootstrap_ci",
            "replicate_stats", "replicate_values", "Statistic", "statistics",
-           "resample_weights", "ci_indices", "lower_quantile", "quantile_by", "value_at_risk_by"]
+           "resample_weights", "resample_rows", "ci_indices", "lower_quantile", "quantile_by", "value_at_risk_by"]

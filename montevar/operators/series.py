@@ -126,6 +126,32 @@ def cluster_by_key(df: DataFrame, key, date_col: str = "date") -> DataFrame:
     return df.repartition(*keys).sortWithinPartitions(*keys, F.desc(date_col))
 
 
+def store_series(df: DataFrame, table: str, path: str | None = None, key: str = "symbol", buckets: int = 64,
+                 date_col: str = "date") -> DataFrame:
+    """Write a series table partitioned by year, bucketed by key and sorted by date; give it back as ``stored_series`` does.
+
+    Everything per key (dedup, fill, frame, rank, fit) reads it without an exchange, and a period opens the
+    folders of its years only.  Rows meet by key once, here: each task writes whole buckets.  ``table`` is the name in the
+    catalog, replaced if it exists; ``path`` the folder of an external table.
+    """
+    dated = df.withColumn("year", F.year(date_col)).repartition(buckets, key)
+    writer = (dated.write.mode("overwrite").format("parquet").partitionBy("year").bucketBy(buckets, key).sortBy(key, date_col))
+    if path:
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return stored_series(df.sparkSession, table, date_col=date_col)
+
+
+def stored_series(spark, table: str, start: str | None = None, end: str | None = None, date_col: str = "date") -> DataFrame:
+    """The stored table within a period (inclusive): only the folders of its years are opened."""
+    df = spark.table(table)
+    if start:
+        df = df.where(F.col("year") >= int(start[:4]))
+    if end:
+        df = df.where(F.col("year") <= int(end[:4]))
+    return filter_period(df, start, end, date_col).drop("year")
+
+
 def daily_mean_return(returns: DataFrame, date_col: str = "date", value: str = "fluct") -> DataFrame:
     """Equal-weight portfolio return per day: ``date, avg_return``."""
     return returns.groupBy(date_col).agg(F.avg(value).alias("avg_return"))

@@ -8,6 +8,7 @@ the engine (the oracle applies the same rule).
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -17,9 +18,13 @@ from montevar.functions.numeric import round_half_away
 from montevar.functions.parsing import INDEX_CSV_DATE, INDEX_TSV_DATE, STOCK_DATE, parse_date_text, parse_number_text
 from montevar.operators import backtest, features as feat_ops, moments as mom_ops, regression, risk, scenarios, series
 from montevar.plans import pipeline as pl
+from montevar.session import checkpoint_dir
 from montevar.sources import files, fixtures as fx
 
 DIGITS = 9
+#: Buckets of the stored price table, and the share of rows that ``resample_rows`` draws.
+STORED_BUCKETS = 16
+RESAMPLE_FRACTION = 0.8
 
 
 def report(df: DataFrame, places: int = DIGITS) -> DataFrame:
@@ -76,6 +81,34 @@ def q_price_lines_csv(spark, sf):
                         "date", "open", "high", "low", "close", "volume")
 
 
+def _checked_lines(spark, sf):
+    return files.checked_prices(files.columns_of_lines(fx.damaged_price_lines(spark, sf), files.STOCK_COLUMNS, corrupt=True))
+
+
+def q_price_line_rejects(spark, sf):
+    return files.rejected_rows(_checked_lines(spark, sf))
+
+
+def q_price_line_good(spark, sf):
+    return files.good_rows(_checked_lines(spark, sf)).select("l_orderkey", "l_linenumber", "symbol", "date", "open", "nulled")
+
+
+def q_price_line_reasons(spark, sf):
+    return _checked_lines(spark, sf).groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
+
+
+def q_stock_returns_stored(spark, sf):
+    """``stock_returns`` from the stored layout."""
+    name = f"montevar_prices_{uuid.uuid4().hex}"
+    kept = series.store_series(fx.prices(spark, sf), name, f"{checkpoint_dir(spark)}/{name}", buckets=STORED_BUCKETS)
+    st = pl.RiskStudy(kept, fx.factors(spark, sf), pl.FACTORS, keep=())
+    return report(st.stock_returns)
+
+
+def q_resample_rows(spark, sf):
+    return risk.resample_rows(fx.line_kinds(spark, sf), RESAMPLE_FRACTION, pl.BOOT_SEED)
+
+
 def _factor_lines(spark, sf, tsv, sep, date_format):
     landed = files.columns_of_lines(fx.factor_lines(spark, sf, tsv), files.FACTOR_COLUMNS, sep)
     landed = landed.withColumn("factor", F.concat_ws("/", "factor", "l_orderkey", "l_linenumber"))

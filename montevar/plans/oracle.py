@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 
 from montevar.functions.exprs import SQL, sql_stages
-from montevar.functions.numeric import keyed_normal, keyed_uniform, poisson1_thresholds, round_half_away
+from montevar.functions.numeric import keyed_normal, keyed_uniform, poisson1_thresholds, poisson_thresholds, round_half_away, uniform_of
 from montevar.functions.linalg import cholesky_stages
 from montevar.operators.regression import ridge_stages, weight_name
 from montevar.operators.risk import ci_indices
@@ -213,6 +213,32 @@ CTES: dict[str, tuple[list[str], str]] = {
 }
 
 
+_PX = "format('{:,.2f}', l_extendedprice)"
+# The line as the columns of a refused row make it: quotes are gone, unless the line itself was damaged.
+_REST = f"CASE WHEN l_returnflag = 'R' THEN '-' ELSE '' END || {_PX}"
+_DAY = "CASE WHEN l_returnflag = 'R' THEN 'n/a' ELSE strftime(CAST(l_shipdate AS DATE), '%d-%b-%y') END"
+_WHOLE = f"""{_DAY} || ',"' || {_PX} || '","' || {_PX} || '","' || {_REST} || '","' || {_PX} || '"'"""
+_PLAIN = f"{_PX} || ',' || {_PX} || ',' || {_REST} || ',' || {_PX} || ',100'"
+CTES["damaged"] = ([], (
+    "SELECT l_orderkey, l_linenumber, CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice, "
+    "CASE WHEN l_linenumber IN (6, 7) THEN 'columns' WHEN l_linenumber = 4 THEN 'no date' WHEN l_returnflag = 'R' THEN 'date' END AS reason, "
+    f"CASE l_linenumber WHEN 6 THEN {_WHOLE} WHEN 7 THEN {_WHOLE} || ',100,x' WHEN 4 THEN ',' || {_PLAIN} "
+    f"WHEN 5 THEN {_DAY} || ',none,' || {_PX} || ',' || {_REST} || ',' || {_PX} || ',100' ELSE {_DAY} || ',' || {_PLAIN} END AS line FROM lineitem"))
+CTES["kinds"] = ([], "SELECT l_returnflag, CASE WHEN l_returnflag <> 'A' THEN l_linestatus END AS l_linestatus, l_linenumber, "
+                     "strftime(CAST(l_shipdate AS DATE), '%Y-%m') AS l_shipmonth FROM lineitem")
+
+
+def _resampled() -> str:
+    """Every row by its number among equal ones, as often as its draw says."""
+    cols = ["l_returnflag", "l_linestatus", "l_linenumber", "l_shipmonth"]
+    text = " || ',' || ".join(f"coalesce(length(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')" for c in cols)
+    u = uniform_of(f"('{pl.BOOT_SEED}:' || {text} || ':' || CAST(i AS VARCHAR))", SQL)
+    w = " + ".join(f"(CASE WHEN u > {c!r} THEN 1 ELSE 0 END)" for c in poisson_thresholds(0.8))
+    names = ", ".join(cols)
+    return (f"SELECT {names} FROM (SELECT {names}, unnest(range(CAST({w} AS BIGINT))) AS t FROM (SELECT {names}, {u} AS u FROM "
+            f"(SELECT {names}, row_number() OVER (PARTITION BY {names}) - 1 AS i FROM kinds)))")
+
+
 def _add_chain(ctes, deps_first: list[str], tail_name: str):
     names = []
     for text in ctes:
@@ -344,6 +370,14 @@ def oracle_sql() -> dict[str, str]:
             "CAST(l_linenumber AS VARCHAR) AS l_linenumber, CAST(l_shipdate AS DATE) AS date, "
             "l_extendedprice AS open, l_extendedprice AS high, l_extendedprice AS low, "
             "format('{:,.2f}', l_extendedprice) AS close, '100' AS volume FROM lineitem WHERE l_returnflag <> 'R'"),
+        "price_line_rejects": with_ctes(["damaged"], "SELECT l_orderkey, l_linenumber, symbol, reason, line AS record FROM damaged "
+                                                     "WHERE reason IS NOT NULL"),
+        "price_line_good": with_ctes(["damaged"], (
+            "SELECT l_orderkey, l_linenumber, symbol, date, CASE WHEN l_linenumber <> 5 THEN l_extendedprice END AS open, "
+            "CASE WHEN l_linenumber = 5 THEN 'Open' ELSE '' END AS nulled FROM damaged WHERE reason IS NULL")),
+        "price_line_reasons": with_ctes(["damaged"], "SELECT coalesce(reason, 'good') AS reason, count(*) AS lines FROM damaged GROUP BY 1"),
+        "stock_returns_stored": with_ctes(["stock_returns"], f"SELECT symbol, date, {r('open')} AS open, fluct FROM stock_returns"),
+        "resample_rows": with_ctes(["kinds"], _resampled()),
         "factor_lines_tsv": (
             f"SELECT {_LINE_KEY} AS factor, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS open, l_extendedprice AS high, "
             "l_extendedprice AS low, l_extendedprice AS close, l_extendedprice AS adj_close, "

@@ -71,6 +71,56 @@ def parse_prices(raw: DataFrame, date_format: str = STOCK_DATE,
     return df.where(F.col("date").isNotNull())
 
 
+#: Column of a damaged line, and what its rows are refused for.
+CORRUPT = "_corrupt_record"
+REASONS = ("columns", "no date", "date")
+
+
+def read_price_records(spark: SparkSession, directory: str) -> DataFrame:
+    """``read_price_text`` with ``file`` and, of lines without exactly the stock columns, the line itself in ``CORRUPT``."""
+    if not _holds_csv(spark, directory):
+        return spark.createDataFrame([], _string_schema([*STOCK_COLUMNS, CORRUPT, "symbol", "file"]))
+    raw = (spark.read.schema(_string_schema([*STOCK_COLUMNS, CORRUPT])).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).csv(directory.rstrip("/") + "/*.csv"))
+    return raw.select(*STOCK_COLUMNS, CORRUPT, symbol_of_file().alias("symbol"), F.col("_metadata.file_name").alias("file"))
+
+
+def checked_prices(raw: DataFrame, date_format: str = STOCK_DATE, numeric=("Open", "High", "Low")) -> DataFrame:
+    """Every landed row, typed, with ``reason``, ``nulled`` and ``record`` beside the columns of ``parse_prices``.
+
+    ``reason`` is NULL for a good row, else what refuses it: ``columns`` (a line with too few or too many fields),
+    ``no date`` (empty) or ``date`` (not one).  ``nulled`` names the numeric columns whose text is no number (comma between
+    them, empty if none); such a row is good, its value NULL.  ``record`` is the refused row as text.  Other columns
+    (file, line keys) pass through.
+    """
+    others = [c for c in raw.columns if c not in (*STOCK_COLUMNS, CORRUPT, "symbol")]
+    damaged = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
+    date = parse_date_text("Date", date_format)
+    reason = (F.when(damaged, REASONS[0]).when(F.coalesce(F.trim("Date"), F.lit("")) == "", REASONS[1]).when(date.isNull(), REASONS[2]))
+    bad, typed = [], []
+    for c in STOCK_COLUMNS[1:]:
+        value = nan_to_null(parse_number_text(c)) if c in numeric else F.col(c)
+        typed.append(value.alias(c.lower()))
+        if c in numeric:
+            text = F.lower(F.trim(F.col(c)))
+            bad.append(F.when(value.isNull() & (text != "") & (text != "nan"), F.lit(c)))
+    whole = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in STOCK_COLUMNS])
+    record = F.coalesce(F.col(CORRUPT), whole) if CORRUPT in raw.columns else whole
+    return raw.select(*others, "symbol", date.alias("date"), *typed, reason.alias("reason"), F.concat_ws(",", *bad).alias("nulled"),
+                      F.when(reason.isNotNull(), record).alias("record"))
+
+
+def good_rows(checked: DataFrame) -> DataFrame:
+    """The typed rows of ``checked_prices``."""
+    return checked.where(F.col("reason").isNull()).drop("reason", "record")
+
+
+def rejected_rows(checked: DataFrame) -> DataFrame:
+    """Its refused rows: file and line keys, if any, ``symbol, reason, record``."""
+    typed = ["date", *[c.lower() for c in STOCK_COLUMNS[1:]], "nulled"]
+    return checked.where(F.col("reason").isNotNull()).drop(*typed)
+
+
 def load_prices(spark: SparkSession, directory: str, symbols: DataFrame | None = None,
                 date_format: str = STOCK_DATE) -> DataFrame:
     """Scan a folder of per-symbol CSVs; keep only listed symbols (left-semi join)."""
@@ -118,8 +168,10 @@ def default_factor_specs(directory: str):
             ("TYX", f"{d}/TYX.csv", ",", INDEX_CSV_DATE)]
 
 
-def columns_of_lines(lines: DataFrame, columns, sep: str = ",") -> DataFrame:
-    """Text columns of file lines that are rows of a table already (column ``line``)."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
+def columns_of_lines(lines: DataFrame, columns, sep: str = ",", corrupt: bool = False) -> DataFrame:
+    """Text columns of file lines that are rows of a table already (column ``line``); with ``corrupt`` also ``CORRUPT``."""
+    names = [*columns, CORRUPT] if corrupt else columns
+    schema = ", ".join(f"`{c}` string" for c in names)
+    options = {"sep": sep, "mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT} if corrupt else {"sep": sep}
     others = [c for c in lines.columns if c != "line"]
-    return lines.select(*others, F.from_csv("line", schema, {"sep": sep}).alias("_c")).select(*others, "_c.*")
+    return lines.select(*others, F.from_csv("line", schema, options).alias("_c")).select(*others, "_c.*")

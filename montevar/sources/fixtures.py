@@ -132,6 +132,13 @@ def prices_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def line_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table without an id: ``l_returnflag, l_linestatus, l_linenumber, l_shipmonth`` of every line item, many rows equal."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select("l_returnflag", F.when(F.col("l_returnflag") != "A", F.col("l_linestatus")).alias("l_linestatus"), "l_linenumber",
+                     F.date_format(F.col("l_shipdate").cast("date"), "yyyy-MM").alias("l_shipmonth"))
+
+
 def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of the stock files, one per line item: ``l_orderkey, l_linenumber, symbol, line``."""
     t = prices_text(spark, sf_dir)
@@ -141,6 +148,14 @@ def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("100")).alias("line"))
 
 
+def damaged_price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``price_lines`` with damage by line number: 4 lacks its date, 5 has text for the open, 6 lacks a field, 7 has one too many."""
+    lines, no = price_lines(spark, sf_dir), F.col("l_linenumber")
+    line = (F.when(no == 4, F.regexp_replace("line", "^[^,]*", "")).when(no == 5, F.regexp_replace("line", '^([^,]*),"[^"]*"', "$1,none"))
+            .when(no == 6, F.regexp_replace("line", ",100$", "")).when(no == 7, F.concat("line", F.lit(",x"))).otherwise(F.col("line")))
+    return lines.withColumn("line", line)
+
+
 def factor_lines(spark: SparkSession, sf_dir: str, tsv: bool) -> DataFrame:
     """Lines of the factor files, one per line item: ``l_orderkey, l_linenumber, factor, line``.
 

@@ -14,11 +14,12 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from montevar.functions.parsing import STOCK_DATE
-from montevar.sources.files import STOCK_COLUMNS, _string_schema, parse_prices, symbol_of_file
+from montevar.sources.files import (CORRUPT, STOCK_COLUMNS, _string_schema, checked_prices, good_rows, parse_prices, rejected_rows,
+                                    symbol_of_file)
 
 
 def price_file_stream(spark: SparkSession, directory: str, date_format: str = STOCK_DATE,
@@ -31,10 +32,21 @@ def price_file_stream(spark: SparkSession, directory: str, date_format: str = ST
     return parse_prices(raw.select(*STOCK_COLUMNS, symbol_of_file().alias("symbol")), date_format)
 
 
-def ingest_prices(spark: SparkSession, source_dir: str, table_dir: str,
-                  checkpoint_location: str | None = None, available_now: bool = True) -> StreamingQuery:
+def checked_file_stream(spark: SparkSession, directory: str, date_format: str = STOCK_DATE) -> DataFrame:
+    """Streaming ``sources.files.checked_prices`` of a folder: every landed row, good or refused."""
+    raw = (spark.readStream.schema(_string_schema([*STOCK_COLUMNS, CORRUPT])).option("header", True).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", CORRUPT).csv(directory.rstrip("/") + "/*.csv"))
+    return checked_prices(raw.select(*STOCK_COLUMNS, CORRUPT, symbol_of_file().alias("symbol"),
+                                     F.col("_metadata.file_name").alias("file")), date_format)
+
+
+def ingest_prices(spark: SparkSession, source_dir: str, table_dir: str, checkpoint_location: str | None = None,
+                  available_now: bool = True, rejects_dir: str | None = None) -> StreamingQuery:
     """Start (and with ``available_now`` run to completion) the ingest of one folder into ``table_dir``.
 
+    With ``rejects_dir``, lines with a wrong number of fields or without a date go there with their file and reason, as
+    often as they occur; without it rows without a date are dropped and short lines are filled with NULLs.
+
     Progress lies in ``<table_dir>/_progress/<source>`` (readers skip names with an underscore)
     unless a location is given; a location must not be shared by two sources.
     """
@@ -43,9 +55,15 @@ def ingest_prices(spark: SparkSession, source_dir: str, table_dir: str,
     progress = checkpoint_location or f"{table}/_progress/{digest}"
 
     def append(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{table}/source={digest}/batch={number}")
+        place = f"source={digest}/batch={number}"
+        if rejects_dir is None:
+            batch.write.mode("overwrite").parquet(f"{table}/{place}")
+            return
+        rejected_rows(batch).write.mode("overwrite").parquet(f"{rejects_dir.rstrip('/')}/{place}")
+        good_rows(batch).drop("file", "nulled").write.mode("overwrite").parquet(f"{table}/{place}")
 
-    writer = (price_file_stream(spark, source).writeStream.foreachBatch(append)
+    stream = price_file_stream(spark, source) if rejects_dir is None else checked_file_stream(spark, source)
+    writer = (stream.writeStream.foreachBatch(append)
               .option("checkpointLocation", progress).outputMode("append"))
     writer = writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime="1 minute")
     return writer.start()
