@@ -76,8 +76,10 @@ def test_prose_splits_away():
 
 
 def test_texts_of_a_batch_are_kept_apart():
-    ids, owner = runs._numbered([[b"a"] * 4, [b"a"] * 4, [b"a"] * 6])
-    assert list(runs.segments(ids, owner)) == [(8, 14)]
+    ids, owner = runs._numbered([[b"a"] * 4, [], [b"a"] * 4, [b"a"] * 6])
+    found = list(runs.segments(ids, owner))
+    assert found == [(0, 4), (4, 8), (8, 14)]
+    assert [runs.scan(ids[a:b]) for a, b in found] == [[], [], [(0, 6, 1)]]
 
 
 @pytest.mark.parametrize("n", [50_000])
