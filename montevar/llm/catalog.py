@@ -32,7 +32,6 @@ def oracle_sql() -> dict[str, str]:
     """Brute force in SQL; the other queries are held against brute force, round trips and held-out rows in tests."""
     return {
         "op1_pq_near_dedup": pq.OP1_SQL,
-        "op3_paragraph_dedup": paragraphs.OP3_SQL,
         "op4_chat_format": chat.op4_sql(),
         "op7_bit_sliced_top_k": bitslice.OP7_SQL,
         "op11_prefix_trie": trie.op11_sql(),

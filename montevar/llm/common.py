@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import gc
 import sys
 import types
@@ -45,19 +46,67 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` below the shared checkpoint folder and read it back.
+class Scratch:
+    """Tables and broadcasts that nothing needs once a result has been written: they go when the block ends.
 
-    Cuts the lineage, so that Python work runs once however many consumers follow
-    and a lost executor costs a re-read, never a recomputation.  Later scans read
-    only the columns they need.  The files are left to the clean-up policy of the
-    folder, as those of ``checkpoint()`` are.
+    ``with Scratch(spark) as own: ... return own.result(df, name)``: what ``materialize`` writes and ``share``
+    broadcasts inside the block belongs to it; ``result`` writes a table that stays.
     """
+
+    #: The blocks that are open in this thread, innermost last.
+    _open: contextvars.ContextVar[tuple["Scratch", ...]] = contextvars.ContextVar("scratch", default=())
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths, self.shared = spark, [], []
+
+    def __enter__(self) -> "Scratch":
+        self.token = Scratch._open.set((*Scratch._open.get(), self))
+        return self
+
+    @classmethod
+    def innermost(cls) -> "Scratch | None":
+        return (cls._open.get() or (None,))[-1]
+
+    def result(self, df: DataFrame, name: str) -> DataFrame:
+        return self.spark.read.parquet(_written(df, name))
+
+    def __exit__(self, *failed) -> None:
+        Scratch._open.reset(self.token)
+        for shared in self.shared:
+            shared.destroy()
+        for path in self.paths:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _written(df: DataFrame, name: str) -> str:
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
     with small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
+    return path
+
+
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` below the shared checkpoint folder and read it back.
+
+    Cuts the lineage, so that Python work runs once however many consumers follow
+    and a lost executor costs a re-read, never a recomputation.  Later scans read
+    only the columns they need.  Inside a ``Scratch`` block the files go when the block ends; others are left to the
+    clean-up policy of the folder.
+    """
+    path = _written(df, name)
+    if (own := Scratch.innermost()) is not None:
+        own.paths.append(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def share(spark: SparkSession, value):
+    """A broadcast; inside a ``Scratch`` block it is destroyed when the block ends."""
+    shared = spark.sparkContext.broadcast(value)
+    if (own := Scratch.innermost()) is not None:
+        own.shared.append(shared)
+    return shared
 
 
 def checkpoint(df: DataFrame) -> DataFrame:

@@ -330,7 +330,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: st
     A text that is null or has no letter is ``und`` with score 0.  Rows are kept as they are, repeated ones
     too; columns named like the new ones are replaced; an empty table gives an empty result.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model.held())
+    shared = common.share(docs.sparkSession, model.held())
     src = docs.drop(pred_col, score_col)
     at, name = src.columns.index(text_col), uuid.uuid4().hex
 
@@ -374,7 +374,11 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: texts without a letter, and texts that no learned language explains, go."""
-    model = fit(_training(docs))
-    out = identify(docs, model, pred_col="__lang_pred", score_col="__lang_score")
-    return out.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= MIN_SCORE)).select(
-        *[F.col(f"`{c}`") for c in docs.columns])
+    # A text's digest stands for it: what is kept of this stage is one row for each different text that stays.
+    digest = F.md5(F.encode("text", "utf-8"))
+    with common.Scratch(spark) as own:
+        model = fit(_training(docs))
+        out = identify(docs.select(digest.alias("__digest"), "text"), model, pred_col="__lang_pred", score_col="__lang_score")
+        kept = own.result(out.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= MIN_SCORE))
+                          .select("__digest").distinct(), "language-kept")
+    return docs.withColumn("__of", digest).join(kept, F.col("__of") == F.col("__digest"), "left_semi").drop("__of")

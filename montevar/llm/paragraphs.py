@@ -216,27 +216,47 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least
 
 def _meet(least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All links between (or within) the two blocks, as one edge from each linked node to its component."""
+        """All links of the two sides between different components, as one edge from each linked node to the least it reaches."""
         sides = [pdf[pdf["side"] == s].drop_duplicates("p") for s in (0, 1)]
-        if int(pdf["i"].iloc[0]) == int(pdf["j"].iloc[0]):
-            sides[1] = sides[0]
         if sides[0].empty or sides[1].empty:
             return pd.DataFrame({"a": pdf["p"].iloc[:0], "b": pdf["p"].iloc[:0]})
         at: dict = {}
         sets = [numbered(side["paragraph"], at) for side in sides]
         n = len(at)
         at.clear()
-        ids = [side["p"].to_numpy() for side in sides]
+        ids, roots = ([side[c].to_numpy() for side in sides] for c in ("p", "root"))
         found = Links(ids[0].dtype)
         for x, y in similar_pairs(*sets, n, least):
-            apart = ids[0][x] != ids[1][y]
+            apart = roots[0][x] != roots[1][y]
             found.add(ids[0][x[apart]], ids[1][y[apart]])
-        nodes, roots = found.stars()
-        return pd.DataFrame({"a": nodes, "b": roots})
+        nodes, lows = found.stars()
+        return pd.DataFrame({"a": nodes, "b": lows})
 
     return run
 
 
+def _still_apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, i, j, p, root, side``: what must meet of the bands whose members lie in different components.
+
+    Only members of different components need be compared.  Of each band the largest component is one side only;
+    the others (the small ones) are dealt to all blocks of the band, in blocks themselves.
+    """
+    placed = members.where("size > 2").join(roots, F.col("p") == F.col("node"), "left").select(
+        "band", "p", "size", F.coalesce("root", "p").alias("root"))
+    parts = placed.groupBy("band", "root").agg(F.count(F.lit(1)).alias("k"))
+    bands = (parts.groupBy("band").agg(F.max_by("root", F.struct("k", "root")).alias("big"), F.max("k").alias("most"),
+                                       F.sum("k").alias("n"), F.count(F.lit(1)).alias("roots"))
+             .where("roots > 1")
+             .select(F.col("band").alias("open"), "big", F.ceil(F.col("n") / BLOCK).cast("int").alias("n"),
+                     F.ceil((F.col("n") - F.col("most")) / BLOCK).cast("int").alias("m")))
+    left = (placed.join(bands, F.col("band") == F.col("open"))
+            .withColumn("i", F.pmod(F.xxhash64("p"), F.col("n")).cast("int")).withColumn("j", F.pmod(F.xxhash64("p"), F.col("m")).cast("int")))
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    one = left.select("band", "i", each("m").alias("j"), "p", "root", F.lit(0).alias("side"))
+    two = left.where("root <> big").select("band", each("n").alias("i"), "j", "p", "root", F.lit(1).alias("side"))
+    return one.unionByName(two)
+
+
 def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id",
             text_col: str = "text") -> DataFrame:
     """Every paragraph that has an equal or similar one.
@@ -251,6 +271,11 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"),
                       F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    with common.Scratch(docs.sparkSession) as own:
+        return own.result(_repeats(src, min_words, similarity), "repeats")
+
+
+def _repeats(src: DataFrame, min_words: int, similarity: float) -> DataFrame:
     found = common.materialize(_paragraphs(src, min_words), "paragraphs")
     # Paragraphs of equal words are one node, numbered by 64 bits of their digest.
     keyed = found.groupBy("p").agg(F.first("bands").alias("bands")).select("p", F.explode("bands").alias("band"))
@@ -263,23 +288,12 @@ def repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIM
     near = common.materialize(
         found.select("p", "paragraph").join(wanted, F.col("p") == F.col("w"), "left_semi")
         .groupBy("p").agg(F.first("paragraph").alias("paragraph")), "colliding")
-    links = common.checkpoint(_verify(pairs, near, similarity))
-    roots = common.connected_components(links)
+    roots = common.connected_components(_verify(pairs, near, similarity))
 
-    # Bands of three and more members that are still apart.
-    placed = members.where("size > 2").join(roots, F.col("p") == F.col("node"), "left").select(
-        "band", "p", "size", F.coalesce("root", "p").alias("root"))
-    apart = (placed.groupBy("band").agg(F.min("root").alias("r1"), F.max("root").alias("r2")).where("r1 <> r2")
-             .select(F.col("band").alias("open")))
-    left = placed.join(apart, F.col("band") == F.col("open")).withColumn(
-        "n", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("p"), F.col("n")).cast("int"))
-    # Each block meets itself and every other block of its band.
-    dealt = left.select("band", "p", "root", "own", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("other")).select(
-        "band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "p", "root",
-        F.when(F.col("own") <= F.col("other"), 0).otherwise(1).alias("side"))
-    more = (dealt.join(near, "p").groupBy("band", "i", "j").applyInPandas(_meet(similarity), "a bigint, b bigint"))
-    links = common.checkpoint(links.unionByName(more))
-    roots = common.connected_components(links)
+    # Bands of three and more members that are still apart; what they add joins the components found so far.
+    more = (_still_apart(members, roots).join(near, "p").groupBy("band", "i", "j")
+            .applyInPandas(_meet(similarity), "a bigint, b bigint"))
+    roots = common.connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     where = found.select("doc_id", "row_key", "line", "start", "n_chars", "p")
     located = common.materialize(where.join(roots, F.col("p") == F.col("node"), "left").select(
@@ -366,14 +380,21 @@ def _windows(src: DataFrame) -> DataFrame:
 
 
 def passages(docs: DataFrame, gone: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, row_key, word``: first words of the windows of ``WINDOW`` words that stand, word for word, earlier.
+    """Windows of ``WINDOW`` words that stand, word for word, in several places.
 
-    Earlier is by document id (rows without id last), text digest and position.  Of a document, windows that
-    overlap the first one do not count.  Windows that touch a line of ``gone`` (``doc_id, row_key, line``) are left out
-    on both sides, so what a window repeats is never itself one of those lines.
+    ``doc_id, row_key, word, line, component_doc, component_word, removed``: the window's first word and its line, the
+    first place it stands in, and whether it repeats that.  First is by document id (rows without id last), text digest
+    and position.  Of a document, windows that overlap the first one do not count.  Windows that touch a line of
+    ``gone`` (``doc_id, row_key, line``) are left out on both sides, so what a window repeats is never itself one of
+    those lines.  Null texts have no windows; rows that repeat id and text are one document; an empty table gives an empty result.
     """
     src = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("row_key"),
                       F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    with common.Scratch(docs.sparkSession) as own:
+        return own.result(_passages(src, gone), "passages")
+
+
+def _passages(src: DataFrame, gone: DataFrame | None) -> DataFrame:
     found = common.materialize(_windows(src), "windows")
     often = found.groupBy("fp", "fp_more").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(
         F.col("fp").alias("f"), F.col("fp_more").alias("g"))
@@ -386,12 +407,18 @@ def passages(docs: DataFrame, gone: DataFrame | None = None, id_col: str = "doc_
         met = met.join(lines, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row_key") == F.col("__key")), "left").where(
             F.col("__gone").isNull() | ~touched)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))
-    met = common.materialize(met.select("doc_id", "row_key", "word", "fp", "fp_more"), "repeated-windows")
+    met = common.materialize(met.select("doc_id", "row_key", "word", F.col("from_line").alias("line"), "fp", "fp_more"), "repeated-windows")
     heads = (met.groupBy("fp", "fp_more").agg(F.min(F.struct(place.alias("place"), F.col("word"))).alias("head"))
              .select(F.col("fp").alias("f"), F.col("fp_more").alias("g"), "head"))
-    return (met.join(heads.hint("merge"), same)
-            .where((place != F.col("head.place")) | (F.col("word") >= F.col("head.word") + WINDOW))
-            .select("doc_id", "row_key", "word").distinct())
+    every = met.join(heads.hint("merge"), same).withColumn(
+        "removed", (place != F.col("head.place")) | (F.col("word") >= F.col("head.word") + WINDOW))
+    # A first place counts if another one goes.
+    kept = every.groupBy("fp", "fp_more").agg(F.max("removed").alias("any")).where("any").select(
+        F.col("fp").alias("x"), F.col("fp_more").alias("y"))
+    first = (place == F.col("head.place")) & (F.col("word") == F.col("head.word"))
+    return (every.where(F.col("removed") | first).join(kept, (F.col("fp") == F.col("x")) & (F.col("fp_more") == F.col("y")), "left_semi")
+            .select("doc_id", "row_key", "word", "line", F.col("head.place.doc_id").alias("component_doc"),
+                    F.col("head.word").alias("component_word"), "removed").distinct())
 
 
 _SPACED = re.compile(r"\S+")
@@ -433,6 +460,10 @@ def without(text: str, lines: list[int] | None, words: list[int] | None) -> str:
     return "".join(out) + text[at:]
 
 
+def _removed_lines(found: DataFrame) -> DataFrame:
+    return found.where("removed").select("doc_id", "row_key", "line").distinct()
+
+
 def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: float = SIMILARITY, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """``docs`` without the lines that repeat an earlier paragraph and without repeated ``passages`` of what is left;
@@ -440,9 +471,8 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
 
     A document that repeats as a whole keeps its row with an empty text.
     """
-    lines = common.materialize(repeats(docs, min_words, similarity, id_col, text_col).where("removed").select(
-        "doc_id", "row_key", "line").distinct(), "repeated-lines")
-    words = passages(docs, lines, id_col, text_col)
+    lines = _removed_lines(repeats(docs, min_words, similarity, id_col, text_col))
+    words = passages(docs, lines, id_col, text_col).where("removed").select("doc_id", "row_key", "word").distinct()
     gone = (lines.select("doc_id", "row_key", "line", F.lit(None).cast("int").alias("word"))
             .unionByName(words.select("doc_id", "row_key", F.lit(None).cast("int").alias("line"), "word"))
             .groupBy(F.col("doc_id").alias("__id"), F.col("row_key").alias("__key"))
@@ -461,8 +491,16 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, similarity: floa
 
 
 def op3(spark, sf_dir: str) -> DataFrame:
-    """Query: every paragraph of the documents that has an equal or similar one, and whether it goes."""
-    return repeats(common.table(spark, sf_dir, "documents").select("doc_id", "text")).drop("row_key")
+    """Query: every repeated passage of the documents, where it first stands, and whether it goes.
+
+    ``kind`` is ``paragraph`` (a line that has an equal or similar one: ``line, start, n_chars, component_line``) or ``passage``
+    (a picked window of the word stream outside such lines: ``word, line, component_word``, each ``WINDOW`` words long).
+    """
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    lines = repeats(docs)
+    words = passages(docs, _removed_lines(lines))
+    return lines.drop("row_key").withColumn("kind", F.lit("paragraph")).unionByName(
+        words.drop("row_key").withColumn("kind", F.lit("passage")), allowMissingColumns=True)
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -472,30 +510,3 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out
 
-
-OP3_SQL = f"""
-WITH RECURSIVE lines AS (
-  SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS line
-  FROM documents WHERE text IS NOT NULL
-), placed AS (
-  SELECT doc_id, line, t, (sum(length(t) + 1) OVER (PARTITION BY doc_id ORDER BY line) - length(t) - 1)::BIGINT AS start,
-    list_filter(regexp_split_to_array(lower(t), '\\s+'), lambda x: x <> '') AS w FROM lines
-), p AS (
-  SELECT row_number() OVER (ORDER BY doc_id, line) AS id, * FROM placed WHERE len(w) >= {MIN_WORDS}
-), shingle AS (
-  SELECT DISTINCT id, unnest(list_transform(range(1, len(w) - {SHINGLE_WORDS} + 2),
-    lambda i: array_to_string(w[i:i + {SHINGLE_WORDS} - 1], ' '))) AS s FROM p
-), n AS (SELECT id, count(*) AS k FROM shingle GROUP BY id),
-overlap AS (SELECT a.id AS x, b.id AS y, count(*) AS k FROM shingle a JOIN shingle b ON a.s = b.s AND a.id <> b.id GROUP BY 1, 2),
-link AS (
-  SELECT x, y FROM overlap JOIN n a ON a.id = x JOIN n b ON b.id = y WHERE overlap.k >= {SIMILARITY} * (a.k + b.k - overlap.k)
-), reach AS (
-  SELECT id, id AS root FROM p
-  UNION
-  SELECT link.y, reach.root FROM reach JOIN link ON reach.id = link.x
-), low AS (SELECT id, min(root) AS root FROM reach GROUP BY id),
-shared AS (SELECT root FROM low GROUP BY root HAVING count(*) > 1)
-SELECT p.doc_id, p.line::INTEGER AS line, p.start, length(p.t)::BIGINT AS n_chars, h.doc_id AS component_doc,
-  h.line::INTEGER AS component_line, p.id <> h.id AS removed
-FROM p JOIN low USING (id) JOIN shared USING (root) JOIN p h ON h.id = low.root
-"""

@@ -131,10 +131,11 @@ def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     digest = F.coalesce(F.md5(F.encode("text", "utf-8")), F.lit("~"))
     # The digest travels in the place of the id, so fingerprints are made once.
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", digest.alias("digest")).alias("doc_id"), "text")
-    fps = common.materialize(fingerprints(keyed), "simhash")
-    named = _classes(fps.select("doc_id.doc_id", "fp"))
-    keep = (fps.join(named, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("doc_id").alias("head"))
-            .select(F.col("head.doc_id").alias("__keep"), F.col("head.digest").alias("__digest")).distinct())
+    with common.Scratch(spark) as own:
+        fps = common.materialize(fingerprints(keyed), "simhash")
+        named = _classes(fps.select("doc_id.doc_id", "fp"))
+        keep = own.result(fps.join(named, F.col("fp") == F.col("node")).groupBy("root").agg(F.min("doc_id").alias("head"))
+                          .select(F.col("head.doc_id").alias("__keep"), F.col("head.digest").alias("__digest")).distinct(), "simhash-kept")
     kept = docs.withColumn("__of", digest).join(
         keep, F.col("doc_id").eqNullSafe(F.col("__keep")) & (F.col("__of") == F.col("__digest")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__of"]).drop("__of")

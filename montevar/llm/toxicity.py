@@ -193,5 +193,7 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents predicted toxic go."""
-    out = score(docs, _trained(spark, docs, sf_dir), score_col="__toxicity")
+    with common.Scratch(spark):
+        model = _trained(spark, docs, sf_dir)
+    out = score(docs, model, score_col="__toxicity")
     return out.where(F.col("__toxicity") < 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

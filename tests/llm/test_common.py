@@ -52,3 +52,29 @@ def test_portions_cover_a_batch():
     assert all(p.num_rows == 1 or sum(len((t or "").encode()) for t in p.column("text").to_pylist()) <= 10 for p in parts)
     assert list(common.portions(batch.slice(0, 0), "text")) == []
     assert np.all([p.num_rows > 0 for p in parts])
+
+
+def test_scratch_tables_go_and_results_stay(spark):
+    import os
+
+    from pyspark.errors import PySparkException
+    import pytest
+
+    with common.Scratch(spark) as own:
+        a = common.materialize(spark.range(5), "a")
+        with common.Scratch(spark) as inner:
+            b = common.materialize(a.where("id > 1"), "b")
+            kept = inner.result(b.where("id > 2"), "kept")
+        shared = common.share(spark, [1])
+        assert a.count() == 5 and shared.value == [1]
+        last = own.result(kept.unionByName(a), "last")
+    assert sorted(r.id for r in last.collect()) == [0, 1, 2, 3, 3, 4, 4] and kept.count() == 2
+    for gone in (a, b):
+        assert not any(os.path.exists(f.removeprefix("file:").replace("//", "/")) for f in gone.inputFiles())
+    free = common.materialize(spark.range(2), "free")
+    assert free.count() == 2 and common.Scratch.innermost() is None
+    with pytest.raises((PySparkException, Exception)):
+        with common.Scratch(spark):
+            held = common.materialize(spark.range(3), "held")
+            raise ValueError
+    assert common.Scratch.innermost() is None and held is not None

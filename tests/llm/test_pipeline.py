@@ -68,7 +68,7 @@ def test_queries_of_empty_tables(spark, tmp_path, name):
 
 
 def test_names_and_rows(spark):
-    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{k}" for k in range(1, 11)]
+    assert [n.split("_")[0] for n in catalog.queries()] == [f"op{k}" for k in range(1, 14)]
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
 
 
