@@ -25,8 +25,8 @@ SCALE = 256
 BLOCK_ROWS = 32_768
 #: Queries that one task holds beside one block.
 SLOT_QUERIES = 2_048
-#: Largest quantised component: sums of products then fit 64 bits for any usual dimension.
-MAX_LEVEL = 1 << 24
+#: Quantised components are whole numbers below this in size, so differences of two fit 64 bits.
+MAX_LEVEL = 1 << 61
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -40,11 +40,33 @@ def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def quantise(x: np.ndarray, scale: int) -> np.ndarray:
     levels = np.floor(scale * x)
-    if levels.size and np.abs(levels).max() > MAX_LEVEL:
-        raise ValueError(f"a component times {scale} exceeds {MAX_LEVEL}: rescale the vectors")
+    if levels.size and np.abs(levels).max() >= MAX_LEVEL:
+        raise ValueError(f"a component times {scale} has no 64-bit level: rescale the vectors")
     return levels.astype(np.int64)
 
 
+def packed(levels: np.ndarray) -> bytes:
+    """Levels as 32-bit numbers where all of the block are such, else as 64-bit ones."""
+    narrow = not levels.size or -(1 << 31) <= levels.min() and levels.max() < 1 << 31
+    return levels.astype("<i4" if narrow else "<i8").tobytes()
+
+
+def unpacked(raw: bytes, n: int, dim: int) -> np.ndarray:
+    kind = "<i8" if len(raw) > 4 * n * dim else "<i4"
+    return np.frombuffer(raw, dtype=kind).reshape(n, dim).astype(np.int64)
+
+
+def products(levels: np.ndarray, weights: np.ndarray) -> list[int]:
+    """Exact inner products; one that leaves 64 bits is refused."""
+    most = int(np.abs(levels).max(initial=0)) * int(np.abs(weights).max(initial=0)) * levels.shape[1]
+    if most < 1 << 63:
+        return (levels @ weights).tolist()
+    out = [int(x) for x in levels.astype(object) @ weights.astype(object)]
+    if any(not -(1 << 63) <= x < 1 << 63 for x in out):
+        raise ValueError("a score leaves 64 bits: rescale the vectors")
+    return out
+
+
 def slices(levels: np.ndarray) -> tuple[np.ndarray, int]:
     """Bitmaps ``[attribute, bit, word]`` of ``levels - low`` over the rows, and ``low``."""
     rows, dim = levels.shape
@@ -78,7 +100,7 @@ def add_up(index: np.ndarray, weights: np.ndarray, low: int) -> tuple[list[np.nd
     A negative digit adds the complement of a slice: ``-s = (1 - s) - 1``.
     """
     columns: dict[int, list[np.ndarray]] = defaultdict(list)
-    bits, constant = index.shape[1], -low * int(weights.sum())
+    bits, constant = index.shape[1], -low * sum(weights.tolist())
     plus, minus = defaultdict(list), defaultdict(list)
     for attribute, weight in enumerate(weights.tolist()):
         for at, digit in _signed_digits(weight):
@@ -130,7 +152,7 @@ def select_top(score: list[np.ndarray], eligible: np.ndarray, k: int) -> np.ndar
 def _blocks(scale: int, block_rows: int):
     def emit(ids: np.ndarray, x: np.ndarray) -> dict:
         order = np.argsort(ids, kind="stable")                     # so that boundary ties come by id
-        return {"ids": ids[order].tobytes(), "levels": quantise(x[order], scale).astype("<i4").tobytes(),
+        return {"ids": ids[order].tobytes(), "levels": packed(quantise(x[order], scale)),
                 "n": len(ids), "dim": x.shape[1]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,7 +189,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = SCALE, id
     Components are quantised to ``floor(scale * x)``.  Candidates of a query are all rows with
     another id and the same dimension; fewer than ``k`` are all returned, ties go to the smaller id.
     Null ids, null vectors and vectors with null or non-finite components take no part, empty tables give
-    an empty result.  A repeated candidate row is a candidate each time; a query id that occurs more
+    an empty result.  Ids are whole numbers.  A component whose level, or a top row whose score, leaves 64 bits is an error.  A repeated candidate row is a candidate each time; a query id that occurs more
     than once is asked once, with its smallest vector.  Other columns are ignored.
     """
     rows = usable(vectors, id_col, vector_col)
@@ -191,7 +213,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = SCALE, id
         found = {"query_id": [], "vec_id": [], "score": []}
         for r in left.itertuples():
             ids = np.frombuffer(r.ids, dtype=np.int64)
-            levels = np.frombuffer(r.levels, dtype="<i4").reshape(r.n, r.dim).astype(np.int64)
+            levels = unpacked(r.levels, r.n, r.dim)
             index, low = slices(levels)
             everyone = np.packbits(np.arange(index.shape[2] * 64) < r.n, bitorder="little").view("<u8")
             for query_id, x in zip(right["vec_id"], right["embedding"]):
@@ -205,7 +227,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = SCALE, id
                 best = select_top(score, eligible, k)
                 found["query_id"] += [query_id] * len(best)
                 found["vec_id"] += ids[best].tolist()
-                found["score"] += (levels[best] @ weights).tolist()
+                found["score"] += products(levels[best], weights)
         return pd.DataFrame(found).astype("int64")
 
     found = (spread.groupBy("block", "slot").cogroup(sent.groupBy("block", "slot"))

@@ -42,6 +42,7 @@ FURNITURE = frozenset(
     "alert newsletter subscribe subscription paywall share sharing social comment comments disqus respond replies "
     "related recommended popup modal overlay widget toolbar pagination pager login signin signup search copyright "
     "disclaimer skip".split())
+READERS = frozenset("comment comments disqus respond replies".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar "
                   "toolbar".split())
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>\x00]*)")
@@ -165,32 +166,66 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): html_lib.unescape((m[2] or "").strip("\"'")) for m in _ATTR.finditer(raw)}
 
 
-def is_furniture(node: Node) -> bool:
-    """True for menus, headers, footers, sidebars, notices, adverts, forms, hidden parts and reader comments."""
+#: How surely an element is furniture: by a name that wrappers of whole pages carry as well, by a name of its own,
+#: or whatever it holds.
+MAYBE, LIKELY, SURE = 1, 2, 3
+
+
+def furniture(node: Node) -> int:
+    """0, or how surely the element is a menu, header, footer, sidebar, notice, advert, form, hidden part or reader comments."""
+    found = 0
     if node.tag in SKIPPED:
-        return True
+        found = MAYBE if node.tag == "form" else LIKELY if node.tag in ("aside", "header", "footer", "dialog") else SURE
     if not node.attrs.strip(" /") or node.tag in ("html", "body", "main"):
-        return False
+        return found
     attrs = _attributes(node.attrs)
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or _HIDDEN.search(attrs.get("style", "")):
-        return True
-    if attrs.get("role", "").lower() in ROLES:
-        return True
+        return SURE
+    role = attrs.get("role", "").lower()
+    if role in ROLES:
+        found = max(found, MAYBE if role in ("form", "search") else LIKELY)
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         words = re.sub(r"([a-z])([A-Z])", r"\1-\2", name).lower()
         words = [w for w in re.split(r"[^a-z]+", words) if w]
         # One word, or two of which the first or last names the part; "has-comments" or "no-sidebar" do not.
-        if words and not {"no", "has", "with", "without"} & set(words):
-            if words[0] in FURNITURE or len(words) > 1 and words[-1] in FURNITURE:
-                return True
-    return False
+        if not words or {"no", "has", "with", "without"} & set(words):
+            continue
+        if words[-1] in FURNITURE or words[0] in READERS:
+            found = max(found, SURE if READERS & {words[0], words[-1]} else LIKELY)
+        elif words[0] in FURNITURE:                                  # "nav-fixed", "sidebar-layout", "ad-free"
+            found = max(found, MAYBE)
+    return found
 
 
 def _prune(root: Node) -> None:
-    stack = [root]
+    """Take furniture out of the tree, but go into an element that may be a wrapper of the page.
+
+    An element named like furniture by half a name is one if it holds an article, a main element or half of the page's text outside
+    links; one named by a name of its own if it holds nearly all of that text.  What is sure goes.
+    """
+    nodes = _in_order(root)
+    plain, marked = {}, set()
+    for node in reversed(nodes):
+        own = 0
+        for child in node.children:
+            if isinstance(child, str):
+                own += len("".join(child.split()))
+            else:
+                own += plain[id(child)]
+                if child.tag in ("article", "main") or id(child) in marked:
+                    marked.add(id(node))
+        plain[id(node)] = 0 if node.tag == "a" or node.tag in RAW or node.tag == "head" else own
+    whole, stack = plain[id(root)], [root]
+
+    def goes(node: Node) -> bool:
+        sure = furniture(node)
+        if sure == MAYBE:
+            return id(node) not in marked and 2 * plain[id(node)] < max(whole, 1)
+        return sure == SURE or sure == LIKELY and 10 * plain[id(node)] < 9 * max(whole, 1)
+
     while stack:
         node = stack.pop()
-        node.children = [c for c in node.children if isinstance(c, str) or not is_furniture(c)]
+        node.children = [c for c in node.children if isinstance(c, str) or not goes(c)]
         stack.extend(c for c in node.children if not isinstance(c, str))
 
 
@@ -307,8 +342,8 @@ def main_text(page: str | None) -> str:
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All columns of ``pages`` with ``text`` (main text, empty if none) in place of the html.
 
-    A null or empty page has an empty text; broken markup is mended, never an error; repeated rows
-    and an empty table are returned as they are.  An existing column ``text`` is replaced.
+    A null or empty page has an empty text; broken markup is mended, never an error; very long and deeply nested pages
+    take time in proportion to their length; repeated rows and an empty table are returned as they are.  An existing column ``text`` is replaced.
     """
     others = [c for c in pages.columns if c not in (html_col, "text")]
     src = pages.select(*[F.col(f"`{c}`") for c in others], F.col(html_col).alias("text"))

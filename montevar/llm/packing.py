@@ -29,6 +29,10 @@ MAX_LEN = 2048
 WORDS_KEPT = 400_000
 
 
+# Fixed value: how the tokenizer's added tokens begin.
+ADDED = "<|"
+
+
 class WordEncoder:
     """Ids of whole texts from a tokenizer that never joins tokens across white space.
 
@@ -36,7 +40,8 @@ class WordEncoder:
     remembered (as little-endian 32-bit bytes) and the others go to the library in batches.  Two more facts about
     the tokenizer keep the words few: it lower-cases anyway, and it separates letters from other signs,
     so that a word before a full stop or comma is the word and the mark.  Both are used
-    for Latin-1 texts only, where lower-casing does not depend on the context.
+    for Latin-1 texts only, where lower-casing does not depend on the context, and not for texts that may hold
+    one of the tokenizer's added tokens, which it looks for before it lower-cases.
     """
 
     def __init__(self, path: str):
@@ -60,9 +65,10 @@ class WordEncoder:
         for text in texts:
             try:
                 text.encode("latin-1")
-                latin, text = True, text.lower()
+                latin = ADDED not in text
             except UnicodeEncodeError:
                 latin = False
+            text = text.lower() if latin else text
             words = text.replace("\n", " ").split(" ")
             parts = list(map(known.get, words))
             if None in parts:

@@ -32,6 +32,16 @@ def test_furniture_goes(name, before):
     assert html_text.main_text(f"<html><body>{inside}</body></html>") == WANT
 
 
+@pytest.mark.parametrize("wrapper", ["<form id=f action='/post'>", "<div class='nav-fixed'>", "<div class='sidebar-layout'>", "<div class='search-results'>",
+                                     "<div class='modal-open'>", "<div class='ad-free'>", "<div id='overlay'>", "<div role='search'>"])
+@pytest.mark.parametrize("marked", (True, False))
+def test_wrappers_of_the_whole_page_are_gone_into(wrapper, marked):
+    end = "</form>" if wrapper.startswith("<form") else "</div>"
+    article = ARTICLE if marked else "<div class='post'>" + "".join(f"<p>{p}</p>" for p in P) + "</div>"
+    page = f"<html><body>{wrapper}{FURNITURE['menu']}{article}{FURNITURE['advert']}{FURNITURE['form']}{end}</body></html>"
+    assert html_text.main_text(page) == (WANT if marked else "\n".join(P))
+
+
 def test_unmarked_article_and_parts():
     page = "<body>" + "".join(FURNITURE.values()) + "<div class='post'>" + "".join(f"<p>{p}</p>" for p in P) + "</div></body>"
     assert html_text.main_text(page) == "\n".join(P)

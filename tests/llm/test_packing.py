@@ -46,7 +46,7 @@ def test_ids_places_and_edge_rows(spark):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
-words = st.sampled_from(["a", "The", "foo.", ",", "..", "é", "É", "漢", "🙂", "<|endoftext|>", "'s", "don't", "Σ", "ΑΣ", "İ", "ß",
+words = st.sampled_from(["a", "The", "foo.", ",", "..", "é", "É", "漢", "🙂", "<|endoftext|>", "<|ENDOFTEXT|>", "<|StartOfText|>", "<|", "|>", "'s", "don't", "Σ", "ΑΣ", "İ", "ß",
                          "½", "23", "\x00", " ", "\x85", "µ", "ª.", "-", "\t", "b.", "ʼn.", "é", "K."])
 
 

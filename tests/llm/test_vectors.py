@@ -45,6 +45,22 @@ def test_top_k_equals_brute_force(spark):
     assert got == brute_top(rows, lambda i: i % 50 == 0, 5)
 
 
+def test_top_k_of_large_components(spark):
+    """Levels of more than 32 bits, and scores near the end of 64 bits; beyond that an error says so."""
+    big = float(1 << 30)
+    rows = [(0, [big, 1.0]), (1, [big / 2, -1.0]), (2, [-big / 4, 3.0]), (3, [1.0, 1.0]), (50, [0.25, -0.5])]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    lev = [(i, [math.floor(256 * x) for x in v]) for i, v in rows]
+    ask = df.where("vec_id IN (3, 50)")
+    want = {(q, r, i, -s) for q in (3, 50) for r, (s, i) in enumerate(sorted(
+        (-sum(a * b for a, b in zip(dict(lev)[q], y)), i) for i, y in lev if i != q)[:5], 1)}
+    assert {tuple(x) for x in bitslice.top_k(df, ask, 5).collect()} == want
+    for bad in ([[1e300, 0.0]], [[float(1 << 50), 0.0], [float(1 << 50), 1.0]]):
+        more = df.unionByName(spark.createDataFrame([(100 + k, v) for k, v in enumerate(bad)], df.schema))
+        with pytest.raises(Exception, match="rescale"):
+            bitslice.top_k(more, more.where("vec_id >= 100"), 5).collect()
+
+
 def test_top_k_of_few_rows_and_none(spark):
     df = table(spark, [(0, [1.0]), (50, [-1.0]), (3, [2.0])])
     got = sorted(tuple(x) for x in bitslice.top_k(df, df.where("vec_id % 50 = 0"), 5).collect())
