@@ -21,14 +21,14 @@ RANGES = 4096
 GROUP_RANGES = 256
 
 
-def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value") -> DataFrame:
-    """One row: the element at rank ``max(ceil(p n), 1)`` of the sorted non-NULL values.
+def _selected(df: DataFrame, col: str, p: float) -> DataFrame:
+    """One row ``value, tail_mean``: the element at rank ``max(ceil(p n), 1)`` and the mean of the elements at or below it.
 
     Exact and distributed, one way at every size.  An approximate quantile pass brackets the answer; a second pass
-    counts the rows of ``RANGES`` value ranges inside the bracket and of the two ranges outside it, so that
+    counts and sums the rows of ``RANGES`` value ranges inside the bracket and of the two ranges outside it, so that
     a running count over that many rows names the range that holds the rank, wherever the
     bracket lies.  Only that range's different values meet in one task: about ``8 n / accuracy / RANGES``
-    of them, with equal values merged first.  Equals ``percentile_disc(p)``.
+    of them, with equal values merged first.
     """
     from montevar.operators.scenarios import as_scalar
     if not 0 <= p <= 1:
@@ -45,13 +45,20 @@ def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value") -> Da
             .otherwise(F.floor(part).cast("int")))
     ranged = x.select("_x", part.alias("_r"))
     run = lambda order: Window.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    counts = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_w"))
-    cum = counts.select("_r", "_w", F.sum("_w").over(run("_r")).alias("_cw"))          # at most RANGES + 3 rows
-    hit = as_scalar(cum.where(F.col("_cw") >= rank).agg(F.min(F.struct("_r", (F.col("_cw") - F.col("_w")).alias("before")))
-                                                        .alias("h")).select("h._r", "h.before"))
+    counts = ranged.groupBy("_r").agg(F.count(F.lit(1)).alias("_w"), F.sum("_x").alias("_s"))
+    cum = counts.select("_r", "_w", "_s", F.sum("_w").over(run("_r")).alias("_cw"), F.sum("_s").over(run("_r")).alias("_cs"))  # at most RANGES + 3 rows
+    before = F.struct("_r", (F.col("_cw") - F.col("_w")).alias("before"), (F.col("_cs") - F.col("_s")).alias("sum"))
+    hit = as_scalar(cum.where(F.col("_cw") >= rank).agg(F.min(before).alias("h")).select("h._r", "h.before", "h.sum"))
     inside = ranged.where(F.col("_r") == hit["_r"]).groupBy("_x").agg(F.count(F.lit(1)).alias("_w"))
-    cum = inside.select("_x", (F.sum("_w").over(run("_x")) + hit["before"]).alias("_cw"))
-    return cum.where(F.col("_cw") >= rank).agg(F.min("_x").alias(name))
+    cum = inside.select("_x", (F.sum("_w").over(run("_x")) + hit["before"]).alias("_cw"),
+                        (F.sum(F.col("_w") * F.col("_x")).over(run("_x")) + hit["sum"]).alias("_cs"))
+    found = F.min(F.struct("_x", (F.col("_cs") / F.col("_cw")).alias("mean")))
+    return cum.where(F.col("_cw") >= rank).agg(found.alias("f")).select(F.col("f._x").alias("value"), F.col("f.mean").alias("tail_mean"))
+
+
+def lower_quantile(df: DataFrame, col: str, p: float, name: str = "value") -> DataFrame:
+    """One row: the element at rank ``max(ceil(p n), 1)`` of the sorted non-NULL values; equals ``percentile_disc(p)``."""
+    return _selected(df, col, p).select(F.col("value").alias(name))
 
 
 def quantile_by(df: DataFrame, key, col: str, p: float, accuracy: int = 10_000) -> DataFrame:
@@ -111,10 +118,8 @@ def value_at_risk(df: DataFrame, p: float = 0.05, col: str = "average_return") -
 
 
 def conditional_var(df: DataFrame, p: float = 0.05, col: str = "average_return") -> DataFrame:
-    """One row ``value_at_risk, conditional_var``: mean of the returns at or below VaR."""
-    var = value_at_risk(df, p, col).select(F.col("value_at_risk")).scalar()
-    tail = df.where(F.col(col) <= var).agg(F.avg(col).alias("conditional_var"))
-    return tail.select(var.alias("value_at_risk"), "conditional_var")
+    """One row ``value_at_risk, conditional_var``: mean of the returns at or below VaR, from the passes that select VaR."""
+    return _selected(df, col, p).select(F.col("value").alias("value_at_risk"), F.col("tail_mean").alias("conditional_var"))
 
 
 def historical_var(returns: DataFrame, p: float = 0.05, col: str = "avg_return") -> DataFrame:

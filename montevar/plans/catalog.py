@@ -97,6 +97,12 @@ def q_price_line_reasons(spark, sf):
     return _checked_lines(spark, sf).groupBy(F.coalesce("reason", F.lit("good")).alias("reason")).agg(F.count(F.lit(1)).alias("lines"))
 
 
+def q_price_files(spark, sf):
+    """The files of all symbols, written first, read for the listed symbols."""
+    stocks, listed = fx.write_price_files(spark, sf, f"{checkpoint_dir(spark)}/price-files-{uuid.uuid4().hex}")
+    return files.load_prices(spark, stocks, files.load_symbols(spark, listed), by_folder=True)
+
+
 def q_stock_returns_stored(spark, sf):
     """``stock_returns`` from the stored layout."""
     name = f"montevar_prices_{uuid.uuid4().hex}"

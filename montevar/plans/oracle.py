@@ -376,6 +376,11 @@ def oracle_sql() -> dict[str, str]:
             "SELECT l_orderkey, l_linenumber, symbol, date, CASE WHEN l_linenumber <> 5 THEN l_extendedprice END AS open, "
             "CASE WHEN l_linenumber = 5 THEN 'Open' ELSE '' END AS nulled FROM damaged WHERE reason IS NULL")),
         "price_line_reasons": with_ctes(["damaged"], "SELECT coalesce(reason, 'good') AS reason, count(*) AS lines FROM damaged GROUP BY 1"),
+        "price_files": (
+            "SELECT CAST(l_suppkey AS VARCHAR) AS symbol, CAST(l_shipdate AS DATE) AS date, l_extendedprice AS open, "
+            "l_extendedprice AS high, l_extendedprice AS low, format('{:,.2f}', l_extendedprice) AS close, '100' AS volume "
+            "FROM lineitem JOIN supplier ON s_suppkey = l_suppkey JOIN nation ON s_nationkey = n_nationkey "
+            "JOIN region ON n_regionkey = r_regionkey WHERE l_returnflag <> 'R' AND r_name = 'EUROPE'"),
         "stock_returns_stored": with_ctes(["stock_returns"], f"SELECT symbol, date, {r('open')} AS open, fluct FROM stock_returns"),
         "resample_rows": with_ctes(["kinds"], _resampled()),
         "factor_lines_tsv": (

@@ -56,6 +56,15 @@ def read_price_text(spark: SparkSession, directory: str) -> DataFrame:
     return raw.select(*STOCK_COLUMNS, symbol_of_file().alias("symbol"))
 
 
+def read_price_folders(spark: SparkSession, directory: str) -> DataFrame:
+    """The same of a folder with one ``symbol=<symbol>`` folder for each symbol, as Spark writes a table by symbol.
+
+    A symbol is what its folder is named, whatever it looks like: ``007`` stays text.
+    """
+    return (spark.read.schema(_string_schema([*STOCK_COLUMNS, "symbol"])).option("header", True).option("mode", "PERMISSIVE")
+            .csv(directory).select(*STOCK_COLUMNS, "symbol"))
+
+
 def parse_prices(raw: DataFrame, date_format: str = STOCK_DATE,
                  numeric=("Open", "High", "Low")) -> DataFrame:
     """Typed price rows ``symbol, date, open, high, low, close, volume``.
@@ -122,9 +131,10 @@ def rejected_rows(checked: DataFrame) -> DataFrame:
 
 
 def load_prices(spark: SparkSession, directory: str, symbols: DataFrame | None = None,
-                date_format: str = STOCK_DATE) -> DataFrame:
-    """Scan a folder of per-symbol CSVs; keep only listed symbols (left-semi join)."""
-    df = parse_prices(read_price_text(spark, directory), date_format)
+                date_format: str = STOCK_DATE, by_folder: bool = False) -> DataFrame:
+    """Scan a folder of per-symbol CSVs (``by_folder``: per-symbol folders); keep only listed symbols (left-semi join)."""
+    read = read_price_folders if by_folder else read_price_text
+    df = parse_prices(read(spark, directory), date_format)
     if symbols is not None:
         df = df.join(symbols.select("symbol"), "symbol", "left_semi")
     return df

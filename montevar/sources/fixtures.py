@@ -148,6 +148,16 @@ def price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("100")).alias("line"))
 
 
+def write_price_files(spark: SparkSession, sf_dir: str, path: str) -> tuple[str, str]:
+    """Stock files by symbol and the list of Europe's symbols, written below ``path``; their two folders."""
+    t = prices_text(spark, sf_dir)
+    columns = zip(("Date", "Open", "High", "Low", "Close"), ("stock_date_text", "open_text", "open_text", "low_text", "open_text"))
+    rows = t.select("symbol", *[F.col(c).alias(n) for n, c in columns], F.lit("100").alias("Volume"))
+    rows.repartition("symbol").write.partitionBy("symbol").option("header", True).csv(f"{path}/stocks")
+    symbols(spark, sf_dir, region="EUROPE").select(F.concat(F.lit(" "), "symbol").alias("value")).write.text(f"{path}/symbols")
+    return f"{path}/stocks", f"{path}/symbols"
+
+
 def damaged_price_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``price_lines`` with damage by line number: 4 lacks its date, 5 has text for the open, 6 lacks a field, 7 has one too many."""
     lines, no = price_lines(spark, sf_dir), F.col("l_linenumber")
