@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import contextvars
+import ctypes
 import gc
 import sys
 import types
@@ -130,10 +131,13 @@ def per_process(name: str, key, make):
 
 
 def forget() -> None:
-    """Drop what earlier tasks of another operator left in this Python worker."""
+    """Drop what earlier tasks of another operator left in this Python worker, and give the memory back to the system."""
     if _held():
         _held().clear()
         gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):              # another C library keeps what it likes
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def crc32_of(col: Column) -> Column:

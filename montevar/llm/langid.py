@@ -8,17 +8,15 @@ the rest are tables that a text's other words are joined with, each different wo
 
 from __future__ import annotations
 
-import math
 import re
 import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
 from montevar.llm import common
 from montevar.llm.common import forget, per_process
@@ -30,9 +28,6 @@ MAX_WORDS, MAX_GRAMS = 160_000, 80_000
 #: Counts that a training task holds before it hands them on.
 HELD = 200_000
 SMOOTHING = 0.5
-#: Below this share of the evidence the pipeline takes a text to be in no learned language: a text without any known
-#: word or n-gram has one share for each language alike.
-MIN_SCORE = 0.3
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -41,6 +36,8 @@ def words_of(text: str) -> Counter:
 
 
 def _grams(word: str, n: int) -> list[str]:
+    if n == 1:                                                      # the marks of a word's ends alone say nothing
+        return list(word)
     padded = f"<{word}>"
     return [padded[i:i + n] for i in range(len(padded) - n + 1)] or [padded]
 
@@ -106,16 +103,8 @@ class Model:
     def ready(self) -> "Model":
         self.word_at = {w: i for i, w in enumerate(self.words)}
         self.gram_at = {g: i for i, g in enumerate(self.grams)}
-        self.unseen = lru_cache(maxsize=150_000)(self._unseen)
         return self
 
-    def _unseen(self, word: str) -> np.ndarray | None:
-        for n in range(LONGEST_GRAM, 0, -1):
-            known = [i for g in _grams(word, n) if len(g) == n and (i := self.gram_at.get(g)) is not None]
-            if known:
-                return self.gram_scores[known].mean(axis=0)
-        return None
-
     def grams_of(self, word: str) -> tuple[int, np.ndarray, int, list[str]]:
         """Length and summed scores of the longest held n-grams, their number, and the others that are as long or longer."""
         others = []
@@ -144,30 +133,6 @@ class Model:
             total = np.array(times, dtype=np.float64) @ self.word_scores[at]
         return total, sum(times), others
 
-    def predict(self, text: str | None) -> tuple[str, float]:
-        found = words_of(text) if text else None
-        if not found or not any(c.isalpha() for w in found for c in w):
-            return UNDETERMINED, 0.0
-        at, times, total, n = [], [], np.zeros(len(self.langs)), 0
-        get = self.word_at.get
-        for word, k in found.items():
-            i = get(word)
-            if i is not None:
-                at.append(i)
-                times.append(k)
-                n += k
-            elif (scores := self.unseen(word)) is not None:
-                total += k * scores
-                n += k
-        if at:
-            total += np.array(times, dtype=np.float64) @ self.word_scores[at]
-        if not n:
-            best = int(self.prior.argmax())
-            return self.langs[best], float(1 / len(self.langs))
-        spread = np.exp((total - total.max()) / math.sqrt(n))
-        best = int(total.argmax())
-        return self.langs[best], float(spread[best] / spread.sum())
-
 
 def _log_frequencies(items: pa.Table, langs: list[str], totals: dict[str, float], size: int) -> tuple[list[str], np.ndarray]:
     """Sorted items and their log frequencies, of ``size`` different ones in all."""
@@ -179,7 +144,7 @@ def _log_frequencies(items: pa.Table, langs: list[str], totals: dict[str, float]
             counts[row, place[lang]] = n
     all_n = np.array([totals.get(lang, 0) for lang in langs])
     order = pc.sort_indices(items["item"]).to_numpy()
-    scores = np.log((counts + SMOOTHING) / (all_n + SMOOTHING * max(size, 1))).astype(np.float32)
+    scores = np.log((counts + SMOOTHING) / (all_n + SMOOTHING * max(size, 1)))
     return items["item"].take(pa.array(order)).to_pylist(), scores[order]
 
 
@@ -194,7 +159,11 @@ def _scored(items: DataFrame | None, langs: list[str], shares: list[list[float]]
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_words: int = MAX_WORDS,
         max_grams: int = MAX_GRAMS) -> Model:
-    """Counts words by language over all rows with a text and a language, then n-grams over the distinct words."""
+    """Counts words by language over all rows with a text and a language, then n-grams over the distinct words.
+
+    Rows without text or language teach nothing, repeated rows count as often as they occur; without any row the model knows no
+    language but ``und``.  Whole texts are counted; other columns are ignored.
+    """
     src = docs.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         "lang IS NOT NULL AND text IS NOT NULL")
     schema = pa.schema([("lang", pa.string()), ("item", pa.string()), ("n", pa.int64())])
@@ -223,7 +192,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
     sums = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
     langs = sorted(sums)
     if not langs:
-        return Model([UNDETERMINED], np.ones(1), [], np.zeros((0, 1), np.float32), [], np.zeros((0, 1), np.float32))
+        return Model([UNDETERMINED], np.ones(1), [], np.zeros((0, 1)), [], np.zeros((0, 1)))
     frequent, rare = _split(words, max_words, "vocabulary")
     n_words = words.select("item").distinct().count()
     kept_words, word_scores = _log_frequencies(frequent.toArrow(), langs, sums, n_words)
@@ -234,7 +203,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", max_wor
         F.sum("n").alias("n")).collect()}
     different = {r["size"]: r["k"] for r in grams.select("item").distinct().groupBy(F.length("item").alias("size")).agg(
         F.count(F.lit(1)).alias("k")).collect()}
-    names, scores, shares = [], [np.zeros((0, len(langs)), np.float32)], []
+    names, scores, shares = [], [np.zeros((0, len(langs)))], []
     for size in range(1, LONGEST_GRAM + 1):
         totals = {lang: by_size.get((lang, size), 0) for lang in langs}
         own, frequency = _log_frequencies(known.filter(pc.equal(sizes, size)), langs, totals, different.get(size, 0))
@@ -320,43 +289,32 @@ def _predictions(src: DataFrame, text_col: str, key: Column, model: Model, load,
         F.col("key").alias("__key"),
         F.when(F.col("n") > 0, F.element_at(langs, F.array_position("total", top).cast("int"))).otherwise(
             F.lit(model.langs[int(model.prior.argmax())])).alias("__pred"),
-        F.when(F.col("n") > 0, 1 / spread).otherwise(F.lit(1 / n)).alias("__share"))
+        F.when(F.col("n") > 0, 1 / spread).otherwise(F.lit(1 / n)).alias("__share"), F.col("n").alias("__n"))
 
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", pred_col: str = "lang_pred",
-             score_col: str = "score") -> DataFrame:
-    """``docs`` with the predicted language and its share of the evidence (0 to 1).
+             score_col: str = "score", evidence_col: str | None = None) -> DataFrame:
+    """``docs`` with the predicted language and its share of the evidence (0 to 1); ``evidence_col`` names a column for
+    the number of its words that are known or have a known n-gram.
 
     A text that is null or has no letter is ``und`` with score 0.  Rows are kept as they are, repeated ones
     too; columns named like the new ones are replaced; an empty table gives an empty result.
     """
     shared = common.share(docs.sparkSession, model.held())
-    src = docs.drop(pred_col, score_col)
-    at, name = src.columns.index(text_col), uuid.uuid4().hex
+    more = [evidence_col] if evidence_col else []
+    src = docs.drop(pred_col, score_col, *more)
+    name = uuid.uuid4().hex
 
     def load() -> Model:
         own = Model.__new__(Model)
         own.__dict__.update(shared.value)
         return own.ready()
 
-    if model.rare_words is not None or model.rare_grams is not None:
-        key = F.md5(F.encode(F.col(text_col), "utf-8"))
-        found = _predictions(src, text_col, key, model, load, name)
-        return src.withColumn("__text_key", key).join(found, F.col("__text_key") == F.col("__key"), "left").select(
-            *[F.col(f"`{c}`") for c in src.columns], F.coalesce("__pred", F.lit(UNDETERMINED)).alias(pred_col),
-            F.coalesce("__share", F.lit(0.0)).alias(score_col))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = per_process("langid", name, load)
-        for batch in batches:
-            texts = batch.column(at)
-            found = [own.predict(texts[i].as_py()) for i in range(batch.num_rows)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
-                [*batch.schema.names, pred_col, score_col])
-
-    out = T.StructType([*src.schema.fields, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())])
-    return src.mapInArrow(run, out)
+    key = F.md5(F.encode(F.col(text_col), "utf-8"))
+    found = _predictions(src, text_col, key, model, load, name)
+    return src.withColumn("__text_key", key).join(found, F.col("__text_key") == F.col("__key"), "left").select(
+        *[F.col(f"`{c}`") for c in src.columns], F.coalesce("__pred", F.lit(UNDETERMINED)).alias(pred_col),
+        F.coalesce("__share", F.lit(0.0)).alias(score_col), *[F.coalesce("__n", F.lit(0)).alias(c) for c in more])
 
 
 def _training(docs: DataFrame) -> DataFrame:
@@ -373,12 +331,16 @@ def op2(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: texts without a letter, and texts that no learned language explains, go."""
+    """Pipeline stage: texts without a letter, and texts of which no word and no n-gram is known in any learned language, go.
+
+    Null and empty texts go with them; repeated rows and rows without id stay or go by their text alone; rows without a language
+    teach nothing; an empty table gives an empty result; other columns are kept as they are.
+    """
     # A text's digest stands for it: what is kept of this stage is one row for each different text that stays.
     digest = F.md5(F.encode("text", "utf-8"))
     with common.Scratch(spark) as own:
         model = fit(_training(docs))
-        out = identify(docs.select(digest.alias("__digest"), "text"), model, pred_col="__lang_pred", score_col="__lang_score")
-        kept = own.result(out.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__lang_score") >= MIN_SCORE))
+        out = identify(docs.select(digest.alias("__digest"), "text"), model, "text", "__lang_pred", "__lang_score", "__known")
+        kept = own.result(out.where((F.col("__lang_pred") != UNDETERMINED) & (F.col("__known") > 0))
                           .select("__digest").distinct(), "language-kept")
     return docs.withColumn("__of", digest).join(kept, F.col("__of") == F.col("__digest"), "left_semi").drop("__of")

@@ -221,5 +221,9 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the packed pieces of the remaining documents."""
+    """Pipeline stage: the packed pieces of the remaining documents.
+
+    A null or empty text is one piece of its end id alone; rows that share an id are packed each for itself; an empty
+    table gives an empty result; other columns are dropped.
+    """
     return pack(docs)

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -114,15 +115,14 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
     """``vec_id, n_links, component_id, kept``: one row per row of ``vectors``.
 
     ``n_links`` counts the other rows at cosine ``threshold`` or more; ``component_id`` is the smallest id
-    reachable over links.  Rows with a null id, and vectors that are null, zero, hold null or non-finite components
-    or have another dimension than most of the sample link with nothing.  Equal vectors are one
-    node with a count, so groups of copies are never paired; repeated rows count as
+    reachable over links.  Rows with a null id, and vectors that are null, zero or hold null or non-finite components
+    link with nothing.  Vectors link with vectors of their own dimension; each dimension has an index of its own.  Equal
+    vectors are one node with a count, so groups of copies are never paired; repeated rows count as
     vectors; an empty table gives an empty result; other columns are ignored.
 
     Links are counted and joined to components inside the tasks, which give back one row per vector and block: pairs
     are never written.  Long lists are cut into blocks, so no list has a cap.
     """
-    spark = vectors.sparkSession
     element = vectors.schema[vector_col].dataType.elementType.simpleString()
     kind = np.dtype("<f4") if element == "float" else np.dtype("<f8")
     stored = "float" if element == "float" else "double"
@@ -134,16 +134,32 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
              .withColumn("k1", F.when(F.col("good"), F.xxhash64("e")))
              .withColumn("k2", F.when(F.col("good"), F.xxhash64(F.lit(1), "e"))))
     reps = common.materialize(keyed.where("good").groupBy("k1", "k2").agg(
-        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("e").alias("e")), "vectors")
-
-    dims = reps.orderBy(F.xxhash64("rep")).limit(1024).groupBy(F.size("e").alias("d")).count().orderBy(
-        F.desc("count"), F.desc("d")).first()
-    if dims is None:
-        return keyed.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"),
-                            F.lit(True).alias("kept"))
-    dim = dims["d"]
-    nodes = reps.where(F.size("e") == dim)
-    n_nodes = nodes.count()
+        F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("e").alias("e")).withColumn("d", F.size("e")), "vectors")
+
+    # One index for each dimension that two vectors share: usually there is one.
+    dims = [(r["d"], r["n"]) for r in reps.groupBy("d").agg(F.count(F.lit(1)).alias("n")).where("n > 1").orderBy("d").collect()]
+    if not dims:
+        links = reps.select("rep", F.lit(0).cast("long").alias("links")).limit(0)
+        roots = reps.select("rep", F.col("rep").alias("root")).limit(0)
+    else:
+        met = reduce(DataFrame.unionByName, (_met(reps.where(F.col("d") == dim), dim, n, threshold, probes, kind) for dim, n in dims))
+        met = common.checkpoint(met.groupBy("rep", "root").agg(F.sum("links").alias("links")))
+        roots = common.connected_components(met.select("rep", "root")).withColumnRenamed("node", "rep")
+        links = met.groupBy("rep").agg(F.sum("links").alias("links"))
+    named = (reps.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left")
+             .select(F.col("k1").alias("r1"), F.col("k2").alias("r2"),
+                     (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+                     F.coalesce("root", "rep").alias("component_id")))
+    return (keyed.select("vec_id", "k1", "k2")
+            .join(named, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left")
+            .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+                    F.coalesce("component_id", "vec_id").alias("component_id"))
+            .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
+
+
+def _met(nodes: DataFrame, dim: int, n_nodes: int, threshold: float, probes: int, kind: np.dtype) -> DataFrame:
+    """``rep, links, root`` of the different vectors ``rep, n, e`` of one dimension, by block: links met there and where they lead."""
+    spark = nodes.sparkSession
     rows = max(1, min(SAMPLE_ROWS, SAMPLE_VALUES // dim))
     n_lists = max(1, min(round(math.sqrt(n_nodes)), rows // 32))
     sample = nodes.orderBy(F.xxhash64("rep")).limit(min(rows, 64 * n_lists)).select("e").toArrow()["e"].combine_chunks()
@@ -225,20 +241,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD, probes: in
             np.add.at(counts, np.searchsorted(nodes, ids[some]), own[some])
         return pd.DataFrame({"rep": nodes, "links": counts, "root": roots})
 
-    met = (left.groupBy("list", "m", "q").cogroup(right.groupBy("q_list", "q_m", "q_q"))
-           .applyInPandas(meet, f"rep {id_type}, links bigint, root {id_type}"))
-    met = common.checkpoint(met.groupBy("rep", "root").agg(F.sum("links").alias("links")))
-    roots = common.connected_components(met.select("rep", "root")).withColumnRenamed("node", "rep")
-    links = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = (reps.select("k1", "k2", "rep", "n").join(links, "rep", "left").join(roots, "rep", "left")
-             .select(F.col("k1").alias("r1"), F.col("k2").alias("r2"),
-                     (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-                     F.coalesce("root", "rep").alias("component_id")))
-    return (keyed.select("vec_id", "k1", "k2")
-            .join(named, (F.col("k1") == F.col("r1")) & (F.col("k2") == F.col("r2")), "left")
-            .select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-                    F.coalesce("component_id", "vec_id").alias("component_id"))
-            .withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id"))))
+    return (left.groupBy("list", "m", "q").cogroup(right.groupBy("q_list", "q_m", "q_q"))
+            .applyInPandas(meet, f"rep {id_type}, links bigint, root {id_type}"))
 
 
 def op1(spark, sf_dir: str) -> DataFrame:

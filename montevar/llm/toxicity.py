@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from montevar.llm import common
 from montevar.llm.common import forget, portions
 
-#: The classifier is fitted on at most so many labelled texts, words and counterfactual pairs.
+#: The classifier is fitted on a bounded sample: at most so many labelled texts, the words (and beginnings) of them that tell
+#: the classes apart best, and so many of their counterfactual pairs, taken by hash.
 SAMPLE_TEXTS, FEATURES, MAX_PAIRS = 20_000, 4_096, 50_000
 MIN_TEXTS = 3
 #: The ridge is a prior: its weight against the mean loss falls with the number of texts.
 RIDGE, FAIRNESS = 0.2, 5.0
 BEGINNINGS = (3, 4, 5)
 STEPS, RATE = 200, 0.1
-# Names of groups of people, by kind; a name is swapped for the others of its kind.
+# Names of groups of people, by kind and language; a name is swapped for the others of its kind.
 IDENTITIES = (
     ("christian", "muslim", "jewish", "hindu", "buddhist", "atheist"),
     ("christians", "muslims", "jews", "hindus", "buddhists", "atheists"),
@@ -34,6 +35,23 @@ IDENTITIES = (
     ("immigrant", "refugee", "native"), ("immigrants", "refugees", "natives"),
     ("disabled", "blind", "deaf"), ("old", "young"),
     ("american", "mexican", "chinese", "indian", "german", "french", "russian"),
+    # French
+    ("chrétien", "musulman", "juif", "hindou", "bouddhiste", "athée"), ("chrétienne", "musulmane", "juive"),
+    ("chrétiens", "musulmans", "juifs", "hindous", "bouddhistes", "athées"), ("noir", "blanc", "asiatique", "arabe", "africain", "européen"),
+    ("noirs", "blancs", "asiatiques", "arabes", "africains", "européens"), ("femme", "homme"), ("femmes", "hommes"),
+    ("fille", "garçon"), ("filles", "garçons"), ("homosexuel", "hétérosexuel", "lesbienne"), ("immigré", "réfugié"), ("immigrés", "réfugiés"),
+    ("handicapé", "aveugle", "sourd"), ("américain", "mexicain", "chinois", "indien", "allemand", "français", "russe"),
+    # German
+    ("christ", "muslim", "jude", "hindu", "buddhist", "atheist"), ("christen", "muslime", "juden", "hindus", "buddhisten", "atheisten"),
+    ("christlich", "muslimisch", "jüdisch", "buddhistisch"), ("schwarze", "weiße", "asiaten", "araber", "afrikaner", "europäer"),
+    ("frau", "mann"), ("frauen", "männer"), ("mädchen", "junge"), ("schwul", "lesbisch", "hetero"), ("einwanderer", "flüchtlinge"),
+    ("behindert", "blind", "taub"), ("amerikaner", "mexikaner", "chinesen", "inder", "deutsche", "franzosen", "russen"),
+    # Spanish
+    ("cristiano", "musulmán", "judío", "hindú", "budista", "ateo"), ("cristianos", "musulmanes", "judíos", "hindúes", "budistas", "ateos"),
+    ("negro", "blanco", "asiático", "árabe", "africano", "europeo"), ("negros", "blancos", "asiáticos", "árabes", "africanos", "europeos"),
+    ("mujer", "hombre"), ("mujeres", "hombres"), ("chica", "chico"), ("chicas", "chicos"), ("homosexual", "heterosexual", "lesbiana"),
+    ("inmigrante", "refugiado"), ("inmigrantes", "refugiados"), ("discapacitado", "ciego", "sordo"),
+    ("americano", "mexicano", "chino", "indio", "alemán", "francés", "ruso"),
 )
 _WORD = re.compile(r"[^\W\d_]+")
 _SENTENCE = re.compile(r"[.!?\n]+")
@@ -50,7 +68,10 @@ def words_of(text: str | None) -> set[str]:
 
 def counterfactuals(text: str, identities=IDENTITIES) -> Iterator[tuple[frozenset, frozenset]]:
     """Word sets of each sentence that names a group, and of the sentence with the name swapped."""
-    others = {name: kind for kind in identities for name in kind}
+    others: dict[str, tuple] = {}
+    for kind in identities:                                         # some names are the same in two languages
+        for name in kind:
+            others[name] = (*others.get(name, ()), *(x for x in kind if x not in others.get(name, ())))
     for sentence in _SENTENCE.split(text.lower()):
         words = set(_WORD.findall(sentence))
         for name in sorted(words & others.keys()):
@@ -192,7 +213,11 @@ def op5(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents predicted toxic go."""
+    """Pipeline stage: documents predicted toxic go.
+
+    Rows go by their text alone: null and empty texts score like no words, repeated rows and rows without id stay or go together
+    with equal texts; an empty table gives an empty result; other columns are kept as they are.
+    """
     with common.Scratch(spark):
         model = _trained(spark, docs, sf_dir)
     out = score(docs, model, score_col="__toxicity")

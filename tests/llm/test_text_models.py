@@ -1,4 +1,7 @@
 """Language identification and toxicity: held-out accuracy, backoff, swapped names, edge rows."""
+import re
+from collections import Counter
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -23,7 +26,8 @@ def test_counts_and_backoff(spark):
     seen = {w for _, t, _ in rows for w in t.split()}
     for lang in SYLLABLES:
         fresh = [w for w in (word(r, lang) for _ in range(600)) if w not in seen][:40]
-        assert len(fresh) == 40 and all(model.predict(w)[0] == lang for w in fresh)     # n-grams only
+        asked = langid.identify(documents(spark, list(enumerate(fresh))), model).collect()
+        assert len(fresh) == 40 and all(x.lang_pred == lang for x in asked)             # n-grams only
     counts = {}
     for _, t, lang in rows:
         for w in t.split():
@@ -56,10 +60,106 @@ def test_rare_words_and_grams_count_like_frequent_ones(spark):
     a, b = (sorted(((str(x.doc_id), x.text or "", x.lang_pred, round(x.score, 4)) for x in langid.identify(docs, m).collect()))
             for m in (whole, split))
     assert [x[:3] for x in a] == [x[:3] for x in b]
-    assert max(abs(x[3] - y[3]) for x, y in zip(a, b)) < 1e-3
+    assert max(abs(x[3] - y[3]) for x, y in zip(a, b)) <= 1e-4              # both are rounded to four places
     assert {x[2] for x in b if x[1] == "onlya"} == {"aa"} and langid.identify(docs.limit(0), split).count() == 0
 
 
+def pieces(w, n):
+    """The n-grams of a word between marks of its ends, which don't count alone."""
+    marked = f"<{w}>"
+    return list(w) if n == 1 else [marked[i:i + n] for i in range(len(marked) - n + 1)]
+
+
+def brute_language(rows, text):
+    """Language and share of a text by the definition, from the training rows themselves."""
+    counts = {}
+    for _, t, lang in rows:
+        for w in re.findall(r"[^\W\d_]+", t.lower()):
+            counts.setdefault(lang, Counter())[w] += 1
+    langs, vocabulary = sorted(counts), {w for own in counts.values() for w in own}
+    grams = {lang: {n: Counter() for n in range(1, 5)} for lang in langs}
+    for lang in langs:
+        for w, k in counts[lang].items():
+            for n in range(1, 5):
+                for g in pieces(w, n):
+                    grams[lang][n][g] += k
+    total, n_words = np.zeros(len(langs)), 0
+    for w in re.findall(r"[^\W\d_]+", text.lower()):
+        if w in vocabulary:
+            total += [np.log((counts[k][w] + 0.5) / (sum(counts[k].values()) + 0.5 * len(vocabulary))) for k in langs]
+            n_words += 1
+            continue
+        for n in range(4, 0, -1):
+            known = {g for k in langs for g in grams[k][n]}
+            own = [g for g in pieces(w, n) if g in known]
+            if own:
+                total += np.mean([[np.log((grams[k][n][g] + 0.5) / (sum(grams[k][n].values()) + 0.5 * len(known))) for k in langs]
+                                  for g in own], axis=0)
+                n_words += 1
+                break
+    if not n_words:
+        return None, 1 / len(langs)
+    share = np.exp((total - total.max()) / np.sqrt(n_words))
+    return langs[int(total.argmax())], float(share.max() / share.sum())
+
+
+@pytest.mark.parametrize("held", [10**6, 3])
+def test_predictions_equal_brute_force(spark, held):
+    r = rng(9)
+    rows = [(k, " ".join(word(r, lang) for _ in range(12)), lang) for k, lang in enumerate(list(SYLLABLES) * 12)]
+    model = langid.fit(documents(spark, rows), max_words=held, max_grams=held)
+    asked = [(k, " ".join(word(r, lang) if r.random() < 0.6 else rows[int(r.integers(36))][1].split()[0] for _ in range(int(r.integers(1, 9)))))
+             for k, lang in enumerate(list(SYLLABLES) * 15)] + [(90, "zzz kalo"), (91, "Ωω"), (92, "a")]
+    for x in langid.identify(documents(spark, asked), model, evidence_col="known").collect():
+        lang, share = brute_language(rows, x.text)
+        assert x.score == pytest.approx(share, abs=1e-9), x.text
+        assert (x.known == 0) == (lang is None) and (lang is None or x.lang_pred == lang)
+
+
+def test_one_language_keeps_what_it_knows(spark):
+    rows = [(k, f"the cat and the dog number {chr(97 + k)}", "en") for k in range(8)] + [(50, "漢字", None), (51, "12"), (52, None), (None, "the cat"), (None, "the cat")]
+    out = langid.stage(spark, documents(spark, rows), "").collect()
+    assert sorted(str(x.doc_id) for x in out) == sorted([*map(str, range(8)), "None", "None"])
+
+
+def test_the_classifier_descends_its_loss():
+    """The gradient that training follows is that of the stated loss, by finite differences; the end is near its minimum."""
+    r = rng(3)
+    width, rows = 6, [np.unique(r.integers(0, 6, 3)) for _ in range(40)]
+    y = r.integers(0, 2, 40).astype(float)
+    pairs = ([np.array([0, 1]), np.array([2])], [np.array([0, 3]), np.array([4])])
+    dense = lambda xs: np.array([[float(k in x) for k in range(width)] for x in xs])
+    x, a, b = dense(rows), dense(pairs[0]), dense(pairs[1])
+
+    def loss(v):
+        z = x @ v[:-1] + v[-1]
+        return (np.log1p(np.exp(-z)) * y + np.log1p(np.exp(z)) * (1 - y)).mean() + 0.2 / 40 * v[:-1] @ v[:-1] + 5.0 * (
+            ((a - b) @ v[:-1]) ** 2).mean()
+
+    w, bias = toxicity.train(rows, y, pairs, width)
+    v = np.append(w, bias)
+    slope = [(loss(v + 1e-6 * e) - loss(v - 1e-6 * e)) / 2e-6 for e in np.eye(width + 1)]
+    assert np.abs(slope).max() < 0.02 and loss(v) < loss(np.zeros(width + 1))
+    assert all(loss(v) <= loss(v + 0.05 * d) + 1e-4 for d in r.normal(size=(50, width + 1)))
+
+
+@pytest.mark.parametrize("insult, neutral, names", [
+    ("idiot scum", "lives in our street", ("muslim", "christian", "jewish", "buddhist")),
+    ("connard ordure", "habite dans la rue", ("musulman", "chrétien", "juif", "bouddhiste")),
+    ("vollidiot abschaum", "wohnt in der straße", ("muslim", "christ", "jude", "buddhist")),
+    ("imbécil escoria", "vive en la calle", ("musulmán", "cristiano", "judío", "budista"))])
+def test_neutral_mentions_stay_low_in_each_language(spark, insult, neutral, names):
+    """One group is named in toxic texts only; swapping the names keeps its neutral mention from being taken for toxic."""
+    r = rng(8)
+    rows = [(k, f"{prose(r, 6, 40)} {insult} {names[0]} {prose(r, 6, 40)}") for k in range(60)]
+    rows += [(100 + k, f"{prose(r, 6, 40)} {names[1 + k % 3]} {neutral} {prose(r, 6, 40)}") for k in range(60)]
+    docs = documents(spark, rows)
+    labels = spark.createDataFrame([(k, int(k < 100)) for k, _ in rows], "doc_id bigint, toxic int")
+    asked = documents(spark, [(1, f"{names[0]} {neutral}"), (2, f"{insult}")])
+    fair, plain = ({x.doc_id: x.score for x in toxicity.score(asked, toxicity.fit(docs, labels, fairness=f)).collect()} for f in (5.0, 0.0))
+    assert fair[1] < 0.5 < fair[2] and fair[1] < plain[1]
+
+
 def test_language_edge_rows(spark):
     rows = [(k, "the cat and the dog", "en") for k in range(8)] + [(8 + k, "le chat et le chien", "fr") for k in range(8)]
     model = langid.fit(documents(spark, rows + [(90, None, "en"), (91, "no language", None)]))

@@ -135,6 +135,21 @@ def test_a_list_larger_than_a_block(spark, monkeypatch):
     assert {i: (x.n_links, x.component_id) for i, x in got.items()} == {i: (links[i], low[i]) for i in links}
 
 
+def test_each_dimension_has_its_own_links(spark):
+    r = rng(14)
+    rows = []
+    for dim, n in ((12, 120), (5, 40), (2, 7), (3, 1)):
+        bases = r.normal(size=(4, dim))
+        rows += [(len(rows) + k, (bases[k % 4] + 0.1 * r.normal(size=dim)).tolist()) for k in range(n)]
+    links, low = {}, {}
+    for dim in (12, 5, 2, 3):
+        own = brute_links([x for x in rows if len(x[1]) == dim])
+        links |= own[0]
+        low |= own[1]
+    got = {x.vec_id: x for x in pq.near_duplicates(table(spark, rows).repartition(3), probes=10**6).collect()}
+    assert {i: (x.n_links, x.component_id) for i, x in got.items()} == {i: (links[i], low[i]) for i in links}
+
+
 def test_near_vectors_edge_rows(spark):
     rows = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (2, [2.0, 0.0]), (3, None), (4, [0.0, 0.0]), (5, [None, 1.0]), (6, [float("nan"), 1.0]),
             (7, [float("inf"), 1.0]), (None, [1.0, 0.0]), (8, [1.0, 0.0, 0.0]), (9, []), (10, [0.0, 1.0])]
