@@ -38,6 +38,8 @@ BANDS, ROWS = 10, 3
 #: Paragraphs of a band that meet in one task at a time.
 BLOCK = 2_048
 WORDS_KEPT = 200_000
+#: Shingles that are reduced to minimum hashes at a time.
+TOGETHER = 8_192
 #: Words of a window of the word stream, and neighbouring windows of which the one of smallest hash is picked.
 WINDOW, REACH = 25, 16
 _MASK = (1 << 64) - 1
@@ -78,7 +80,8 @@ class Signer:
         self.fold = _odd_numbers(ROWS, 13)
         self.band = _odd_numbers(BANDS, 17)
 
-    def __call__(self, words: list[str]) -> np.ndarray:
+    def shingles(self, words: list[str]) -> np.ndarray:
+        """A 64-bit digest of each shingle, in order."""
         known, digest = self.known, xxhash.xxh64_intdigest
         try:
             hashes = [known[w] for w in words]
@@ -94,12 +97,21 @@ class Signer:
         shingles = np.zeros(n, dtype=np.uint64)
         for k in range(SHINGLE_WORDS):
             shingles += h[k:k + n] * self.powers[k]
-        shingles = _mix(shingles)
-        low = np.full(len(self.factors), _MASK, dtype=np.uint64)
-        for at in range(0, n, 4096):                                # a bounded table also for a very long line
-            part = shingles[None, at:at + 4096]
-            low = np.minimum(low, (part * self.factors + self.shifts).min(axis=1))
-        return _mix((_mix(low).reshape(BANDS, ROWS) * self.fold).sum(axis=1, dtype=np.uint64) + self.band)
+        return _mix(shingles)
+
+    def __call__(self, paragraphs: list[np.ndarray]) -> np.ndarray:
+        """Band keys of paragraphs given by their shingles, one row each."""
+        ends = np.cumsum([len(p) for p in paragraphs])
+        starts, flat = ends - [len(p) for p in paragraphs], np.concatenate(paragraphs)
+        low = np.full((len(self.factors), len(paragraphs)), _MASK, dtype=np.uint64)
+        for at in range(0, len(flat), TOGETHER):                    # a bounded table also for a very long line
+            part = flat[None, at:at + TOGETHER]
+            first, last = np.searchsorted(ends, at, side="right"), np.searchsorted(starts, at + part.shape[1])
+            cut = np.maximum(starts[first:last] - at, 0)
+            found = np.minimum.reduceat(part * self.factors + self.shifts, cut, axis=1)
+            low[:, first:last] = np.minimum(low[:, first:last], found)
+        rows = _mix(low).T.reshape(len(paragraphs), BANDS, ROWS)
+        return _mix((rows * self.fold).sum(axis=2, dtype=np.uint64) + self.band)
 
 
 def shingle_set(text: str) -> set[tuple[str, ...]]:
@@ -128,15 +140,19 @@ def _paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
             ids, keys, texts = (batch.column(c) for c in ("doc_id", "row_key", "text"))
             rows: list[tuple] = []
             of: list[int] = []
+            parts: list[np.ndarray] = []
+            signed: list[np.ndarray] = []
 
             def emit():
-                cols = list(zip(*rows))
+                if parts:
+                    signed.append(sign(parts))
+                cols, bands = list(zip(*rows)), np.concatenate(signed).view(np.int64)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 return pa.RecordBatch.from_arrays(
                     [ids.take(pa.array(of)), keys.take(pa.array(of)), pa.array(cols[0], pa.int32()),
-                     *(pa.array(c, pa.int64()) for c in cols[1:4]),
-                     pa.array(list(cols[4]), pa.list_(pa.int64())), pa.array(cols[5], pa.string())], names)
+                     *(pa.array(c, pa.int64()) for c in cols[1:4]), lists, pa.array(cols[4], pa.string())], names)
 
-            held = 0
+            held = waiting = 0
             for i in range(batch.num_rows):
                 text = texts[i].as_py()
                 if not text:
@@ -146,42 +162,68 @@ def _paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
                     if len(words) < min_words:
                         continue
                     h = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
-                    rows.append((number, start, len(line), h - (1 << 64) if h >> 63 else h, sign(words).view(np.int64), line))
+                    rows.append((number, start, len(line), h - (1 << 64) if h >> 63 else h, line))
+                    parts.append(sign.shingles(words))
                     of.append(i)
                     held += len(line)
+                    waiting += len(words)
+                    if waiting > TOGETHER:
+                        signed.append(sign(parts))
+                        parts, waiting = [], 0
                 if held > 1 << 22:
                     yield emit()
-                    rows, of, held = [], [], 0
+                    rows, of, parts, signed, held, waiting = [], [], [], [], 0, 0
             if rows:
                 yield emit()
 
     return docs.mapInArrow(run, schema)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """The pairs ``a, b`` whose texts are similar."""
-    one = texts.select(F.col("p").alias("a"), F.col("paragraph").alias("text_a"))
-    two = texts.select(F.col("p").alias("b"), F.col("paragraph").alias("text_b"))
+def _shingled(texts: DataFrame) -> DataFrame:
+    """``p, shingles``: the different shingles of each paragraph as ascending 64-bit digests (bytes)."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        sign = Signer()
+        for batch in batches:
+            found = [np.unique(sign.shingles(words_of(t.as_py()))).tobytes() for t in batch.column("paragraph")]
+            yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(found, pa.binary())], ["p", "shingles"])
+
+    return texts.select("p", "paragraph").mapInArrow(run, "p bigint, shingles binary")
+
+
+def alike(a: np.ndarray, b: np.ndarray, least: float = SIMILARITY) -> bool:
+    """Exact Jaccard similarity of two ascending arrays of different numbers against the threshold."""
+    if min(len(a), len(b)) < least * max(len(a), len(b)):
+        return False
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return both >= least * (len(a) + len(b) - both)
+
+
+def _verify(pairs: DataFrame, near: DataFrame, least: float) -> DataFrame:
+    """The pairs ``a, b`` whose paragraphs are similar."""
+    one = near.select(F.col("p").alias("a"), F.col("shingles").alias("of_a"))
+    two = near.select(F.col("p").alias("b"), F.col("shingles").alias("of_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         forget()
-        last, own = None, set()
         for batch in batches:
-            a, b = batch.column("text_a"), batch.column("text_b")
-            keep = []
-            for i in range(batch.num_rows):
-                other = b[i].as_py()
-                if other != last:                                   # sorted by b: a leader's set is made once
-                    last, own = other, shingle_set(other)
-                keep.append(similar(shingle_set(a[i].as_py()), own, least))
-            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep))
+            sides = [[np.frombuffer(x, dtype=np.uint64) for x in batch.column(c).to_pylist()] for c in ("of_a", "of_b")]
+            keep = [alike(a, b, least) for a, b in zip(*sides)]
+            yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return pairs.join(one, "a").join(two, "b").mapInArrow(run, "a bigint, b bigint")
 
 
-def numbered(texts: list[str], at: dict) -> list[np.ndarray]:
-    """The shingles of each text as numbers, each once; ``at`` numbers different shingles."""
-    return [np.unique(np.array([at.setdefault(s, len(at)) for s in shingle_set(t)], dtype=np.int32)) for t in texts]
+def numbered(sides: list[list[np.ndarray]]) -> tuple[list[list[np.ndarray]], int]:
+    """Rows of digests as rows of small numbers, one for each different digest, and how many there are."""
+    flat = [np.concatenate(side) for side in sides]
+    known, numbers = np.unique(np.concatenate(flat), return_inverse=True)
+    numbers, at, out = numbers.astype(np.int32), 0, []
+    for side in sides:
+        cuts = at + np.cumsum([len(x) for x in side])
+        out.append(np.split(numbers[at:cuts[-1]], cuts[:-1] - at))
+        at = int(cuts[-1])
+    return out, len(known)
 
 
 def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least: float) -> Iterator[tuple]:
@@ -220,10 +262,7 @@ def _meet(least: float):
         sides = [pdf[pdf["side"] == s].drop_duplicates("p") for s in (0, 1)]
         if sides[0].empty or sides[1].empty:
             return pd.DataFrame({"a": pdf["p"].iloc[:0], "b": pdf["p"].iloc[:0]})
-        at: dict = {}
-        sets = [numbered(side["paragraph"], at) for side in sides]
-        n = len(at)
-        at.clear()
+        sets, n = numbered([[np.frombuffer(x, dtype=np.uint64) for x in side["shingles"]] for side in sides])
         ids, roots = ([side[c].to_numpy() for side in sides] for c in ("p", "root"))
         found = Links(ids[0].dtype)
         for x, y in similar_pairs(*sets, n, least):
@@ -285,9 +324,9 @@ def _repeats(src: DataFrame, min_words: int, similarity: float) -> DataFrame:
     members = common.materialize(keyed.join(first.hint("merge"), F.col("band") == F.col("of")).select("band", "p", "lead", "size"), "bands")
     pairs = members.where("p <> lead").select(F.col("p").alias("a"), F.col("lead").alias("b")).distinct()
     wanted = members.select(F.col("p").alias("w")).distinct()
-    near = common.materialize(
+    near = common.materialize(_shingled(
         found.select("p", "paragraph").join(wanted, F.col("p") == F.col("w"), "left_semi")
-        .groupBy("p").agg(F.first("paragraph").alias("paragraph")), "colliding")
+        .groupBy("p").agg(F.first("paragraph").alias("paragraph"))), "colliding")
     roots = common.connected_components(_verify(pairs, near, similarity))
 
     # Bands of three and more members that are still apart; what they add joins the components found so far.
@@ -408,17 +447,17 @@ def _passages(src: DataFrame, gone: DataFrame | None) -> DataFrame:
             F.col("__gone").isNull() | ~touched)
     place = F.struct(F.col("doc_id").isNull().alias("last"), F.col("doc_id").alias("doc_id"), F.col("row_key").alias("row_key"))
     met = common.materialize(met.select("doc_id", "row_key", "word", F.col("from_line").alias("line"), "fp", "fp_more"), "repeated-windows")
-    heads = (met.groupBy("fp", "fp_more").agg(F.min(F.struct(place.alias("place"), F.col("word"))).alias("head"))
+    where = F.struct(place.alias("place"), F.col("word"))
+    # First and last place of each window, summed up before the shuffle; the join splits a window that stands in most documents.
+    heads = (met.groupBy("fp", "fp_more").agg(F.min(where).alias("head"), F.max(where).alias("tail"))
+             .where((F.col("tail.place") != F.col("head.place")) | (F.col("tail.word") >= F.col("head.word") + WINDOW))
              .select(F.col("fp").alias("f"), F.col("fp_more").alias("g"), "head"))
-    every = met.join(heads.hint("merge"), same).withColumn(
-        "removed", (place != F.col("head.place")) | (F.col("word") >= F.col("head.word") + WINDOW))
-    # A first place counts if another one goes.
-    kept = every.groupBy("fp", "fp_more").agg(F.max("removed").alias("any")).where("any").select(
-        F.col("fp").alias("x"), F.col("fp_more").alias("y"))
+    removed = (place != F.col("head.place")) | (F.col("word") >= F.col("head.word") + WINDOW)
+    every = met.join(heads.hint("merge"), same).withColumn("removed", removed)
     first = (place == F.col("head.place")) & (F.col("word") == F.col("head.word"))
-    return (every.where(F.col("removed") | first).join(kept, (F.col("fp") == F.col("x")) & (F.col("fp_more") == F.col("y")), "left_semi")
-            .select("doc_id", "row_key", "word", "line", F.col("head.place.doc_id").alias("component_doc"),
-                    F.col("head.word").alias("component_word"), "removed").distinct())
+    return every.where(F.col("removed") | first).select(
+        "doc_id", "row_key", "word", "line", F.col("head.place.doc_id").alias("component_doc"),
+        F.col("head.word").alias("component_word"), "removed").distinct()
 
 
 _SPACED = re.compile(r"\S+")

@@ -66,14 +66,27 @@ def test_a_large_family_of_near_copies(spark, monkeypatch):
     assert got == brute(rows)
 
 
+def test_band_keys_do_not_depend_on_what_is_signed_together(monkeypatch):
+    r = rng(2)
+    sign = paragraphs.Signer()
+    parts = [sign.shingles(prose(r, int(n)).split()) for n in r.integers(25, 900, 40)]
+    together = sign(parts)
+    for size in (1 << 20, 64, 7):
+        monkeypatch.setattr(paragraphs, "TOGETHER", size)
+        assert (paragraphs.Signer()(parts) == together).all()
+        assert (np.concatenate([sign([x]) for x in parts]) == together).all()
+
+
 def test_similar_pairs_are_exact():
     r = rng(4)
     base = prose(r, 60)
     texts = [edited(r, base, int(k % 5)) for k in range(1200)]
-    at = {}
-    left, right = paragraphs.numbered(texts, at), paragraphs.numbered(texts[:40], at)
-    x, y = (np.concatenate(p) for p in zip(*paragraphs.similar_pairs(left, right, len(at), 0.8)))
+    sign = paragraphs.Signer()
+    digests = [np.unique(sign.shingles(paragraphs.words_of(t))) for t in texts]
+    (left, right), n = paragraphs.numbered([digests, digests[:40]])
+    x, y = (np.concatenate(p) for p in zip(*paragraphs.similar_pairs(left, right, n, 0.8)))
     sets = [paragraphs.shingle_set(t) for t in texts]
+    assert all(paragraphs.alike(digests[i], digests[j]) == paragraphs.similar(sets[i], sets[j]) for i in range(300) for j in range(40))
     want = {(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:40]) if paragraphs.similar(a, b)}
     assert set(zip(x.tolist(), y.tolist())) == want
 
