@@ -227,7 +227,7 @@ def _class(n: Column, members: int) -> Column:
 def _forward(rows: DataFrame, one_shard: bool = False) -> DataFrame:
     """Sum ``kids, leaves, saved`` over the subtrees of each shard.
 
-    ``rows`` are nodes (``is_node``) and messages from outside to them, with ``shard`` (``s_hi, s_lo``), ``depth, hi, lo``
+    ``rows`` are nodes (``is_node``) and messages from outside to them, with their shard (``s_hi, s_lo``) and ``depth, hi, lo``
     and, for nodes that pass on their totals within the shard, the parent's ``up_depth, up_hi, up_lo``.  Null ``leaves`` of a node
     stand for one if nothing comes to it.  Gives back the nodes with their totals; other columns are carried along.
     """
@@ -262,7 +262,8 @@ def _forward(rows: DataFrame, one_shard: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(sums[c], pa.int64()) if c in sums else kept.column(c) for c in fields], fields)
 
-    dealt = rows.coalesce(1) if one_shard else rows.repartition("s_hi", "s_lo")
+    # Only what meets in the one shard goes to one task, not the work that finds it.
+    dealt = rows.repartition(1) if one_shard else rows.repartition("s_hi", "s_lo")
     return (dealt.sortWithinPartitions(F.desc("depth"), "hi", "lo", "is_node")
             .mapInArrow(run, ", ".join(f"{c} bigint" for c in fields)))
 
