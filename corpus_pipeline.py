@@ -25,7 +25,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table."""
+    """All stages over the whole ``documents`` table: the packed pieces of what they keep.
+
+    Null and empty texts go in the language stage, which knows no word of them; rows that repeat id and text, or
+    whose texts are near copies, leave one document, whatever their ids (null ids come last); an empty table gives an
+    empty result; columns beyond those of ``documents`` pass through to the packing, which drops them.
+    """
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name)
