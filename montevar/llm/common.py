@@ -78,6 +78,7 @@ class Scratch:
         for path in self.paths:
             at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
             at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+        tidy(self.spark)
 
 
 def _written(df: DataFrame, name: str) -> str:
@@ -135,11 +136,26 @@ def forget() -> None:
     if _held():
         _held().clear()
         gc.collect()
+    _give_back()
+
+
+def _give_back() -> None:
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):              # another C library keeps what it likes
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let go of plans, shuffles, broadcasts and checkpoints that nothing refers to any more.
+
+    Python's proxies keep the driver's plans alive, and Spark cleans up what its own collector has found; a job of many small
+    steps would else hold all of them until the driver's memory is short.
+    """
+    gc.collect()
+    _give_back()
+    spark._jvm.System.gc()
+
+
 def crc32_of(col: Column) -> Column:
     """CRC-32 of a value's text form, the key of the fixed train/held-out splits."""
     return F.crc32(F.encode(col.cast("string"), "utf-8"))
@@ -217,5 +233,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
         if now == last:
             break
         last = now
+    del low, large, least, small                                    # the plans of the last round
+    tidy(edges.sparkSession)
     return (pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
             .unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))
