@@ -159,3 +159,16 @@ def sql_stages(source: str, stages, prefix: str) -> tuple[list[str], str]:
         ctes.append(f"{name} AS (SELECT *, {cols} FROM {prev})")
         prev = name
     return ctes, prev
+
+
+def computed_once(df: DataFrame, names) -> DataFrame:
+    """The same rows and columns; the columns ``names`` are computed once a row, whatever is filtered or projected later.
+
+    A filter on a computed column is pushed to the scan with all that the column is computed from, and an alias read often
+    is copied into each of its readers: text is then parsed several times a row.  Neither passes the generator,
+    which hands on one row for each row; filters on the other columns do.
+    """
+    held = set(names)
+    passing = [F.col(f"`{c}`") for c in df.columns if c not in held]
+    cells = F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns if c in held]))
+    return df.select(*passing, F.inline(cells)).select(*[F.col(f"`{c}`") for c in df.columns])

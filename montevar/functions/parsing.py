@@ -40,7 +40,7 @@ def parse_number_text(c, allow_negative: bool = False) -> Column:
     Malformed numbers such as ``1.2.3`` are NULL.
     """
     c = _as_col(c)
-    s = F.regexp_replace(F.trim(c.cast("string")) if allow_negative else c.cast("string"), ",", "")
+    s = F.replace(F.trim(c.cast("string")) if allow_negative else c.cast("string"), F.lit(","), F.lit(""))
     pattern = r"^[-+]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][-+]?[0-9]+)?$" if allow_negative else r"^[0-9.]+$"
     return F.when(s.rlike(pattern), s.try_cast("double"))
 
@@ -48,4 +48,4 @@ def parse_number_text(c, allow_negative: bool = False) -> Column:
 def nan_to_null(c) -> Column:
     """Missing values become SQL NULL once, at ingest (NaN would poison avg/stddev)."""
     c = _as_col(c)
-    return F.when(~F.isnan(c), c)
+    return F.nanvl(c, F.lit(None))

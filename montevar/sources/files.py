@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
+from montevar.functions.exprs import computed_once
 from montevar.functions.parsing import (INDEX_CSV_DATE, INDEX_TSV_DATE, STOCK_DATE,
                                         nan_to_null, parse_date_text, parse_number_text)
 
@@ -103,20 +104,22 @@ def checked_prices(raw: DataFrame, date_format: str = STOCK_DATE, numeric=("Open
     (file, line keys) pass through.
     """
     others = [c for c in raw.columns if c not in (*STOCK_COLUMNS, CORRUPT, "symbol")]
-    damaged = F.col(CORRUPT).isNotNull() if CORRUPT in raw.columns else F.lit(False)
-    date = parse_date_text("Date", date_format)
-    reason = (F.when(damaged, REASONS[0]).when(F.coalesce(F.trim("Date"), F.lit("")) == "", REASONS[1]).when(date.isNull(), REASONS[2]))
-    bad, typed = [], []
-    for c in STOCK_COLUMNS[1:]:
-        value = nan_to_null(parse_number_text(c)) if c in numeric else F.col(c)
-        typed.append(value.alias(c.lower()))
-        if c in numeric:
-            text = F.lower(F.trim(F.col(c)))
-            bad.append(F.when(value.isNull() & (text != "") & (text != "nan"), F.lit(c)))
+    texts = [*STOCK_COLUMNS, *([CORRUPT] if CORRUPT in raw.columns else [])]
+    value = lambda c: nan_to_null(parse_number_text(c)) if c in numeric else F.col(c)
+    parsed = raw.select(*others, "symbol", *texts, parse_date_text("Date", date_format).alias("_date"),
+                        *[value(c).alias(f"_{c.lower()}") for c in STOCK_COLUMNS[1:]])
+    parsed = computed_once(parsed, parsed.columns[len(others) + 1:])
+    damaged = F.col(CORRUPT).isNotNull() if CORRUPT in texts else F.lit(False)
+    reason = (F.when(damaged, REASONS[0]).when(F.coalesce(F.trim("Date"), F.lit("")) == "", REASONS[1])
+              .when(F.col("_date").isNull(), REASONS[2]))
+    bad = []
+    for c in numeric:
+        text = F.lower(F.trim(F.col(c)))
+        bad.append(F.when(F.col(f"_{c.lower()}").isNull() & (text != "") & (text != "nan"), F.lit(c)))
     whole = F.concat_ws(",", *[F.coalesce(F.col(c), F.lit("")) for c in STOCK_COLUMNS])
-    record = F.coalesce(F.col(CORRUPT), whole) if CORRUPT in raw.columns else whole
-    return raw.select(*others, "symbol", date.alias("date"), *typed, reason.alias("reason"), F.concat_ws(",", *bad).alias("nulled"),
-                      F.when(reason.isNotNull(), record).alias("record"))
+    record = F.coalesce(F.col(CORRUPT), whole) if CORRUPT in texts else whole
+    return parsed.select(*others, "symbol", F.col("_date").alias("date"), *[F.col(f"_{c.lower()}").alias(c.lower()) for c in STOCK_COLUMNS[1:]],
+                         reason.alias("reason"), F.concat_ws(",", *bad).alias("nulled"), F.when(reason.isNotNull(), record).alias("record"))
 
 
 def good_rows(checked: DataFrame) -> DataFrame:
