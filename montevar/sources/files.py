@@ -78,7 +78,7 @@ def parse_prices(raw: DataFrame, date_format: str = STOCK_DATE,
         expr = nan_to_null(parse_number_text(c)) if c in numeric else F.col(c)
         out.append(expr.alias(c.lower()))
     df = raw.select("symbol", parse_date_text("Date", date_format).alias("date"), *out)
-    return df.where(F.col("date").isNotNull())
+    return computed_once(df, df.columns[1:]).where(F.col("date").isNotNull())
 
 
 #: Column of a damaged line, and what its rows are refused for.
@@ -159,7 +159,7 @@ def parse_factor(raw: DataFrame, date_format: str = INDEX_CSV_DATE) -> DataFrame
     cols = [nan_to_null(parse_number_text(c, allow_negative=True)).alias(c.lower().replace(" ", "_"))
             for c in FACTOR_COLUMNS[1:]]
     df = raw.select("factor", parse_date_text("Date", date_format).alias("date"), *cols)
-    return df.where(F.col("date").isNotNull())
+    return computed_once(df, df.columns[1:]).where(F.col("date").isNotNull())
 
 
 def load_factors(spark: SparkSession, specs) -> DataFrame:

@@ -26,6 +26,15 @@ def test_checked_lines_are_parsed_once(built_queries, name):
     parsed_once(built_queries(name))
 
 
+@pytest.mark.parametrize("name", ["factor_lines_tsv", "factor_lines_csv"])
+def test_factor_lines_are_parsed_once(built_queries, name):
+    parsed_once(built_queries(name))
+
+
+def test_price_lines_are_parsed_once(built_queries):
+    parsed_once(built_queries("price_lines_csv"))
+
+
 def test_a_number_is_matched_once(spark):
     """The optimized plan of one parsed number holds its pattern once, without a regular expression for the commas."""
     plan = optimized(spark.range(1).select(F.col("id").cast("string").alias("s")).select(nan_to_null(parse_number_text("s")).alias("v")))
