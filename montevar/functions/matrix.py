@@ -8,6 +8,7 @@ them, instead of one aggregation buffer (or several) per matrix entry.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -48,8 +49,8 @@ def pair_moments(rows: DataFrame, keys, values: str, d: int, masks: dict, sample
     before the shuffle, however many rows a group has.
     """
     keys = [keys] if isinstance(keys, str) else list(keys)
-    pairs = F.flatten(F.transform(_upto(d), lambda i: F.transform(
-        F.sequence(i, F.lit(d - 1)), lambda j: F.struct(i.alias("i"), j.alias("j")))))
+    # Text, so that the optimizer folds the pairs into one constant: lambdas would form them anew for each row.
+    pairs = F.from_json(F.lit(json.dumps([{"i": i, "j": j} for i in range(d) for j in range(i, d)])), "array<struct<i:int,j:int>>")
     flags = {pre: mask for pre, mask in masks.items() if mask is not None}
     flat = rows.select(*keys, F.col(values).alias("_v"), *[m.alias(f"_m{pre}") for pre, m in flags.items()], F.explode(pairs).alias("_p"))
     flat = flat.select(*keys, F.col("_p.i").alias("_i"), F.col("_p.j").alias("_j"), *[f"_m{pre}" for pre in flags],

@@ -5,6 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from montevar.functions import matrix
 from montevar.functions.exprs import computed_once
 from montevar.functions.parsing import nan_to_null, parse_number_text
 from montevar.sources import files
@@ -62,3 +63,13 @@ def test_checked_rows_of_odd_lines(spark):
     bad = {r.no: (r.reason, r.record) for r in files.rejected_rows(checked).collect()}
     assert bad[2] == ("date", "n/a,1,2,3,4,5") and bad[3] == ("no date", ",1,2,3,4,5") and bad[4] == ("columns", "31-Dec-13,1,2")
     assert bad[5][0] == "no date" and bad[11] == bad[5]
+
+
+def test_pairs_are_a_constant(spark):
+    """The pairs of a matrix are folded before any row is read."""
+    rows = spark.range(4).select((F.col("id") % 2).alias("k"), F.array(F.col("id").cast("double"), F.lit(1.0), F.lit(None).cast("double")).alias("z"))
+    moments = matrix.pair_moments(rows, "k", "z", 3, {"": None})
+    line = next(x for x in optimized(moments).splitlines() if "Generate" in x)
+    assert "lambda" not in line and "from_json" not in line
+    got = {r.k: r for r in moments.collect()}
+    assert got[0].n == 2 and got[0]["mean"] == [1.0, 1.0, None] and got[0]["cov"] == [1.0, 0.0, None, 0.0, None, None]
