@@ -20,6 +20,8 @@ BLOCK_VALUES = 1 << 20
 BROADCAST_VALUES = 1 << 23
 #: Copies of each block when they are shuffled instead.
 SALTS = 64
+#: Tasks of the product for each core.
+TASKS_PER_SLOT = 4
 
 
 def _blocks(scenarios: DataFrame, factors, n_trials: int) -> tuple[DataFrame, int]:
@@ -33,7 +35,7 @@ def _blocks(scenarios: DataFrame, factors, n_trials: int) -> tuple[DataFrame, in
 
 
 def _met(models: DataFrame, scenarios: DataFrame, factors, n_trials: int, feats, key: str) -> DataFrame:
-    """Every complete model beside every block of scenarios: ``key, block, returns`` (one element per scenario) and ``cells``."""
+    """Every complete model beside every block of scenarios: ``key, block``, the model's ``_w0`` (intercept), ``_w1`` ... and ``cells``."""
     weights = [F.col(weight_name(f)) for f in feats]
     complete = F.col("intercept").isNotNull()
     for w in weights:
@@ -41,20 +43,27 @@ def _met(models: DataFrame, scenarios: DataFrame, factors, n_trials: int, feats,
     # One array for the model: a filter on solved columns would be pushed below the solve.
     model = models.select(key, F.when(complete, F.array(F.col("intercept"), *weights)).alias("model"))
     blocks, n_blocks = _blocks(scenarios, factors, n_trials)
-    dealt = model.select(key, "model", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block"))
+    dealt = model.select(key, "model", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))).alias("block")).where(F.col("model").isNotNull())
+    # Plain numbers from here on: an element of an array would be looked up again for every scenario.
+    dealt = dealt.select(key, "block", *[F.col("model")[i].alias(w) for i, w in enumerate(_weights(factors))])
     if n_trials * (len(factors) + 1) <= BROADCAST_VALUES:
-        met = dealt.join(F.broadcast(blocks), "block")
-    else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
-        met = (dealt.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
-               .join(blocks.select("*", salt).hint("shuffle_hash"), ["block", "salt"]))
-    return met.where(F.col("model").isNotNull())
-
-
-def _return_of(model: Column, cell: Column, d: int) -> Column:
-    out = model[0]
-    for i in range(d):
-        out = out + model[i + 1] * cell[f"f{i}"]
+        # A model is a short row and much work: few bytes would make few tasks.
+        slots = models.sparkSession.sparkContext.defaultParallelism
+        return dealt.repartition(TASKS_PER_SLOT * slots, key, "block").join(F.broadcast(blocks), "block")
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    return (dealt.withColumn("salt", F.pmod(F.xxhash64(key), F.lit(SALTS)).cast("int"))
+            .join(blocks.select("*", salt).hint("shuffle_hash"), ["block", "salt"]))
+
+
+def _weights(factors) -> list[str]:
+    return [f"_w{i}" for i in range(len(factors) + 1)]
+
+
+def _return_of(cell: Column, factors) -> Column:
+    first, *rest = _weights(factors)
+    out = F.col(first)
+    for i, w in enumerate(rest):
+        out = out + F.col(w) * cell[f"f{i}"]
     return out
 
 
@@ -70,7 +79,7 @@ def instrument_trials(models: DataFrame, scenarios: DataFrame, factors, n_trials
     feats = feats or [f"{f}_feat" for f in factors]
     rank = max(math.ceil(p * n_trials), 1)
     met = _met(models, scenarios, factors, n_trials, feats, key)
-    returns = F.sort_array(F.transform("cells", lambda c: _return_of(F.col("model"), c, len(factors))))
+    returns = F.sort_array(F.transform("cells", lambda c: _return_of(c, factors)))
     # One row for each instrument and block; its array lives as long as the row.
     held = met.select(key, "block", returns.alias("r"))
     total = lambda a, of: F.aggregate(a, F.lit(0.0), lambda s, x: s + of(x))
@@ -79,9 +88,13 @@ def instrument_trials(models: DataFrame, scenarios: DataFrame, factors, n_trials
         key, F.size("r").cast("long").alias("n"), F.element_at("r", 1).alias("lo"), F.element_at("r", -1).alias("hi"),
         total(F.col("r"), lambda x: x).alias("s"), cut.alias("_cut"), "r")
     # Squares around the block's own mean lose no digits; blocks are joined around the mean of all.
+    parts = parts.select("*", (F.col("s") / F.col("n")).alias("_mean"))
+    # Sorted: what lies at or below the cut comes first, and ends with the cut unless more returns equal it.
+    tail = F.when((F.size("r") > rank) & (F.get("r", F.lit(rank)) > F.col("_cut")), F.slice("r", 1, rank)).otherwise(
+        F.filter("r", lambda x: x <= F.col("_cut")))
     parts = parts.select(
-        key, "n", "lo", "hi", "s", F.aggregate("r", F.lit(0.0), lambda q, x: q + (x - F.col("s") / F.col("n")) * (x - F.col("s") / F.col("n"))).alias("q"),
-        F.filter("r", lambda x: x <= F.col("_cut")).alias("tail"))
+        key, "n", "lo", "hi", "s", F.aggregate("r", F.lit(0.0), lambda q, x: q + (x - F.col("_mean")) * (x - F.col("_mean"))).alias("q"),
+        tail.alias("tail"))
     whole = parts.groupBy(key).agg(
         F.sum("n").alias("trials"), F.sum("s").alias("s"), F.min("lo").alias("min"), F.max("hi").alias("max"),
         F.sum("q").alias("q"), F.collect_list(F.struct("n", "s")).alias("blocks"),
@@ -103,6 +116,6 @@ def scenario_means(models: DataFrame, scenarios: DataFrame, factors, n_trials: i
     """
     feats = feats or [f"{f}_feat" for f in factors]
     met = _met(models, scenarios, factors, n_trials, feats, key)
-    pairs = met.select("model", F.explode("cells").alias("c"))
-    each = pairs.select(F.col("c.trial_id").alias("trial_id"), _return_of(F.col("model"), F.col("c"), len(factors)).alias("r"))
+    pairs = met.select(*_weights(factors), F.explode("cells").alias("c"))
+    each = pairs.select(F.col("c.trial_id").alias("trial_id"), _return_of(F.col("c"), factors).alias("r"))
     return each.groupBy("trial_id").agg(F.avg("r").alias("average_return"))

@@ -2,12 +2,14 @@
 import datetime as dt
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from montevar.functions import matrix
 from montevar.functions.exprs import computed_once
 from montevar.functions.parsing import nan_to_null, parse_number_text
+from montevar.operators import instruments
 from montevar.sources import files
 
 
@@ -73,3 +75,29 @@ def test_pairs_are_a_constant(spark):
     assert "lambda" not in line and "from_json" not in line
     got = {r.k: r for r in moments.collect()}
     assert got[0].n == 2 and got[0]["mean"] == [1.0, 1.0, None] and got[0]["cov"] == [1.0, 0.0, None, 0.0, None, None]
+
+
+def test_models_meet_scenarios_as_numbers_in_many_tasks(spark, monkeypatch):
+    """The lambda of the returns reads no array element, and models that lie in one partition are spread."""
+    monkeypatch.setattr(instruments, "TASKS_PER_SLOT", 5)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(40, 2))
+    draws = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "trial_id bigint, x_p double, x_q double")
+    rows = [("a", 1.0, 2.0, -1.0), ("flat", 0.5, 0.0, 0.0), (None, 0.1, 0.2, 0.3), ("void", None, 1.0, 1.0)]
+    models = spark.createDataFrame(rows, "symbol string, intercept double, w_p double, w_q double").coalesce(1)
+    out = instruments.instrument_trials(models, draws, ["p", "q"], 40, 0.1)
+    plan = optimized(out)
+    line = next(x for x in plan.splitlines() if "sort_array(transform(cells" in x)
+    assert "model" not in line
+    assert "RepartitionByExpression [symbol" in plan and f", {5 * spark.sparkContext.defaultParallelism}" in plan
+    f = x + np.sign(x) * x * x + np.sign(x) * np.sqrt(np.abs(x))
+    got = {r.symbol: r for r in out.collect()}
+    assert set(got) == {"a", "flat", None}
+    for name, b, p, q in rows[:3]:
+        v = np.sort(b + f @ np.array([p, q]))
+        r = got[name]
+        # Equal returns beyond the rank belong to the tail.
+        tail = v[v <= v[3]]
+        assert (r.trials, r.min, r.max) == (40, pytest.approx(v[0]), pytest.approx(v[-1]))
+        assert r.value_at_risk == pytest.approx(v[3]) and r.conditional_var == pytest.approx(tail.mean())
+        assert r.mean == pytest.approx(v.mean()) and r.stddev == pytest.approx(v.std(), abs=1e-12)
