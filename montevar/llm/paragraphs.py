@@ -37,8 +37,9 @@ SIMILARITY = 0.8
 BANDS, ROWS = 10, 3
 #: Paragraphs of a band that meet in one task at a time.
 BLOCK = 2_048
-WORDS_KEPT = 200_000
-#: Shingles that are reduced to minimum hashes at a time.
+#: Cells of an incidence matrix that is made and multiplied whole.
+SMALL = 1 << 18
+#: Words whose shingles are formed and reduced to minimum hashes at a time.
 TOGETHER = 8_192
 #: Words of a window of the word stream, and neighbouring windows of which the one of smallest hash is picked.
 WINDOW, REACH = 25, 16
@@ -61,6 +62,15 @@ def words_of(paragraph: str) -> list[str]:
     return paragraph.lower().split()
 
 
+def digests(words: list[str]) -> np.ndarray:
+    """A 64-bit digest of each word.  Digesting a word again costs less than looking it up among all words of a corpus."""
+    digest = xxhash.xxh64_intdigest
+    try:
+        return np.fromiter(map(digest, words), dtype=np.uint64, count=len(words))
+    except UnicodeEncodeError:                                      # half a surrogate pair
+        return np.fromiter((digest(w.encode("utf-8", "surrogatepass")) for w in words), dtype=np.uint64, count=len(words))
+
+
 def lines_of(text: str) -> Iterator[tuple[int, str]]:
     """Start (in code points) and text of each line."""
     start = 0
@@ -73,7 +83,6 @@ class Signer:
     """Band keys of paragraphs."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
         self.powers = _odd_numbers(SHINGLE_WORDS, 5)
         self.factors = _odd_numbers(BANDS * ROWS, 7)[:, None]
         self.shifts = _odd_numbers(BANDS * ROWS, 11)[:, None]
@@ -82,23 +91,22 @@ class Signer:
 
     def shingles(self, words: list[str]) -> np.ndarray:
         """A 64-bit digest of each shingle, in order."""
-        known, digest = self.known, xxhash.xxh64_intdigest
-        try:
-            hashes = [known[w] for w in words]
-        except KeyError:
-            if len(known) > WORDS_KEPT:
-                known.clear()
-            for w in words:
-                if w not in known:
-                    known[w] = digest(w.encode("utf-8", "surrogatepass"))
-            hashes = [known[w] for w in words]
-        h = np.array(hashes, dtype=np.uint64)
+        h = digests(words)
         n = len(h) - SHINGLE_WORDS + 1
         shingles = np.zeros(n, dtype=np.uint64)
         for k in range(SHINGLE_WORDS):
             shingles += h[k:k + n] * self.powers[k]
         return _mix(shingles)
 
+    def shingles_of(self, paragraphs: list[list[str]]) -> list[np.ndarray]:
+        """The shingles of each paragraph, formed over the words of all at once; those across two paragraphs are left out."""
+        sizes = np.array([len(words) for words in paragraphs])
+        if sizes.min() < SHINGLE_WORDS:
+            raise ValueError(f"a paragraph has {SHINGLE_WORDS} words at least")
+        flat = self.shingles([w for words in paragraphs for w in words])
+        ends = np.cumsum(sizes)
+        return [flat[a:b] for a, b in zip(ends - sizes, ends - SHINGLE_WORDS + 1)]
+
     def __call__(self, paragraphs: list[np.ndarray]) -> np.ndarray:
         """Band keys of paragraphs given by their shingles, one row each."""
         ends = np.cumsum([len(p) for p in paragraphs])
@@ -140,12 +148,12 @@ def _paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
             ids, keys, texts = (batch.column(c) for c in ("doc_id", "row_key", "text"))
             rows: list[tuple] = []
             of: list[int] = []
-            parts: list[np.ndarray] = []
+            parts: list[list[str]] = []
             signed: list[np.ndarray] = []
 
             def emit():
                 if parts:
-                    signed.append(sign(parts))
+                    signed.append(sign(sign.shingles_of(parts)))
                 cols, bands = list(zip(*rows)), np.concatenate(signed).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, bands.size + 1, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 return pa.RecordBatch.from_arrays(
@@ -163,12 +171,12 @@ def _paragraphs(docs: DataFrame, min_words: int) -> DataFrame:
                         continue
                     h = xxhash.xxh3_64_intdigest(" ".join(words).encode("utf-8", "surrogatepass"))
                     rows.append((number, start, len(line), h - (1 << 64) if h >> 63 else h, line))
-                    parts.append(sign.shingles(words))
+                    parts.append(words)
                     of.append(i)
                     held += len(line)
                     waiting += len(words)
                     if waiting > TOGETHER:
-                        signed.append(sign(parts))
+                        signed.append(sign(sign.shingles_of(parts)))
                         parts, waiting = [], 0
                 if held > 1 << 22:
                     yield emit()
@@ -185,7 +193,14 @@ def _shingled(texts: DataFrame) -> DataFrame:
         forget()
         sign = Signer()
         for batch in batches:
-            found = [np.unique(sign.shingles(words_of(t.as_py()))).tobytes() for t in batch.column("paragraph")]
+            found: list[bytes] = []
+            parts, waiting = [], 0
+            for k, text in enumerate(batch.column("paragraph"), 1):
+                parts.append(words_of(text.as_py()))
+                waiting += len(parts[-1])
+                if waiting > TOGETHER or k == batch.num_rows:
+                    found += [np.unique(x).tobytes() for x in sign.shingles_of(parts)]
+                    parts, waiting = [], 0
             yield pa.RecordBatch.from_arrays([batch.column("p"), pa.array(found, pa.binary())], ["p", "shingles"])
 
     return texts.select("p", "paragraph").mapInArrow(run, "p bigint, shingles binary")
@@ -232,6 +247,12 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least
     The sizes of the intersections are products of incidence matrices, made and multiplied in portions.
     """
     sizes = [np.array([len(s) for s in own]) for own in (left, right)]
+    if (len(left) + len(right)) * n <= SMALL:                       # few short rows: one product
+        every = np.zeros((len(left) + len(right), n), dtype=np.float32)
+        every[np.repeat(np.arange(len(every)), np.concatenate(sizes)), np.concatenate([*left, *right])] = 1
+        both = every[:len(left)] @ every[len(left):].T
+        yield np.nonzero(both >= least * (sizes[0][:, None] + sizes[1] - both.astype(np.float64)))
+        return
     rows = [np.repeat(np.arange(len(own)), size) for own, size in zip((left, right), sizes)]
     values = [np.concatenate(own) if own else np.zeros(0, dtype=np.int32) for own in (left, right)]
     shared = np.flatnonzero(np.bincount(values[0], minlength=n) * np.bincount(values[1], minlength=n))
@@ -257,19 +278,40 @@ def similar_pairs(left: list[np.ndarray], right: list[np.ndarray], n: int, least
 
 
 def _meet(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """All links of the two sides between different components, as one edge from each linked node to the least it reaches."""
-        sides = [pdf[pdf["side"] == s].drop_duplicates("p") for s in (0, 1)]
-        if sides[0].empty or sides[1].empty:
-            return pd.DataFrame({"a": pdf["p"].iloc[:0], "b": pdf["p"].iloc[:0]})
-        sets, n = numbered([[np.frombuffer(x, dtype=np.uint64) for x in side["shingles"]] for side in sides])
-        ids, roots = ([side[c].to_numpy() for side in sides] for c in ("p", "root"))
-        found = Links(ids[0].dtype)
-        for x, y in similar_pairs(*sets, n, least):
-            apart = roots[0][x] != roots[1][y]
-            found.add(ids[0][x[apart]], ids[1][y[apart]])
-        nodes, lows = found.stars()
-        return pd.DataFrame({"a": nodes, "b": lows})
+    """All links between different components of the two sides of each block, as one edge from each linked node to the least it reaches.
+
+    The rows come sorted by block, many small blocks in a batch; a block that goes on in the next batch waits for it.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
+        found = Links(np.dtype(np.int64))
+
+        def blocks(rows: pa.Table, ends: list[int]) -> None:
+            side, p, root = (rows.column(c).to_numpy() for c in ("side", "p", "root"))
+            shingles, start = rows.column("shingles").slice(0, ends[-1]).to_pylist(), 0
+            for end in ends:
+                one, two = (start + np.flatnonzero(side[start:end] == s) for s in (0, 1))
+                start = end
+                if not len(one) or not len(two):
+                    continue
+                sets, n = numbered([[np.frombuffer(shingles[k], dtype=np.uint64) for k in own] for own in (one, two)])
+                for x, y in similar_pairs(*sets, n, least):
+                    a, b = one[x], two[y]
+                    apart = root[a] != root[b]
+                    found.add(p[a[apart]], p[b[apart]])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            rows = pa.Table.from_batches([*held, batch])
+            keys = [rows.column(c).to_numpy() for c in ("band", "i", "j")]
+            ends = (np.flatnonzero(np.logical_or.reduce([k[1:] != k[:-1] for k in keys])) + 1).tolist()
+            if ends:
+                blocks(rows, ends)
+            held = rows.slice(ends[-1] if ends else 0).to_batches()
+        if held:
+            rows = pa.Table.from_batches(held)
+            blocks(rows, [rows.num_rows])
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in found.stars()], ["a", "b"])
 
     return run
 
@@ -330,8 +372,8 @@ def _repeats(src: DataFrame, min_words: int, similarity: float) -> DataFrame:
     roots = common.connected_components(_verify(pairs, near, similarity))
 
     # Bands of three and more members that are still apart; what they add joins the components found so far.
-    more = (_still_apart(members, roots).join(near, "p").groupBy("band", "i", "j")
-            .applyInPandas(_meet(similarity), "a bigint, b bigint"))
+    more = (_still_apart(members, roots).join(near, "p").repartition("band", "i", "j").sortWithinPartitions("band", "i", "j")
+            .select("band", "i", "j", "side", "p", "root", "shingles").mapInArrow(_meet(similarity), "a bigint, b bigint"))
     roots = common.connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     where = found.select("doc_id", "row_key", "line", "start", "n_chars", "p")
@@ -351,28 +393,22 @@ class Windows:
     """Picked windows of a word stream: first word, 64-bit hash and a second one of 32 bits."""
 
     def __init__(self):
-        self.known: dict[str, int] = {}
         self.bases = [int(b) for b in _odd_numbers(2, 19)]
         self.powers = np.ones((2, 2, 0), dtype=np.uint64)
 
-    def _rolled(self, h: np.ndarray, k: int) -> np.ndarray:
-        """Sum of h[i + j] * base^j over each window, from running sums and the powers of the inverse."""
+    def _rolled(self, h: np.ndarray, k: int, at: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """Sum of h[i + j] * base^j over each window (those ``at`` alone), from running sums and the powers of the inverse."""
         up, down = self.powers[k][:, :len(h)]
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(h * up, dtype=np.uint64)])
         n = len(h) - WINDOW + 1
-        return _mix((sums[WINDOW:] - sums[:n]) * down[:n])
+        return _mix((sums[WINDOW:][at] - sums[:n][at]) * down[:n][at])
 
     def __call__(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if len(words) > self.powers.shape[2]:
             size = 2 * len(words)
             self.powers = np.array([[np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, dtype=np.uint64)], dtype=np.uint64)
                                      for b in (base, pow(base, -1, 1 << 64))] for base in self.bases])
-        known, digest = self.known, xxhash.xxh64_intdigest
-        if len(known) > WORDS_KEPT:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = digest(w.encode("utf-8", "surrogatepass"))
-        h = np.array([known[w] for w in words], dtype=np.uint64)
+        h = digests(words)
         all_of = self._rolled(h, 0)
         low, reach = all_of, min(REACH, len(all_of))
         size = 1
@@ -387,7 +423,7 @@ class Windows:
             padded = np.maximum(padded[:-step], padded[step:])
             size += step
         at = np.flatnonzero(all_of == padded)
-        return at, all_of[at].view(np.int64), (self._rolled(h, 1)[at] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        return at, all_of[at].view(np.int64), (self._rolled(h, 1, at) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def _windows(src: DataFrame) -> DataFrame:

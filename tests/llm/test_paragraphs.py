@@ -1,6 +1,8 @@
 """Repeated passages against brute force over all pairs, edge rows."""
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from montevar.llm import paragraphs
@@ -91,6 +93,42 @@ def test_similar_pairs_are_exact():
     assert set(zip(x.tolist(), y.tolist())) == want
 
 
+@pytest.mark.parametrize("rows,small", [(10_000, 1 << 18), (7, 1 << 18), (1, 0)])
+def test_blocks_meet_whatever_batches_they_come_in(monkeypatch, rows, small):
+    """Many small blocks are met in one batch, and a block may go on in the next; both ways of multiplying agree."""
+    monkeypatch.setattr(paragraphs, "SMALL", small)
+    r = rng(9)
+    sign, cols, want = paragraphs.Signer(), [], []
+    for block in range(30):
+        base = prose(r, 60)
+        texts = [edited(r, base, int(k)) for k in r.integers(0, 6, int(r.integers(1, 9)))]
+        of = r.integers(0, 3, len(texts)).tolist()
+        own = [(block // 3, block % 3, 0, 100 * block + k, side, 100 * block + root, np.unique(sign.shingles(t.split())).tobytes())
+               for k, (t, root) in enumerate(zip(texts, of)) for side in (0, 1) if not side or root]
+        cols += own
+        sets = [paragraphs.shingle_set(t) for t in texts]
+        want += [(100 * block + x, 100 * block + y) for x, a in enumerate(sets) for y, b in enumerate(sets)
+                 if of[y] and of[x] != of[y] and paragraphs.similar(a, b)]
+    names = ["band", "i", "j", "p", "side", "root", "shingles"]
+    table = pa.table([pa.array(c) for c in zip(*cols)], names)
+    out = list(paragraphs._meet(paragraphs.SIMILARITY)(iter(table.to_batches(max_chunksize=rows))))
+    got = {a: b for batch in out for a, b in zip(*(batch.column(c).to_pylist() for c in ("a", "b")))}
+    assert want and got == components({n for e in want for n in e}, want)
+    assert sum(b.num_rows for b in paragraphs._meet(paragraphs.SIMILARITY)(iter([]))) == 0
+
+
+def test_digests_hold_no_words_between_texts():
+    """A worker keeps no table of the words it has seen; half a surrogate pair has a digest as well."""
+    words = [f"w{k}" for k in range(1000)] + ["é", "\ud800", "日本"]
+    want = [xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words]
+    assert paragraphs.digests(words).tolist() == want and paragraphs.digests(words[:9]).tolist() == want[:9]
+    sign = paragraphs.Signer()
+    parts = [words[k:k + 5 + k % 7] for k in range(0, 900, 12)]
+    assert all((x == sign.shingles(w)).all() for x, w in zip(sign.shingles_of(parts), parts, strict=True))
+    with pytest.raises(ValueError):
+        sign.shingles_of([words[:25], words[:3]])
+
+
 def test_removal_and_edge_rows(spark):
     r = rng(5)
     one, two, three = prose(r, 55), prose(r, 60), prose(r, 30_000)
