@@ -189,22 +189,35 @@ def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.nda
 
 
 class Links:
-    """Links met in a task, reduced to one edge from each node to its component as they come."""
+    """Links met in a task, reduced to one edge from each node to its component when many have come."""
+
+    #: Links that wait for being reduced.
+    WAITING = 1 << 18
 
     def __init__(self, dtype):
-        self.parts = [(np.zeros(0, dtype=dtype), np.zeros(0, dtype=dtype))]
+        self.parts, self.waiting = [(np.zeros(0, dtype=dtype), np.zeros(0, dtype=dtype))], 0
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
         if len(a):
-            self.parts.append(smallest_reachable(a, b))
-        if len(self.parts) > 16:
-            self.parts = [self.stars()]
+            self.parts.append((a, b))
+            self.waiting += len(a)
+        if self.waiting > self.WAITING:
+            self.parts, self.waiting = [self.stars()], 0
 
     def stars(self) -> tuple[np.ndarray, np.ndarray]:
         a, b = (np.concatenate(p) for p in zip(*self.parts))
         return smallest_reachable(a, b) if len(a) else (a, b)
 
 
+def _are_stars(pairs: DataFrame) -> bool:
+    """Whether every ``a`` of the different pairs ``a, b`` has one ``b``, which is no ``a`` itself."""
+    roles = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("n"), F.lit(1).alias("up"), F.lit(0).alias("down")),
+                                           F.struct(F.col("b").alias("n"), F.lit(0).alias("up"), F.lit(1).alias("down")))).alias("r"))
+    odd = (roles.groupBy("r.n").agg(F.sum("r.up").alias("up"), F.max("r.down").alias("down"))
+           .where("up > 1 OR up > 0 AND down > 0"))
+    return odd.agg(F.count(F.lit(1))).first()[0] == 0
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Smallest reachable node of every node that has an edge: columns ``node, root``.
 
@@ -213,27 +226,22 @@ def connected_components(edges: DataFrame) -> DataFrame:
     each step links the neighbours of a node to its smallest neighbour by
     one pre-aggregated minimum and one join, so a hub with a third of all edges is
     never gathered (its join partner is a single row and the adaptive
-    skew join splits its side).  Every round is cut by a checkpoint.
+    skew join splits its side).  Every round is cut by a checkpoint; the rounds end when every component is a star.
     """
     x, y = (F.col(f"`{c}`") for c in edges.columns[:2])
     pairs = (edges.select(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
              .where(x.isNotNull() & y.isNotNull() & (F.col("a") != F.col("b"))).distinct())
-    pairs, last = checkpoint(pairs), None
-    while True:
-        low = (pairs.groupBy("b").agg(F.min("a").alias("m")).select(F.col("b").alias("n"), F.col("b").alias("m"))
-               .unionByName(pairs.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("n"), "m"))
-               .groupBy("n").agg(F.min("m").alias("m")))
+    pairs = checkpoint(pairs)
+    while not _are_stars(pairs):
+        low = (pairs.select(F.col("b").alias("n"), F.col("b").alias("m")).unionByName(
+            pairs.select(F.col("a").alias("n"), F.col("b").alias("m"))).groupBy("n").agg(F.min("m").alias("m")))
         large = (pairs.join(low, pairs.b == low.n).select("a", F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least.withColumnRenamed("a", "n"), F.col("a") == F.col("n"))
                  .where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).distinct())
         pairs = checkpoint(small)
-        now = tuple(pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first())
-        if now == last:
-            break
-        last = now
-    del low, large, least, small                                    # the plans of the last round
+        del low, large, least, small                                # the plans of the round
     tidy(edges.sparkSession)
     return (pairs.select(F.col("a").alias("node"), F.col("b").alias("root"))
             .unionByName(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()))

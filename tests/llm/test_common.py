@@ -78,3 +78,27 @@ def test_scratch_tables_go_and_results_stay(spark):
             held = common.materialize(spark.range(3), "held")
             raise ValueError
     assert common.Scratch.innermost() is None and held is not None
+
+
+def test_components_end_with_the_round_that_makes_stars(spark, monkeypatch):
+    """A finished component takes no further round: stars are written once, a chain of four once more."""
+    written, cut = [], common.checkpoint
+    monkeypatch.setattr(common, "checkpoint", lambda df: written.append(1) or cut(df))
+    for edges, most in (([(1, 2), (3, 1), (1, 4), (9, 8), (1, 1)], 1), ([], 1), ([(1, 2), (2, 3), (3, 4)], 3)):
+        written.clear()
+        got = {x.node: x.root for x in common.connected_components(spark.createDataFrame(edges, "y bigint, x bigint")).collect()}
+        real = [(a, b) for a, b in edges if a != b]
+        assert got == components({n for e in real for n in e}, real) and len(written) <= most
+
+
+def test_links_are_reduced_when_many_wait(monkeypatch):
+    r = rng(6)
+    a, b = r.integers(0, 400, 300), r.integers(0, 400, 300)
+    want = components(set(a.tolist()) | set(b.tolist()), list(zip(a.tolist(), b.tolist())))
+    for most in (1 << 18, 20, 0):
+        monkeypatch.setattr(common.Links, "WAITING", most)
+        links = common.Links(a.dtype)
+        for k in range(0, 300, 7):
+            links.add(a[k:k + 7], b[k:k + 7])
+        nodes, lows = links.stars()
+        assert dict(zip(nodes.tolist(), lows.tolist())) == want
